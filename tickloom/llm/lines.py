@@ -21,6 +21,8 @@ blank lines stay; an empty table gives no rows; other columns are carried along.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_shuffles, stage
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = "doc long, th long, s int, e int, fp long, gram long"
 
 
@@ -77,7 +80,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
                 every, at = split_lines(text.as_py())
                 kept = [every[i] for i in at]
                 hashes = [xxhash.xxh3_64_intdigest(x) for x in kept]
-                for s, e in line_windows([len(x.split()) for x in kept], lines, words):
+                for s, e in line_windows([len(WORD.findall(x)) for x in kept], lines, words):
                     run = hashes[s : e + 1]
                     low = min(run)
                     gram = xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes())

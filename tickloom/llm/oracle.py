@@ -1,5 +1,100 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+The token files, the packing, the fitted classifier, the balanced sample and the
+tagger have no SQL; tests hold those against brute-force versions.
+"""
 
 from tickloom.llm.chat import CHAT_SQL
 
-ORACLES = {"op9_collapse_snapshots": CHAT_SQL}
+TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.v, v.v) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.v) = len(v.v)
+  WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+LINES = """
+WITH every AS (
+  SELECT d.doc_id, t.pos, t.line, len(regexp_extract_all(t.line, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM documents d, unnest(string_split(coalesce(d.text, ''), chr(10))) WITH ORDINALITY AS t(line, pos)),
+l AS (
+  SELECT doc_id, pos, line, w, row_number() OVER o AS i
+  FROM every WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+n AS (
+  SELECT *, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2, lead(w, 1) OVER o AS w1,
+         lag(line, 1) OVER o AS p1, lag(line, 2) OVER o AS p2, lag(w, 1) OVER o AS v1
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (
+  SELECT doc_id, i AS s, i AS e, line AS gram FROM n WHERE w >= 50
+  UNION
+  SELECT doc_id, i, i + 1, line || chr(10) || l1 FROM n WHERE w < 50 AND w + w1 >= 50
+  UNION
+  SELECT doc_id, i - 1, i, p1 || chr(10) || line FROM n WHERE w < 50 AND w + v1 >= 50
+  UNION
+  SELECT doc_id, i, i + 2, line || chr(10) || l1 || chr(10) || l2 FROM n WHERE w + w1 < 50 AND l2 IS NOT NULL
+  UNION
+  SELECT doc_id, i - 2, i, p2 || chr(10) || p1 || chr(10) || line FROM n WHERE w + v1 < 50 AND p2 IS NOT NULL),
+o AS (
+  SELECT doc_id, s, e, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s, e) AS nth FROM g),
+dead AS (SELECT DISTINCT l.doc_id, l.pos FROM o JOIN l ON l.doc_id = o.doc_id AND l.i BETWEEN o.s AND o.e WHERE o.nth > 1)
+SELECT e.doc_id, count(*) FILTER (WHERE e.w > 0) AS n_lines, count(d.pos) AS n_removed,
+       md5(coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE d.pos IS NULL), '')) AS text_md5
+FROM every e LEFT JOIN dead d ON d.doc_id = e.doc_id AND d.pos = e.pos
+GROUP BY e.doc_id
+"""
+
+COSINE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) >= 0.9 * sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))),
+r AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
+ORACLES = {
+    "op1_vector_file_topk": TOPK,
+    "op3_winnow_lines": LINES,
+    "op4_pca_near_duplicates": COSINE,
+    "op7_grouped_prefix_join": JACCARD,
+    "op9_collapse_snapshots": CHAT_SQL,
+}

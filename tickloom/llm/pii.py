@@ -6,7 +6,8 @@ spans (see training_rows) and adds spans that overlap none of them. It reads
 overlapping windows of WINDOW characters every STRIDE; each window is decoded by
 Viterbi, every character takes its tag from the window it is most central in,
 and runs of a kind over the joined tags are the spans, so a span may cross
-windows. Of a run only an entity of the kind's own shape is added (SHAPES).
+windows. Of a run only an entity of the kind's own shape (SHAPES) and limits
+(parts to 255, Luhn) is added.
 
 All four kinds hold a digit or an @: windows without one hold no span by
 definition and are not read. Everything else covers the whole text.
@@ -295,6 +296,14 @@ SHAPES = (
 )
 
 
+def sound(kind: int, text: str) -> bool:
+    """Whether an added span keeps its kind's own limits."""
+    parts = re.findall("[0-9]+", text)
+    if kind == 1:
+        return all(int(x) <= 255 for x in parts)
+    return kind != 2 or (12 <= len("".join(parts)) <= 19 and luhn("".join(parts)))
+
+
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and rows of the windows with a digit or @ in them. The window at
     start s decides the characters from s + STRIDE to s + 2 STRIDE."""
