@@ -134,10 +134,23 @@ def read_candles(spark: SparkSession, root: str) -> DataFrame:
     return keep_last(out, ["symbol", "ts"])
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of all files below a folder, empty ones too: Spark's file
+    sources leave those out, so the names come from the file system itself, as they
+    do when Spark plans a scan."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, files = [], target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen()))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def cache_inventory(spark: SparkSession, root: str, start: date, end: date) -> DataFrame:
     """(symbol, day) of days in [start, end) that the folder lacks, for the symbols
-    it has."""
-    f = _files(spark, root, _DAY_NAME).select("symbol", F.make_date("y", "m", "d").alias("day")).distinct()
+    it has. An empty file stands for a closed day."""
+    part = lambda i: F.regexp_extract("path", _DAY_NAME, i)
+    f = listing(spark, root).where(F.col("path").rlike(_DAY_NAME)).select(part(1).alias("symbol"), F.make_date(part(2).cast("int"), part(3).cast("int") + 1, part(4).cast("int")).alias("day")).distinct()
     return f.select("symbol").distinct().join(days(spark, start, end)).join(f, ["symbol", "day"], "left_anti")
 
 
