@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import sessions, stats, units
-from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, rules, signals, ticks, validate
+from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, ticks, validate
 from tickloom.sources import binary, dimensions, synthetic, tables
 
 T0 = datetime(2024, 1, 2)
@@ -429,3 +429,32 @@ def test_dimensions_fail_closed(spark):
     assert dimensions.fee_schedules(spark, [fee], True).count() == 1
     with pytest.raises(PermissionError):
         dimensions.verified_rules({"profit_target": {"status": "unknown"}}, ["profit_target"])
+
+
+# ---------------------------------------------------------------- research
+
+
+def test_registry_covers_the_library_and_finds_leaks(spark):
+    r = research.library()
+    assert r.gaps(["ret_1", "atr", "vol_regime_quintile", "new"]) == ["new"]
+    b = synthetic.bars(spark, 330).cache()
+    some = research.Registry({n: r.items[n] for n in ("ret_1", "atr", "vol_regime_quintile", "trend_state")})
+    some.add(research.Feature("centred", features.centred_mean, 0))
+    assert some.leaks(b, [datetime(2024, 1, 1, 5, 1)]) == ["centred"]
+    with pytest.raises(ValueError):
+        some.add(research.Feature("atr", features.returns_and_atr, 14))
+
+
+def test_event_order_and_trails(spark):
+    e = spark.createDataFrame([("rule_reset",), ("swap_posting",), ("quote",)], "k string")
+    at = lambda first: [r[0] for r in e.select(research.event_priority(F.col("k"), first)).collect()]
+    assert at(True) == [2, 3, 4] and at(False) == [3, 2, 4] and len(research.trails()) == 27
+    with pytest.raises(Exception, match="unknown event kind"):
+        spark.createDataFrame([("x",)], "k string").select(research.event_priority(F.col("k"))).collect()
+
+
+def test_null_batches_rarely_pass_and_an_edge_does(spark):
+    null = research.deflated(research.null_batches(spark, 60, periods=400), 40, 400)
+    assert null.where("passes").count() <= 9
+    edge = research.deflated(research.null_batches(spark, 20, periods=1000, edge=0.19), 40, 1000)
+    assert edge.where("passes AND best_at = edge_at").count() >= 10

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import sessions, stats, units
-from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, rules, signals, ticks, validate
+from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, ticks, validate
 from tickloom.plans import views
 from tickloom.sources import binary
 from tickloom.streaming import capture
@@ -789,3 +789,66 @@ def month_partitions(spark, sf):
     return t.groupBy(sessions.month_key(F.col("exit_ts")).alias("month")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+# ------------------------------------------------------------ research
+
+
+@query
+def event_order(spark, sf):
+    """Events of one instant in order of execution, on a venue that posts swaps
+    before it resets."""
+    q = views.quotes(spark, sf)
+    kinds = F.array(*[F.lit(k) for k in research.EVENT_KINDS])
+    t = q.select("seq", F.element_at(kinds, (F.col("seq") % 9 + 1).cast("int")).alias("kind"))
+    return t.select("seq", "kind", research.event_priority(F.col("kind"), reset_before_swap=False).alias("priority"))
+
+
+@query
+def artefact_expanding(spark, sf):
+    q = views.quotes(spark, sf).select("seq", "symbol", "ts", "bid")
+    t = research.expanding_fit(q, "ts", "bid", datetime(2024, 1, 20))
+    return t.select("seq", F.round(F.col("fitted") * F.col("observations"), 2).alias("total"), "observations")
+
+
+@query
+def best_risk(spark, sf):
+    """Each book at five risks: drawdown and median window, the best that fits."""
+    risks = (0.0005, 0.001, 0.002, 0.004, 0.008)
+    t = views.trades(spark, sf).where("supplier % 10 = 0")
+    out = None
+    for k in risks:
+        dd = portfolio.compounded_curve(t, ["book"], F.lit(k)).groupBy("book").agg(F.max("dd_pct").alias("max_dd_pct"))
+        med = portfolio.best_and_median(portfolio.rolling_returns(t, "book", datetime(1996, 1, 1), datetime(2000, 1, 1), k), "book")
+        one = dd.join(med.select("book", "median"), "book").withColumn("risk", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return r6(research.best_fitting(out, "book", 8.0), "max_dd_pct", "median")
+
+
+@query
+def account_allowed(spark, sf):
+    """Customers that match a register entry in every identity field."""
+    c = views.table(spark, sf, "customer")
+    ident = c.select("c_custkey", F.sha2("c_name", 256).alias("login_hash"), F.col("c_mktsegment").alias("server"), F.lit("demo").alias("account_type"), F.when(F.col("c_nationkey") % 2 == 0, "USD").otherwise("EUR").alias("currency"), F.lit("phase1").alias("phase"))
+    register = ident.where("c_custkey % 5 = 0").withColumn("currency", F.lit("USD")).drop("c_custkey")
+    return rules.allowed(ident, register).select("c_custkey", "login_hash")
+
+
+@query
+def null_false_positives(spark, sf):
+    """How often 200 batches of 40 candidates without an edge pass all the same."""
+    t = research.deflated(research.null_batches(spark, 200), 40, 1000)
+    return t.agg(F.count(F.lit(1)).alias("batches"), F.count_if("passes").alias("passed"), F.round(F.avg("best"), 6).alias("mean_best"))
+
+
+@query
+def trailing_sweep(spark, sf):
+    """Entries and trailing brackets together: the six best by symbol."""
+    bundle = _bundle(spark, sf).cache()
+    out = None
+    for trail in research.trails()[::9]:
+        acc = _account()
+        acc.trail = trail
+        one = replay.grid_replay(bundle, "trailing_momentum", signals.grid("trailing_momentum")[::6], acc, chunk=3)
+        one = one.withColumn("params", F.concat_ws("|", "params", F.lit(str(trail))))
+        out = one if out is None else out.unionByName(one)
+    scored = out.groupBy("symbol", "params").agg(F.round(portfolio.profit_factor(F.col("pnl")), 6).alias("pf"), F.round(F.sum("pnl"), 6).alias("net"), F.count(F.lit(1)).alias("trades"))
+    return portfolio.top_configs(scored, ["symbol"], 6)

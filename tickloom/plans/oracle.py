@@ -273,3 +273,8 @@ text("hour_sequence", "", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01 0
 text("file_paths", Q, "SELECT DISTINCT symbol, date_trunc('hour', ts) AS hour, printf('%s/%04d/%02d/%02d/%02dh_ticks.bi5', symbol, year(ts), month(ts) - 1, day(ts), hour(ts)) AS path FROM quotes")
 text("money_rounding", "l AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_quantity AS DECIMAL(18,2)) AS q FROM lineitem)", "SELECT l_orderkey, l_linenumber, sum(CAST((CAST(q * 100 AS BIGINT) // 30) * 30 AS DOUBLE) / 100) AS down, sum(CAST(((CAST(p * 100 AS BIGINT) + 29) // 30) * 30 AS DOUBLE) / 100) AS up, sum(CAST(CASE WHEN CAST(p * 100 AS BIGINT) % 100 = 50 THEN (CAST(p * 100 AS BIGINT) // 100) + (CAST(p * 100 AS BIGINT) // 100) % 2 ELSE (CAST(p * 100 AS BIGINT) + 50) // 100 END AS DOUBLE) / 10) AS even FROM l GROUP BY 1, 2")
 text("month_partitions", TR, "SELECT strftime(exit_ts, '%Y-%m') AS month, count(*) AS rows FROM trades GROUP BY 1")
+KINDS = "['market_status', 'rule_reset', 'swap_posting', 'quote', 'pending_trigger', 'fill', 'stop_or_target', 'decision', 'submission']"
+text("event_order", Q, f"SELECT seq, {KINDS}[seq % 9 + 1] AS kind, CAST(CASE seq % 9 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE seq % 9 + 1 END AS BIGINT) AS priority FROM quotes")
+text("artefact_expanding", Q + ", x AS (SELECT seq, symbol, ts, CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN bid END AS b FROM quotes)", "SELECT seq, round(avg(b) OVER w * count(b) OVER w, 2) AS total, count(b) OVER w AS observations FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
+text("best_risk", TR + ", t AS (SELECT * FROM trades WHERE supplier % 10 = 0), k(risk) AS (VALUES (0.0005::DOUBLE), (0.001), (0.002), (0.004), (0.008)), c AS (SELECT book, risk, exit_ts, seq, 10000 * exp(sum(ln(1 + r * risk)) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM t, k), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM c), d AS (SELECT book, risk, max(100 * (pk - eq) / pk) AS dd FROM p GROUP BY 1, 2), s AS (SELECT DISTINCT book, TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) AS w FROM t, range(0, 200) u(i) WHERE TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) + INTERVAL '90 days' <= TIMESTAMP '2000-01-01'), q AS (SELECT s.book, k.risk, w, coalesce(100 * (product(1 + r * k.risk) - 1), 0.0) AS ret FROM s CROSS JOIN k LEFT JOIN t ON t.book = s.book AND exit_ts >= w AND exit_ts < w + INTERVAL '90 days' GROUP BY 1, 2, 3), m AS (SELECT book, risk, list_sort(list(ret))[count(*) // 2 + 1] AS med FROM q GROUP BY 1, 2)", "SELECT book, risk, round(dd, 6) AS max_dd_pct, round(med, 6) AS median FROM d JOIN m USING (book, risk) WHERE dd < 8 QUALIFY row_number() OVER (PARTITION BY book ORDER BY med DESC, risk) = 1")
+text("account_allowed", "", "SELECT c_custkey, sha256(c_name) AS login_hash FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey % 2 = 0")
