@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_shuffles, stage
+from tickloom.llm.common import free_shuffles, slices, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = "doc long, th long, s int, e int, fp long, gram long"
@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     keyed = docs.withColumn("__th", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
     def windows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             cols = [[] for _ in range(6)]
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 every, at = split_lines(text.as_py())
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     names = docs.columns
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             texts, before, gone = [], [], []
             for text, runs in zip(batch.column("text"), batch.column("__runs").to_pylist()):
                 text = text.as_py()
@@ -118,4 +118,6 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
 
 def _left(keyed: DataFrame, marks: DataFrame) -> DataFrame:
     m = marks.select(F.col("doc").alias("__doc"), F.col("th").alias("__mth"), "__runs")
-    return keyed.join(m, keyed["doc_id"].eqNullSafe(m["__doc"]) & (keyed["__th"] == m["__mth"]), "left").drop("__doc", "__mth", "__th")
+    # One plan at every size: texts and runs meet by a merge join, never by copies
+    # of the runs, whose number grows with the corpus.
+    return keyed.hint("merge").join(m, keyed["doc_id"].eqNullSafe(m["__doc"]) & (keyed["__th"] == m["__mth"]), "left").drop("__doc", "__mth", "__th")
