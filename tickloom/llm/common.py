@@ -39,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files that outlive any executor."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
