@@ -68,31 +68,27 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): smallest node reachable over edges(src, dst).
 
     Alternating large-star and small-star steps, each a partial minimum by node
-    followed by a join, until the edge set stays the same. Every round is
-    written to the shared folder. Nodes without an edge are not returned.
+    followed by a join, until the edges are stars around smallest nodes. Every round
+    is written to the shared folder. Nodes without an edge are not returned.
     """
-    spark = edges.sparkSession
-    clean = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    cur = stage(clean, "cc")
-    state = _fingerprint(cur)
+    cur = stage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
     for _ in range(max_rounds):
-        if state[0] == 0:
+        if _settled(cur):
             break
         nxt = stage(_small_star(_large_star(cur)), "cc")
-        new = _fingerprint(nxt)
         drop_table(cur)
-        cur, done, state = nxt, new == state, new
-        if done:
-            break
+        cur = nxt
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _fingerprint(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return (r["n"], r["h"])
+def _settled(e: DataFrame) -> bool:
+    """Whether every larger node has one edge and no smaller node is a larger one."""
+    ends = e.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up = 1 AND down = 1)").agg(F.count(F.lit(1)).alias("n")).first()["n"] == 0
 
 
 def _large_star(e: DataFrame) -> DataFrame:

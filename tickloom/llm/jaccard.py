@@ -11,9 +11,10 @@ First every bucket compares its members with its smallest group only, and the
 classes of a group with their smallest class; found links give components. Then
 only members of a bucket that are still in different components are paired, so a
 large group of near copies costs a row a member, and no link that could join two
-components stays unread. Group pairs are filtered by size and by an exact bound
-on the overlap from both prefixes; those left expand to their classes, which are
-verified on the whole sets.
+components stays unread. Group pairs are filtered by size, by the places of the
+shingle that brings them up, and by a bound on the overlap: how many prefix
+shingles they share, plus what is left beyond. Those left expand to their classes,
+which are verified on the whole sets.
 
 The order needs no exact counts to be right: shingles that occur often within a
 stretch of a partition are counted, and the 2^19 most frequent of the corpus (8
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import components, drop_table, free_shuffles, mix64, shingle_sets, slices, stage, text_buffers
 
 STRETCH = 1 << 21  # shingles looked at together for frequent ones
-OFTEN = 8  # occurrences within a stretch that make a shingle a candidate
+OFTEN = 2  # occurrences within a stretch that make a shingle a candidate
 TABLE = 1 << 19  # shingles of the frequency table
 
 
@@ -42,11 +43,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def needed(a: int, b: int, percent: int) -> int:
-    """Smallest overlap of sets of a and b entries that reaches the threshold."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def _sets(part: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return shingle_sets(*text_buffers(part.column("text")), k)
 
@@ -99,18 +95,31 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tok[order], n[order]
 
 
-def ordered(x: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A sorted set in the global order: shingles outside the table by hash, then
-    those inside by count and hash."""
+def prefix(x: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """The prefix of a sorted set in the global order (shingles outside the table
+    by hash, then those inside by count and hash), and its last entry's sort key."""
     tok, n = table
-    if not len(tok) or not len(x):
-        return x
-    at = np.minimum(np.searchsorted(tok, x), len(tok) - 1)
-    often = tok[at] == x
-    if not often.any():
-        return x
-    hot = x[often]
-    return np.concatenate([x[~often], hot[np.argsort(n[at[often]], kind="stable")]])
+    m = prefix_length(len(x), percent)
+    if not m:
+        return x, (0, 0)
+    if len(tok):
+        at = np.minimum(np.searchsorted(tok, x), len(tok) - 1)
+        often = tok[at] == x
+        rare = int(len(x) - often.sum())
+        if rare < m:
+            order = np.argsort(n[at[often]], kind="stable")[: m - rare]
+            hot = x[often][order]
+            x = np.concatenate([x[~often], hot])
+            return x, (int(n[at[often]][order[-1]]), int((hot[-1] ^ np.uint64(1 << 63)).view(np.int64)))
+        x = x[~often]
+    x = x[:m]
+    return x, (0, int((x[-1] ^ np.uint64(1 << 63)).view(np.int64)))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in rows)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def _blob(rows: list[np.ndarray]) -> pa.Array:
@@ -127,101 +136,98 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _sets(part, k)
-                heads = [ordered(x, table.value)[: prefix_length(len(x), percent)] for x in sets]
-                cols = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x, 2) for x in sets], pa.int64()), pa.array([_digest(x, 3) for x in sets], pa.int64()), pa.array([_digest(h, 4) for h in heads], pa.int64()), _blob(heads)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "g", "prefix"])
-
-    all_ = stage(docs.mapInArrow(describe, "doc_id long, n int, s1 long, s2 long, g long, prefix binary"), "sets")
+                heads, last = [], []
+                for x in sets:
+                    h, key = prefix(x, table.value, percent)
+                    heads.append(h)
+                    last.append(key)
+                cols = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x, 2) for x in sets], pa.int64()), pa.array([_digest(x, 3) for x in sets], pa.int64()), pa.array([_digest(h, 4) for h in heads], pa.int64()), pa.array([c for c, _ in last], pa.int64()), pa.array([h for _, h in last], pa.int64()), _lists(heads)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "g", "last_count", "last_hash", "prefix"])
+
+    kinds = "doc_id long, n int, s1 long, s2 long, g long, last_count long, last_hash long, prefix array<long>"
+    full = stage(docs.mapInArrow(describe, kinds), "prefixes")
+    all_ = stage(full.drop("prefix"), "sets")
     live = all_.where("n > 0 and doc_id is not null")
     # A class is named by its smallest doc_id, a group by its smallest class.
-    classes = stage(live.groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("cid")), "classes")
-    groups = classes.groupBy("g", "n").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members"))
-    groups = stage(groups, "groups")
-    members = classes.join(groups.select("g", "n", "gid"), ["g", "n"]).select("gid", "cid", "n")
-    members = stage(members, "members")
-
-    def postings(batches):
-        for batch in batches:
-            size = np.asarray(batch.column("n")).astype(np.int64)
-            col = batch.column("prefix").combine_chunks() if isinstance(batch.column("prefix"), pa.ChunkedArray) else batch.column("prefix")
-            flat = np.frombuffer(b"".join(col.to_pylist()), np.int64)
-            width = np.array([prefix_length(int(x), percent) for x in size])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(batch.column("gid")), width)), pa.array(np.repeat(size, width).astype(np.int32))], ["tok", "gid", "n"])
-
-    head = live.select(F.col("doc_id").alias("gid"), "n", "g", "prefix").join(groups.select("gid", "n", "g"), ["gid", "n", "g"], "left_semi")
-    head = stage(head.groupBy("gid", "n").agg(F.first("prefix").alias("prefix")), "prefixes")
-    index = head.mapInArrow(postings, "tok long, gid long, n int")
-    shared = index.groupBy("tok").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("tok", "low")
-    # Written between the two uses so that a hot shingle's join can be split.
-    shared = stage(shared, "shared")
-    index = stage(index.join(shared.select("tok"), "tok", "left_semi"), "index")
+    classes = stage(live.groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("cid"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")), "classes")
+    groups = stage(classes.groupBy("g", "n").agg(F.min("cid").alias("gid"), F.first("last_count").alias("last_count"), F.first("last_hash").alias("last_hash")), "groups")
+    members = stage(classes.join(groups.select("g", "n", "gid"), ["g", "n"]).select("gid", "cid"), "members")
+
+    head = full.withColumnRenamed("doc_id", "gid").join(groups.select("gid", "n", "g"), ["gid", "n", "g"], "left_semi")
+    # place: the size in the upper 32 bits, the position in the prefix below.
+    index = head.select(F.posexplode("prefix").alias("pos", "tok"), "gid", "n").select("tok", "gid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    # Written between its two uses so that the join of a hot shingle can be split.
+    shared = stage(index.groupBy("tok").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("tok", "low"), "shared")
+    free_shuffles(spark)
+    index = stage(index.join(shared, "tok"), "index")
+    drop_table(shared)
     free_shuffles(spark)
 
-    # Round one: each bucket against its smallest group.
-    star = index.join(shared, "tok").where("gid <> low").select(F.col("low").alias("a"), F.col("gid").alias("b")).distinct()
+    # Round one: each bucket against its smallest group. Shingles of a pair whose
+    # bucket has a smaller group are not counted here, so this may pass a pair by;
+    # round two does not.
+    star = index.where("gid <> low").groupBy(F.col("low").alias("a"), F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("both"))
+    star = _bounded(star, groups, percent)
     within = members.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    star = stage(_bounded(star, head, percent), "star")
-    spread = star.join(members.select(F.col("gid").alias("b"), F.col("cid").alias("y")), "b").select(F.col("a"), F.col("y").alias("b"))
-    tried = stage(spread.unionByName(within), "tried")
-    links = stage(verify(tried, docs, k, percent), "links")
-    comp = stage(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    spread = star.join(members.select(F.col("gid").alias("b"), F.col("cid").alias("y")), "b").select("a", F.col("y").alias("b"))
+    tried = stage(spread.unionByName(within).distinct(), "tried")
+    links = verify(tried, docs, k, percent)
+    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     free_shuffles(spark)
 
     # Round two: members of a bucket in different components.
-    placed = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    spans = stage(placed.groupBy("gid", "n", "comp").agg(F.count(F.lit(1)).alias("m")), "spans")
-    open_ = index.join(spans.select("gid", "comp"), "gid")
-    mixed = stage(open_.groupBy("tok").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tok"), "mixed")
-    side = stage(index.join(mixed, "tok"), "mixed_index")
-    left = side.select("tok", F.col("gid").alias("a"), F.col("n").alias("na"))
-    right = side.select("tok", F.col("gid").alias("b"), F.col("n").alias("nb"))
-    near = f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    cross = left.join(right, "tok").where(near).select("a", "b").distinct()
-    cross = _bounded(cross, head, percent)
-    sa, sb = placed.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("comp").alias("ca")), placed.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("comp").alias("cb"))
-    pairs = cross.join(sa, "a").join(sb, "b").where("ca <> cb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    inside = placed.select("gid", F.col("cid").alias("x"), F.col("comp").alias("ca")).join(placed.select("gid", F.col("cid").alias("y"), F.col("comp").alias("cb")), "gid").where("x < y and ca <> cb").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    placed = stage(members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")), "placed")
+    spans = placed.groupBy("gid").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    side = index.select("tok", "gid", "place").join(spans, "gid")
+    mixed = stage(side.groupBy("tok").agg(F.min("c1").alias("least"), F.max("c2").alias("most")).where("least < most").select("tok"), "mixed")
+    side = stage(side.join(mixed, "tok"), "mixed_side")
+    drop_table(index)
+    left, right = (side.select("tok", F.col("gid").alias(x), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.shiftright("place", 32).alias(f"n{x}"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"p{x}")) for x in "ab")
+    # Groups that lie whole in one and the same component need no look. Of those
+    # left, the first shingle a pair shares has all their overlap at or after it, so
+    # a shingle brings a pair up only where that many are still left on both sides.
+    apart = f"a < b and not (a1 = a2 and b1 = b2 and a1 = b1) and least(na - pa, nb - pb) >= {_need(percent)}"
+    cross = left.join(right, "tok").where(apart).select("a", "b").distinct()
+    heads = (head.select(F.col("gid").alias(x), F.col("prefix").alias(f"h{x}")) for x in "ab")
+    for x, h in zip("ab", heads):
+        cross = cross.join(h, x)
+    both = cross.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"))
+    cross = stage(_bounded(both, groups, percent), "cross")
+    drop_table(full)
+    sa, sb = (placed.select(F.col("gid").alias(x), F.col("cid").alias(f"{x}c"), F.col("comp").alias(f"{x}comp")) for x in "ab")
+    pairs = cross.join(sa, "a").join(sb, "b").where("acomp <> bcomp").select(F.least("ac", "bc").alias("a"), F.greatest("ac", "bc").alias("b"))
+    torn = placed.join(spans.where("c1 < c2").select("gid"), "gid")
+    x, y = (torn.select("gid", F.col("cid").alias(c), F.col("comp").alias(f"{c}comp")) for c in "ab")
+    inside = x.join(y, "gid").where("a < b and acomp <> bcomp").select("a", "b")
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = stage(pairs.unionByName(inside).distinct().join(seen, ["a", "b"], "left_anti"), "cross")
+    fresh = stage(pairs.unionByName(inside).distinct().join(seen, ["a", "b"], "left_anti"), "fresh")
+    free_shuffles(spark)
     more = verify(fresh, docs, k, percent)
     edges = comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     final = components(edges)
     named = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "n", "g", F.coalesce("component", "cid").alias("component_id"))
-    out = all_.drop("prefix").join(named, ["s1", "s2", "n", "g"], "left")
+    out = all_.join(named, ["s1", "s2", "n", "g"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def _bounded(pairs: DataFrame, head: DataFrame, percent: int) -> DataFrame:
-    """Group pairs whose sizes and prefixes still allow the threshold.
+def _bounded(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Group pairs (a, b, both: shingles their prefixes share) whose sizes and
+    prefixes still allow the threshold.
 
-    Within the shingles up to the smaller of the two last prefix entries both
-    sets are known, so the overlap is at most what they share there plus the
-    smaller number of shingles left.
+    Up to the smaller of the two last prefix entries both sets are known. The set
+    whose prefix ends there has ceil(percent / 100 * n) - 1 shingles left, so the
+    overlap is at most both + that.
     """
-    a = head.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    b = head.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    a, b = (groups.select(F.col("gid").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.struct("last_count", "last_hash").alias(f"k{x}")) for x in "ab")
     rows = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def keep(batches):
-        for batch in batches:
-            on = np.zeros(batch.num_rows, bool)
-            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-            for i, (x, y) in enumerate(zip(batch.column("pa"), batch.column("pb"))):
-                on[i] = _overlap_bound(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), int(na[i]), int(nb[i])) >= needed(int(na[i]), int(nb[i]), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(on))
-
-    return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(keep, "a long, b long")
+    rest = f"(CASE WHEN ka <= kb THEN na ELSE nb END * {percent} + 99) div 100 - 1"
+    return rows.where(f"both + {rest} >= {_need(percent)}").select("a", "b")
 
 
-def _overlap_bound(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
-    """The last shingle both prefixes hold ends a stretch of the global order that
-    is known on both sides: before it they share `both`, after it at most the
-    smaller rest."""
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0
-    return len(i) + min(nx - int(i.max()) - 1, ny - int(j.max()) - 1)
+def _need(percent: int) -> str:
+    """SQL: the least overlap of sets of na and nb entries that reaches the threshold."""
+    return f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
