@@ -8,8 +8,8 @@ and goes on to the next coordinates only for pairs whose bound still reaches the
 threshold. Survivors are compared exactly in double precision.
 
 Equal vectors are one class with a count. A tile gives the number of links of
-each class and a spanning forest of its links: at most the rows of its blocks,
-however dense a cluster is. Forest edges go through connected components.
+each class and of each cluster one edge a member to its smallest: at most the rows
+of its blocks, however dense a cluster is. The edges go through connected components.
 
 Defined cases: a null or zero vector, one with null or non-finite components, a
 length without fellows or an id that is null links with nothing (component_id is
@@ -95,9 +95,9 @@ def rest_at(r: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.sqrt((tail * tail).sum(1)).astype(np.float32) + np.float32(SLACK)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links among n nodes."""
-    root = list(range(n))
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id) of every linked row that is not the smallest of its cluster."""
+    root = list(range(len(ids)))
 
     def find(x):
         while root[x] != x:
@@ -105,13 +105,15 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
     for x, y in zip(i.tolist(), j.tolist()):
         u, v = find(x), find(y)
         if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((x, y))
-    return out
+            low, high = (u, v) if ids[u] < ids[v] else (v, u)
+            root[high] = low
+    touched = np.unique(np.concatenate([i, j]))
+    top = np.array([ids[find(x)] for x in touched.tolist()], np.int64)
+    own = ids[touched]
+    return own[own != top], top[own != top]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048) -> DataFrame:
@@ -140,12 +142,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                     xi, xj = tile_links(unit(lists(pa_.field("v"))), unit(lists(pb.field("v"))), axes, threshold, same)
                     da = np.bincount(xi, mb[xj], len(ia)).astype(np.int64)
                     db = np.bincount(xj, ma[xi], len(ib)).astype(np.int64)
-                    edges = forest(len(ia) + len(ib), xi, xj + (0 if same else len(ia)))
-                    both = np.concatenate([ia, ib])
-                    x, y = [np.array([e[s] for e in edges], np.int64) for s in (0, 1)]
-                    kind = np.concatenate([np.zeros((da > 0).sum() + (db > 0).sum(), np.int32), np.ones(len(edges), np.int32)])
-                    xs = np.concatenate([ia[da > 0], ib[db > 0], (ia if same else both)[x]])
-                    ys = np.concatenate([da[da > 0], db[db > 0], (ia if same else both)[y]])
+                    ids = ia if same else np.concatenate([ia, ib])
+                    x, y = stars(ids, xi, xj + (0 if same else len(ia)))
+                    kind = np.concatenate([np.zeros((da > 0).sum() + (db > 0).sum(), np.int32), np.ones(len(x), np.int32)])
+                    xs = np.concatenate([ia[da > 0], ib[db > 0], x])
+                    ys = np.concatenate([da[da > 0], db[db > 0], y])
                     yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["kind", "x", "y"])
 
         found = stage(pairs.select("a", "b", "ra", "rb").mapInArrow(run, schema), "links")
