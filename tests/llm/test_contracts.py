@@ -276,7 +276,7 @@ def test_line_dedup(spark, docs):
 def test_line_dedup_rules(spark):
     long = " ".join(f"w{i}" for i in range(55))
     data = [(1, f"a\nb\nc\nd\n\n{long}"), (2, "x\na\nb\nc\ny"), (3, f"q\n{long}\nr"), (4, "a\nb"), (5, None), (5, ""), (6, "b\nc\nd"), (6, "b\nc\nd"), (None, "k\nl\nm")]
-    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame([(*x, 0, 1) for x in data], "doc_id long, text string, s int, e int")).collect()}
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame([(*x, 0, 1) for x in data], "doc_id long, text string, n_lines int, e int")).collect()}
     assert (2, "x\ny", 3) in got and (3, "q\nr", 1) in got and (4, "a\nb", 0) in got and (5, None, 0) in got
     assert (6, "", 3) in got and (None, "k\nl\nm", 0) in got
     assert rows(lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string"))) == []
@@ -302,9 +302,9 @@ def test_mixing(request, which):
     names = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
     goal = mixing.word_targets([sum(size[s]) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
     assert sorted(set(got["target"].round(6))) == sorted({round(g, 6) for g in goal})
-    for target, g in got.groupby("target"):
-        if which == "docs":
-            assert abs(g["taken"].sum() - target * (g["source_size"].nunique())) <= 1.5 * g["size"].max()
+    for (target, _), g in got.groupby(["target", "source_size"]):
+        if which == "docs" and 0 < target < 3 * g["source_size"].iloc[0]:
+            assert abs(g["taken"].sum() - target) <= 0.03 * target + g["size"].min()
     again = mixing.mix(df).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(str, again[key].values.tolist())) == sorted(map(str, got[key].values.tolist()))

@@ -16,7 +16,8 @@ is what the SQL states.
 
 Defined cases: a null text has no lines and stays null; a null doc_id sorts
 first; equal rows are one place, so none of them loses lines to its own copy;
-blank lines stay; an empty table gives no rows; other columns are carried along.
+blank lines stay; an empty table gives no rows; other columns are carried along, but
+for input columns named n_lines or n_removed, which the result's replace.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def split_lines(text: str | None) -> tuple[list[str], list[int]]:
 def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     """The columns of docs, text without its repeated runs, and n_lines, n_removed."""
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("__th", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
     def windows(batches):

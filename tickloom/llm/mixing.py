@@ -31,6 +31,7 @@ from tickloom.llm.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET = 20_000  # documents a bucket holds, about
+LANDING = 12  # documents of a source, about, that wait for the landing
 
 
 def word_targets(sizes: list[int], weights: list[float], ceiling: float) -> list[float]:
@@ -54,7 +55,7 @@ def word_targets(sizes: list[int], weights: list[float], ceiling: float) -> list
 def flight(p: list[float], size: list[int], coin: list[float], two: bool = False) -> list[float]:
     """Move p to 0 or 1 while sum(size * p) and sum(p) stay; at most two entries
     end between. Three undecided at a time span the null space of the two sums;
-    two of equal size move alone."""
+    three of equal size move as two."""
     eps = 1e-12
     p = list(p)
     live: list[int] = []
@@ -85,28 +86,35 @@ def flight(p: list[float], size: list[int], coin: list[float], two: bool = False
 
 
 def land(p: list[float], size: list[int]) -> list[int]:
-    """Decide the at most two open entries: the outcome whose words are nearest
-    to their expectation, then whose count is."""
+    """Decide the few open entries (LANDING + 2 at most): of all outcomes the one
+    whose words are nearest to their expectation, then whose count is."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
     out = [int(x) if x in (0, 1) else 0 for x in p]
-    want, many = sum(p[i] * size[i] for i in open_), sum(p[i] for i in open_)
-    choices = []
-    for bits in range(1 << len(open_)):
-        on = [i for k, i in enumerate(open_) if bits >> k & 1]
-        choices.append((abs(sum(size[i] for i in on) - want), abs(len(on) - many), bits))
-    bits = min(choices)[2]
+    if not open_:
+        return out
+    s, q = np.array([size[i] for i in open_], float), np.array([p[i] for i in open_])
+    on = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    words, count = np.abs(on @ s - q @ s), np.abs(on.sum(1) - q.sum())
+    best = np.lexsort((count, words.round(6)))[0]
     for k, i in enumerate(open_):
-        out[i] = bits >> k & 1
+        out[i] = int(on[best, k])
     return out
 
 
-FLOWN = "key string, doc_id long, size long, source_size long, target double, whole long, p double, coin double"
+FLOWN = "key string, doc_id long, size long, source_size long, target double, whole long, p double, coin double, held boolean"
 
 
 def _fly(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """One group's flight in order of its coins. Documents held back for landing
+    stay open; the last flight holds LANDING of them and lands."""
     pdf = pdf.sort_values(["coin", "doc_id", "size"], kind="stable")
-    p = flight(pdf["p"].tolist(), pdf["size"].tolist(), pdf["coin"].tolist())
-    pdf["p"] = [float(x) for x in land(p, pdf["size"].tolist())] if last else p
+    p, size, coin = pdf["p"].tolist(), pdf["size"].tolist(), pdf["coin"].tolist()
+    held = [i for i, h in enumerate(pdf["held"]) if h and 0 < p[i] < 1]
+    held = held[:LANDING] if last else held
+    flown = flight([1.0 if i in set(held) else x for i, x in enumerate(p)], size, coin)
+    for i in held:
+        flown[i] = p[i]
+    pdf["p"] = [float(x) for x in land(flown, size)] if last else flown
     return pdf
 
 
@@ -125,12 +133,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     for (k, n, count), goal in zip(totals, goals):
         r = min(goal / n, ceiling) if n else 0.0
         whole = math.floor(r + 1e-12)
-        rows.append((k, n, goal, whole, max(r - whole, 0.0), max(1, round(count / BUCKET))))
-    per = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, p double, buckets int")
+        rows.append((k, n, goal, whole, max(r - whole, 0.0), max(1, round(count / BUCKET)), LANDING / count))
+    per = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, p double, buckets int, share double")
     coin = (F.xxhash64("doc_id", "size", F.lit(seed)) / F.lit(float(1 << 64))) + 0.5
-    all_ = sized.join(per, "key").withColumn("coin", coin)
+    # One row a source, made on the driver: bounded by the mixture's own length.
+    all_ = sized.join(F.broadcast(per), "key").withColumn("coin", coin).withColumn("held", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 2)), F.lit(1 << 32)) < F.col("share") * F.lit(float(1 << 32)))
     all_ = all_.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.col("buckets").cast("long")))
-    cols = ["key", "doc_id", "size", "source_size", "target", "whole", "p", "coin"]
+    cols = ["key", "doc_id", "size", "source_size", "target", "whole", "p", "coin", "held"]
     flown = stage(all_.groupBy("key", "bucket").applyInPandas(lambda pdf: _fly(pdf, False)[cols], FLOWN), "flown")
     is_open = (F.col("p") > 0) & (F.col("p") < 1)
     landed = flown.where(is_open).groupBy("key").applyInPandas(lambda pdf: _fly(pdf, True)[cols], FLOWN)
