@@ -68,10 +68,10 @@ def news_restricted(rows: DataFrame, events: DataFrame, at: str, before: timedel
     hour = lambda c: F.date_trunc("HOUR", c).cast("timestamp_ntz")
     e = events.select(F.explode("affected_instruments").alias("symbol"), "available_at", lo.alias("_lo"), hi.alias("_hi"))
     e = e.withColumn("_h", F.explode(F.sequence(hour(F.col("_lo")), hour(F.col("_hi")), F.expr("interval 1 hour"))))
-    r = rows.withColumn("_h", hour(F.col(at))).withColumn("_row", F.struct(*rows.columns))
-    hits = r.join(e.withColumnRenamed("available_at", "_known"), ["symbol", "_h"], "left")
-    inside = (F.col("_known") <= F.col(at)) & (F.col("_lo") <= F.col(at)) & (F.col(at) <= F.col("_hi"))
-    return hits.groupBy("_row").agg(F.coalesce(F.max(inside), F.lit(False)).alias("restricted")).select("_row.*", "restricted")
+    e = e.withColumnRenamed("available_at", "_known").withColumnRenamed("symbol", "_s").withColumnRenamed("_h", "_eh")
+    inside = (F.col("symbol") == F.col("_s")) & (hour(F.col(at)) == F.col("_eh")) & (F.col("_known") <= F.col(at)) & (F.col("_lo") <= F.col(at)) & (F.col(at) <= F.col("_hi"))
+    met = rows.join(e, inside, "left_semi").withColumn("restricted", F.lit(True))
+    return met.unionByName(rows.join(e, inside, "left_anti").withColumn("restricted", F.lit(False)))
 
 
 def guard_available(rows: DataFrame, versions: DataFrame, at: str, by: list[str], columns: list[str]) -> DataFrame:
