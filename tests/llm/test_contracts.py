@@ -353,10 +353,10 @@ def test_quality_of_odd_rows(spark, odd):
     some = spark.createDataFrame([(1, 1, 0), (1, None, 0), (4, 1, 0), (77, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(odd, some)["keep"] is not None and quality.score(odd, some).count() == len(ODD)
     assert quality.score(odd.where("1 = 0"), some).count() == 0
-    many = spark.createDataFrame([(i, f"good text number {i}." if i % 2 else "| | $ $ | $ |", None, None, None) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
-    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = spark.createDataFrame([(i, f"good text number {i}." if i % 2 else "| | $ $ | $ |", None, None, None) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
     out = {r["doc_id"]: r["keep"] for r in quality.score(many, lab).collect()}
-    assert [out[i] for i in range(40, 60)] == [bool(i % 2) for i in range(40, 60)]
+    assert [out[i] for i in range(240, 300)] == [bool(i % 2) for i in range(240, 300)]
 
 
 # ---------------------------------------------------------------- personal data

@@ -363,7 +363,7 @@ def find(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
             lo, hi = max(0, s - 4), min(len(text), e + 4)
             for m in SHAPES[kind].finditer(text, lo, hi):
                 a, b = m.start(), m.end()
-                if 2 * (min(b, e) - max(a, s)) >= b - a and not any(x < b and a < y for x, _, y in spans) and not any(x < b and a < y for x, _, y in added):
+                if 2 * (min(b, e) - max(a, s)) >= b - a and sound(kind, m[0]) and not any(x < b and a < y for x, _, y in spans) and not any(x < b and a < y for x, _, y in added):
                     added.append((a, kind, b))
         out[i] = (spans, sorted(spans + added))
     return out
