@@ -3,6 +3,7 @@ or by brute force."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from test_oracle import plain
 from tickloom.plans import catalog, oracle
@@ -39,3 +40,19 @@ def test_books_hold_every_trade(spark, name):
 def test_streams_of_every_book(spark):
     sf = "/root/testdata/sf0.01"  # its suppliers go past 10
     same(catalog.QUERIES["book_streams"](spark, sf), whole("book_streams", sf, " WHERE l_suppkey < 10"))
+
+
+def test_chain_breaks_past_any_prefix(spark):
+    o = spark.range(10_000).select(F.col("id").alias("pos"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("body"))
+    # Rewritten records break the link after them, also across a range's end (4095
+    # and 4096); an edit that leaves the hash is found at the record itself.
+    got = {r["pos"] for r in catalog._broken(o, F.col("pos").isin(4095, 8000), F.col("pos") == 9000).collect()}
+    assert got == {4096, 8001, 9000}
+
+
+def test_chain_reads_every_order(spark, monkeypatch):
+    seen = []
+    check = catalog.ledger.broken_links
+    monkeypatch.setattr(catalog.ledger, "broken_links", lambda records, *a: seen.append(records.count()) or check(records, *a))
+    assert {r["pos"] for r in catalog.QUERIES["chain_verify"](spark, "/root/testdata/sf0.01").collect()} == {501, 1501}
+    assert seen == [15_000]

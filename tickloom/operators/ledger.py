@@ -7,7 +7,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import stats
@@ -65,13 +65,25 @@ def canonical(columns: tuple[str, ...] = FIELDS):
     return F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})
 
 
-def broken_links(records: DataFrame) -> DataFrame:
+def with_hash_before(records: DataFrame, name: str, span: int = 4096) -> DataFrame:
+    """records with the record_hash before each, GENESIS for the first. One ledger
+    is one chain: the lag is taken inside ranges of `span` positions, and only the
+    last hash of each range passes through a window without a partition."""
+    key = F.floor(F.col("pos") / span)
+    ends = records.groupBy(key.alias("_range")).agg(F.max_by("record_hash", "pos").alias("_end"))
+    ends = ends.select(F.col("_range").alias("_at"), F.lag("_end", 1, GENESIS).over(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_end"))
+    t = records.withColumn("_range", key)
+    w = Window.partitionBy("_range").orderBy("pos")
+    t = t.withColumn("_lag", F.lag("record_hash").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    t = t.join(ends, F.col("_range").eqNullSafe(F.col("_at")))
+    return t.withColumn(name, F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_lag"))).drop("_range", "_at", "_end", "_lag", "_first")
+
+
+def broken_links(records: DataFrame, text: Column | None = None) -> DataFrame:
     """Records whose prev_hash is not the hash before them, or whose own hash does
-    not follow from their fields. One ledger is one chain, so its window has no
-    partition; only positions and hashes pass through it."""
-    w = Window.partitionBy(F.lit(0)).orderBy("pos")
-    t = records.withColumn("_want", F.lag("record_hash", 1, GENESIS).over(w))
-    t = t.withColumn("link_ok", F.col("prev_hash") == F.col("_want")).withColumn("hash_ok", F.sha2(canonical(), 256) == F.col("record_hash"))
+    not follow from their fields: from the canonical text, or from `text`."""
+    t = with_hash_before(records, "_want")
+    t = t.withColumn("link_ok", F.col("prev_hash") == F.col("_want")).withColumn("hash_ok", F.sha2(canonical() if text is None else text, 256) == F.col("record_hash"))
     return t.where(~F.col("link_ok") | ~F.col("hash_ok")).drop("_want")
 
 

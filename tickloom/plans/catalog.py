@@ -641,15 +641,20 @@ def deflated_sharpe(spark, sf):
 
 @query
 def chain_verify(spark, sf):
-    """A chain over orders in which two records are tampered with: the links that
-    break. Every record's hash covers its fields and the hash before it."""
-    o = views.table(spark, sf, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("pos"), F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("body"))
-    w = Window.partitionBy(F.lit(0)).orderBy("pos")
-    t = o.withColumn("record_hash", F.sha2("body", 256))
-    t = t.withColumn("prev_hash", F.lag("record_hash", 1, ledger.GENESIS).over(w))
-    t = t.withColumn("record_hash", F.when(F.col("pos").isin(500, 1500), F.sha2(F.lit("x"), 256)).otherwise(F.col("record_hash")))
-    t = t.withColumn("want", F.lag("record_hash", 1, ledger.GENESIS).over(w))
-    return t.where("prev_hash <> want").select("pos", "prev_hash")
+    """A chain over all orders in which two records are rewritten, text and hash:
+    what the check of links and own hashes finds. Every record's hash covers its
+    fields."""
+    o = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("body"))
+    return _broken(o, F.col("pos").isin(500, 1500), F.lit(False))
+
+
+def _broken(o, rewritten, edited):
+    """The broken records of a chain over (pos, body) after some bodies were
+    rewritten with their hash, and others edited without."""
+    t = ledger.with_hash_before(o.withColumn("record_hash", F.sha2("body", 256)), "prev_hash")
+    t = t.withColumn("body", F.when(rewritten | edited, "x").otherwise(F.col("body")))
+    t = t.withColumn("record_hash", F.when(rewritten, F.sha2("body", 256)).otherwise(F.col("record_hash")))
+    return ledger.broken_links(t, F.col("body")).select("pos", "prev_hash")
 
 
 # ------------------------------------------------------------ streams
