@@ -56,3 +56,11 @@ def test_chain_reads_every_order(spark, monkeypatch):
     monkeypatch.setattr(catalog.ledger, "broken_links", lambda records, *a: seen.append(records.count()) or check(records, *a))
     assert {r["pos"] for r in catalog.QUERIES["chain_verify"](spark, "/root/testdata/sf0.01").collect()} == {501, 1501}
     assert seen == [15_000]
+
+
+@pytest.mark.parametrize("name", ["asof_backward_tol", "asof_forward_first_quote", "market_fills", "first_touch_exit"])
+def test_joins_ask_for_every_quote(spark, name):
+    sf = "/root/testdata/sf0.001"
+    df = catalog.QUERIES[name](spark, sf)
+    assert df.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    same(df, whole(name, sf, " WHERE seq % 5 = 0", " WHERE seq % 3 = 0", " WHERE seq % 4 = 0"))

@@ -23,11 +23,11 @@ def _carry(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: l
     # The side that must be seen first at one instant sorts first.
     first = F.col("_side").asc() if right_first else F.col("_side").desc()
     order = [F.col("_t"), first]
-    w = Window.partitionBy(*by).orderBy(*order)
     if forward:
-        seen = F.first("_right", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    else:
-        seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        # Backward in time: frames that end at the partition's end cost its square.
+        order = [F.col("_t").desc(), F.col("_side").desc() if right_first else F.col("_side").asc()]
+    w = Window.partitionBy(*by).orderBy(*order)
+    seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return l.unionByName(r).withColumn("_seen", seen).where("_side = 1").select("_left.*", "_seen")
 
 

@@ -220,14 +220,14 @@ def book_streams(spark, sf):
 
 
 def _orders(spark, sf):
-    """Decision instants: every 5th quote's time, a minute on."""
-    q = views.quotes(spark, sf).where("seq % 5 = 0")
+    """Decision instants: every quote's time, a minute on."""
+    q = views.quotes(spark, sf)
     return q.select(F.col("seq").alias("id"), "symbol", (F.col("ts") + F.expr("interval 1 minute")).alias("ts"), F.when(F.col("seq") % 2 == 0, "buy").otherwise("sell").alias("side"))
 
 
 @query
 def asof_backward_tol(spark, sf):
-    right = views.quotes(spark, sf).where("seq % 3 = 0").select("symbol", F.col("ts").alias("qts"), "bid")
+    right = views.quotes(spark, sf).select("symbol", F.col("ts").alias("qts"), "bid")
     return r6(asof.asof_backward(_orders(spark, sf), right, "ts", "qts", timedelta(hours=2), columns=["bid"]).select("id", "bid"), "bid")
 
 
@@ -479,7 +479,7 @@ def market_fills(spark, sf):
 @query
 def first_touch_exit(spark, sf):
     q = views.quotes(spark, sf)
-    p = q.where("seq % 4 = 0").select(F.col("seq").alias("id"), "symbol", "ts", F.when(F.col("seq") % 8 == 0, "buy").otherwise("sell").alias("side"), F.when(F.col("seq") % 8 == 0, F.col("ask") - 8).otherwise(F.col("bid") + 8).alias("stop"), F.when(F.col("seq") % 8 == 0, F.col("ask") + 15).otherwise(F.col("bid") - 15).alias("target"))
+    p = q.select(F.col("seq").alias("id"), "symbol", "ts", F.when(F.col("seq") % 8 == 0, "buy").otherwise("sell").alias("side"), F.when(F.col("seq") % 8 == 0, F.col("ask") - 8).otherwise(F.col("bid") + 8).alias("stop"), F.when(F.col("seq") % 8 == 0, F.col("ask") + 15).otherwise(F.col("bid") - 15).alias("target"))
     return r6(ticks.first_touch(p, q, timedelta(days=1)).select("id", "exit_ts", "exit_price", "exit_reason", "ambiguous"), "exit_price")
 
 
