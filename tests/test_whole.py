@@ -1,12 +1,17 @@
 """Registered queries read every row: each against its text without the text's cut,
 or by brute force."""
 
+from dataclasses import replace
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from test_oracle import plain
+from tickloom.operators import features, replay, research, signals
 from tickloom.plans import catalog, oracle
+from tickloom.sources import synthetic
 
 TABLES = "lineitem orders events".split()
 
@@ -64,3 +69,36 @@ def test_joins_ask_for_every_quote(spark, name):
     df = catalog.QUERIES[name](spark, sf)
     assert df.count() == spark.read.parquet(f"{sf}/events.parquet").count()
     same(df, whole(name, sf, " WHERE seq % 5 = 0", " WHERE seq % 3 = 0", " WHERE seq % 4 = 0"))
+
+
+def test_grids_are_whole(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.001", []
+    run = replay.grid_replay
+
+    def count(bundle, name, params, *a, **b):
+        seen.append((name, len(params) * len(b.get("trails") or [0]), b.get("part", "all")))
+        return run(bundle, name, params, *a, **b)
+
+    monkeypatch.setattr(catalog.replay, "grid_replay", count)
+    for name in ("lab_replay_momentum", "lab_replay_opening_range", "lab_replay_trailing", "trailing_sweep", "grid_optimiser"):
+        catalog.QUERIES[name](spark, sf)
+    sizes = {n: len(signals.grid(n)) for n in signals.GRIDS}
+    assert seen[:5] == [("london_momentum", 36, "all"), ("opening_range_break", 18, "all"), ("trailing_momentum", 18, "all"), ("trailing_momentum", 486, "train"), ("trailing_momentum", 486, "valid")]
+    assert seen[5:] == [(n, k, part) for part in ("train", "valid") for n, k in sizes.items()]
+
+
+def test_sweep_gives_six_a_symbol(spark):
+    got = catalog.trailing_sweep(spark, "/root/testdata/sf0.001").toPandas()
+    assert set(got.groupby("symbol").size()) == {6} and got["symbol"].nunique() == 5 and "accepted" in got
+
+
+def test_trails_equal_runs_of_their_own(spark):
+    b = synthetic.bars(spark, 900)
+    bundle = features.lab_bundle(b.select("symbol", F.col("ts_open").alias("ts"), *[F.col(f"bid_{n}").alias(n) for n in ("open", "high", "low", "close")])).cache()
+    acc = replay.Account(spreads=catalog.SPREADS)
+    key = ["params", "n"]
+    for name in ("london_momentum", "donchian_breakout"):
+        params, trails = signals.grid(name)[:3], research.trails()[:2]
+        got = replay.grid_replay(bundle, name, params, acc, trails=trails).toPandas().sort_values(key).reset_index(drop=True)
+        parts = [replay.grid_replay(bundle, name, params, replace(acc, trail=t)).toPandas().assign(params=lambda x, t=t: x["params"] + f"|{t}") for t in trails]
+        assert got.equals(pd.concat(parts).sort_values(key).reset_index(drop=True))

@@ -8,7 +8,8 @@ key, never one copy a parameter set in one group.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from copy import deepcopy
+from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
 import numpy as np
@@ -172,20 +173,23 @@ TRADES = "symbol string, strategy string, params string, side string, entry_ts t
 COLUMNS = [x.split()[0] for x in TRADES.split(", ")]
 
 
-def grid_replay(bundle: DataFrame, strategy: str, params: list[dict], acc: Account, chunk: int = 4, split=None, part: str = "all") -> DataFrame:
+def grid_replay(bundle: DataFrame, strategy: str, params: list[dict], acc: Account, chunk: int = 4, split=None, part: str = "all", trails: list[dict] | None = None) -> DataFrame:
     """Trades of every parameter set over the feature bundle of each symbol.
 
     part "train" replays bars before split, "valid" those from it on, with the
     features of the whole history either way. Signals of the families without
-    memory are columns made by Spark beforehand.
+    memory are columns made by Spark beforehand. With trails, every set runs once
+    with each, and `params` is the set and the trail.
     """
     sets = [json.dumps(p, sort_keys=True) for p in params]
+    runs = [("", acc)] if trails is None else [(f"|{t}", replace(acc, trail=t)) for t in trails]
     stateless = strategy in signals.STATELESS
     if stateless:
-        rows = None
+        # One pass over the bundle for all sets: a struct a set, then a row each.
+        rows, base = bundle, bundle.columns
         for i, p in enumerate(params):
-            one = signals.STATELESS[strategy](bundle, p, acc.pip).select("symbol", "ts", "open", "high", "low", "close", "side", "stop", "target", F.lit(sets[i]).alias("params"))
-            rows = one if rows is None else rows.unionByName(one)
+            rows = signals.STATELESS[strategy](rows, p, acc.pip).withColumn(f"_s{i}", F.struct(F.lit(sets[i]).alias("params"), "side", "stop", "target")).select(*base, *[f"_s{k}" for k in range(i + 1)])
+        rows = rows.select("symbol", "ts", "open", "high", "low", "close", F.explode(F.array(*[f"_s{i}" for i in range(len(sets))])).alias("_s")).select("symbol", "ts", "open", "high", "low", "close", "_s.*")
         keys = ["symbol", "params"]
     else:
         chunks = F.array(*[F.lit(k) for k in sorted({i // chunk for i in range(len(sets))})])
@@ -207,8 +211,9 @@ def grid_replay(bundle: DataFrame, strategy: str, params: list[dict], acc: Accou
         else:
             todo = [(s, signals.MACHINES[strategy](json.loads(s), acc.pip)) for i, s in enumerate(sets) if i // chunk == key[1]]
         for name, machine in todo:
-            book = run(bars, machine, acc, first, last)
-            out += [{"symbol": key[0], "strategy": strategy, "params": name, **t, "n": k} for k, t in enumerate(book.trades)]
+            for mark, a in runs:
+                book = run(bars, deepcopy(machine), a, first, last)
+                out += [{"symbol": key[0], "strategy": strategy, "params": name + mark, **t, "n": k} for k, t in enumerate(book.trades)]
         return pd.DataFrame(out, columns=COLUMNS)
 
     return rows.groupBy(*keys).applyInPandas(replay_group, TRADES)

@@ -5,6 +5,7 @@ Floating results are rounded to six decimals where a query returns them.
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -721,13 +722,13 @@ def lab_replay_donchian(spark, sf):
 
 @query
 def lab_replay_momentum(spark, sf):
-    got = replay.grid_replay(_bundle(spark, sf), "london_momentum", signals.grid("london_momentum")[:8], _account())
+    got = replay.grid_replay(_bundle(spark, sf), "london_momentum", signals.grid("london_momentum"), _account())
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
 @query
 def lab_replay_opening_range(spark, sf):
-    got = replay.grid_replay(_bundle(spark, sf), "opening_range_break", signals.grid("opening_range_break")[:4], _account())
+    got = replay.grid_replay(_bundle(spark, sf), "opening_range_break", signals.grid("opening_range_break"), _account())
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
@@ -735,24 +736,41 @@ def lab_replay_opening_range(spark, sf):
 def lab_replay_trailing(spark, sf):
     acc = _account()
     acc.trail = {"act_r": 0.5, "sl_r": 0.5, "tp_r": 1.0}
-    got = replay.grid_replay(_bundle(spark, sf), "trailing_momentum", signals.grid("trailing_momentum")[:6], acc)
+    got = replay.grid_replay(_bundle(spark, sf), "trailing_momentum", signals.grid("trailing_momentum"), acc)
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
+SPLIT = datetime(2024, 1, 20)
+
+
+def _best_validated(bundle, sets, trades, valid, k, pf, dd):
+    """The k best of sets (strategy, params) of each symbol and family on the earlier
+    part, with what they make on the later part and whether that passes. A set
+    without trades counts as one that makes nothing."""
+    by = ["symbol", "strategy"]
+    every = bundle.select("symbol").distinct().crossJoin(bundle.sparkSession.createDataFrame(sets, "strategy string, params string"))
+    scored = trades.groupBy(*by, "params").agg(F.round(portfolio.profit_factor(F.col("pnl")), 6).alias("pf"), F.round(F.sum("pnl"), 6).alias("net"), F.count(F.lit(1)).alias("trades"))
+    scored = every.join(scored, [*by, "params"], "left").na.fill(0, ["trades"]).na.fill(0.0, ["pf", "net"])
+    top = portfolio.top_configs(scored, by, k).select(*by, "params", "rank", F.col("pf").alias("train_pf"), F.col("net").alias("train_net"), F.col("trades").alias("train_trades"))
+    test = portfolio.trade_metrics(valid.withColumnRenamed("n", "seq"), [*by, "params"])
+    out = top.join(test, [*by, "params"], "left").na.fill(0, ["trades"]).na.fill(0.0, ["win_rate", "profit_factor", "net", "return_pct", "max_dd_pct", "total_r"])
+    return out.withColumn("accepted", (F.col("profit_factor") >= pf) & (F.col("max_dd_pct") < dd) & (F.col("trades") >= 15))
+
+
 @query
 def grid_optimiser(spark, sf):
-    """Train on the first two thirds, keep the three best of each symbol, replay
-    those on the rest, and gate."""
+    """Every family's whole grid: train on the first two thirds, keep the three best
+    of each symbol and family, replay those on the rest, and gate."""
     bundle = _bundle(spark, sf).cache()
-    split = datetime(2024, 1, 20)
-    params = [{"channel": c, "atr_x": a, "rr": r} for c in (24, 48) for a in (1.5, 2.5) for r in (2.0, 3.0)]
-    fit = replay.grid_replay(bundle, "donchian_breakout", params, _account(), split=split, part="train")
-    scored = fit.withColumnRenamed("n", "seq").groupBy("symbol", "params").agg(portfolio.profit_factor(F.col("pnl")).alias("pf"), F.sum("pnl").alias("net"), stats.sharpe(F.col("r")).alias("sharpe"))
-    top = portfolio.top_configs(scored, ["symbol"], 3)
-    test = replay.grid_replay(bundle, "donchian_breakout", params, _account(), split=split, part="valid")
-    kept = test.withColumnRenamed("n", "seq").join(top.select("symbol", "params", "rank"), ["symbol", "params"])
-    out = portfolio.trade_metrics(kept, ["symbol", "params", "rank"])
-    return out.withColumn("accepted", (F.col("profit_factor") >= 2) & (F.col("max_dd_pct") < 5) & (F.col("trades") >= 15))
+    both = []
+    for part in ("train", "valid"):
+        out = None
+        for name in signals.GRIDS:
+            one = replay.grid_replay(bundle, name, signals.grid(name), _account(), split=SPLIT, part=part)
+            out = one if out is None else out.unionByName(one)
+        both.append(out)
+    sets = [(name, json.dumps(p, sort_keys=True)) for name in signals.GRIDS for p in signals.grid(name)]
+    return _best_validated(bundle, sets, *both, 3, 2, 5)
 
 
 @query
@@ -847,14 +865,9 @@ def null_false_positives(spark, sf):
 
 @query
 def trailing_sweep(spark, sf):
-    """Entries and trailing brackets together: the six best by symbol."""
+    """All entries with all trailing brackets: the six best by symbol on the first
+    two thirds, replayed on the rest, and gated."""
     bundle = _bundle(spark, sf).cache()
-    out = None
-    for trail in research.trails()[::9]:
-        acc = _account()
-        acc.trail = trail
-        one = replay.grid_replay(bundle, "trailing_momentum", signals.grid("trailing_momentum")[::6], acc, chunk=3)
-        one = one.withColumn("params", F.concat_ws("|", "params", F.lit(str(trail))))
-        out = one if out is None else out.unionByName(one)
-    scored = out.groupBy("symbol", "params").agg(F.round(portfolio.profit_factor(F.col("pnl")), 6).alias("pf"), F.round(F.sum("pnl"), 6).alias("net"), F.count(F.lit(1)).alias("trades"))
-    return portfolio.top_configs(scored, ["symbol"], 6)
+    both = [replay.grid_replay(bundle, "trailing_momentum", signals.grid("trailing_momentum"), _account(), chunk=1, split=SPLIT, part=part, trails=research.trails()) for part in ("train", "valid")]
+    sets = [("trailing_momentum", f"{json.dumps(p, sort_keys=True)}|{t}") for p in signals.grid("trailing_momentum") for t in research.trails()]
+    return _best_validated(bundle, sets, *both, 6, 1.6, 8)
