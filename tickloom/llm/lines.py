@@ -1,13 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of whole windows of lines.
 
 A document is its sequence of lines that are not blank. A window is the shortest
 run of lines that holds `lines` lines or `words` words, taken from every start
-and to every end. A window's fingerprint is its smallest line hash (the last of
-equal ones): whatever two documents share, of a window's size or more, holds a
-whole window and so shares its fingerprint, whatever stands around it.
-Fingerprints that occur once in the corpus drop out; positions of the others are
-joined, and a position matches an earlier one where the whole window agrees, the
-window being the match extended both ways from the fingerprint. Windows that
+and to every end. Every window is written out with a hash of its whole run and the
+smallest of its line hashes; windows that agree in both are the same. This is
+no winnowing: no minimum is selected, joined or extended. Windows that
 overlap or touch make up the repeated run. Each window's first place in the
 corpus, by (doc_id, text hash, line), stays; later runs are deleted.
 
