@@ -11,12 +11,13 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import binary_tokens, chat, embed_dedup, jaccard, lines, mixing, packing, pii, quality, topk
-from tickloom.llm.common import components, table_path
+from tickloom.llm import binary_tokens, chat, embed_dedup, jaccard, lines, mixing, packing, pii, quality, tokens, topk
+from tickloom.llm.common import components, table_path, text_buffers
 
 SF = "/root/testdata/sf0.001"
 VOC = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,9 +27,7 @@ EXTRA = ("x", 1, "k", 2)
 
 @functools.lru_cache
 def lib():
-    t = Tokenizer.from_file(VOC)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOC)
 
 
 LONG = "word another thing " * 3000
@@ -162,6 +161,19 @@ def test_token_files_round_trip(spark, request, which):
     assert sorted((-1 if r[0] is None else r[0], r[2], r[3]) for r in got) == want
 
 
+def test_literal_special_tokens_and_odd_text_equal_the_library():
+    r = np.random.default_rng(12)
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "  ", "\n", "\r\n", "\t", "end", "Of", ".", ",", "é", "　", "🙂", "'s", "12", "\u0085", "<|endoftext|><|endoftext|>"]
+    texts = ["".join(bits[i] for i in r.integers(0, len(bits), int(r.integers(0, 12)))) for _ in range(3000)]
+    texts[0:3] = ["end <|endoftext|> of", "<|endoftext", "|> a"]  # no token across two documents
+    buf, off = text_buffers(pa.array(texts))
+    with tokens.encoder(VOC) as enc:
+        ids, upto = enc.encode(buf, off)
+    assert ids[: upto[1]].tolist() == [437, 220, 50256, 286]
+    for t, a, b in zip(texts, upto[:-1].tolist(), upto[1:].tolist()):
+        assert ids[a:b].tolist() == lib().encode(t, add_special_tokens=False).ids, t
+
+
 def test_pack_bytes():
     v = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7, 9], np.uint32)
     control, data = binary_tokens.pack(v)
@@ -313,12 +325,43 @@ def test_mixing(request, which):
 
 def test_flight_keeps_both_totals():
     r = np.random.default_rng(5)
-    size = r.integers(1, 500, 300).tolist()
-    p = mixing.flight([0.3] * 300, size, r.random(300).tolist())
+    size = r.integers(1, 500, 300)
+    p = mixing.flight(np.full(300, 0.3), size, r)
     assert sum(0 < x < 1 for x in p) <= 2
-    assert sum(p) == pytest.approx(90) and np.dot(p, size) == pytest.approx(0.3 * sum(size))
-    out = mixing.land(p, size)
-    assert set(out) <= {0, 1} and abs(np.dot(out, size) - 0.3 * sum(size)) <= 500
+    assert sum(p) == pytest.approx(90) and p @ size == pytest.approx(0.3 * sum(size))
+    out = mixing.land(p, size, r)
+    assert set(out) <= {0, 1} and abs(out @ size - 0.3 * sum(size)) <= 20
+    assert mixing.flight(np.full(5, 0.4), np.full(5, 7), r).sum() == pytest.approx(2)
+    assert len(mixing.flight(np.zeros(0), np.zeros(0), r)) == 0
+
+
+@pytest.mark.parametrize("p, giant", [(0.3, 0), (0.7, 4000)])
+def test_every_document_keeps_its_probability(p, giant):
+    """Over 2000 seeds: each document, and each fifth by size, within 4.5 and 4
+    standard errors of p; one document is most of a tenth of all words."""
+    size = np.round(np.exp(np.random.default_rng(7).normal(4, 1.2, 120))).astype(int)
+    size[0] = giant or size[0]
+    runs = 2000
+    out = np.empty((runs, 120))
+    for seed in range(runs):
+        draw = np.random.default_rng(10_000 + seed)
+        out[seed] = mixing.land(mixing.flight(np.full(120, p), size, draw, mixing.LANDING), size, draw)
+    assert np.abs(out.mean(0) - p).max() <= 4.5 * math.sqrt(p * (1 - p) / runs)
+    for fifth in np.argsort(size).reshape(5, 24):
+        rate = out[:, fifth].mean(1)
+        assert abs(rate.mean() - p) <= 4 * rate.std() / math.sqrt(runs)
+
+
+def test_mixing_of_many_equal_rows_and_levels(spark, monkeypatch):
+    """A hot repeated row, rows without id, and several levels of buckets."""
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    data = [(5, "a b c", "x")] * 300 + [(None, "a b", "x")] * 100 + [(i, "w " * (1 + i % 40), "x" if i % 3 else "y") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == 900 and (got["taken"] <= 3 * got["size"]).all()
+    for _, g in got.groupby("target"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 40
+    equal = got[got["doc_id"] == 5]["taken"]
+    assert len(equal) >= 300 and equal.nunique() > 1
 
 
 # ---------------------------------------------------------------- chats

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import drop_table, free_shuffles, slices, stage, text_buffers
+from tickloom.llm.common import arrow_map, drop_table, free_shuffles, slices, stage, text_buffers
 from tickloom.llm.tokens import encoder
 
 END_ID = 0
@@ -59,21 +59,21 @@ def token_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     end id, of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                ids, upto = enc.encode(*text_buffers(part.column("text")))
-                n = part.num_rows
-                full = np.zeros(len(ids) + n, ids.dtype)
-                keep = np.ones(len(full), bool)
-                keep[upto[1:] + np.arange(n)] = False
-                full[keep] = ids
-                ends = (upto + np.arange(n + 1)) * ids.dtype.itemsize
-                blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full)])
-                width = pa.array(np.full(n, ids.dtype.itemsize, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), width, blob], ["doc_id", "width", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, width int, ids binary")
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                for part in slices(batch, "text", 2 << 20):
+                    ids, upto = enc.encode(*text_buffers(part.column("text")))
+                    n = part.num_rows
+                    full = np.zeros(len(ids) + n, ids.dtype)
+                    keep = np.ones(len(full), bool)
+                    keep[upto[1:] + np.arange(n)] = False
+                    full[keep] = ids
+                    ends = (upto + np.arange(n + 1)) * ids.dtype.itemsize
+                    blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full)])
+                    width = pa.array(np.full(n, ids.dtype.itemsize, np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), width, blob], ["doc_id", "width", "ids"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, width int, ids binary")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def id_ranks(tokens: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = tokens.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(tokens, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     rows.sort(key=lambda r: (-r["n"], r["id"]))
     return np.array([r["id"] for r in rows], np.uint32)
 
@@ -148,7 +148,7 @@ def write_binary(docs: DataFrame, vocabulary: str, path: str) -> tuple[DataFrame
             yield close()
 
     ordered = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "ids").drop("h")
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(path)
+    arrow_map(ordered, run, BLOCKS).write.option("compression", "uncompressed").parquet(path)
     drop_table(tokens)
     free_shuffles(spark)
     return spark.read.schema(BLOCKS).parquet(path), by_rank
@@ -159,7 +159,7 @@ def read_binary(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
 
     The shards' totals (one number a shard) give the ids before each shard.
     """
-    totals = blocks.select("shard", "counts").mapInArrow(_totals, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    totals = arrow_map(blocks.select("shard", "counts"), _totals, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
     base, seen = {}, 0
     for r in sorted(totals, key=lambda r: r["shard"]):
         base[r["shard"]] = seen
@@ -178,7 +178,7 @@ def read_binary(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(start + base[row["shard"]] + row["first"]), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(blocks, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _totals(batches):

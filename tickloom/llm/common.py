@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -57,6 +59,35 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system: workers
+    are reused, and what one keeps counts against its executor for good."""
+    if _POWERS and len(_POWERS[0]) > SLICE + 4096:
+        _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of some 8 MB (unless the session states its own
+    size) whose workers keep nothing once a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, None) is None:
+        conf.set(ARROW_BYTES, "8MB")
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(whole, schema)
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,7 +143,7 @@ _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +252,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndarra
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Consecutive row slices of a batch whose text holds about limit bytes; a
     longer document is a slice of its own."""
     n = batch.num_rows

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, stage
+from tickloom.llm.common import arrow_map, components, stage
 from tickloom.llm.vectors import blocks, lists, usable
 
 SLACK = 1e-5  # of the single-precision bounds
@@ -41,7 +41,7 @@ def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dim), dim)), pa.array(np.tile(np.arange(dim), dim)), pa.array(total.ravel())], ["i", "j", "s"])
 
     m = np.zeros((dim, dim))
-    for r in classes.where(F.col("dim") == dim).select("v").mapInArrow(moments, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+    for r in arrow_map(classes.where(F.col("dim") == dim).select("v"), moments, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
         m[r["i"], r["j"]] = r["s"]
     return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
 
@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                     ys = np.concatenate([da[da > 0], db[db > 0], y])
                     yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["kind", "x", "y"])
 
-        found = stage(pairs.select("a", "b", "ra", "rb").mapInArrow(run, schema), "links")
+        found = stage(arrow_map(pairs.select("a", "b", "ra", "rb"), run, schema), "links")
         deg, edge = found.where("kind = 0"), found.where("kind = 1")
         degrees = deg if degrees is None else degrees.unionByName(deg)
         forests = edge if forests is None else forests.unionByName(edge)

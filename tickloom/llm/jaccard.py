@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, drop_table, free_shuffles, mix64, shingle_sets, slices, stage, text_buffers
+from tickloom.llm.common import arrow_map, components, drop_table, free_shuffles, mix64, shingle_sets, slices, stage, text_buffers
 
 STRETCH = 1 << 21  # shingles looked at together for frequent ones
 OFTEN = 2  # occurrences within a stretch that make a shingle a candidate
@@ -78,7 +78,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield out()
 
-    counted = stage(docs.select("text").mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")), "frequent")
+    counted = stage(arrow_map(docs.select("text"), count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")), "frequent")
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     floor_, held = None, 0
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "g", "last_count", "last_hash", "prefix"])
 
     kinds = "doc_id long, n int, s1 long, s2 long, g long, last_count long, last_hash long, prefix array<long>"
-    full = stage(docs.mapInArrow(describe, kinds), "prefixes")
+    full = stage(arrow_map(docs, describe, kinds), "prefixes")
     all_ = stage(full.drop("prefix"), "sets")
     live = all_.where("n > 0 and doc_id is not null")
     # A class is named by its smallest doc_id, a group by its smallest class.
@@ -240,7 +240,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _blob(_sets(part, k))], ["doc_id", "set"])
 
-    whole = stage(texts.mapInArrow(sets, "doc_id long, set binary"), "whole_sets")
+    whole = stage(arrow_map(texts, sets, "doc_id long, set binary"), "whole_sets")
     rows = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
 
     def check(batches):
@@ -253,4 +253,4 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                     on[i] = 100 * both >= percent * (len(u) + len(v) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(on))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return arrow_map(rows.select("a", "b", "x", "y"), check, "a long, b long").distinct()

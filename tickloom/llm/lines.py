@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_shuffles, slices, stage
+from tickloom.llm.common import arrow_map, free_shuffles, slices, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = "doc long, th long, s int, e int, fp long, gram long"
@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "th", "s", "e", "fp", "gram"])
 
-    placed = stage(keyed.select("doc_id", "__th", "text").mapInArrow(windows, WINDOW), "windows")
+    placed = stage(arrow_map(keyed.select("doc_id", "__th", "text"), windows, WINDOW), "windows")
     place = F.struct("doc", "th", "s", "e")
     first = stage(placed.groupBy("fp", "gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first_places")
     later = placed.join(first, ["fp", "gram"]).where(F.struct("doc", "th", "s", "e") > F.col("first"))
@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long"
-    return joined.mapInArrow(cut, schema)
+    return arrow_map(joined, cut, schema)
 
 
 def _left(keyed: DataFrame, marks: DataFrame) -> DataFrame:

@@ -3,19 +3,27 @@
 Each source's target is its weighted share of all words, at most `ceiling` times
 its own size, the excess reshared until none is above. A document's expected
 copies r = target / size of its source split into whole copies and a probability
-p that is equal within the source. The flight phase moves p along vectors that
-leave the source's chosen words and chosen documents as they are (the null space
-of those two constraints, over three undecided documents at a time) until at
-most two are undecided; landing then tries their few outcomes and keeps the one
-nearest to the target.
-
-A source is cut into buckets by a hash of doc_id, so a hot source is many small
-groups; what each bucket leaves undecided (two documents at most) flies once more
-together. Moves depend on hashes alone, so reruns agree.
+p that is equal within the source. The flight phase moves all p of a group along
+vectors that leave its chosen words and chosen documents as they are (the null
+space of those two constraints): the largest undecided document against all the
+others, which share the counter-move, so large documents are settled while many
+small ones can still make up for them. Every move is a fair game: its two ends
+are drawn so that no p changes in the mean. The few smallest documents left land
+together: their p is written as a mixture of outcomes, each the one nearest to
+the words expected, and one outcome is drawn, so every p keeps its mean here too.
+Only where that outcome misses the source's target by more than NEAR of it (a
+source of few documents, or one made up of a huge one) the nearest of all outcomes
+is taken instead: there the words count for more than the probabilities.
+
+A source is cut into buckets of some BUCKET documents by a hash; what each bucket
+leaves undecided flies again in buckets of the next level until a source is one
+group. The draws come from a generator seeded by group, and so are independent of
+the order; reruns agree.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source, after the others; rows that share a doc_id are documents of their own;
-an empty table gives no rows; extra columns are kept out of the result.
+equal rows are counted before they are dealt, so a hot one is spread as well; an
+empty table gives no rows; extra columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -24,14 +32,16 @@ import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET = 20_000  # documents a bucket holds, about
-LANDING = 12  # documents of a source, about, that wait for the landing
+BUCKET = 1000  # documents a bucket holds, about
+LANDING = 12  # undecided documents of a source that land together
+NEAR = 0.02  # of a source's target: the miss beyond which words go first
 
 
 def word_targets(sizes: list[int], weights: list[float], ceiling: float) -> list[float]:
@@ -52,72 +62,98 @@ def word_targets(sizes: list[int], weights: list[float], ceiling: float) -> list
     return target
 
 
-def flight(p: list[float], size: list[int], coin: list[float], two: bool = False) -> list[float]:
-    """Move p to 0 or 1 while sum(size * p) and sum(p) stay; at most two entries
-    end between. Three undecided at a time span the null space of the two sums;
-    three of equal size move as two."""
-    eps = 1e-12
-    p = list(p)
-    live: list[int] = []
-
-    def move(at, u, c):
-        up = min(((1 - p[i]) / d if d > 0 else -p[i] / d) for i, d in zip(at, u) if d)
-        down = min((p[i] / d if d > 0 else (p[i] - 1) / d) for i, d in zip(at, u) if d)
-        step = up if c * (up + down) < down else -down
-        for i, d in zip(at, u):
-            p[i] += step * d
-            if p[i] < eps:
-                p[i] = 0.0
-            elif p[i] > 1 - eps:
-                p[i] = 1.0
-
-    for k in range(len(p)):
-        if 0 < p[k] < 1:
-            live.append(k)
-        if len(live) == 3:
-            a, b, c = live
-            u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-            if not any(u):
-                u = (1, -1, 0)
-            top = max(map(abs, u))
-            move(live, [x / top for x in u], coin[k])
-            live = [i for i in live if 0 < p[i] < 1]
+def flight(p: np.ndarray, size: np.ndarray, draw: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move p to 0 or 1 while sum(size * p) and sum(p) stay and every p keeps its
+    mean; at most `leave` entries (two or more) end between."""
+    p, size = np.array(p, float), np.asarray(size, float)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    aside = np.zeros(0, np.int64)  # a document that no vector can move any more
+    while len(open_) + len(aside) > leave or len(open_) > 1 and leave == 2:
+        q, s = p[open_], size[open_]
+        u = _direction(q, s)
+        if u is None:
+            if len(aside):
+                break
+            aside, open_ = open_[:1], open_[1:]
+            continue
+        with np.errstate(divide="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf))
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf))
+        a, b = up.min(), down.min()
+        # a with probability b / (a + b): the mean move is 0.
+        first = draw.random() * (a + b) < b
+        q = q + u * (a if first else -b)
+        hit = (up if first else down) <= (a if first else b) * (1 + 1e-12)
+        q = np.where(hit, np.round(q), np.clip(q, 0, 1))
+        q[q < 1e-11], q[q > 1 - 1e-11] = 0, 1
+        p[open_] = q
+        open_ = open_[(q > 0) & (q < 1)]
     return p
 
 
-def land(p: list[float], size: list[int]) -> list[int]:
-    """Decide the few open entries (LANDING + 2 at most): of all outcomes the one
-    whose words are nearest to their expectation, then whose count is."""
-    open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    out = [int(x) if x in (0, 1) else 0 for x in p]
-    if not open_:
-        return out
-    s, q = np.array([size[i] for i in open_], float), np.array([p[i] for i in open_])
-    on = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
-    words, count = np.abs(on @ s - q @ s), np.abs(on.sum(1) - q.sum())
-    best = np.lexsort((count, words.round(6)))[0]
-    for k, i in enumerate(open_):
-        out[i] = int(on[best, k])
-    return out
-
-
-FLOWN = "key string, doc_id long, size long, source_size long, target double, whole long, p double, coin double, held boolean"
-
-
-def _fly(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """One group's flight in order of its coins. Documents held back for landing
-    stay open; the last flight holds LANDING of them and lands."""
-    pdf = pdf.sort_values(["coin", "doc_id", "size"], kind="stable")
-    p, size, coin = pdf["p"].tolist(), pdf["size"].tolist(), pdf["coin"].tolist()
-    held = [i for i, h in enumerate(pdf["held"]) if h and 0 < p[i] < 1]
-    held = held[:LANDING] if last else held
-    flown = flight([1.0 if i in set(held) else x for i, x in enumerate(p)], size, coin)
-    for i in held:
-        flown[i] = p[i]
-    pdf["p"] = [float(x) for x in land(flown, size)] if last else flown
+def _direction(q: np.ndarray, s: np.ndarray) -> np.ndarray | None:
+    """A move of the first entry by 1 that the others make up for in count and
+    words, each by its room q (1 - q); None where there is none."""
+    room = q[1:] * (1 - q[1:])
+    total = room.sum()
+    mean = (room * s[1:]).sum() / total
+    off = s[1:] - mean
+    spread = (room * off * off).sum()
+    u = np.empty(len(q))
+    u[0] = 1
+    if s[1:].max() == s[1:].min():
+        if s[0] != s[1]:
+            return None
+        u[1:] = -room / total
+    else:
+        u[1:] = -room * (1 / total + (s[0] - mean) * off / spread)
+    return u
+
+
+def land(p: np.ndarray, size: np.ndarray, draw: np.random.Generator, near: float = np.inf) -> np.ndarray:
+    """Decide the open entries (LANDING at most), each with its p as mean: take the
+    outcome v nearest in words, then in count, with the largest chance c that
+    leaves p = c v + (1 - c) p' a p' within bounds; else go on from p', which has
+    an entry less open and the same expected words as far as v met them. An outcome
+    more than `near` words off gives way to the nearest one."""
+    out, size = np.array(p, float), np.asarray(size, float)
+    want, best = out @ size, None
+    while len(open_ := np.flatnonzero((out > 0) & (out < 1))):
+        q, s = out[open_], size[open_]
+        v = (np.arange(1 << len(q))[:, None] >> np.arange(len(q)) & 1).astype(float)
+        v = v[np.lexsort((np.abs(v.sum(1) - q.sum()).round(6), np.abs(v @ s - q @ s).round(6)))[0]]
+        c = np.where(v > 0, q, 1 - q).min()
+        if best is None:
+            best = out.copy()
+            best[open_] = v
+        if draw.random() < c:
+            out[open_] = v
+        else:
+            rest = np.clip((q - c * v) / (1 - c), 0, 1)
+            rest[rest < 1e-11], rest[rest > 1 - 1e-11] = 0, 1
+            out[open_] = rest
+    return out if best is None or abs(out @ size - want) <= near else best
+
+
+def _fly(pdf: pd.DataFrame, level: int, seed: int, last: bool) -> pd.DataFrame:
+    """One group's flight, and its landing where it is the source's last."""
+    pdf = pdf.sort_values(["size", "doc_id", "p"], kind="stable", na_position="first")
+    name = f"{seed}|{level}|{pdf['bucket'].iloc[0]}|{pdf['key'].iloc[0]}"
+    draw = np.random.default_rng(xxhash.xxh3_64_intdigest(name.encode()))
+    size = pdf["size"].to_numpy()
+    p = flight(pdf["p"].to_numpy(), size, draw, LANDING if last else 2)
+    pdf["p"] = land(p, size, draw, NEAR * float(pdf["target"].iloc[0])) if last else p
     return pdf
 
 
+def _pilot(level: int, seed: int, last: bool, cols: list[str]):
+    return lambda pdf: _fly(pdf, level, seed, last)[cols]
+
+
+FLOWN = "key string, doc_id long, size long, source_size long, target double, whole long, buckets long, p double"
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, seed: int = 8) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document.
 
@@ -126,23 +162,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    sized = stage(docs.select("doc_id", key.alias("key"), size.alias("size")), "sizes")
-    totals = sorted(((r["key"], r["n"], r["rows"]) for r in sized.groupBy("key").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()), key=lambda r: r[0].encode("utf-32-be"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"))
+    sized = stage(sized.groupBy("key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    totals = sorted(((r["key"], r["words"], r["rows"]) for r in sized.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("rows")).collect()), key=lambda r: r[0].encode("utf-32-be"))
     goals = word_targets([n for _, n, _ in totals], [weights[i % len(weights)] for i in range(len(totals))], ceiling)
-    rows = []
+    rows, most = [], 1
     for (k, n, count), goal in zip(totals, goals):
         r = min(goal / n, ceiling) if n else 0.0
         whole = math.floor(r + 1e-12)
-        rows.append((k, n, goal, whole, max(r - whole, 0.0), max(1, round(count / BUCKET)), LANDING / count))
-    per = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, p double, buckets int, share double")
-    coin = (F.xxhash64("doc_id", "size", F.lit(seed)) / F.lit(float(1 << 64))) + 0.5
+        buckets = -(-count // BUCKET)
+        most = max(most, buckets)
+        rows.append((k, n, goal, whole, max(r - whole, 0.0), buckets))
+    per = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, p double, buckets long")
     # One row a source, made on the driver: bounded by the mixture's own length.
-    all_ = sized.join(F.broadcast(per), "key").withColumn("coin", coin).withColumn("held", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 2)), F.lit(1 << 32)) < F.col("share") * F.lit(float(1 << 32)))
-    all_ = all_.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.col("buckets").cast("long")))
-    cols = ["key", "doc_id", "size", "source_size", "target", "whole", "p", "coin", "held"]
-    flown = stage(all_.groupBy("key", "bucket").applyInPandas(lambda pdf: _fly(pdf, False)[cols], FLOWN), "flown")
-    is_open = (F.col("p") > 0) & (F.col("p") < 1)
-    landed = flown.where(is_open).groupBy("key").applyInPandas(lambda pdf: _fly(pdf, True)[cols], FLOWN)
-    done = flown.where(~is_open).unionByName(landed)
+    every = sized.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).join(F.broadcast(per), "key")
+    cols = [c.split()[0] for c in FLOWN.split(", ")]
+    waiting, done, level = every.withColumn("h", F.xxhash64("doc_id", "size", "nth", F.lit(seed))), None, 0
+    while True:
+        last = most == 1
+        dealt = waiting.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
+        groups = dealt.select(*cols, "bucket").groupBy("key", "bucket")
+        flown = groups.applyInPandas(_pilot(level, seed, last, cols), FLOWN)
+        if not last:
+            flown = stage(flown, "flown")
+        is_open = (F.col("p") > 0) & (F.col("p") < 1)
+        got = flown if last else flown.where(~is_open)
+        done = got if done is None else done.unionByName(got)
+        if last:
+            break
+        # Every bucket leaves two at most: the next level has 2 / BUCKET times as many.
+        level, most = level + 1, -(-2 * most // BUCKET)
+        nxt = F.ceil(F.col("buckets") * 2 / BUCKET).cast("long")
+        waiting = flown.where(is_open).withColumn("buckets", nxt).withColumn("h", F.xxhash64("doc_id", "size", "p", F.lit(seed + level)))
     copies = (F.col("whole") + F.col("p")).cast("long")
     return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, stage, text_buffers
+from tickloom.llm.common import arrow_map, slices, stage, text_buffers
 from tickloom.llm.tokens import encoder
 
 END_ID = 0
@@ -33,37 +33,38 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     pieces of that length."""
 
     def run(batches):
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for rows in slices(batch, "text", 2 << 20):
-                ids, upto = enc.encode(*text_buffers(rows.column("text")))
-                ids = ids.astype("<u4")
-                total = np.diff(upto) + 1
-                count = -(-total // capacity)
-                head = total - (count - 1) * capacity
-                doc = np.repeat(np.arange(len(total)), count)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
-                length = np.where(piece == 0, head[doc], capacity)
-                last = piece == count[doc] - 1
-                raw = memoryview(ids).cast("B")
-                tail = END_ID.to_bytes(4, "little")
-                crc = []
-                for a, n, end in zip((upto[doc] + start).tolist(), length.tolist(), last.tolist()):
-                    x = zlib.crc32(raw[4 * a : 4 * (a + n - end)])
-                    crc.append(zlib.crc32(tail, x) if end else x)
-                order = np.argsort(length, kind="stable")
-                by_len = length[order]
-                new = np.concatenate(([True], by_len[1:] != by_len[:-1])) if len(by_len) else np.zeros(0, bool)
-                nth = np.empty(len(length), np.int64)
-                nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                nth += seen[length]
-                seen += np.bincount(length, minlength=capacity + 1)
-                cols = [rows.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+        with encoder(vocabulary) as enc:
+            for batch in batches:
+                for rows in slices(batch, "text", 2 << 20):
+                    ids, upto = enc.encode(*text_buffers(rows.column("text")))
+                    ids = ids.astype("<u4")
+                    total = np.diff(upto) + 1
+                    count = -(-total // capacity)
+                    head = total - (count - 1) * capacity
+                    doc = np.repeat(np.arange(len(total)), count)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                    start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                    length = np.where(piece == 0, head[doc], capacity)
+                    last = piece == count[doc] - 1
+                    raw = memoryview(ids).cast("B")
+                    tail = END_ID.to_bytes(4, "little")
+                    crc = []
+                    for a, n, end in zip((upto[doc] + start).tolist(), length.tolist(), last.tolist()):
+                        x = zlib.crc32(raw[4 * a : 4 * (a + n - end)])
+                        crc.append(zlib.crc32(tail, x) if end else x)
+                    order = np.argsort(length, kind="stable")
+                    by_len = length[order]
+                    new = np.concatenate(([True], by_len[1:] != by_len[:-1])) if len(by_len) else np.zeros(0, bool)
+                    nth = np.empty(len(length), np.int64)
+                    nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                    nth += seen[length]
+                    seen += np.bincount(length, minlength=capacity + 1)
+                    cols = [rows.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -145,4 +146,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     keyed = table.join(base.select("length", "part", "base"), ["length", "part"])
-    return keyed.select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "base").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(keyed.select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "base"), place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import slices
+from tickloom.llm.common import arrow_map, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 32
@@ -385,7 +385,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 sha = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *counts, sha, pa.array([_joined(s) for _, s in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -408,4 +408,4 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in names], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, text_buffers, word_hashes, word_spans
+from tickloom.llm.common import arrow_map, slices, text_buffers, word_hashes, word_spans
 
 LABELLED = 6000
 POOL = 4000
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality"):
                 m = meta_features(part.column("source"), part.column("lang"), part.column("n_chars")).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y"), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["doc_id", "y", "t", "m"])
 
-    got = rows.mapInArrow(features, "doc_id long, y double, t binary, m binary").toPandas().sort_values(["doc_id", "t"], kind="stable")
+    got = arrow_map(rows, features, "doc_id long, y double, t binary, m binary").toPandas().sort_values(["doc_id", "t"], kind="stable")
     y = got["y"].to_numpy()
     lab = ~np.isnan(y)
     if not lab.any() or len(set(y[lab])) < 2 or lab.sum() < 10:
@@ -224,4 +224,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: st
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pt), pa.array(pm), pa.array(p), pa.array(p >= threshold)], [*names, "p_text", "p_meta", "p_quality", "keep"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", p_text double, p_meta double, p_quality double, keep boolean")
+    return arrow_map(docs, run, schema + ", p_text double, p_meta double, p_quality double, keep boolean")

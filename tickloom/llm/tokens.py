@@ -5,19 +5,24 @@ ASCII white space that follows another character, after a lone line feed
 between visible characters, and before a comma or full stop that follows a
 letter. Distinct pieces go through the library once and are kept (a bounded
 table in each Python worker); the ids of a document are the ids of its pieces
-in order. The bytes of a piece are its key, so no hash decides equality.
+in order. The bytes of a piece are its key, so no hash decides equality. The
+literal text of an added token is a piece of its own and gets that token's id,
+as the library does with its own settings.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
 import numpy as np
 
-KEEP = 700_000  # pieces a worker keeps before it starts again
+from tickloom.llm.common import trim
+
+KEEP = 120_000  # pieces a worker keeps before it starts again, some 25 MB
 _WIDE = 23  # longest piece, in bytes, that the vector path handles
-_TABLE = 1 << 22
+_TABLE = 1 << 19
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -45,12 +50,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model = self.lib.model
         self.names = _byte_names()
-        self._reset()
-
-    def _reset(self) -> None:
+        added = [t for t in self.lib.get_added_tokens_decoder().values()]
+        if any(t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("added tokens that take white space or need word ends are not supported")
+        literal = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, literal))) if literal else None
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget the pieces met so far."""
         self.slot: dict[bytes, int] = {}
         self.table = np.zeros(_TABLE, np.int32)
         self.keys = np.zeros((1 << 16, 3), np.uint64)
@@ -96,13 +106,26 @@ class Encoder:
             self._learn(fresh)
         return np.array([slot[p] for p in pieces], np.int64)
 
+    def _literals(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """Where the text of an added token stands within one document."""
+        if self.added is None:
+            return []
+        found, at, data = [], 0, memoryview(np.ascontiguousarray(buf))
+        while m := self.added.search(data, at):
+            doc = int(np.searchsorted(off, m.start(), "right")) - 1
+            inside = m.end() <= off[doc + 1]
+            if inside:
+                found.append(m.span())
+            at = m.end() if inside else m.start() + 1
+        return found
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each starts (documents + 1)."""
         n = len(buf)
         if not n:
             return np.zeros(0, self.pool.dtype), np.zeros(len(off), np.int64)
         if self.used > KEEP:
-            self._reset()
+            self.reset()
         shown = _VISIBLE[buf] | (buf == 0xC3)  # C3 leads letters only
         cut = np.zeros(n + 1, bool)
         after = np.zeros(n, bool)  # the character before is visible
@@ -112,6 +135,9 @@ class Encoder:
         cut[1:n] |= (buf[:-1] == 10) & after[:-1] & shown[1:]  # a lone line feed
         cut[1:n] |= ((buf[1:] == 0x2C) | (buf[1:] == 0x2E)) & _LETTER[buf[:-1]]
         cut[off] = True
+        for a, b in self._literals(buf, off):
+            cut[a:b] = False
+            cut[[a, b]] = True
         starts = np.flatnonzero(cut[:n])
         ends = np.append(starts[1:], n)
         size = ends - starts
@@ -128,7 +154,7 @@ class Encoder:
             h = (h ^ (h >> np.uint64(31))) + k2 * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
-            cell = (h >> np.uint64(42)).astype(np.int64)
+            cell = (h >> np.uint64(45)).astype(np.int64)
         of = self.table[cell].astype(np.int64)
         key = self.keys[of]
         hit = (key[:, 0] == k0) & (key[:, 1] == k1) & (key[:, 2] == k2) & (size <= _WIDE)
@@ -150,11 +176,14 @@ class Encoder:
         return ids, upto
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+@contextlib.contextmanager
+def encoder(path: str):
+    """An encoder for a vocabulary file, for the length of one task: a reused
+    worker keeps nothing of it."""
+    enc = Encoder(path)
+    try:
+        yield enc
+    finally:
+        enc.reset()
+        del enc
+        trim()

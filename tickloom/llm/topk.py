@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stage
+from tickloom.llm.common import arrow_map, stage
 from tickloom.llm.vectors import blocks, lists, usable
 
 CELLS = 255
@@ -101,6 +101,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                 a, b, s = search_block(ids, lists(d.field("v")), q_ids, lists(q.field("v")), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[np.array(a, np.int64)], pa.int64()), pa.array(ids[np.array(b, np.int64)], pa.int64()), pa.array([int(x) for x in s], pa.int64())], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("rows", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = arrow_map(pairs.select("rows", "queries"), run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
