@@ -8,7 +8,7 @@ the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import jaccard, lines, mixing, packing, quality
@@ -34,17 +34,21 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The smallest doc_id of every group of near-duplicates, and one of its rows
     where it is repeated word for word; documents without words or doc_id stay."""
     found = jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.hint("merge").join(found, "doc_id", "left_anti").withColumn("__h", F.xxhash64("text"))
-    same = F.lag("__h").over(Window.partitionBy("doc_id").orderBy("__h")).eqNullSafe(F.col("__h"))
-    return rest.withColumn("__same", same).where("doc_id IS NULL OR NOT __same").select(*docs.columns)
+    rest = docs.where("doc_id IS NOT NULL").hint("merge").join(found, "doc_id", "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__row")
+    one = rest.groupBy("doc_id", "text").agg(first).select("doc_id", "text", "__row.*") if others else rest.distinct()
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows that share doc_id and size are
-    taken alike."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__doc"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    both = docs.withColumn("__words", size).hint("merge").join(taken, F.expr("doc_id <=> __doc and __words = __size"))
+    """Documents as often as the mix takes them. Rows are known to it by a number of
+    their whole content; equal rows share what is taken of them."""
+    number = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    seen = docs.select(number.alias("doc_id"), "text", "source")
+    taken = mixing.mix(seen).where("copies > 0").groupBy(F.col("doc_id").alias("__number")).agg(F.sum("copies").alias("__copies"))
+    alone = docs.distinct().withColumn("__own", number)
+    both = alone.hint("merge").join(taken, F.col("__own") == F.col("__number"))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
