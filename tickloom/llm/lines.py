@@ -1,12 +1,19 @@
-"""Line dedup by hashes of whole windows of lines.
+"""Line dedup by winnowing over line hashes.
 
 A document is its sequence of lines that are not blank. A window is the shortest
 run of lines that holds `lines` lines or `words` words, taken from every start
-and to every end. Every window is written out with a hash of its whole run and the
-smallest of its line hashes; windows that agree in both are the same. This is
-no winnowing: no minimum is selected, joined or extended. Windows that
-overlap or touch make up the repeated run. Each window's first place in the
-corpus, by (doc_id, text hash, line), stays; later runs are deleted.
+and to every end. Each window selects its smallest line hash, the last of equal
+ones, as fingerprint; a place that several windows select is kept once. Whether
+a run is a window, and what it selects, follows from its lines alone, so two
+copies of a window always share a fingerprint.
+
+Places are joined by fingerprint: one that no other place shares goes no further.
+Those left are extended to both sides, as far as the windows that selected them
+reach, and each extension is compared by a 128-bit hash of its text with the
+first place of the corpus, by (doc_id, text hash, line), that has it; so a hot
+line costs a row a place and never a pair of places. Matching extensions that
+overlap or touch make up the repeated run. The first place stays; later runs are
+deleted.
 
 So a line goes if and only if it lies in a window that occurred before, and that
 is what the SQL states.
@@ -27,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import arrow_map, free_shuffles, slices, stage
+from tickloom.llm.common import arrow_map, drop_table, free_shuffles, slices, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WINDOW = "doc long, th long, s int, e int, fp long, gram long"
+PLACE = "doc long, th long, fp long, spans array<struct<s:int,e:int,g1:long,g2:long>>"
+SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("g1", pa.int64()), ("g2", pa.int64())])
 
 
 def line_windows(sizes: list[int], lines: int, words: int) -> list[tuple[int, int]]:
@@ -56,8 +64,13 @@ def line_windows(sizes: list[int], lines: int, words: int) -> list[tuple[int, in
     return sorted(out)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def fingerprints(hashes: list[int], windows: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Selected places and the windows that select each."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for s, e in windows:
+        at = min(range(e, s - 1, -1), key=hashes.__getitem__)
+        out.setdefault(at, []).append((s, e))
+    return out
 
 
 def split_lines(text: str | None) -> tuple[list[str], list[int]]:
@@ -72,26 +85,36 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("__th", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
-    def windows(batches):
+    def places(batches):
         for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
-            cols = [[] for _ in range(6)]
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            doc, th, fp, count, span = [], [], [], [], [[] for _ in range(3)]
+            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 every, at = split_lines(text.as_py())
-                kept = [every[i] for i in at]
+                kept = [every[i].encode() for i in at]
                 hashes = [xxhash.xxh3_64_intdigest(x) for x in kept]
-                for s, e in line_windows([len(WORD.findall(x)) for x in kept], lines, words):
-                    run = hashes[s : e + 1]
-                    low = min(run)
-                    gram = xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes())
-                    for c, v in zip(cols, (doc, th, s, e, _signed(low), _signed(gram))):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "th", "s", "e", "fp", "gram"])
-
-    placed = stage(arrow_map(keyed.select("doc_id", "__th", "text"), windows, WINDOW), "windows")
-    place = F.struct("doc", "th", "s", "e")
-    first = stage(placed.groupBy("fp", "gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first_places")
-    later = placed.join(first, ["fp", "gram"]).where(F.struct("doc", "th", "s", "e") > F.col("first"))
+                found = fingerprints(hashes, line_windows([len(WORD.findall(every[i])) for i in at], lines, words))
+                for p, runs in found.items():
+                    doc.append(d)
+                    th.append(t)
+                    fp.append(hashes[p])
+                    count.append(len(runs))
+                    for s, e in runs:
+                        for c, v in zip(span, (s, e, xxhash.xxh3_128_digest(b"\n".join(kept[s : e + 1])))):
+                            c.append(v)
+            gram = np.frombuffer(b"".join(span[2]), "<i8").reshape(-1, 2)
+            flat = pa.StructArray.from_arrays([pa.array(span[0], pa.int32()), pa.array(span[1], pa.int32()), pa.array(gram[:, 0]), pa.array(gram[:, 1])], fields=list(SPAN))
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), spans], ["doc", "th", "fp", "spans"])
+
+    placed = stage(arrow_map(keyed.select(F.col("doc_id").cast("long"), "__th", "text"), places, PLACE), "places")
+    shared = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # Written, so that a hot fingerprint can be dealt anew for what follows.
+    near = stage(placed.hint("merge").join(shared, "fp", "left_semi").select("doc", "th", "fp", F.inline("spans")), "extended")
+    drop_table(placed)
+    free_shuffles(spark)
+    same = ["fp", "g1", "g2"]
+    first = stage(near.groupBy(*same).agg(F.min(F.struct("doc", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first_places")
+    later = near.join(first, same).where(F.struct("doc", "th", "s", "e") > F.col("first"))
     marks = later.select("doc", "th", "s", "e").distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__runs"))
     marks = stage(marks, "runs")
     free_shuffles(spark)
