@@ -2,14 +2,16 @@
 
 Two views of a document: its text (character classes, word statistics, repeats
 and hashed words) and its metadata (source, language, length). Each view has a
-logistic model. In every round each view labels the pool documents it is surest
-about, in the proportion of the classes, and hands them to the other; both are
+logistic model. In every round each view scores all unlabelled documents and hands
+those it is surest about, in the proportion of the classes, to the other; both are
 fitted again. Each view is then calibrated (Platt) on labelled documents that no
 round saw, and the calibrated log odds, less the prior counted twice, score all
 documents. A document is rejected below `threshold`.
 
-The fit reads at most LABELLED labelled and POOL unlabelled documents, chosen by
-a hash of doc_id; scoring reads every whole text.
+Parameters of score() bound what comes to the driver: `labelled` rows by a hash of
+doc_id, one a doc_id, and from each round the `give` surest documents of each view,
+found among all unlabelled ones; texts with the same features are one of them.
+Everything is done with every whole text.
 
 Defined cases: a null text is an empty one, null metadata a value of its own;
 labels with a null or without a document are ignored, several labels of a
@@ -20,19 +22,19 @@ are scored each; an empty table gives no rows; other columns are carried along.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import arrow_map, slices, text_buffers, word_hashes, word_spans
+from tickloom.llm.common import arrow_map, drop_table, slices, stage, text_buffers, word_hashes, word_spans
 
-LABELLED = 6000
-POOL = 4000
 WORDS = 192  # buckets of hashed words
-SOURCES, LANGS = 32, 8
+SOURCES, LANGS = 64, 16  # values with a feature of their own, the most frequent labelled ones
 STATS = 19  # text features before the hashed words
 WORD_RIDGE = 20.0
 
@@ -75,12 +77,23 @@ def text_features(col) -> np.ndarray:
     return np.hstack([kinds * 4, stats, np.minimum(kinds[:, 8:9] * 50, 5), bag])
 
 
-def meta_features(source, lang, n_chars) -> np.ndarray:
+def known_values(source: list, lang: list) -> tuple[dict, dict]:
+    """The places of the sources and languages that get a feature; all others
+    share one, nulls are a value like any other."""
+    out = []
+    for values, most in ((source, SOURCES), (lang, LANGS)):
+        count = Counter("\0" if v is None else str(v) for v in values)
+        out.append({v: i + 1 for i, (v, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most])})
+    return out[0], out[1]
+
+
+def meta_features(source, lang, n_chars, known: tuple[dict, dict]) -> np.ndarray:
     n = len(source)
-    out = np.zeros((n, SOURCES + LANGS + 3))
-    for j, (col, base, size) in enumerate(((source, 0, SOURCES), (lang, SOURCES, LANGS))):
+    sizes = [len(k) + 1 for k in known]
+    out = np.zeros((n, sum(sizes) + 3))
+    for col, place, base in zip((source, lang), known, (0, sizes[0])):
         enc = pc.dictionary_encode(pc.fill_null(col.cast(pa.string()), "\0"))
-        where = np.array([xxhash.xxh3_64_intdigest(v.encode()) % size for v in enc.dictionary.to_pylist()], np.int64)
+        where = np.array([place.get(v, 0) for v in enc.dictionary.to_pylist()], np.int64)
         out[np.arange(n), base + where[np.asarray(enc.indices)]] = 1
     x = np.asarray(pc.fill_null(n_chars.cast(pa.float64()), -1.0))
     out[:, -3], out[:, -2], out[:, -1] = np.log1p(np.maximum(x, 0)) / 10, (np.log1p(np.maximum(x, 0)) / 10) ** 2, x < 0
@@ -139,76 +152,127 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, share: float = 0.05):
-    """Both views' models. held marks labelled rows kept for calibration."""
-    views, pools = (text, meta), (pool_text, pool_meta)
-    fit = ~held
-    extra = [(np.zeros(0, np.int64), np.zeros(0)) for _ in views]
-    free = np.ones(len(pool_text), bool)
+RAW = "doc_id long, h long, t binary, source string, lang string, n_chars double"
+
+
+def _raw(docs: DataFrame) -> DataFrame:
+    """Text features of every row, with a hash of them, beside its metadata."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = [x.tobytes() for x in text_features(part.column("text")).astype(np.float32)]
+                h = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in rows], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), h, pa.array(rows, pa.binary()), *(part.column(c).cast(pa.string()) for c in ("source", "lang")), part.column("n_chars").cast(pa.float64())], [x.split()[0] for x in RAW.split(", ")])
+
+    return arrow_map(docs.select("doc_id", "text", "source", "lang", "n_chars"), run, RAW)
+
+
+def _views(rows: pa.Table | pa.RecordBatch, known) -> tuple[np.ndarray, np.ndarray]:
+    """Both feature matrices of rows of _raw."""
+    t = np.frombuffer(b"".join(rows.column("t").to_pylist()), np.float32).reshape(rows.num_rows, -1).astype(float)
+    source, lang, n_chars = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows.column(c) for c in ("source", "lang", "n_chars")))
+    return t, meta_features(source, lang, n_chars, known)
+
+
+SURE = "view int, good boolean, odds double, h long"
+
+
+def surest(pool: DataFrame, models, known, taken: list[int], many: tuple[int, int]) -> pa.Table:
+    """(view, good) and the features of the rows, of all the pool, that each model
+    is surest about: many[0] good and many[1] bad ones a view, one a feature hash.
+    Every task passes on its own surest; no more than those are ranked."""
+    gone = np.array(sorted(taken), np.int64)
+
+    def run(batches):
+        best = {(v, g): {} for v in (0, 1) for g in (False, True)}
+        for batch in batches:
+            h = np.asarray(batch.column("h"))
+            free = ~np.isin(h, gone)
+            for v, (m, x) in enumerate(zip(models, _views(batch, known))):
+                r = m.raw(x)
+                for g, on in ((False, free & (r < -1)), (True, free & (r > 1))):
+                    k, at = many[0] if g else many[1], np.flatnonzero(on)
+                    at = at[np.lexsort((h[at], -np.abs(r[at])))]
+                    top = best[v, g]
+                    for i in at[: 4 * k]:
+                        top.setdefault(int(h[i]), float(r[i]))
+                    if len(top) > k:
+                        best[v, g] = dict(sorted(top.items(), key=lambda x: (-abs(x[1]), x[0]))[:k])
+        rows = [(v, g, r, h) for (v, g), top in best.items() for h, r in top.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.bool_(), pa.float64(), pa.int64()))], ["view", "good", "odds", "h"])
+
+    every = arrow_map(pool, run, SURE).distinct()
+    order = Window.partitionBy("view", "good").orderBy(F.desc(F.abs("odds")), "h")
+    ranked = every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("good"), many[0]).otherwise(many[1])).select("view", "good", "h").collect()
+    if not ranked:
+        return None
+    # At most 2 * sum(many) rows, by the parameter `give`.
+    picked = pool.sparkSession.createDataFrame([tuple(r) for r in ranked], "view int, good boolean, h long")
+    met = pool.join(F.broadcast(picked), "h").groupBy("h", "view", "good").agg(F.min(F.struct("t", "source", "lang", "n_chars")).alias("x"))
+    return met.select("h", "view", "good", "x.*").orderBy("view", "good", "h").toArrow()
+
+
+def co_train(text, meta, y: np.ndarray, held: np.ndarray, ask, rounds: int, give: int):
+    """Both views' models. held marks labelled rows kept for calibration; ask gives
+    what the models are surest about among the unlabelled."""
+    views, fit = (text, meta), ~held
     rate = float(y[fit].mean())
-    models = [Logit(v[fit], y[fit]) for v in views]
+    many = max(1, round(give * rate)), max(1, round(give * (1 - rate)))
+    extra = [[(v[fit], y[fit])] for v in views]
+    taken: list[int] = []
+    models = [Logit(*e[0]) for e in extra]
     for _ in range(rounds):
-        give = []
-        for m, p in zip(models, pools):
-            at = np.flatnonzero(free)
-            if not len(at):
-                give.append((at, np.zeros(0)))
-                continue
-            r = m.raw(p[at])
-            many = max(2, int(share * len(pool_text)))
-            good, bad = max(1, int(many * rate)), max(1, int(many * (1 - rate)))
-            order = np.argsort(r, kind="stable")
-            low, high = order[:bad], order[::-1][:good]
-            low, high = low[r[low] < -1], high[r[high] > 1]
-            give.append((at[np.concatenate([low, high])], np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
-        for i in range(2):
-            got, lab = give[1 - i]
-            extra[i] = (np.concatenate([extra[i][0], got]), np.concatenate([extra[i][1], lab]))
-        for got, _ in give:
-            free[got] = False
-        models = [Logit(np.vstack([v[fit], p[e[0]]]), np.concatenate([y[fit], e[1]])) for v, p, e in zip(views, pools, extra)]
+        got = ask(models, taken, many)
+        if got is None:
+            break
+        rows, both, good, hashes = got
+        for view in (0, 1):
+            on = rows == view
+            extra[1 - view].append((both[1 - view][on], good[on].astype(float)))
+        taken += hashes.tolist()
+        models = [Logit(np.vstack([x for x, _ in e]), np.concatenate([z for _, z in e])) for e in extra]
     for m, v in zip(models, views):
         m.calibrate(v[held], y[held])
     return models
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality"):
-    """(text model, metadata model, prior log odds), or a constant rate."""
-    h = F.xxhash64("doc_id")
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(target).cast("double").alias("y"))
-    some = known.orderBy(h, "doc_id").limit(LABELLED)
-    rest = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(h, "doc_id").limit(POOL)
-    picked = some.unionByName(rest.withColumn("y", F.lit(None).cast("double")))
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(picked), "doc_id")
-
-    def features(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                t = text_features(part.column("text")).astype(np.float32)
-                m = meta_features(part.column("source"), part.column("lang"), part.column("n_chars")).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y"), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["doc_id", "y", "t", "m"])
-
-    got = arrow_map(rows, features, "doc_id long, y double, t binary, m binary").toPandas().sort_values(["doc_id", "t"], kind="stable")
-    y = got["y"].to_numpy()
-    lab = ~np.isnan(y)
-    if not lab.any() or len(set(y[lab])) < 2 or lab.sum() < 10:
-        return None, None, float(y[lab].mean()) if lab.any() else 1.0
-    t, m = (np.stack([np.frombuffer(x, np.float32) for x in got[c]]).astype(float) for c in "tm")
-    held = np.array([xxhash.xxh3_64_intdigest(int(d).to_bytes(8, "little", signed=True)) % 4 == 0 for d in got["doc_id"][lab]])
-    if len(set(y[lab][held])) < 2 or len(set(y[lab][~held])) < 2:
-        held = np.arange(lab.sum()) % 2 == 0
-    if len(set(y[lab][held])) < 2 or len(set(y[lab][~held])) < 2:
-        return None, None, float(y[lab].mean())
-    models = co_train(t[lab], m[lab], y[lab], held, t[~lab], m[~lab])
-    rate = min(max(float(y[lab].mean()), 1e-3), 1 - 1e-3)
-    return models[0], models[1], float(np.log(rate / (1 - rate)))
-
-
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: str = "quality") -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = 6000, rounds: int = 3, give: int = 400):
+    """(text model, metadata model, prior log odds, known values), or a constant rate."""
+    known_ids = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(target).cast("double").alias("y"))
+    some = known_ids.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    # One row a doc_id, however often it is repeated; `labelled` rows at most.
+    cols = ["text", "source", "lang", "n_chars"]
+    one = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*cols)).alias("x"))
+    chosen = stage(one.select("doc_id", "y", "x.*"), "labelled")
+    got = _raw(chosen).join(chosen.select("doc_id", "y"), "doc_id").orderBy("doc_id").toArrow()
+    y = np.asarray(got.column("y"))
+    if len(y) < 10 or len(set(y)) < 2:
+        return None, None, float(y.mean()) if len(y) else 1.0, None
+    held = np.array([xxhash.xxh3_64_intdigest(int(d).to_bytes(8, "little", signed=True)) % 4 == 0 for d in np.asarray(got.column("doc_id"))])
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        held = np.arange(len(y)) % 2 == 0
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return None, None, float(y.mean()), None
+    known = known_values(got.column("source").to_pylist(), got.column("lang").to_pylist())
+    # Every row without a label, those without doc_id as well.
+    pool = stage(_raw(docs.where("doc_id IS NOT NULL")).hint("merge").join(known_ids.select("doc_id"), "doc_id", "left_anti").unionByName(_raw(docs.where("doc_id IS NULL"))), "pool")
+
+    def ask(models, taken, many):
+        rows = surest(pool, models, known, taken, many)
+        return None if rows is None else (np.asarray(rows.column("view")), _views(rows, known), np.asarray(rows.column("good")), np.asarray(rows.column("h")))
+
+    models = co_train(*_views(got, known), y, held, ask, rounds, give)
+    drop_table(pool)
+    rate = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    return models[0], models[1], float(np.log(rate / (1 - rate))), known
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: str = "quality", labelled: int = 6000, rounds: int = 3, give: int = 400) -> DataFrame:
     """The columns of docs with p_text, p_meta, p_quality and keep."""
     clash = [c for c in docs.columns if c in ("p_text", "p_meta", "p_quality", "keep")]
     docs = docs.drop(*clash)
-    by_text, by_meta, prior = fit(docs, labels, target)
+    by_text, by_meta, prior, known = fit(docs, labels, target, labelled, rounds, give)
     names = docs.columns
 
     def run(batches):
@@ -219,7 +283,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: st
                     p = pt = pm = np.full(n, prior)
                 else:
                     a = by_text.odds(text_features(part.column("text")))
-                    b = by_meta.odds(meta_features(part.column("source"), part.column("lang"), part.column("n_chars")))
+                    b = by_meta.odds(meta_features(part.column("source"), part.column("lang"), part.column("n_chars"), known))
                     pt, pm, p = sigmoid(a), sigmoid(b), sigmoid(a + b - prior)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pt), pa.array(pm), pa.array(p), pa.array(p >= threshold)], [*names, "p_text", "p_meta", "p_quality", "keep"])
 
