@@ -2,15 +2,18 @@
 
 The base patterns give spans that always stay. A bidirectional LSTM over
 characters, with a linear-chain CRF on top, is trained in numpy from labelled
-spans (see training_rows) and adds spans that overlap none of them. It reads
-overlapping windows of WINDOW characters every STRIDE; each window is decoded by
-Viterbi, every character takes its tag from the window it is most central in,
-and runs of a kind over the joined tags are the spans, so a span may cross
-windows. Of a run only an entity of the kind's own shape (SHAPES) and limits
-(parts to 255, Luhn) is added.
-
-All four kinds hold a digit or an @: windows without one hold no span by
-definition and are not read. Everything else covers the whole text.
+spans (see training_rows) and adds spans in forms the patterns miss: spelled-out
+and spaced addresses, phone numbers without a plus sign, cards in other groups,
+and as a fifth kind, kept in columns of its own, secrets (keys, tokens, passwords).
+
+Every character of every text is read. Windows of WINDOW characters overlap by
+BLOCK; where two meet, their emission scores are averaged, and one Viterbi pass
+over the joined scores gives the tags, so a span may cross windows. It runs
+over the stretches where a span could outscore no span (see `could_hold`), and
+REACH blocks around. An added span is a run of tags as decoded; it must overlap no base span
+and keep its kind's limits (parts to 255, Luhn, numbers of digits). Texts beyond
+PIECE characters are read in pieces that share SEAM of them; a span counts in the
+piece whose middle it starts in.
 
 Defined cases: a null text is empty; spans count code points, end exclusive;
 repeated rows are read each; an empty table gives no rows; extra columns are
@@ -30,9 +33,13 @@ from pyspark.sql import DataFrame
 from tickloom.llm.common import arrow_map, slices
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 96, 32
-HIDDEN, EMBED, CHARS = 12, 10, 100
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+SECRET = len(KINDS)  # the model's own kind
+BLOCK = 32
+WINDOW = 4 * BLOCK
+PIECE, SEAM = 1 << 16, 512
+MARGIN, REACH = 0.5, 1
+HIDDEN, EMBED, CHARS = 12, 12, 100
+TAGS = 1 + 2 * (len(KINDS) + 1)  # outside, then begin and inside of each kind
 
 # The base patterns; the look-behind and possessive quantifiers only spare
 # retries that could not succeed.
@@ -198,9 +205,39 @@ class Tagger:
         np.add.at(g["emb"], ids.T, dxf + dxb[::-1])
         return float((z.sum() - path) / n), g
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Viterbi tags [rows, time]."""
-        em, _ = self.scores(ids)
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """scores() without a trace: input weights folded into a row a character,
+        gates as (1 + tanh(x / 2)) / 2. [time, rows, tags]."""
+        p, n = self.p, HIDDEN
+        half = np.full(4 * n, 0.5, np.float32)
+        half[3 * n :] = 1
+        t, rows = ids.shape[1], len(ids)
+        out = np.empty((t, rows, TAGS), np.float32)
+        for part, (w, b, wo, order) in enumerate((("wf", "bf", p["wo"][:n], range(t)), ("wb", "bb", p["wo"][n:], range(t - 1, -1, -1)))):
+            table = (p["emb"] @ p[w][:EMBED] + p[b]) * half
+            again = p[w][EMBED:] * half
+            h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
+            z = np.empty((rows, 4 * n), np.float32)
+            for k in order:
+                np.matmul(h, again, out=z)
+                z += table[ids[:, k]]
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * n]
+                gates *= 0.5
+                gates += 0.5
+                c *= z[:, n : 2 * n]
+                c += z[:, :n] * z[:, 3 * n :]
+                np.tanh(c, out=h)
+                h *= z[:, 2 * n : 3 * n]
+                if part:
+                    out[k] += h @ wo
+                else:
+                    out[k] = h @ wo
+        out += p["bo"]
+        return out
+
+    def viterbi(self, em: np.ndarray) -> np.ndarray:
+        """Best tags [rows, time] of emission scores [time, rows, tags]."""
         t, n, _ = em.shape
         best, back = em[0], np.zeros((t, n, TAGS), np.int8)
         for k in range(1, t):
@@ -213,64 +250,134 @@ class Tagger:
             out[:, k - 1] = back[k][np.arange(n), out[:, k]]
         return out
 
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Viterbi tags [rows, time]."""
+        return self.viterbi(self.emissions(ids))
 
-def training_rows(n: int, seed: int, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled character rows: invented words with invented personal data in
-    many written forms, and numbers that are none."""
-    r = np.random.default_rng(seed)
-    pick = lambda s: s[int(r.integers(len(s)))]
-    digits = lambda k: "".join(str(int(d)) for d in r.integers(0, 10, k))
 
-    def word():
-        w = "".join(pick("etaoinshrdlucmfwypvbgkéüñ") for _ in range(int(r.integers(1, 10))))
-        return w.capitalize() if r.random() < 0.15 else w
+class Forms:
+    """Invented private data in many written forms, and things that look alike."""
 
-    def email():
-        local = pick((word(), word() + "." + word(), word() + digits(2), digits(2), "user" + digits(3))) or "a"
-        return local + "@" + pick(("mail", "post", word())) + pick(("", digits(1))) + pick((".example", ".test", "")) + pick((".com", ".org", ".net", ".de"))
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+        self.make = (self.email, self.ip, self.card, self.phone, self.secret)
 
-    def ip():
-        return ".".join(str(int(x)) for x in r.integers(0, 256, 4))
+    def pick(self, s):
+        return s[int(self.r.integers(len(s)))]
 
-    def card():
-        d = digits(15)
-        d += next(c for c in "0123456789" if luhn(d + c))
-        return pick((d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))))
+    def digits(self, k: int) -> str:
+        return "".join(map(str, self.r.integers(0, 10, k)))
+
+    def many(self, low: int, high: int) -> int:
+        return int(self.r.integers(low, high))
+
+    def word(self, low: int = 1, high: int = 11) -> str:
+        if self.r.random() < 0.2:  # common short words, sentence starts among them
+            w = self.pick(("at", "at", "to", "is", "in", "of", "the", "and", "by", "be", "as", "or", "it", "on", "dot", "de", "le", "un", "es", "ich", "at the", "is at"))
+            return w.capitalize() if self.r.random() < 0.15 else w
+        w = "".join(self.pick("eeettaaooiinnsshhrrdlucmfwypvbgkqxzjéüñçß") for _ in range(self.many(low, high)))
+        u = self.r.random()
+        return w.capitalize() if u < 0.12 else w.upper() if u < 0.15 else w
+
+    def name(self) -> str:
+        return "".join(self.pick("etaoinshrdlucmfwypvbgk") for _ in range(self.many(2, 9)))
 
-    def phone():
-        a, b, c = digits(3), digits(3), digits(4)
-        return pick((f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+33{a}{b}{c}"))
+    def email(self) -> str:
+        ending = self.pick(("com", "org", "net", "de", "io", "example", "co.uk", "test"))
+        user = [self.name(), *([self.pick((self.name(), self.digits(2)))] if self.r.random() < 0.6 else [])]
+        host = self.pick(("mail", "post", "example", self.name())) + self.pick(("", "", self.digits(1)))
+        form = self.many(0, 5)
+        at, dot = (("@", "."), (" at ", " dot "), self.pick(((" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", " (dot) "))), self.pick(((" [at] ", "."), (" (at) ", "."), ("[at]", "."), (" at ", "."))), (" @ ", self.pick((".", " . "))))[form]
+        text = self.pick((dot, "_", "-") if form == 0 else (dot,)).join(user) + at + host + dot + ending.replace(".", dot)
+        return text.upper() if self.r.random() < 0.05 else text
 
-    def plain():
-        return pick((digits(1), "20" + digits(2), digits(2) + "." + digits(1), digits(3), "v" + digits(1) + "." + digits(1), digits(2) + "%", digits(5), "#" + digits(2), "@ " + word(), "Version " + digits(1) + ".0.", digits(2) + "/" + digits(2) + "/" + digits(4), digits(4) + "-" + digits(2) + "-" + digits(2)))
+    def ip(self) -> str:
+        parts = [str(x) for x in self.r.integers(0, 256, 4)]
+        if self.r.random() < 0.3:
+            parts = [self.pick(("10", "192", "127", "172")), *(str(self.many(0, 20)) for _ in range(3))]
+        return self.pick((".", ".", " . ", "[.]", ". ", " dot ", "(.)")).join(parts)
+
+    def card(self) -> str:
+        d = self.pick("3456") + self.digits(14)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        group = [d[i : i + 4] for i in range(0, 16, 4)]
+        return self.pick((d, " ".join(group), "-".join(group), ".".join(group), " - ".join(group), "/".join(group), "  ".join(group), " ".join(d), "_".join(group)))
+
+    def phone(self) -> str:
+        d = self.digits
+        sep = self.pick(("-", ".", " ", "-"))
+        return self.pick((
+            f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+33{d(9)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", sep.join((d(3), d(3), d(4))), sep.join((d(3), d(3), d(4))), f"1-{d(3)}-{d(3)}-{d(4)}",
+            f"00{self.pick(('49', '33', '44', '1'))} {d(3)} {d(7)}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"0{d(2)} {d(8)}", f"0{d(3)} {d(6)}", f"0{d(3)}/{d(7)}", f"0{d(4)}-{d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}-{d(4)}-{d(4)}",
+        ))
+
+    def secret(self) -> str:
+        hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        some = lambda letters, low, high: "".join(self.pick(letters) for _ in range(self.many(low, high)))
+        x = self.pick((some(hexa, 24, 64), some(hexa, 32, 41), some(mixed, 20, 44), some(mixed, 28, 40) + "=", "sk-" + some(mixed, 20, 48), "ghp_" + some(mixed, 30, 40), "AKIA" + some(mixed[:26] + "0123456789", 16, 17)))
+        return x.upper() if self.r.random() < 0.1 else x
+
+    def secret_lead(self) -> str:
+        key = self.pick(("token", "token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "auth", "key", "client_secret", "private_key"))
+        key = key.upper() if self.r.random() < 0.2 else key
+        return key + self.pick((" = ", "=", ": ", ":", " => ", " is ")) + self.pick(('"', '"', "'", "", ""))
+
+    def alike(self) -> str:
+        """Numbers and words that are nobody's data."""
+        d, w, k = self.digits, self.word, self.many(0, 34)
+        return (
+            d(1), "20" + d(2), "19" + d(2), d(2) + "." + d(1), d(3), "v" + d(1) + "." + d(1) + "." + d(1), d(2) + "%", d(5), "#" + d(self.many(2, 9)), "@ " + w(), "Version " + d(1) + ".0.", d(2) + "/" + d(2) + "/" + d(4),
+            d(4) + "-" + d(2) + "-" + d(2), d(2) + "." + d(2) + "." + d(4), d(2) + ":" + d(2), d(2) + ":" + d(2) + ":" + d(2), "$" + d(3) + "." + d(2), d(1) + "," + d(3) + "," + d(3), d(2) + " " + d(3), d(3) + "-" + d(3), "No. " + d(self.many(4, 11)),
+            "ISBN 978-" + d(1) + "-" + d(2) + "-" + d(6) + "-" + d(1), "0." + d(6), d(1) + "." + d(1) + "." + d(1) + ".", w() + " at " + w() + " " + w(), w() + " dot " + w(), "at " + w() + ". " + w(), self.pick(("token", "secret", "password", "key", "auth")) + " " + w() + " " + w(),
+            "order " + d(self.many(6, 12)), "".join(self.pick("0123456789abcdef") for _ in range(self.many(6, 13))), "CC BY-NC 4.0", w() + "/" + w() + "/" + w(), "http://www." + self.name() + ".com/" + w() + "/" + d(3), self.pick(("|", "$", "*", "~", "==", "&", "<<", "%")) + " " + self.pick(("|", "$", "---", "||", "#")),
+        )[k]
+
+    def gap(self) -> str:
+        return self.pick((" ", " ", " ", " ", " ", ", ", ".\n", ". ", "\n", "; ", " - ", "! "))
+
+
+def labelled_text(forms: Forms, length: int, share: float = 0.10) -> tuple[str, list[int]]:
+    """A text of at least `length` characters and the tag of each."""
+    text, tag = "", []
+    while len(text) < length:
+        u = forms.r.random()
+        if u < share:
+            k = forms.many(0, len(forms.make))
+            lead = forms.secret_lead() if k == SECRET else forms.pick(("", "", "", "", "call ", "tel. ", "mail: ", "IP ", "host ", "card ", "phone: ", "contact "))
+            s = forms.make[k]()
+            close = lead[-1] if k == SECRET and lead[-1] in "\"'" else ""
+            text += lead + s + close
+            tag += [0] * len(lead) + [1 + 2 * k] + [2 + 2 * k] * (len(s) - 1) + [0] * len(close)
+        else:
+            s = forms.alike() if u < share + 0.12 else forms.word()
+            text += s
+            tag += [0] * len(s)
+        gap = forms.gap()
+        text += gap
+        tag += [0] * len(gap)
+    return text, tag
 
-    make = (email, ip, card, phone)
+
+def training_rows(n: int, seed: int, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled character rows, cut anywhere in a text."""
+    forms = Forms(seed)
     ids, tags = np.zeros((n, length), np.int64), np.zeros((n, length), np.int64)
     for row in range(n):
-        text, tag = "", []
-        while len(text) < length + 40:
-            u = r.random()
-            if u < 0.10:
-                k = int(r.integers(4))
-                s = make[k]()
-                tag += [1 + 2 * k] + [2 + 2 * k] * (len(s) - 1)
-            else:
-                s = plain() if u < 0.2 else word()
-                tag += [0] * len(s)
-            gap = pick((" ", " ", " ", " ", ", ", ".\n", ". ", "\n"))
-            text += s + gap
-            tag += [0] * len(gap)
-        off = int(r.integers(0, 40))
+        text, tag = labelled_text(forms, length + 40)
+        off = forms.many(0, 40)
         ids[row] = char_ids(np.frombuffer(text.encode("utf-32-le"), "<u4"))[off : off + length]
         tags[row] = tag[off : off + length]
+        if row % 4 == 0:  # the end of a text is padding
+            end = forms.many(length // 4, length)
+            ids[row, end:], tags[row, end:] = 0, 0
     return ids, tags
 
 
 @functools.lru_cache(maxsize=2)
-def trained(steps: int = 360, seed: int = 10) -> Tagger:
+def trained(steps: int = 800, seed: int = 10) -> Tagger:
     """The tagger fitted by Adam; the same for every call in a process."""
     model = Tagger(seed)
-    ids, tags = training_rows(1600, seed)
+    ids, tags = training_rows(4000, seed)
     r = np.random.default_rng(seed + 1)
     m1 = {k: np.zeros_like(v) for k, v in model.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -278,7 +385,7 @@ def trained(steps: int = 360, seed: int = 10) -> Tagger:
         at = r.integers(0, len(ids), 48)
         _, g = model.loss(ids[at], tags[at])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+        rate = 0.015 * min(1.0, 1.6 * (1 - step / (steps + 1)))
         for k, x in g.items():
             x = x * min(1.0, 5 / (norm + 1e-9))
             m1[k] = 0.9 * m1[k] + 0.1 * x
@@ -287,105 +394,182 @@ def trained(steps: int = 360, seed: int = 10) -> Tagger:
     return model
 
 
-# Shapes an added span must have within a run of its kind.
-SHAPES = (
-    re.compile(r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}"),
-    re.compile(r"[0-9]{1,3}(?:[. ]{1,2}[0-9]{1,3}){3}(?![0-9])"),
-    re.compile(r"[0-9](?:[ .-]{0,2}[0-9]){11,18}(?![0-9])"),
-    re.compile(r"(?:\([0-9]{3}\) ?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b"),
+_NAME = r"[A-Za-z0-9_+%-]+"
+ADDRESSES = tuple(
+    re.compile(f"{_NAME}(?:{dot}{_NAME})*{at}{_NAME}(?:{dot}{_NAME})*{dot}[A-Za-z]{{2,}}", re.I)
+    for at, dot in ((r" ?@ ?", r" ?\. ?"), (" at ", " dot "), (" at ", r"\."), (r" ?[\[(] ?at ?[\])] ?", r"(?: ?[\[(] ?dot ?[\])] ?|\.)"))
 )
 
 
 def sound(kind: int, text: str) -> bool:
     """Whether an added span keeps its kind's own limits."""
     parts = re.findall("[0-9]+", text)
+    many = sum(map(len, parts))
+    if kind == 0:  # one user, one host with an ending; a spelled-out "at" is in one form with its dots
+        return any(p.fullmatch(text) for p in ADDRESSES)
     if kind == 1:
-        return all(int(x) <= 255 for x in parts)
-    return kind != 2 or (12 <= len("".join(parts)) <= 19 and luhn("".join(parts)))
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
+    if kind == 2:
+        return 12 <= many <= 19 and luhn("".join(parts))
+    if kind == 3:
+        return 7 <= many <= 15
+    return len(text) >= 16 and many > 0 and not re.search(r"\s", text)
+
+
+def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Emission scores of pieces of character ids, one after another in blocks
+    [block, BLOCK, tags], averaged where windows overlap; and each piece's first
+    block."""
+    count = np.array([max(1, -(-(len(x) - BLOCK) // (WINDOW - BLOCK))) for x in pieces], np.int64)
+    first = np.concatenate(([0], np.cumsum(3 * count + 1)))
+    flat = np.zeros(int(first[-1]) * BLOCK, np.int64)
+    for x, b in zip(pieces, first.tolist()):
+        flat[b * BLOCK : b * BLOCK + len(x)] = x
+    start = np.repeat(first[:-1], count) + 3 * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    total, met = np.zeros((int(first[-1]), BLOCK, TAGS), np.float32), np.zeros(int(first[-1]), np.float32)
+    for k in range(0, len(start), rows):
+        at = start[k : k + rows]
+        em = model.emissions(flat[at[:, None] * BLOCK + np.arange(WINDOW)]).transpose(1, 0, 2).reshape(len(at), 4, BLOCK, TAGS)
+        for j in range(4):  # at most one window has a block as its j-th
+            total[at + j] += em[:, j]
+            met[at + j] += 1
+    return total / np.maximum(met, 1)[:, None, None], first
+
+
+def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """(start, kind number, end) that the tagger finds in each text."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    pieces, owner = [], []
 
+    def flush():
+        for (i, off, low, high), spans in zip(owner, _piece_spans(pieces, model)):
+            out[i] += [(off + s, k, off + e) for s, k, e in spans if low <= s < high]
+        pieces.clear()
+        owner.clear()
 
-def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and rows of the windows with a digit or @ in them. The window at
-    start s decides the characters from s + STRIDE to s + 2 STRIDE."""
-    n = len(ids)
-    mark = np.zeros(n + 1, np.int64)
-    mark[1:] = np.cumsum(((ids >= 17) & (ids <= 26)) | (ids == 33))
-    starts = np.arange(-STRIDE, n - STRIDE, STRIDE) if n > STRIDE else np.array([-STRIDE])
-    a, b = np.clip(starts, 0, n), np.clip(starts + WINDOW, 0, n)
-    starts = starts[mark[b] > mark[a]]
-    pad = np.zeros(n + 2 * WINDOW, np.int64)
-    pad[WINDOW : WINDOW + n] = ids
-    return starts, pad[starts[:, None] + WINDOW + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), np.int64)
+    held = 0
+    for i, text in enumerate(texts):
+        codes = char_ids(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+        off = 0
+        while off == 0 or off + SEAM < len(codes):
+            x = codes[off : off + PIECE]
+            last = off + PIECE >= len(codes)
+            pieces.append(x)
+            owner.append((i, off, SEAM // 2 if off else 0, len(x) if last else PIECE - SEAM // 2))
+            held += len(x)
+            if held >= 4 * PIECE:
+                flush()
+                held = 0
+            off += PIECE - SEAM
+    if pieces:
+        flush()
+    return out
 
 
-def model_spans(texts: list[str], model: Tagger, batch: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """(start, kind number, end) that the tagger finds in each text."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    owner, where, rows = [], [], []
-    for i, text in enumerate(texts):
-        s, w = windows(char_ids(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")))
-        owner.append(np.full(len(s), i))
-        where.append(s)
-        rows.append(w)
-    owner, where = np.concatenate(owner), np.concatenate(where)
-    rows = np.concatenate(rows)
-    tags = [model.decode(rows[k : k + batch])[:, STRIDE : 2 * STRIDE] for k in range(0, len(rows), batch)]
-    if not tags:
+def could_hold(em: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
+    """Blocks that a span of some kind may touch. A span of one kind gains, over no
+    span, at most the sum of its places' best scores less the outside ones, and its
+    best transitions; the best sum that ends at a place is its cumulative sum less
+    the smallest before. Where that stays MARGIN below 0 no span ends."""
+    blocks = len(em)
+    flat = em.reshape(-1, TAGS)
+    marks = np.zeros(len(flat) + 1, np.int64)
+    at = np.arange(len(flat))
+    for k in range(TAGS // 2):
+        b, i = 1 + 2 * k, 2 + 2 * k
+        gain = np.maximum(flat[:, b], flat[:, i]) - flat[:, 0] + max(tr[b, i], tr[i, i]) - tr[0, 0]
+        gain = gain.astype(np.float64)
+        gain[first * BLOCK] -= 1e6  # nothing spans two pieces
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        low = np.minimum.accumulate(total[:-1])
+        since = np.maximum.accumulate(np.where(total[:-1] == low, at, 0))
+        ends = tr[0, b] + max(tr[b, 0], tr[i, 0]) - max(tr[b, i], tr[i, i]) - tr[0, 0]
+        on = np.flatnonzero(total[1:] - low + ends > -MARGIN)
+        np.add.at(marks, since[on], 1)
+        np.add.at(marks, on + 1, -1)
+    return (np.cumsum(marks[:-1]) > 0).reshape(blocks, BLOCK).any(1)
+
+
+def _piece_spans(pieces: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    em, first = text_emissions(pieces, model)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in pieces]
+    hot = np.flatnonzero(could_hold(em, first[:-1], model.p["tr"]))
+    if not len(hot):
         return out
-    kind = (np.concatenate(tags).astype(np.int64) + 1) // 2  # 0 outside, else kind + 1
-    # Join the decided stretches: position key grows along texts and windows.
-    key = (owner[:, None] * (1 << 40) + (where + STRIDE)[:, None] + np.arange(STRIDE)).ravel()
-    flat = kind.ravel()
-    on = np.flatnonzero(flat)
-    if not len(on):
-        return out
-    k, f = key[on], flat[on]
-    new = np.concatenate(([True], (k[1:] != k[:-1] + 1) | (f[1:] != f[:-1])))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(on)) - 1
-    for a, b in zip(first.tolist(), last.tolist()):
-        i, s = divmod(int(k[a]), 1 << 40)
-        out[i].append((s, int(f[a]) - 1, int(k[b]) - (i << 40) + 1))
-    return out
+    # Stretches of blocks around hot ones, none across two pieces.
+    piece = np.searchsorted(first, hot, "right") - 1
+    low, high = np.maximum(hot - REACH, first[piece]), np.minimum(hot + REACH + 1, first[piece + 1])
+    new = np.concatenate(([True], (low[1:] > high[:-1]) | (piece[1:] != piece[:-1])))
+    begin, end, of = low[new], high[np.append(np.flatnonzero(new)[1:], len(hot)) - 1], piece[new]
+    size = end - begin
+    # Stretches of like size (to a factor of 2) go together, some 2^14 blocks at a time.
+    order = np.argsort(size, kind="stable")
+    level = np.log2(size[order]).astype(np.int64)
+    part = np.arange(len(order)) // np.maximum((1 << 13) >> level, 1)
+    cuts = np.flatnonzero((np.diff(level) != 0) | (np.diff(part) != 0)) + 1
+    for group in np.split(order, cuts):
+        blocks = int(size[group].max())
+        x = np.full((len(group), blocks * BLOCK, TAGS), -1e4, np.float32)
+        x[:, :, 0] = 0
+        for k, g in enumerate(group.tolist()):
+            x[k, : size[g] * BLOCK] = em[begin[g] : end[g]].reshape(-1, TAGS)
+        tags = model.viterbi(x.transpose(1, 0, 2)).astype(np.int64)
+        for k, g in enumerate(group.tolist()):
+            off, i = int(begin[g] - first[of[g]]) * BLOCK, int(of[g])
+            out[i] += [(off + s, kind, min(off + e, len(pieces[i]))) for s, kind, e in runs(tags[k]) if off + s < len(pieces[i])]
+    return [sorted(x) for x in out]
+
+
+def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the spans of one row of tags: a begin tag, or a
+    change of kind, starts a new one."""
+    kind = (tags + 1) // 2
+    edge = np.flatnonzero((kind[1:] != kind[:-1]) | ((tags[1:] % 2 == 1) & (kind[1:] > 0))) + 1
+    cuts = [0, *edge.tolist(), len(tags)]
+    return [(a, int(kind[a]) - 1, b) for a, b in zip(cuts, cuts[1:]) if kind[a] > 0]
 
 
 def find(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, kind number, end)."""
-    marked = [i for i, t in enumerate(texts) if re.search("[0-9@]", t)]
-    base = {i: base_spans(texts[i]) for i in marked}
-    seen = model_spans([texts[i] for i in marked], model) if marked else []
-    out: list[tuple[list, list]] = [([], []) for _ in texts]
-    for i, runs in zip(marked, seen):
-        text, spans = texts[i], base[i]
+    out = []
+    for text, found in zip(texts, model_spans(texts, model)):
+        base = base_spans(text)
         added = []
-        for s, kind, e in runs:
-            # A run's ends may be a little off: look for its shape around it.
-            lo, hi = max(0, s - 4), min(len(text), e + 4)
-            for m in SHAPES[kind].finditer(text, lo, hi):
-                a, b = m.start(), m.end()
-                if 2 * (min(b, e) - max(a, s)) >= b - a and sound(kind, m[0]) and not any(x < b and a < y for x, _, y in spans) and not any(x < b and a < y for x, _, y in added):
-                    added.append((a, kind, b))
-        out[i] = (spans, sorted(spans + added))
+        for s, kind, e in found:
+            while e > s and text[e - 1].isspace():
+                e -= 1
+            while s < e and text[s].isspace():
+                s += 1
+            if sound(kind, text[s:e]) and not any(x < e and s < y for x, _, y in base):
+                added.append((s, kind, e))
+        out.append((base, sorted(base + added)))
     return out
 
 
+NAMES = (*KINDS, "secret")
+DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, n_private long"
+
+
 def _joined(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{NAMES[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256 and spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256 and spans of
+    those four kinds; n_secret and secrets likewise, and n_private, all of them."""
     model = trained()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = find([t or "" for t in part.column("text").to_pylist()], model)
-                counts = [pa.array([sum(x[1] == k for x in spans) for _, spans in found], pa.int64()) for k in range(4)]
+                counts = [pa.array([sum(x[1] == k for x in spans) for _, spans in found], pa.int64()) for k in range(SECRET + 1)]
                 sha = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *counts, sha, pa.array([_joined(s) for _, s in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                listed = [pa.array([_joined([x for x in s if (x[1] == SECRET) == own]) for _, s in found], pa.string()) for own in (False, True)]
+                every = pa.array([len(s) for _, s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *counts[:SECRET], sha, listed[0], counts[SECRET], listed[1], every], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_map(docs.select("doc_id", "text"), run, DIGEST)
 
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -402,7 +586,7 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                     at, pieces = 0, []
                     for s, k, e in spans:
                         if s >= at:
-                            pieces += [text[at:s], f"[{KINDS[k].upper()}]"]
+                            pieces += [text[at:s], f"[{NAMES[k].upper()}]"]
                         at = max(at, e)
                     out.append("".join([*pieces, text[at:]]) if spans else text)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in names], names)
