@@ -248,6 +248,26 @@ def test_jaccard_join_of_many_near_copies(spark, monkeypatch):
     out += [(100 + i, shared + " " + " ".join(f"u{i}_{k}" for k in range(int(r.integers(2, 40))))) for i in range(40)]
     monkeypatch.setattr(jaccard, "OFTEN", 4)
     check_join(spark.createDataFrame(out, "doc_id long, text string"))
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "LOT", 2)
+    check_join(spark.createDataFrame(out, "doc_id long, text string"))
+
+
+def test_jaccard_join_of_crowded_buckets_and_groups(spark, monkeypatch):
+    """Texts that share most shingles, a part of them linked in chains, with few
+    equal to the smallest of their bucket; and equal prefixes with unlike rests."""
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(160)]
+    out = []
+    for i in range(90):
+        cut, n = int(r.integers(0, 60)), int(r.integers(60, 100))
+        out.append((i, " ".join(words[cut : cut + n] + [f"e{i % 30}_{k}" for k in range(int(r.integers(0, 12)))])))
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "LOT", 3)
+    check_join(spark.createDataFrame(out, "doc_id long, text string"))
+    # Every shingle is frequent and all of one count: prefixes are the same ones.
+    monkeypatch.setattr(jaccard, "prefix", lambda x, table, percent: (np.sort(x)[: jaccard.prefix_length(len(x), percent)], (0, int((np.sort(x)[jaccard.prefix_length(len(x), percent) - 1] ^ np.uint64(1 << 63)).view(np.int64)))) if len(x) else (x, (0, 0)))
+    check_join(spark.createDataFrame(out, "doc_id long, text string"))
 
 
 def test_jaccard_join_of_nothing(odd):
@@ -533,7 +553,7 @@ def test_no_stretch_that_holds_a_span_is_passed_by(monkeypatch):
     model = pii.trained()
     texts = [t for t, _ in planted(40, 2000, 0.03, 99)]
     some = pii.model_spans(texts, model)
-    monkeypatch.setattr(pii, "could_hold", lambda em, first, tr: np.ones(len(em), bool))
+    monkeypatch.setattr(pii, "could_hold", lambda em, first, tr: np.ones(em.shape[1], bool))
     assert pii.model_spans(texts, model) == some
 
 

@@ -9,9 +9,11 @@ group; groups, not documents, are indexed by their prefix shingles.
 A bucket (the groups with one prefix shingle) never emits all its pairs at once.
 First every bucket compares its members with its smallest group only, and the
 classes of a group with their smallest class; found links give components. Then
-only members of a bucket that are still in different components are paired, so a
-large group of near copies costs a row a member, and no link that could join two
-components stays unread. Group pairs are filtered by size, by the places of the
+crowded buckets that still lie in several components compare a few chance partners
+of each group, which joins those that are alike by way of others. At last members
+of a bucket that are still in different components are paired, so a large group of
+near copies costs some rows a member, and no link that could join two components
+stays unread. Group pairs are filtered by size, by the places of the
 shingle that brings them up, and by a bound on the overlap: how many prefix
 shingles they share, plus what is left beyond. Those left expand to their classes,
 which are verified on the whole sets.
@@ -37,6 +39,7 @@ from tickloom.llm.common import arrow_map, components, drop_table, free_shuffles
 STRETCH = 1 << 21  # shingles looked at together for frequent ones
 OFTEN = 2  # occurrences within a stretch that make a shingle a candidate
 TABLE = 1 << 19  # shingles of the frequency table
+CROWD, LOT, DEALS = 32, 9, 4  # members that make a bucket crowded, members of a lot, deals of a group
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -175,24 +178,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     free_shuffles(spark)
 
-    # Round two: members of a bucket in different components.
-    placed = stage(members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")), "placed")
-    spans = placed.groupBy("gid").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    side = index.select("tok", "gid", "place").join(spans, "gid")
-    mixed = stage(side.groupBy("tok").agg(F.min("c1").alias("least"), F.max("c2").alias("most")).where("least < most").select("tok"), "mixed")
-    side = stage(side.join(mixed, "tok"), "mixed_side")
+    placed, spans, mixed = _torn(index, members, comp, "mixed")
     drop_table(index)
-    left, right = (side.select("tok", F.col("gid").alias(x), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.shiftright("place", 32).alias(f"n{x}"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"p{x}")) for x in "ab")
-    # Groups that lie whole in one and the same component need no look. Of those
-    # left, the first shingle a pair shares has all their overlap at or after it, so
-    # a shingle brings a pair up only where that many are still left on both sides.
-    apart = f"a < b and not (a1 = a2 and b1 = b2 and a1 = b1) and least(na - pa, nb - pb) >= {_need(percent)}"
-    cross = left.join(right, "tok").where(apart).select("a", "b").distinct()
-    heads = (head.select(F.col("gid").alias(x), F.col("prefix").alias(f"h{x}")) for x in "ab")
-    for x, h in zip("ab", heads):
-        cross = cross.join(h, x)
-    both = cross.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"))
-    cross = stage(_bounded(both, groups, percent), "cross")
+
+    # Round two: buckets of more than CROWD groups still in several components are
+    # dealt by a hash to lots of some LOT groups, and each lot compares all its pairs:
+    # a few chance partners a group and bucket join what is alike, at a cost that
+    # grows with the bucket and not with its square. Round three passes nothing by.
+    sides = [_side(mixed.where(F.col("n") > CROWD).withColumn("lot", F.pmod(F.xxhash64("gid", "tok"), F.ceil(F.col("n") / LOT))), x, ["tok", "lot"]) for x in "ab"]
+    chance = stage(_apart(*sides, ["tok", "lot"], percent), "chance")
+    # Likewise the classes of a crowded group, in several deals as they share one key.
+    crowd = placed.join(spans.where("c1 < c2").select("gid"), "gid")
+    crowd = crowd.join(crowd.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "gid").withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(DEALS))))
+    crowd = crowd.withColumn("lot", F.pmod(F.xxhash64("cid", "deal"), F.ceil(F.col("n") / LOT)))
+    x, y = (crowd.select("gid", "deal", "lot", F.col("cid").alias(c), F.col("comp").alias(f"{c}comp")) for c in "ab")
+    within = stage(x.join(y, ["gid", "deal", "lot"]).where("a < b and acomp <> bcomp").select("a", "b").distinct(), "chance_within")
+    if not (chance.isEmpty() and within.isEmpty()):
+        near = stage(_bounded(_shared(chance, head), groups, percent).unionByName(within).distinct(), "near")
+        drop_table(chance)
+        some = verify(near, docs, k, percent)
+        comp = components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(some.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        before = mixed
+        placed, spans, mixed = _torn(before, members, comp, "mixed_again")
+        drop_table(before)
+        free_shuffles(spark)
+
+    # Round three: members of a bucket in different components.
+    cross = _apart(_side(mixed, "a", ["tok"]), _side(mixed, "b", ["tok"]), ["tok"], percent)
+    cross = stage(_bounded(_shared(cross, head), groups, percent), "cross")
     drop_table(full)
     sa, sb = (placed.select(F.col("gid").alias(x), F.col("cid").alias(f"{x}c"), F.col("comp").alias(f"{x}comp")) for x in "ab")
     pairs = cross.join(sa, "a").join(sb, "b").where("acomp <> bcomp").select(F.least("ac", "bc").alias("a"), F.greatest("ac", "bc").alias("b"))
@@ -211,6 +224,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
+def _torn(index: DataFrame, members: DataFrame, comp: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every class with its component, every group with the range of its classes'
+    components, and the index rows (c1 and c2: that range, n: groups) of buckets
+    whose groups lie in more than one."""
+    placed = stage(members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")), "placed")
+    spans = placed.groupBy("gid").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    side = index.select("tok", "gid", "place").join(spans, "gid")
+    torn = stage(side.groupBy("tok").agg(F.min("c1").alias("least"), F.max("c2").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("tok", "n"), name)
+    return placed, spans, stage(side.join(torn, "tok"), f"{name}_side")
+
+
+def _side(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """Index rows as side x (a or b) of a join: xn its size, xp the place in its prefix."""
+    return rows.select(*keys, F.col("gid").alias(x), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.shiftright("place", 32).alias(f"n{x}"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"p{x}"))
+
+
+def _apart(left: DataFrame, right: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs of groups with the same keys. Groups that lie whole in one and the same
+    component need no look. Of those left, the first shingle a pair shares has all
+    their overlap at or after it, so a shingle brings a pair up only where that many
+    are still left on both sides."""
+    on = f"a < b and not (a1 = a2 and b1 = b2 and a1 = b1) and least(na - pa, nb - pb) >= {_need(percent)}"
+    return left.join(right, keys).where(on).select("a", "b").distinct()
+
+
+def _shared(pairs: DataFrame, head: DataFrame) -> DataFrame:
+    """pairs with the number of prefix shingles they share."""
+    for x in "ab":
+        pairs = pairs.join(head.select(F.col("gid").alias(x), F.col("prefix").alias(f"h{x}")), x)
+    return pairs.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"))
+
+
 def _bounded(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Group pairs (a, b, both: shingles their prefixes share) whose sizes and
     prefixes still allow the threshold.
