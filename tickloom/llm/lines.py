@@ -107,10 +107,11 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), spans], ["doc", "th", "fp", "spans"])
 
     placed = stage(arrow_map(keyed.select(F.col("doc_id").cast("long"), "__th", "text"), places, PLACE), "places")
-    shared = placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    # Written, so that a hot fingerprint can be dealt anew for what follows.
+    # Both are written, so that a hot fingerprint's places can be split among tasks.
+    shared = stage(placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "shared")
     near = stage(placed.hint("merge").join(shared, "fp", "left_semi").select("doc", "th", "fp", F.inline("spans")), "extended")
     drop_table(placed)
+    drop_table(shared)
     free_shuffles(spark)
     same = ["fp", "g1", "g2"]
     first = stage(near.groupBy(*same).agg(F.min(F.struct("doc", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first_places")
