@@ -31,7 +31,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,34 +137,35 @@ def land(p: np.ndarray, size: np.ndarray, draw: np.random.Generator, near: float
     return out if best is None or abs(out @ size - want) <= near else best
 
 
-def _fly(pdf: pd.DataFrame, level: int, seed: int, last: bool) -> pd.DataFrame:
+def _fly(rows: pa.Table, ids: tuple[str, ...], level: int, seed: int, last: bool) -> pa.Table:
     """One group's flight, and its landing where it is the source's last."""
-    pdf = pdf.sort_values(["size", "doc_id", "p"], kind="stable", na_position="first")
-    name = f"{seed}|{level}|{pdf['bucket'].iloc[0]}|{pdf['key'].iloc[0]}"
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("size", *ids, "p")], null_placement="at_start"))
+    name = f"{seed}|{level}|{rows['bucket'][0]}|{rows['key'][0]}"
     draw = np.random.default_rng(xxhash.xxh3_64_intdigest(name.encode()))
-    size = pdf["size"].to_numpy()
-    p = flight(pdf["p"].to_numpy(), size, draw, LANDING if last else 2)
-    pdf["p"] = land(p, size, draw, NEAR * float(pdf["target"].iloc[0])) if last else p
-    return pdf
+    size = rows["size"].to_numpy()
+    p = flight(rows["p"].to_numpy(), size, draw, LANDING if last else 2)
+    p = land(p, size, draw, NEAR * rows["target"][0].as_py()) if last else p
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p))
 
 
-def _pilot(level: int, seed: int, last: bool, cols: list[str]):
-    return lambda pdf: _fly(pdf, level, seed, last)[cols]
+def _pilot(ids: tuple[str, ...], level: int, seed: int, last: bool, cols: list[str]):
+    return lambda rows: _fly(rows, ids, level, seed, last).select(cols)
 
 
-FLOWN = "key string, doc_id long, size long, source_size long, target double, whole long, buckets long, p double"
+FLOWN = "key string, {ids}, size long, source_size long, target double, whole long, buckets long, p double"
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, seed: int = 8) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, seed: int = 8, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ids (whole numbers that name a document), size, source_size,
+    target, taken and copies of every document.
 
     One row a source comes to the driver (a mixture names its sources).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), size.alias("size"))
-    sized = stage(sized.groupBy("key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = docs.select(*[F.col(c).cast("long").alias(c) for c in ids], key.alias("key"), size.alias("size"))
+    sized = stage(sized.groupBy("key", *ids, "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     totals = sorted(((r["key"], r["words"], r["rows"]) for r in sized.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("rows")).collect()), key=lambda r: r[0].encode("utf-32-be"))
     goals = word_targets([n for _, n, _ in totals], [weights[i % len(weights)] for i in range(len(totals))], ceiling)
     rows, most = [], 1
@@ -176,13 +178,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     per = spark.createDataFrame(rows, "key string, source_size long, target double, whole long, p double, buckets long")
     # One row a source, made on the driver: bounded by the mixture's own length.
     every = sized.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).join(F.broadcast(per), "key")
-    cols = [c.split()[0] for c in FLOWN.split(", ")]
-    waiting, done, level = every.withColumn("h", F.xxhash64("doc_id", "size", "nth", F.lit(seed))), None, 0
+    schema = FLOWN.format(ids=", ".join(f"`{c}` long" for c in ids))
+    cols = ["key", *ids, "size", "source_size", "target", "whole", "buckets", "p"]
+    waiting, done, level = every.withColumn("h", F.xxhash64(*ids, "size", "nth", F.lit(seed))), None, 0
     while True:
         last = most == 1
         dealt = waiting.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
         groups = dealt.select(*cols, "bucket").groupBy("key", "bucket")
-        flown = groups.applyInPandas(_pilot(level, seed, last, cols), FLOWN)
+        flown = groups.applyInArrow(_pilot(ids, level, seed, last, cols), schema)
         if not last:
             flown = stage(flown, "flown")
         is_open = (F.col("p") > 0) & (F.col("p") < 1)
@@ -193,6 +196,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
         # Every bucket leaves two at most: the next level has 2 / BUCKET times as many.
         level, most = level + 1, -(-2 * most // BUCKET)
         nxt = F.ceil(F.col("buckets") * 2 / BUCKET).cast("long")
-        waiting = flown.where(is_open).withColumn("buckets", nxt).withColumn("h", F.xxhash64("doc_id", "size", "p", F.lit(seed + level)))
+        waiting = flown.where(is_open).withColumn("buckets", nxt).withColumn("h", F.xxhash64(*ids, "size", "p", F.lit(seed + level)))
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return done.select(*ids, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
