@@ -42,14 +42,15 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Rows are known to it by a number of
-    their whole content; equal rows share what is taken of them."""
-    number = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    seen = docs.select(number.alias("doc_id"), "text", "source")
-    taken = mixing.mix(seen).where("copies > 0").groupBy(F.col("doc_id").alias("__number")).agg(F.sum("copies").alias("__copies"))
-    alone = docs.distinct().withColumn("__own", number)
-    both = alone.hint("merge").join(taken, F.col("__own") == F.col("__number"))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them. Rows are known to it by two hashes
+    of their whole content; equal rows share what is taken of them."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    numbers = [F.xxhash64(*every).alias("__a"), F.xxhash64(F.lit("again"), *every).alias("__b")]
+    taken = mixing.mix(docs.select(*numbers, "text", "source"), ids=("__a", "__b")).where("copies > 0").groupBy("__a", "__b").agg(F.sum("copies").alias("__copies"))
+    # One shuffle of the texts serves both the distinct rows and the join.
+    alone = docs.select(F.struct(*every).alias("__row"), *numbers).groupBy("__a", "__b").agg(F.first("__row").alias("__row"))
+    both = alone.hint("merge").join(taken, ["__a", "__b"])
+    return both.select("__row.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
