@@ -35,7 +35,7 @@ from tickloom.llm.common import arrow_map, slices
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)  # the model's own kind
 BLOCK = 32
-WINDOW = 4 * BLOCK
+WINDOW = 8 * BLOCK
 PIECE, SEAM = 1 << 16, 512
 MARGIN, REACH = 0.5, 1
 HIDDEN, EMBED, CHARS = 12, 12, 100
@@ -206,34 +206,35 @@ class Tagger:
         return float((z.sum() - path) / n), g
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """scores() without a trace: input weights folded into a row a character,
-        gates as (1 + tanh(x / 2)) / 2. [time, rows, tags]."""
+        """scores() without a trace, [time, tags, rows]: input weights folded into a
+        column a character, gates as (1 + tanh(x / 2)) / 2, rows innermost."""
         p, n = self.p, HIDDEN
         half = np.full(4 * n, 0.5, np.float32)
         half[3 * n :] = 1
-        t, rows = ids.shape[1], len(ids)
-        out = np.empty((t, rows, TAGS), np.float32)
-        for part, (w, b, wo, order) in enumerate((("wf", "bf", p["wo"][:n], range(t)), ("wb", "bb", p["wo"][n:], range(t - 1, -1, -1)))):
-            table = (p["emb"] @ p[w][:EMBED] + p[b]) * half
-            again = p[w][EMBED:] * half
-            h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-            z = np.empty((rows, 4 * n), np.float32)
+        ids = np.ascontiguousarray(ids.T)
+        t, rows = ids.shape
+        states = np.empty((t, 2 * n, rows), np.float32)
+        for part, (w, b, order) in enumerate((("wf", "bf", range(t)), ("wb", "bb", range(t - 1, -1, -1)))):
+            table = np.ascontiguousarray(((p["emb"] @ p[w][:EMBED] + p[b]) * half).T)
+            again = np.ascontiguousarray((p[w][EMBED:] * half).T)
+            h, c = np.zeros((n, rows), np.float32), np.zeros((n, rows), np.float32)
+            z, x, u = np.empty((4 * n, rows), np.float32), np.empty((4 * n, rows), np.float32), np.empty_like(c)
             for k in order:
-                np.matmul(h, again, out=z)
-                z += table[ids[:, k]]
+                np.take(table, ids[k], axis=1, out=x, mode="clip")
+                np.matmul(again, h, out=z)
+                z += x
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * n]
-                gates *= 0.5
-                gates += 0.5
-                c *= z[:, n : 2 * n]
-                c += z[:, :n] * z[:, 3 * n :]
+                z[: 3 * n] += 1  # twice the gates
+                np.multiply(z[:n], z[3 * n :], out=u)
+                c *= z[n : 2 * n]
+                c += u
+                c *= 0.5
+                h = states[k, part * n : part * n + n]
                 np.tanh(c, out=h)
-                h *= z[:, 2 * n : 3 * n]
-                if part:
-                    out[k] += h @ wo
-                else:
-                    out[k] = h @ wo
-        out += p["bo"]
+                h *= z[2 * n : 3 * n]
+                h *= 0.5
+        out = np.matmul(np.ascontiguousarray(p["wo"].T), states)
+        out += p["bo"][:, None]
         return out
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
@@ -252,7 +253,7 @@ class Tagger:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Viterbi tags [rows, time]."""
-        return self.viterbi(self.emissions(ids))
+        return self.viterbi(self.emissions(ids).transpose(0, 2, 1))
 
 
 class Forms:
@@ -358,7 +359,7 @@ def labelled_text(forms: Forms, length: int, share: float = 0.10) -> tuple[str,
     return text, tag
 
 
-def training_rows(n: int, seed: int, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def training_rows(n: int, seed: int, length: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Labelled character rows, cut anywhere in a text."""
     forms = Forms(seed)
     ids, tags = np.zeros((n, length), np.int64), np.zeros((n, length), np.int64)
@@ -416,24 +417,29 @@ def sound(kind: int, text: str) -> bool:
     return len(text) >= 16 and many > 0 and not re.search(r"\s", text)
 
 
-def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Emission scores of pieces of character ids, one after another in blocks
-    [block, BLOCK, tags], averaged where windows overlap; and each piece's first
+    [tags, block, BLOCK], averaged where windows overlap; and each piece's first
     block."""
+    many = WINDOW // BLOCK
     count = np.array([max(1, -(-(len(x) - BLOCK) // (WINDOW - BLOCK))) for x in pieces], np.int64)
-    first = np.concatenate(([0], np.cumsum(3 * count + 1)))
-    flat = np.zeros(int(first[-1]) * BLOCK, np.int64)
+    first = np.concatenate(([0], np.cumsum((many - 1) * count + 1)))
+    flat = np.zeros(int(first[-1]) * BLOCK, np.int16)
     for x, b in zip(pieces, first.tolist()):
         flat[b * BLOCK : b * BLOCK + len(x)] = x
-    start = np.repeat(first[:-1], count) + 3 * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    total, met = np.zeros((int(first[-1]), BLOCK, TAGS), np.float32), np.zeros(int(first[-1]), np.float32)
+    start = np.repeat(first[:-1], count) + (many - 1) * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    total = np.zeros((TAGS, int(first[-1]), BLOCK), np.float32)
     for k in range(0, len(start), rows):
         at = start[k : k + rows]
-        em = model.emissions(flat[at[:, None] * BLOCK + np.arange(WINDOW)]).transpose(1, 0, 2).reshape(len(at), 4, BLOCK, TAGS)
-        for j in range(4):  # at most one window has a block as its j-th
-            total[at + j] += em[:, j]
-            met[at + j] += 1
-    return total / np.maximum(met, 1)[:, None, None], first
+        em = model.emissions(flat[at[:, None] * BLOCK + np.arange(WINDOW)]).transpose(1, 2, 0).reshape(TAGS, len(at), many, BLOCK)
+        for j in range(many):  # at most one window has a block as its j-th
+            if j in (0, many - 1):
+                total[:, at + j] += em[:, :, j]
+            else:
+                total[:, at + j] = em[:, :, j]
+    met = np.bincount(np.concatenate([start, start + many - 1]), minlength=total.shape[1])
+    total[:, met > 1] *= 0.5
+    return total, first
 
 
 def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -471,23 +477,24 @@ def could_hold(em: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
     span, at most the sum of its places' best scores less the outside ones, and its
     best transitions; the best sum that ends at a place is its cumulative sum less
     the smallest before. Where that stays MARGIN below 0 no span ends."""
-    blocks = len(em)
-    flat = em.reshape(-1, TAGS)
-    marks = np.zeros(len(flat) + 1, np.int64)
-    at = np.arange(len(flat))
+    flat = em.reshape(TAGS, -1)
+    marks = np.zeros(flat.shape[1] + 1, np.int64)
+    total = np.zeros(flat.shape[1] + 1)
     for k in range(TAGS // 2):
         b, i = 1 + 2 * k, 2 + 2 * k
-        gain = np.maximum(flat[:, b], flat[:, i]) - flat[:, 0] + max(tr[b, i], tr[i, i]) - tr[0, 0]
-        gain = gain.astype(np.float64)
+        gain = np.maximum(flat[b], flat[i])
+        gain -= flat[0]
+        gain += max(tr[b, i], tr[i, i]) - tr[0, 0]
         gain[first * BLOCK] -= 1e6  # nothing spans two pieces
-        total = np.concatenate(([0.0], np.cumsum(gain)))
+        np.cumsum(gain, dtype=np.float64, out=total[1:])
         low = np.minimum.accumulate(total[:-1])
-        since = np.maximum.accumulate(np.where(total[:-1] == low, at, 0))
         ends = tr[0, b] + max(tr[b, 0], tr[i, 0]) - max(tr[b, i], tr[i, i]) - tr[0, 0]
-        on = np.flatnonzero(total[1:] - low + ends > -MARGIN)
-        np.add.at(marks, since[on], 1)
-        np.add.at(marks, on + 1, -1)
-    return (np.cumsum(marks[:-1]) > 0).reshape(blocks, BLOCK).any(1)
+        on = np.flatnonzero(total[1:] - low > -MARGIN - ends)
+        if len(on):
+            lows = np.flatnonzero(total[:-1] == low)
+            np.add.at(marks, lows[np.searchsorted(lows, on, "right") - 1], 1)
+            np.add.at(marks, on + 1, -1)
+    return (np.cumsum(marks[:-1]) > 0).reshape(-1, BLOCK).any(1)
 
 
 def _piece_spans(pieces: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -512,7 +519,7 @@ def _piece_spans(pieces: list[np.ndarray], model: Tagger) -> list[list[tuple[int
         x = np.full((len(group), blocks * BLOCK, TAGS), -1e4, np.float32)
         x[:, :, 0] = 0
         for k, g in enumerate(group.tolist()):
-            x[k, : size[g] * BLOCK] = em[begin[g] : end[g]].reshape(-1, TAGS)
+            x[k, : size[g] * BLOCK] = em[:, begin[g] : end[g]].reshape(TAGS, -1).T
         tags = model.viterbi(x.transpose(1, 0, 2)).astype(np.int64)
         for k, g in enumerate(group.tolist()):
             off, i = int(begin[g] - first[of[g]]) * BLOCK, int(of[g])
