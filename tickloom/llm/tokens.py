@@ -20,9 +20,9 @@ import numpy as np
 
 from tickloom.llm.common import trim
 
-KEEP = 120_000  # pieces a worker keeps before it starts again, some 25 MB
+KEEP = 700_000  # pieces a worker keeps before it starts again, some 75 MB
 _WIDE = 23  # longest piece, in bytes, that the vector path handles
-_TABLE = 1 << 19
+_TABLE = 1 << 22
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -96,16 +96,8 @@ class Encoder:
         self.start[at] = self.filled + np.cumsum(counts) - counts
         self.used += n
         self.filled += m
-        self.slot.update(zip(pieces, at.tolist()))
         return at
 
-    def _find(self, pieces: list[bytes]) -> np.ndarray:
-        slot = self.slot
-        fresh = list(dict.fromkeys(p for p in pieces if p not in slot))
-        if fresh:
-            self._learn(fresh)
-        return np.array([slot[p] for p in pieces], np.int64)
-
     def _literals(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
         """Where the text of an added token stands within one document."""
         if self.added is None:
@@ -154,20 +146,25 @@ class Encoder:
             h = (h ^ (h >> np.uint64(31))) + k2 * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
-            cell = (h >> np.uint64(45)).astype(np.int64)
+            cell = (h >> np.uint64(42)).astype(np.int64)
         of = self.table[cell].astype(np.int64)
         key = self.keys[of]
         hit = (key[:, 0] == k0) & (key[:, 1] == k1) & (key[:, 2] == k2) & (size <= _WIDE)
         miss = np.flatnonzero(~hit)
         if len(miss):
             data = buf.tobytes()
-            got = self._find([data[i:j] for i, j in zip(starts[miss].tolist(), ends[miss].tolist())])
-            of[miss] = got
-            short = size[miss] <= _WIDE
-            m, g = miss[short], got[short]
-            self.keys[g] = np.stack([k0[m], k1[m], k2[m]], axis=1)
-            free = self.table[cell[m]] == 0  # a cell keeps its first piece; others go by the dictionary
-            self.table[cell[m][free]] = g[free]
+            met = [data[i:j] for i, j in zip(starts[miss].tolist(), ends[miss].tolist())]
+            new = {p: k for k, p in enumerate(met) if p not in self.slot}  # piece: one of its places
+            at = miss[np.fromiter(new.values(), np.int64, len(new))]
+            got = self._learn(list(new)) if new else np.zeros(0, np.int64)
+            here = dict(zip(new, got.tolist()))
+            of[miss] = [here[p] if p in here else self.slot[p] for p in met]
+            short = size[at] <= _WIDE
+            self.keys[got[short]] = np.stack([k0[at[short]], k1[at[short]], k2[at[short]]], axis=1)
+            # A cell keeps its first piece; other pieces, and wide ones, go by the dictionary.
+            self.table[cell[at[short]]] = np.where(self.table[cell[at[short]]] == 0, got[short], self.table[cell[at[short]]])
+            rest = ~short | (self.table[cell[at]] != got)
+            self.slot.update((p, g) for p, g, on in zip(new, got.tolist(), rest.tolist()) if on)
         cnt = self.count[of].astype(np.int64)
         end = np.cumsum(cnt)
         total = int(end[-1]) if len(end) else 0
@@ -176,14 +173,17 @@ class Encoder:
         return ids, upto
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 @contextlib.contextmanager
 def encoder(path: str):
-    """An encoder for a vocabulary file, for the length of one task: a reused
-    worker keeps nothing of it."""
-    enc = Encoder(path)
+    """The worker's encoder for a vocabulary file. Its pieces stay for the next
+    task, KEEP at most."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
     try:
-        yield enc
+        yield _ENCODERS[path]
     finally:
-        enc.reset()
-        del enc
         trim()
