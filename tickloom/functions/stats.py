@@ -81,18 +81,21 @@ def sharpe_table(returns: DataFrame, by: list[str], value: str = "r") -> DataFra
     return t.where("t >= 2").withColumn("se", F.when(var > 0, F.sqrt(var)))
 
 
-def autocorrelation_error(returns: DataFrame, by: list[str], order: list[str], value: str = "r", max_lags: int = 40) -> DataFrame:
+def autocorrelation_error(returns: DataFrame, by: list[str], order: list[str], value: str = "r") -> DataFrame:
     """Per candidate with 8 values or more: t, n_lags (the rule of thumb), the sum
     of autocorrelations and sqrt((1 + 2 sum) / t), null where that is not positive.
 
-    Every lag is one lag() over the same window, so one sort serves all; rows of
-    any candidate stay distributed."""
+    Every lag is one lag() over the same window, so one sort serves all. There are
+    as many as the longest candidate's rule asks for: its length, one number, comes
+    to the driver first."""
+    longest = returns.groupBy(*by).agg(F.count(value).alias("t")).agg(F.max("t").alias("t")).first()["t"] or 0
+    most = default_lags(longest) + 1 if longest else 0  # one more, should roundings differ
     w = Window.partitionBy(*by)
     o = w.orderBy(*order)
     base = returns.withColumn("_d", F.col(value) - F.avg(value).over(w)).withColumn("_t", F.count(value).over(w)).where("_t >= 8")
     base = base.withColumn("_l", F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_t") / 100.0, F.lit(2 / 9)))).cast("int"))
     lagged = F.lit(0.0)
-    for k in range(1, max_lags + 1):
+    for k in range(1, most + 1):
         lagged = lagged + F.when(F.col("_l") >= k, F.coalesce(F.lag("_d", k).over(o), F.lit(0.0))).otherwise(0.0)
     rows = base.withColumn("_p", F.col("_d") * lagged)
     out = rows.groupBy(*by).agg(F.max("_t").alias("t"), F.max("_l").alias("n_lags"), (F.sum("_p") / F.sum(F.col("_d") * F.col("_d"))).alias("autocorr_sum"))

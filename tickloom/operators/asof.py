@@ -1,7 +1,8 @@
 """As-of joins by one union and one window, and interval predicates.
 
 Spark has no AS OF keyword; a union of both sides sorted by time with the last
-(or first) right row carried along is one shuffle and one sort, in any size.
+(or next) right row carried along is one shuffle and one sort. It is taken within
+a key's days, and only each day's last (or first) right row passes between days.
 Ties: a right row at the left row's own instant is visible.
 """
 
@@ -9,13 +10,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import micros
+from tickloom.operators.slices import latest
 
 
-def _carry(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], forward: bool, right_first: bool) -> DataFrame:
+def _carry(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], columns: list[str], forward: bool, right_first: bool, span: int) -> DataFrame:
     l_cols = left.columns
     payload = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in columns])
     l = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*l_cols).alias("_left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"))  # noqa: E741
@@ -26,22 +28,22 @@ def _carry(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: l
     if forward:
         # Backward in time: frames that end at the partition's end cost its square.
         order = [F.col("_t").desc(), F.col("_side").desc() if right_first else F.col("_side").asc()]
-    w = Window.partitionBy(*by).orderBy(*order)
-    seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return l.unionByName(r).withColumn("_seen", seen).where("_side = 1").select("_left.*", "_seen")
+    at = F.floor(F.unix_date(F.to_date("_t")) / span).cast("long")
+    return latest(l.unionByName(r), "_seen", "_right", by, order, at, forward).where("_side = 1").select("_left.*", "_seen")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance: timedelta | None, by: list[str] | None = None, columns: list[str] | None = None, strict: bool = False, unlimited: bool = False) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance: timedelta | None, by: list[str] | None = None, columns: list[str] | None = None, strict: bool = False, unlimited: bool = False, span: int = 1) -> DataFrame:
     """Each left row with the latest right row at or before it (before it, if
     strict), no older than tolerance; older ones give nulls. A missing tolerance
-    is refused unless unlimited is stated."""
+    is refused unless unlimited is stated. span: days of a slice; more of them where
+    there are many keys with few rows each."""
     if tolerance is None and not unlimited:
         raise ValueError("an as-of join needs a staleness limit")
     if tolerance is not None and tolerance <= timedelta(0):
         raise ValueError("the staleness limit must be positive")
     by = by if by is not None else ["symbol"]
     columns = columns if columns is not None else [c for c in right.columns if c not in by and c not in left.columns]
-    got = _carry(left, right, left_on, right_on, by, columns, False, not strict)
+    got = _carry(left, right, left_on, right_on, by, columns, False, not strict, span)
     fresh = F.col("_seen").isNotNull()
     if tolerance is not None:
         fresh = fresh & (micros(F.col(left_on)) - micros(F.col("_seen._at")) <= int(tolerance.total_seconds() * 1e6))
@@ -52,7 +54,7 @@ def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     """Each left row with the first right row at or after it."""
     by = by if by is not None else ["symbol"]
     columns = columns if columns is not None else [c for c in right.columns if c not in by and c not in left.columns]
-    got = _carry(left, right, left_on, right_on, by, columns, True, False)
+    got = _carry(left, right, left_on, right_on, by, columns, True, False, 1)
     return got.select(*left.columns, *[F.col(f"_seen.{c}").alias(c) for c in columns])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.sessions import timeframe_seconds
+from tickloom.operators.slices import day, previous
 
 
 def micros(ts: Column) -> Column:
@@ -31,13 +32,13 @@ def overlaps(start: Column, end: Column, outages: list[tuple[datetime, datetime]
 def resample(ticks: DataFrame, timeframe: str, threshold_ms: int, outages: list | None = None) -> DataFrame:
     """Two-sided bars with coverage flags; empty bars are not made.
 
-    The quote gap before a tick is booked in the tick's own bar. One shuffle by
-    symbol serves the lag; the aggregate combines on the map side.
+    The quote gap before a tick is booked in the tick's own bar. The lag is taken
+    within a symbol's days, only each day's last instant passes between them; the
+    aggregate combines on the map side.
     """
     seconds = timeframe_seconds(timeframe)
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
-    gap = F.coalesce((micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)), F.lit(0))
-    t = ticks.withColumn("_gap", F.floor(gap / 1000).cast("long")).withColumn("ts_open", bucket_start(F.col("ts"), seconds))
+    gap = F.coalesce(micros(F.col("ts")) - F.col("_before"), F.lit(0))
+    t = previous(ticks, "_before", micros(F.col("ts")), ["symbol"], ["ts", "seq"], day("ts")).withColumn("_gap", F.floor(gap / 1000).cast("long")).withColumn("ts_open", bucket_start(F.col("ts"), seconds))
     at = F.struct("ts", "seq")
     sides = [f(x).alias(f"{x}_{n}") for x in ("bid", "ask") for n, f in (("open", lambda c: F.min_by(c, at)), ("high", F.max), ("low", F.min), ("close", lambda c: F.max_by(c, at)))]
     out = t.groupBy("symbol", "ts_open").agg(*sides, F.sum("bid_volume").alias("volume"), F.count(F.lit(1)).alias("tick_count"), F.max("_gap").alias("max_quote_gap_ms"))

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.sessions import SESSIONS, session_bucket
 from tickloom.operators.bars import micros, resample
+from tickloom.operators.slices import block, day, numbered, previous
 
 LEVELS = (("symbol", "session", "volatility", "news", "weekday"), ("symbol", "session", "volatility"), ("symbol", "session"), ("symbol",))
 MULTIPLES = (0.5, 1.0, 2.0, 3.0)
+LEVEL = 0.01  # pips of a slice where episodes are ranked by spread
 
 
 def fresh_spreads(ticks: DataFrame, pip: float, max_gap_ms: int = 120_000) -> DataFrame:
     """seq, symbol, ts and pips of every positive spread whose quote follows the
     one before within max_gap_ms."""
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
-    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)
-    t = ticks.withColumn("_gap", gap).withColumn("pips", (F.col("ask") - F.col("bid")) / F.lit(pip))
+    t = previous(ticks, "_before", micros(F.col("ts")), ["symbol"], ["ts", "seq"], day("ts"))
+    t = t.withColumn("_gap", micros(F.col("ts")) - F.col("_before")).withColumn("pips", (F.col("ask") - F.col("bid")) / F.lit(pip))
     return t.where((F.col("_gap") <= max_gap_ms * 1000) & (F.col("pips") > 0)).select("seq", "symbol", "ts", "pips")
 
 
@@ -29,9 +30,8 @@ def entry_episodes(ticks: DataFrame, pip: float, max_gap_ms: int = 120_000) -> D
 
 def stressed_quarter(episodes: DataFrame) -> DataFrame:
     """The widest quarter (at least one) of each symbol's session, ties to the later."""
-    w = Window.partitionBy("symbol", "session")
-    t = episodes.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("pips"), F.desc("seq"))))
-    return t.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 4))).drop("_n", "_r")
+    t = numbered(episodes, ["symbol", "session"], [F.desc("pips"), F.desc("seq")], -block("pips", LEVEL))
+    return t.where(F.col("_pos") < F.greatest(F.lit(1), F.floor(F.col("_n") / 4))).drop("_n", "_pos")
 
 
 def nearest_rank(x: str, q: float):
@@ -72,11 +72,10 @@ def draw(cells: DataFrame, episodes: DataFrame, seed: int, draws: int = 1) -> Da
     """Seeded draws from each cell's own episodes: the sample whose rank a hash of
     (seed, key, draw) names."""
     keys = list(LEVELS[0])
-    w = Window.partitionBy(*keys)
-    ranked = episodes.withColumn("_r", F.row_number().over(w.orderBy("pips", "seq")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    sizes = ranked.select(*keys, "_n").distinct()
+    ranked = numbered(episodes, keys, [F.col("pips"), F.col("seq")], block("pips", LEVEL)).withColumnRenamed("_pos", "_r")
+    sizes = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     want = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(sizes, keys)
-    want = want.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.col("_n")).cast("int"))
+    want = want.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.col("_n")))
     return want.join(ranked.select(*keys, "_r", "pips"), [*keys, "_r"]).drop("_r", "_n")
 
 
@@ -86,12 +85,13 @@ def median_true_range(ticks: DataFrame, timeframe: str, pip: float, window: int,
     with fewer than `least` give nothing. compat measures against the previous
     high, as older records did, instead of the previous close."""
     bars = resample(ticks, timeframe, threshold_ms).where("coverage_ok")
+    # The last window + 1 bars of a symbol are all that is read.
+    bars = numbered(bars, ["symbol"], [F.col("ts_open")], day("ts_open")).withColumnRenamed("_n", "_all").where(F.col("_pos") >= F.col("_all") - window - 1)
     o = Window.partitionBy("symbol").orderBy("ts_open")
     last = F.lag("bid_high" if compat else "bid_close").over(o)
     tr = F.greatest(F.col("bid_high") - F.col("bid_low"), F.abs(F.col("bid_high") - last), F.abs(F.col("bid_low") - last)) / F.lit(pip)
     w = Window.partitionBy("symbol")
-    t = bars.withColumn("tr", tr).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_back", F.row_number().over(w.orderBy(F.desc("ts_open"))))
-    t = t.withColumn("bars_used", F.least(F.lit(window), F.col("_n") - 1)).where((F.col("bars_used") >= least) & (F.col("_back") <= F.col("bars_used")))
+    t = bars.withColumn("tr", tr).withColumn("bars_used", F.least(F.lit(window), F.col("_all") - 1)).where((F.col("bars_used") >= least) & (F.col("_all") - F.col("_pos") <= F.col("bars_used")))
     t = t.withColumn("_rank", F.row_number().over(w.orderBy("tr", "ts_open")))
     return t.where(F.col("_rank") == F.floor(F.col("bars_used") / 2) + 1).select("symbol", F.col("bars_used").cast("long").alias("bars_used"), F.col("tr").alias("median_tr"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.sessions import capture_bucket
+from tickloom.operators.slices import day, previous
 
 
 def keep_last(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -34,9 +35,9 @@ def missing_slots(rows: DataFrame, ts: str, unit: str, by: str = "symbol") -> Da
 def episode_visits(ticks: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Visits (runs of ticks) to each capture bucket by symbol; a tick in no bucket
     ends a run."""
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
     t = ticks.withColumn("bucket", capture_bucket(F.col("ts")) if bucket is None else bucket)
-    new = F.col("bucket").isNotNull() & ~F.col("bucket").eqNullSafe(F.lag("bucket").over(w))
+    t = previous(t, "_last", F.col("bucket"), ["symbol"], ["ts", "seq"], day("ts"))
+    new = F.col("bucket").isNotNull() & ~F.col("bucket").eqNullSafe(F.col("_last"))
     return t.withColumn("_new", new).where("bucket IS NOT NULL").groupBy("symbol", "bucket").agg(F.count_if("_new").alias("visits"), F.count(F.lit(1)).alias("ticks"))
 
 

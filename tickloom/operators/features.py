@@ -1,6 +1,7 @@
 """Causal features over trailing rows of one symbol, keyed by available_at.
 
-A window that is not full gives null. All frames share one (symbol, time) sort.
+A window that is not full gives null. Histories are cut into stretches that carry
+the rows their frames look back on (see slices.over), so a symbol is many tasks.
 """
 
 from __future__ import annotations
@@ -9,9 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ordered(ts: str = "available_at"):
-    return Window.partitionBy("symbol").orderBy(ts)
+from tickloom.operators.slices import day, numbered, over
 
 
 def full(fn, x: Column, n: int, w) -> Column:
@@ -26,26 +25,30 @@ def change(x: Column, n: int, w) -> Column:
 
 def returns_and_atr(bars: DataFrame, n: int = 1, atr: int = 14) -> DataFrame:
     """ret_1 and atr (mean of the larger of range and distance from the last close)."""
-    w = ordered()
     c = F.col("bid_close")
-    t = bars.withColumn("ret_1", change(c, n, w)).withColumn("_tr", F.greatest(F.col("bid_high") - F.col("bid_low"), F.abs(c - F.lag(c).over(w))))
-    return t.withColumn("atr", full(F.avg, F.col("_tr"), atr, w)).drop("_tr")
+
+    def make(t, w):
+        t = t.withColumn("ret_1", change(c, n, w)).withColumn("_tr", F.greatest(F.col("bid_high") - F.col("bid_low"), F.abs(c - F.lag(c).over(w))))
+        return t.withColumn("atr", full(F.avg, F.col("_tr"), atr, w)).drop("_tr")
+
+    return over(bars, make, max(n, atr), "available_at")
 
 
 def spread_regime(bars: DataFrame, n: int = 60, elevated: float = 1.5) -> DataFrame:
     """spread_median over n rows, its ratio, and normal or elevated."""
-    w = ordered()
-    t = bars.withColumn("spread", F.col("ask_close") - F.col("bid_close"))
-    frame = w.rowsBetween(-(n - 1), 0)
-    t = t.withColumn("spread_median", F.when(F.count("spread").over(frame) >= n, F.percentile("spread", F.lit(0.5)).over(frame)))
+
+    def make(t, w):
+        frame = w.rowsBetween(-(n - 1), 0)
+        return t.withColumn("spread_median", F.when(F.count("spread").over(frame) >= n, F.percentile("spread", F.lit(0.5)).over(frame)))
+
+    t = over(bars.withColumn("spread", F.col("ask_close") - F.col("bid_close")), make, n - 1, "available_at")
     t = t.withColumn("spread_ratio", F.col("spread") / F.nullif(F.col("spread_median"), F.lit(0.0)))
     return t.withColumn("spread_regime", F.when(F.col("spread_ratio").isNull(), None).when(F.col("spread_ratio") > elevated, "elevated").otherwise("normal"))
 
 
 def trend_regime(bars: DataFrame, n: int = 200, bound: float = 0.5) -> DataFrame:
-    w = ordered()
     c = F.col("bid_close")
-    t = bars.withColumn("trend_strength", (c - full(F.avg, c, n, w)) / F.nullif(full(F.stddev_samp, c, n, w), F.lit(0.0)))
+    t = over(bars, lambda t, w: t.withColumn("trend_strength", (c - full(F.avg, c, n, w)) / F.nullif(full(F.stddev_samp, c, n, w), F.lit(0.0))), n - 1, "available_at")
     s = F.col("trend_strength")
     return t.withColumn("trend_state", F.when(s.isNull(), None).when(s > bound, "up").when(s < -bound, "down").otherwise("none"))
 
@@ -55,33 +58,41 @@ def vol_quintile(with_atr: DataFrame, mean: int = 20, lookback: int = 252, inter
     quantiles, thresholds inclusive.
 
     Trailing quantiles over long frames are quadratic in Spark's frame evaluator;
-    pandas keeps a sorted window. One group is one symbol's history.
+    pandas keeps a sorted window, over one stretch of a symbol's history at a time.
     """
-    cols = [*with_atr.columns, "vol_regime_quintile"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_atr.schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("available_at", kind="stable")
+        pdf = pdf.sort_values("_pos")
         a = pdf["atr"].rolling(mean).mean()
         roll = a.rolling(lookback)
         q = [roll.quantile(p, interpolation=interpolation) for p in (0.2, 0.4, 0.6, 0.8)]
         out = 1 + sum((a > x).astype("int64") for x in q)
         pdf["vol_regime_quintile"] = out.astype("Int64").where(a.notna() & q[3].notna())
-        return pdf[cols]
+        return pdf
+
+    return over(with_atr, lambda t, w: t.groupBy("symbol", "_stretch").applyInPandas(run, _kinds(t) + ", vol_regime_quintile long"), mean + lookback, "available_at")
 
-    return with_atr.groupBy("symbol").applyInPandas(run, kinds + ", vol_regime_quintile long")
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def channels(bars: DataFrame, windows: tuple[int, ...] = (24, 48, 60, 96, 240, 336), ts: str = "ts") -> DataFrame:
     """hh_n and ll_n, current row included."""
-    w = ordered(ts)
+    return over(bars, lambda t, w: _channels(t, windows, w), max(windows), ts)
+
+
+def _channels(bars: DataFrame, windows: tuple[int, ...], w) -> DataFrame:
     for n in windows:
         bars = bars.withColumn(f"hh_{n}", full(F.max, F.col("high"), n, w)).withColumn(f"ll_{n}", full(F.min, F.col("low"), n, w))
     return bars
 
 
 def averages(bars: DataFrame, windows: tuple[int, ...] = (20, 50, 100, 200), ts: str = "ts") -> DataFrame:
-    w = ordered(ts)
+    return over(bars, lambda t, w: _averages(t, windows, w), max(windows), ts)
+
+
+def _averages(bars: DataFrame, windows: tuple[int, ...], w) -> DataFrame:
     for n in windows:
         bars = bars.withColumn(f"sma_{n}", full(F.avg, F.col("close"), n, w))
     return bars
@@ -102,14 +113,14 @@ def z_score(x: Column, n: int, w) -> Column:
 def wilder_rsi(bars: DataFrame, n: int = 14, ts: str = "ts") -> DataFrame:
     """rsi with Wilder's recursive mean, seeded by the mean of the first n changes.
 
-    A recursion over the whole history is no frame, so it runs in pandas, one
-    symbol's history at a time.
+    A recursion over the whole history is no frame, so it runs in pandas, over one
+    stretch of a symbol's history at a time. A stretch but the first starts 64 n rows
+    early with a seed of its own: what is left of a seed after that many rows is
+    less than 1e-27 of it, far below a double's rounding.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
-    cols = [*bars.columns, "rsi"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
+        pdf = pdf.sort_values("_pos")
         d = pdf["close"].diff()
         out = pd.Series(float("nan"), pdf.index)
         if len(pdf) > n:
@@ -122,9 +133,9 @@ def wilder_rsi(bars: DataFrame, n: int = 14, ts: str = "ts") -> DataFrame:
             gain, loss = ends
             out.iloc[n:] = (100 - 100 / (1 + gain / loss.where(loss > 0))).fillna(100.0)
         pdf["rsi"] = out.where(out.notna(), None)
-        return pdf[cols]
+        return pdf
 
-    return bars.groupBy("symbol").applyInPandas(run, kinds + ", rsi double")
+    return over(bars, lambda t, w: t.groupBy("symbol", "_stretch").applyInPandas(run, _kinds(t) + ", rsi double"), 64 * n, ts)
 
 
 def day_levels(bars: DataFrame, ts: str = "ts") -> DataFrame:
@@ -138,17 +149,20 @@ def day_levels(bars: DataFrame, ts: str = "ts") -> DataFrame:
 
 def lab_bundle(bars: DataFrame) -> DataFrame:
     """All features the bar strategies read, on (symbol, ts, open, high, low, close)."""
-    w = ordered("ts")
-    t = channels(averages(bars))
-    t = t.withColumn("_tr", true_range(w)).withColumn("atr", full(F.avg, F.col("_tr"), 14, w)).drop("_tr")
-    t = t.withColumn("ret1", F.coalesce(change(F.col("close"), 1, w), F.lit(0.0))).withColumn("ret5", F.coalesce(change(F.col("close"), 5, w), F.lit(0.0)))
-    t = t.withColumn("vol_z", z_score(F.col("ret1"), 120, w)).withColumn("range_z", z_score(F.col("high") - F.col("low"), 120, w))
-    return wilder_rsi(day_levels(t))
+    lines, means = (24, 48, 60, 96, 240, 336), (20, 50, 100, 200)
+
+    def make(t, w):
+        t = _channels(_averages(t, means, w), lines, w)
+        t = t.withColumn("_tr", true_range(w)).withColumn("atr", full(F.avg, F.col("_tr"), 14, w)).drop("_tr")
+        t = t.withColumn("ret1", F.coalesce(change(F.col("close"), 1, w), F.lit(0.0))).withColumn("ret5", F.coalesce(change(F.col("close"), 5, w), F.lit(0.0)))
+        return t.withColumn("vol_z", z_score(F.col("ret1"), 120, w)).withColumn("range_z", z_score(F.col("high") - F.col("low"), 120, w))
+
+    return wilder_rsi(day_levels(over(bars, make, max(lines), "ts")))
 
 
 def centred_mean(bars: DataFrame, n: int = 2, ts: str = "available_at") -> DataFrame:
     """A feature that looks ahead, for negative controls."""
-    return bars.withColumn("centred", F.avg("bid_close").over(ordered(ts).rowsBetween(-n, n)))
+    return over(bars, lambda t, w: t.withColumn("centred", F.avg("bid_close").over(w.rowsBetween(-n, n))), n, ts, after=n)
 
 
 def full_rank(bars: DataFrame) -> DataFrame:
@@ -163,8 +177,8 @@ def truncation_difference(pipeline, inputs: DataFrame, cutoff, columns: list[str
     an honest pipeline."""
     key = ["symbol", "available_at"]
     cut = F.lit(cutoff).cast("timestamp_ntz")
-    w = Window.partitionBy("symbol").orderBy("available_at")
-    pick = lambda df: df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > warmup).where(F.col("available_at") <= cut)
+    place = lambda df: numbered(df, ["symbol"], [F.col("available_at")], day("available_at")).where(F.col("_pos") >= warmup)
+    pick = lambda df: (place(df) if warmup else df).where(F.col("available_at") <= cut)
     whole, part = pick(pipeline(inputs)), pick(pipeline(inputs.where(F.col("available_at") <= cut)))
     a = whole.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_a"))
     b = part.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_b"))

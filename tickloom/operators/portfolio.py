@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.slices import day, running
+
 
 def profit_factor(x: Column) -> Column:
     win, loss = F.sum(F.when(x > 0, x).otherwise(0.0)), -F.sum(F.when(x < 0, x).otherwise(0.0))
@@ -14,9 +16,8 @@ def profit_factor(x: Column) -> Column:
 def equity_curve(trades: DataFrame, by: list[str], start: float = 10_000.0) -> DataFrame:
     """trades with balance, peak (the start included) and dd_pct, in order of
     (exit_ts, seq) within `by`."""
-    w = Window.partitionBy(*by).orderBy("exit_ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = trades.withColumn("balance", F.lit(start) + F.sum("pnl").over(w))
-    t = t.withColumn("peak", F.greatest(F.lit(start), F.max("balance").over(w)))
+    t = running(trades, F.col("pnl"), by, ["exit_ts", "seq"], day("exit_ts"), "_total", "_high")
+    t = t.withColumn("balance", start + F.col("_total")).withColumn("peak", start + F.greatest(F.lit(0.0), F.col("_high"))).drop("_total", "_high")
     return t.withColumn("dd_pct", 100 * (F.col("peak") - F.col("balance")) / F.col("peak"))
 
 
@@ -24,12 +25,11 @@ def compounded_curve(trades: DataFrame, by: list[str], risk: Column, start: floa
     """equity, peak and dd_pct where every trade moves the balance by r * risk of
     itself. Sums of logarithms hold while 1 + r * risk is positive; a trade that
     takes all leaves nothing from then on."""
-    w = Window.partitionBy(*by).orderBy("exit_ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = 1 + F.col("r") * risk
-    t = trades.withColumn("_g", g).withColumn("_dead", F.max(F.when(F.col("_g") <= 0, 1).otherwise(0)).over(w))
-    t = t.withColumn("equity", F.when(F.col("_dead") == 1, 0.0).otherwise(start * F.exp(F.sum(F.when(F.col("_g") > 0, F.log("_g")).otherwise(0.0)).over(w))))
-    t = t.withColumn("peak", F.greatest(F.lit(start), F.max("equity").over(w)))
-    return t.withColumn("dd_pct", 100 * (F.col("peak") - F.col("equity")) / F.col("peak")).drop("_g", "_dead")
+    # A logarithm of -1e9 is a total loss that nothing makes up for again.
+    t = running(trades, F.when(g > 0, F.log(g)).otherwise(-1e9), by, ["exit_ts", "seq"], day("exit_ts"), "_total", "_high")
+    t = t.withColumn("equity", F.when(F.col("_total") < -5e8, 0.0).otherwise(start * F.exp("_total"))).withColumn("peak", start * F.exp(F.greatest(F.lit(0.0), F.col("_high"))))
+    return t.withColumn("dd_pct", 100 * (F.col("peak") - F.col("equity")) / F.col("peak")).drop("_total", "_high")
 
 
 def trade_metrics(trades: DataFrame, by: list[str], start: float = 10_000.0) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.slices import block, over, previous
 
 
 def check_ticks(ticks: DataFrame) -> DataFrame:
@@ -37,10 +38,12 @@ def weekend(bars: DataFrame, ts: str = "ts_open") -> DataFrame:
 def spikes(bars: DataFrame, times: float = 15.0, rows: int = 100, ts: str = "ts_open") -> DataFrame:
     """Bars whose |close / open - 1| exceeds `times` the deviation of the bar
     returns before it (at most `rows`, at least two)."""
-    w = Window.partitionBy("symbol").orderBy(ts)
-    r = F.col("bid_close") / F.col("bid_open") - 1
-    back = w.rowsBetween(-rows, -1)
-    t = bars.withColumn("ret", r).withColumn("sigma", F.when(F.count("ret").over(back) >= 2, F.stddev_samp("ret").over(back)))
+
+    def make(t, w):
+        back = w.rowsBetween(-rows, -1)
+        return t.withColumn("sigma", F.when(F.count("ret").over(back) >= 2, F.stddev_samp("ret").over(back)))
+
+    t = over(bars.withColumn("ret", F.col("bid_close") / F.col("bid_open") - 1), make, rows, ts)
     return t.where(F.abs("ret") > times * F.col("sigma"))
 
 
@@ -63,11 +66,10 @@ def too_precise(bars: DataFrame, column: str, digits: int) -> DataFrame:
     return bars.where(F.col(column) != F.round(column, digits))
 
 
-def candle_faults(candles: DataFrame, low: float = 0.001, high: float = 100_000.0) -> DataFrame:
+def candle_faults(candles: DataFrame, low: float = 0.001, high: float = 100_000.0, span: float = 1 << 16) -> DataFrame:
     """Candles out of order, with a range that does not bound open and close, or
-    with a price outside (low, high)."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    t = candles.withColumn("_prev", F.lag("ts").over(w))
+    with a price outside (low, high). span: how much of seq is one slice."""
+    t = previous(candles, "_prev", F.col("ts"), ["symbol"], ["seq"], block("seq", span))
     fault = F.when(F.col("ts") <= F.col("_prev"), "order").when((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")), "range").when((F.col("high") <= low) | (F.col("high") >= high), "scale")
     return t.withColumn("fault", fault).where("fault IS NOT NULL").drop("_prev")
 

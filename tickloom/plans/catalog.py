@@ -9,11 +9,10 @@ import json
 from datetime import datetime, timedelta
 from decimal import Decimal
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import sessions, stats, units
-from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, ticks, validate
+from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, slices, ticks, validate
 from tickloom.plans import views
 from tickloom.sources import binary
 from tickloom.streaming import capture
@@ -160,8 +159,7 @@ def reset_anchors(spark, sf):
 
 @query
 def weekend_spans(spark, sf):
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
-    t = views.quotes(spark, sf).withColumn("prev", F.lag("ts").over(w)).where("prev IS NOT NULL")
+    t = slices.previous(views.quotes(spark, sf), "prev", F.col("ts"), ["symbol"], ["ts", "seq"], slices.day("ts")).where("prev IS NOT NULL")
     return t.where(sessions.spans_saturday(F.col("prev"), F.col("ts"))).select("seq", "symbol")
 
 
@@ -250,7 +248,7 @@ def equity_before_day(spark, sf):
     """Each account's equity strictly before the first of each month."""
     path = views.account_path(spark, sf)
     months = path.select("account", F.add_months(F.date_trunc("MONTH", "ts"), 1).cast("timestamp_ntz").alias("day")).distinct()
-    return asof.asof_backward(months, path.withColumnRenamed("ts", "at"), "day", "at", None, ["account"], ["equity"], strict=True, unlimited=True).withColumn("equity", F.col("equity").cast("double"))
+    return asof.asof_backward(months, path.withColumnRenamed("ts", "at"), "day", "at", None, ["account"], ["equity"], strict=True, unlimited=True, span=366).withColumn("equity", F.col("equity").cast("double"))
 
 
 @query
@@ -315,7 +313,8 @@ def moving_averages(spark, sf):
 
 @query
 def true_range(spark, sf):
-    return r6(views.candles(spark, sf, "4h").select("symbol", "ts", features.true_range(features.ordered("ts")).alias("tr")), "tr")
+    t = slices.over(views.candles(spark, sf, "4h"), lambda t, w: t.withColumn("tr", features.true_range(w)), 1, "ts")
+    return r6(t.select("symbol", "ts", "tr"), "tr")
 
 
 @query
@@ -325,8 +324,7 @@ def rsi_wilder(spark, sf):
 
 @query
 def zscore_pop(spark, sf):
-    w = features.ordered("ts")
-    t = views.candles(spark, sf, "4h").withColumn("z", features.z_score(F.col("high") - F.col("low"), 20, w))
+    t = slices.over(views.candles(spark, sf, "4h"), lambda t, w: t.withColumn("z", features.z_score(F.col("high") - F.col("low"), 20, w)), 20, "ts")
     return r6(t.select("symbol", "ts", "z"), "z")
 
 
@@ -337,10 +335,8 @@ def prev_day_levels(spark, sf):
 
 @query
 def warm_returns(spark, sf):
-    w = features.ordered("ts")
-    t = views.candles(spark, sf, "4h")
-    for n in (1, 5):
-        t = t.withColumn(f"ret{n}", F.coalesce(features.change(F.col("close"), n, w), F.lit(0.0)))
+    make = lambda t, w: t.withColumns({f"ret{n}": F.coalesce(features.change(F.col("close"), n, w), F.lit(0.0)) for n in (1, 5)})
+    t = slices.over(views.candles(spark, sf, "4h"), make, 5, "ts")
     return r6(t.select("symbol", "ts", "ret1", "ret5"), "ret1", "ret5")
 
 
@@ -461,8 +457,7 @@ def signal_trend_pullback(spark, sf):
 
 @query
 def signal_channel_volume(spark, sf):
-    w = features.ordered("ts")
-    t = views.candles(spark, sf, "1h").withColumn("atr", features.full(F.avg, F.col("high") - F.col("low"), 14, w))
+    t = slices.over(views.candles(spark, sf, "1h"), lambda t, w: t.withColumn("atr", features.full(F.avg, F.col("high") - F.col("low"), 14, w)), 14, "ts")
     return signals.channel_volume(t, 0.0, 20, 20, 0.8, (6, 20)).select("symbol", "ts", "side")
 
 

@@ -113,9 +113,9 @@ TR = PRELUDE["trades"]
 METRICS = f"count(*) AS trades, round(count(*) FILTER (WHERE pnl > 0) / count(*), 4) AS win_rate, round({PF}, 3) AS profit_factor, round(sum(pnl), 2) AS net, round(100 * sum(pnl) / 10000, 2) AS return_pct, round(greatest(0.0, max(dd_pct)), 2) AS max_dd_pct, round(sum(r), 2) AS total_r"
 PT = TR + ", t AS (SELECT *, supplier % 20 AS params FROM trades)," + curve("book, params", "t")
 text("book_best", PT + f", m AS (SELECT book, params, {METRICS} FROM curve GROUP BY 1, 2)", "SELECT book, params, profit_factor, net FROM m QUALIFY row_number() OVER (PARTITION BY book ORDER BY profit_factor DESC, net DESC, params) = 1")
-text("book_streams", "", "SELECT l_suppkey AS book, CAST(2 AS BIGINT) AS copies FROM lineitem WHERE l_suppkey < 10 GROUP BY 1")
-ORD = "o AS (SELECT seq AS id, symbol, ts + INTERVAL '1 minute' AS ts, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM quotes WHERE seq % 5 = 0)"
-text("asof_backward_tol", Q + "," + ORD + ", r AS (SELECT symbol, ts, bid FROM quotes WHERE seq % 3 = 0)", "SELECT o.id, CASE WHEN o.ts - r.ts <= INTERVAL '2 hours' THEN round(r.bid, 6) END AS bid FROM o ASOF LEFT JOIN r ON o.symbol = r.symbol AND o.ts >= r.ts")
+text("book_streams", "", "SELECT l_suppkey AS book, CAST(2 AS BIGINT) AS copies FROM lineitem GROUP BY 1")
+ORD = "o AS (SELECT seq AS id, symbol, ts + INTERVAL '1 minute' AS ts, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM quotes)"
+text("asof_backward_tol", Q + "," + ORD + ", r AS (SELECT symbol, ts, bid FROM quotes)", "SELECT o.id, CASE WHEN o.ts - r.ts <= INTERVAL '2 hours' THEN round(r.bid, 6) END AS bid FROM o ASOF LEFT JOIN r ON o.symbol = r.symbol AND o.ts >= r.ts")
 text("asof_forward_first_quote", Q + "," + ORD, "SELECT o.id, round(r.ask, 6) AS ask FROM o ASOF LEFT JOIN quotes r ON o.symbol = r.symbol AND o.ts <= r.ts")
 text("asof_higher_timeframe", QB + "," + HTF, "SELECT b.symbol, b.ts_open, CASE WHEN b.available_at - h.available_at <= INTERVAL '26 hours' THEN round(h.higher_close, 6) END AS higher_close FROM bars b ASOF LEFT JOIN high h ON b.symbol = h.symbol AND b.available_at >= h.available_at")
 text("equity_before_day", PRELUDE["path"] + ", m AS (SELECT DISTINCT account, date_trunc('month', ts) + INTERVAL '1 month' AS day FROM path), p AS (SELECT account, ts, last(equity ORDER BY seq) AS equity FROM path GROUP BY 1, 2)", "SELECT m.account, m.day, p.equity FROM m ASOF LEFT JOIN p ON m.account = p.account AND m.day > p.ts")
@@ -229,7 +229,7 @@ B20 = f"({WT} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 text("signal_channel_volume", QL + "," + C1H + f", c AS (SELECT *, count(*) OVER {B20} AS n, max(high) OVER {B20} AS t, min(low) OVER {B20} AS f, avg(volume) OVER {B20} AS v, high - low AS rg FROM candles), g AS (SELECT *, {roll('avg', 'rg', 14, WT)} AS atr FROM c)", "SELECT symbol, ts, CASE WHEN close > t THEN 'long' ELSE 'short' END AS side FROM g WHERE n >= 20 AND atr IS NOT NULL AND (close > t OR close < f) AND volume >= 0.8 * v AND hour(ts) >= 6 AND hour(ts) < 20 QUALIFY row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) = 1")
 text("signal_toy", QB + "," + TREND + f", x AS (SELECT *, bid_close / lag(bid_close) OVER ({WA}) - 1 AS ret FROM tr)", "SELECT symbol, available_at, 'buy' AS side, round(ask_close - 0.1, 6) AS stop, round(ask_close + 0.2, 6) AS target FROM x WHERE st > 0.5 AND ret < 0")
 text("market_fills", Q + "," + ORD + ", a AS (SELECT o.*, q.bid AS b1, q.ask AS a1 FROM (SELECT *, ts + INTERVAL '30 minutes' AS arrival FROM o) o ASOF LEFT JOIN quotes q ON o.symbol = q.symbol AND o.arrival <= q.ts), z AS (SELECT a.*, q.bid AS b0, q.ask AS a0 FROM a ASOF LEFT JOIN quotes q ON a.symbol = q.symbol AND a.ts <= q.ts)", "SELECT id, round(CASE WHEN side = 'buy' THEN a1 + 0.02 ELSE b1 - 0.02 END, 6) AS fill_price, round(CASE WHEN side = 'buy' THEN a1 - a0 ELSE b1 - b0 END, 6) AS latency_move FROM z")
-text("first_touch_exit", Q + ", p AS (SELECT seq AS id, symbol, ts, seq % 8 = 0 AS buy, CASE WHEN seq % 8 = 0 THEN ask - 8 ELSE bid + 8 END AS stop, CASE WHEN seq % 8 = 0 THEN ask + 15 ELSE bid - 15 END AS target FROM quotes WHERE seq % 4 = 0), t AS (SELECT p.id, q.ts AS exit_ts, q.seq, CASE WHEN buy THEN q.bid ELSE q.ask END AS x, buy, stop, target FROM p JOIN quotes q ON q.symbol = p.symbol AND q.ts > p.ts AND q.ts <= p.ts + INTERVAL '1 day'), h AS (SELECT *, CASE WHEN buy THEN x <= stop ELSE x >= stop END AS s, CASE WHEN buy THEN x >= target ELSE x <= target END AS g FROM t), o AS (SELECT * FROM h WHERE s OR g QUALIFY row_number() OVER (PARTITION BY id ORDER BY exit_ts, seq) = 1)", "SELECT p.id, o.exit_ts, round(CASE WHEN s THEN x ELSE o.target END, 6) AS exit_price, CASE WHEN s THEN 'closed_sl' WHEN g THEN 'closed_tp' END AS exit_reason, s AND g AS ambiguous FROM p LEFT JOIN o USING (id)")
+text("first_touch_exit", Q + ", p AS (SELECT seq AS id, symbol, ts, seq % 8 = 0 AS buy, CASE WHEN seq % 8 = 0 THEN ask - 8 ELSE bid + 8 END AS stop, CASE WHEN seq % 8 = 0 THEN ask + 15 ELSE bid - 15 END AS target FROM quotes), t AS (SELECT p.id, q.ts AS exit_ts, q.seq, CASE WHEN buy THEN q.bid ELSE q.ask END AS x, buy, stop, target FROM p JOIN quotes q ON q.symbol = p.symbol AND q.ts > p.ts AND q.ts <= p.ts + INTERVAL '1 day'), h AS (SELECT *, CASE WHEN buy THEN x <= stop ELSE x >= stop END AS s, CASE WHEN buy THEN x >= target ELSE x <= target END AS g FROM t), o AS (SELECT * FROM h WHERE s OR g QUALIFY row_number() OVER (PARTITION BY id ORDER BY exit_ts, seq) = 1)", "SELECT p.id, o.exit_ts, round(CASE WHEN s THEN x ELSE o.target END, 6) AS exit_price, CASE WHEN s THEN 'closed_sl' WHEN g THEN 'closed_tp' END AS exit_reason, s AND g AS ambiguous FROM p LEFT JOIN o USING (id)")
 
 text("risk_sizing", """c AS (SELECT c_custkey, c_custkey % 17 <> 0 AS readable, c_custkey % 13 = 0 AS foreign_, CAST(round(abs(c_acctbal) * 10, 2) AS DECIMAL(18,2)) AS equity, CAST(round(abs(c_acctbal) * 5, 2) AS DECIMAL(18,2)) AS margin, CAST(round(abs(c_acctbal) * 0.5, 2) AS DECIMAL(18,2)) AS dl,
   CAST(0.0010 + (c_custkey % 20) * 0.0002 AS DECIMAL(18,4)) AS sd FROM customer),
@@ -247,7 +247,7 @@ text("illegal_transitions", f"s AS (SELECT l_orderkey AS order_id, l_linenumber
 
 CU = TR + "," + curve("book")
 text("drawdown_curve", CU, "SELECT book, seq, round(balance, 6) AS balance, round(peak, 6) AS peak, round(dd_pct, 6) AS dd_pct FROM curve")
-text("compounded_curve", TR + ", c AS (SELECT book, exit_ts, seq, 10000 * exp(sum(ln(1 + r * 0.001)) OVER (PARTITION BY book ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS equity FROM trades WHERE supplier % 10 = 0), p AS (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY book ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM c)", "SELECT book, seq, round(equity, 4) AS equity, round(100 * (peak - equity) / peak, 4) AS dd_pct FROM p")
+text("compounded_curve", TR + ", c AS (SELECT book, exit_ts, seq, 10000 * exp(sum(ln(1 + r * 0.001)) OVER (PARTITION BY book ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS equity FROM trades), p AS (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY book ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM c)", "SELECT book, seq, round(equity, 4) AS equity, round(100 * (peak - equity) / peak, 4) AS dd_pct FROM p")
 text("trade_metrics", CU, f"SELECT book, {METRICS} FROM curve GROUP BY 1")
 text("merged_equity", TR + ", seg AS (SELECT * FROM trades WHERE exit_ts >= TIMESTAMP '1997-01-01' AND exit_ts < TIMESTAMP '1999-01-01')," + curve("book", "seg"), f"SELECT book, count(*) AS trades, round({PF}, 2) AS pf, round(greatest(0.0, max(dd_pct)), 2) AS max_dd_pct, round(sum(pnl), 2) AS net, round(10000 + sum(pnl), 2) AS end_balance FROM curve GROUP BY 1")
 MON = ", mo AS (SELECT book, strftime(exit_ts, '%Y-%m') AS month, sum(pnl) AS pnl, count(*) AS trades FROM trades GROUP BY 1, 2)"
@@ -258,14 +258,14 @@ text("rolling_90d", ROLL, "SELECT book, window_start, round(ret, 6) AS ret FROM
 text("rolling_90d_best_median", ROLL, "SELECT book, count(*) AS windows, round(max(ret), 6) AS best, round(list_sort(list(ret))[count(*) // 2 + 1], 6) AS median FROM w GROUP BY 1")
 text("topk_configs", TR + f", c AS (SELECT book, supplier % 20 AS params, round({PF}, 6) AS pf, round(sum(pnl), 6) AS net FROM trades GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY pf DESC, net DESC, params) AS INTEGER) AS rank FROM c)", "SELECT * FROM k WHERE rank <= 3")
 text("acceptance_gate", PT + f", m AS (SELECT book, params, {METRICS} FROM curve GROUP BY 1, 2)", "SELECT book, params, profit_factor AS pf, max_dd_pct, trades FROM m WHERE profit_factor >= 1.2 AND max_dd_pct < 5 AND trades >= 15")
-text("portfolio_frontier", TR + ", t AS (SELECT * FROM trades WHERE supplier % 10 = 0)," + curve("book", "t") + ", d AS (SELECT book, greatest(max(dd_pct), 0.5) AS v FROM curve GROUP BY 1), md AS (SELECT list_sort(list(v))[count(*) // 2 + 1] AS m FROM d), w AS (SELECT book, least(m / v, 2.0) AS wt FROM d, md), x AS (SELECT scale, exit_ts, seq, ln(1 + r * 0.005 * scale * wt) AS g FROM t JOIN w USING (book), (VALUES (0.1::DOUBLE), (0.2), (0.4), (0.8)) s(scale)), e AS (SELECT *, 10000 * exp(sum(g) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM x), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM e), f AS (SELECT scale, max(100 * (pk - eq) / pk) AS dd, last(eq ORDER BY exit_ts, seq) AS fin FROM p GROUP BY 1)", "SELECT scale, round(dd, 3) AS max_dd_pct, round(fin, 2) AS end_equity, dd < 8 AS inside, coalesce(dd < 8 AND scale = max(CASE WHEN dd < 8 THEN scale END) OVER (), false) AS chosen FROM f")
+text("portfolio_frontier", TR + ", t AS (SELECT * FROM trades)," + curve("book", "t") + ", d AS (SELECT book, greatest(max(dd_pct), 0.5) AS v FROM curve GROUP BY 1), md AS (SELECT list_sort(list(v))[count(*) // 2 + 1] AS m FROM d), w AS (SELECT book, least(m / v, 2.0) AS wt FROM d, md), x AS (SELECT scale, exit_ts, seq, ln(1 + r * 0.005 * scale * wt) AS g FROM t JOIN w USING (book), (VALUES (0.1::DOUBLE), (0.2), (0.4), (0.8)) s(scale)), e AS (SELECT *, 10000 * exp(sum(g) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM x), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM e), f AS (SELECT scale, max(100 * (pk - eq) / pk) AS dd, last(eq ORDER BY exit_ts, seq) AS fin FROM p GROUP BY 1)", "SELECT scale, round(dd, 3) AS max_dd_pct, round(fin, 2) AS end_equity, dd < 8 AS inside, coalesce(dd < 8 AND scale = max(CASE WHEN dd < 8 THEN scale END) OVER (), false) AS chosen FROM f")
 
 text("ledger_dispersion", "", "SELECT o_orderpriority AS selection_criterion, o_orderstatus AS fill_mode, count(*) AS trials, round(stddev_samp(o_totalprice / 100000), 6) AS s FROM orders GROUP BY 1, 2 HAVING count(*) >= 2")
 text("ledger_comparable", "", "SELECT count(*) AS trials FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F' AND o_orderkey % 2 = 0")
 SH = TR + ", m AS (SELECT supplier, count(*) AS t, avg(r) AS mu, stddev_samp(r) AS sd, stddev_pop(r) AS sp FROM trades GROUP BY 1), k AS (SELECT m.supplier AS candidate, t, CASE WHEN sd <= 1e-9 THEN 0.0 ELSE mu / sd END AS sr, sum(power(r - mu, 3)) / t / power(max(sp), 3) AS skew, sum(power(r - mu, 4)) / t / power(max(sp), 4) AS kurt FROM trades JOIN m USING (supplier) GROUP BY m.supplier, t, mu, sd), z AS (SELECT *, sqrt((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (t - 1)) AS se FROM k WHERE t >= 2)"
 text("sharpe_se", SH, "SELECT candidate, t, round(sr, 6) AS sr, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(se, 6) AS se FROM z")
 text("hac_autocorr", TR + ", d AS (SELECT supplier, exit_ts, seq, r - avg(r) OVER (PARTITION BY supplier) AS d, count(*) OVER (PARTITION BY supplier) AS t, row_number() OVER (PARTITION BY supplier ORDER BY exit_ts, seq) AS i FROM trades), l AS (SELECT *, greatest(1, CAST(floor(4 * power(t / 100, 2.0 / 9)) AS INTEGER)) AS n FROM d WHERE t >= 8), c AS (SELECT a.supplier, sum(a.d * b.d) AS s FROM l a JOIN l b ON a.supplier = b.supplier AND b.i < a.i AND a.i - b.i <= a.n GROUP BY 1), v AS (SELECT supplier, max(t) AS t, max(n) AS n, sum(d * d) AS q FROM l GROUP BY 1)", "SELECT supplier AS candidate, t, n AS n_lags, round(s / q, 6) AS autocorr_sum, round(sqrt((1 + 2 * s / q) / t), 6) AS se FROM v JOIN c USING (supplier) WHERE 1 + 2 * s / q > 0")
-text("chain_verify", "o AS (SELECT o_orderkey AS pos, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders WHERE o_orderkey < 2000), l AS (SELECT pos, lag(h, 1, repeat('0', 64)) OVER (ORDER BY pos) AS prev_hash FROM o)", "SELECT pos, prev_hash FROM l WHERE pos IN (501, 1501)")
+text("chain_verify", "o AS (SELECT o_orderkey AS pos, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders), l AS (SELECT pos, lag(h, 1, repeat('0', 64)) OVER (ORDER BY pos) AS prev_hash FROM o)", "SELECT pos, prev_hash FROM l WHERE pos IN (501, 1501)")
 text("stream_monitor", Q + ", m AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM quotes)", "SELECT symbol, count(*) AS ticks, count(*) FILTER (WHERE ts < mark) AS gaps, coalesce(max(CASE WHEN ts >= mark THEN (epoch_us(ts) - epoch_us(mark)) // 1000 END), 0) AS max_gap_ms, max(ts) AS last_ts FROM m GROUP BY 1")
 text("stale_quotes", "", "SELECT event_type AS symbol, TIMESTAMP '2024-01-31 00:00:00' - max(ts) > INTERVAL '5 hours' AS stale FROM events GROUP BY 1 UNION ALL SELECT 'never', true")
 text("capture_coverage", Q, "SELECT symbol, strftime(ts, '%Y-%m') AS month, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM quotes GROUP BY 1, 2")
@@ -276,5 +276,5 @@ text("month_partitions", TR, "SELECT strftime(exit_ts, '%Y-%m') AS month, count(
 KINDS = "['market_status', 'rule_reset', 'swap_posting', 'quote', 'pending_trigger', 'fill', 'stop_or_target', 'decision', 'submission']"
 text("event_order", Q, f"SELECT seq, {KINDS}[seq % 9 + 1] AS kind, CAST(CASE seq % 9 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE seq % 9 + 1 END AS BIGINT) AS priority FROM quotes")
 text("artefact_expanding", Q + ", x AS (SELECT seq, symbol, ts, CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN bid END AS b FROM quotes)", "SELECT seq, round(avg(b) OVER w * count(b) OVER w, 2) AS total, count(b) OVER w AS observations FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
-text("best_risk", TR + ", t AS (SELECT * FROM trades WHERE supplier % 10 = 0), k(risk) AS (VALUES (0.0005::DOUBLE), (0.001), (0.002), (0.004), (0.008)), c AS (SELECT book, risk, exit_ts, seq, 10000 * exp(sum(ln(1 + r * risk)) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM t, k), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM c), d AS (SELECT book, risk, max(100 * (pk - eq) / pk) AS dd FROM p GROUP BY 1, 2), s AS (SELECT DISTINCT book, TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) AS w FROM t, range(0, 200) u(i) WHERE TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) + INTERVAL '90 days' <= TIMESTAMP '2000-01-01'), q AS (SELECT s.book, k.risk, w, coalesce(100 * (product(1 + r * k.risk) - 1), 0.0) AS ret FROM s CROSS JOIN k LEFT JOIN t ON t.book = s.book AND exit_ts >= w AND exit_ts < w + INTERVAL '90 days' GROUP BY 1, 2, 3), m AS (SELECT book, risk, list_sort(list(ret))[count(*) // 2 + 1] AS med FROM q GROUP BY 1, 2)", "SELECT book, risk, round(dd, 6) AS max_dd_pct, round(med, 6) AS median FROM d JOIN m USING (book, risk) WHERE dd < 8 QUALIFY row_number() OVER (PARTITION BY book ORDER BY med DESC, risk) = 1")
+text("best_risk", TR + ", t AS (SELECT * FROM trades), k(risk) AS (VALUES (0.0005::DOUBLE), (0.001), (0.002), (0.004), (0.008)), c AS (SELECT book, risk, exit_ts, seq, 10000 * exp(sum(ln(1 + r * risk)) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM t, k), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY book, risk ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM c), d AS (SELECT book, risk, max(100 * (pk - eq) / pk) AS dd FROM p GROUP BY 1, 2), s AS (SELECT DISTINCT book, TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) AS w FROM t, range(0, 200) u(i) WHERE TIMESTAMP '1996-01-01' + to_days(CAST(15 * i AS INTEGER)) + INTERVAL '90 days' <= TIMESTAMP '2000-01-01'), q AS (SELECT s.book, k.risk, w, coalesce(100 * (product(1 + r * k.risk) - 1), 0.0) AS ret FROM s CROSS JOIN k LEFT JOIN t ON t.book = s.book AND exit_ts >= w AND exit_ts < w + INTERVAL '90 days' GROUP BY 1, 2, 3), m AS (SELECT book, risk, list_sort(list(ret))[count(*) // 2 + 1] AS med FROM q GROUP BY 1, 2)", "SELECT book, risk, round(dd, 6) AS max_dd_pct, round(med, 6) AS median FROM d JOIN m USING (book, risk) WHERE dd < 8 QUALIFY row_number() OVER (PARTITION BY book ORDER BY med DESC, risk) = 1")
 text("account_allowed", "", "SELECT c_custkey, sha256(c_name) AS login_hash FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey % 2 = 0")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.operators.slices import block, highest_before
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -57,13 +59,10 @@ def monitor(quotes: DataFrame) -> DataFrame:
     return t.groupBy("symbol").applyInPandasWithState(_watch, MONITOR, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def monitor_batch(quotes: DataFrame) -> DataFrame:
-    """The same figures from stored quotes, in order of seq."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("seq")
+def monitor_batch(quotes: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """The same figures from stored quotes, in order of seq, `span` of it a slice."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    t = quotes.withColumn("_us", us).withColumn("_mark", F.max("_us").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    t = highest_before(quotes.withColumn("_us", us), "_mark", "_us", ["symbol"], ["seq"], block("seq", span))
     late = F.col("_us") < F.col("_mark")
     gap = F.when(~late, F.floor((F.col("_us") - F.col("_mark")) / 1000)).cast("long")
     return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(late).alias("gaps"), F.coalesce(F.max(gap), F.lit(0)).alias("max_gap_ms"), F.max("ts").alias("last_ts"))
