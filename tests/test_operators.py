@@ -458,3 +458,50 @@ def test_null_batches_rarely_pass_and_an_edge_does(spark):
     assert null.where("passes").count() <= 9
     edge = research.deflated(research.null_batches(spark, 20, periods=1000, edge=0.19), 40, 1000)
     assert edge.where("passes AND best_at = edge_at").count() >= 10
+
+
+def test_sliced_windows_equal_whole_ones(spark, monkeypatch):
+    """Every helper of slices against a window by symbol alone, over stretches of 7
+    rows, days without rows and ties."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    from tickloom.operators import slices
+
+    monkeypatch.setattr(slices, "ROWS", 7)
+    r = np.random.default_rng(3)
+    rows = [(s, i, datetime(2024, 1, 1) + timedelta(hours=int(h)), float(r.integers(-5, 6)), None if r.random() < 0.4 else int(r.integers(100))) for s, n in (("a", 200), ("b", 13), ("c", 1)) for i, h in enumerate(np.sort(r.integers(0, 24 * 40, n)))]
+    df = spark.createDataFrame(rows, "symbol string, seq long, ts timestamp_ntz, x double, v int")
+    order = Window.partitionBy("symbol").orderBy("ts", "seq")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    want = {(t["symbol"], t["seq"]): t for t in df.select(
+        "symbol", "seq", "ts", (F.row_number().over(order) - 1).alias("pos"), F.lag("v").over(order).alias("lag"), F.max("x").over(past).alias("top"), F.sum("x").over(upto).alias("sum"), F.last("v", ignorenulls=True).over(upto).alias("last"),
+        F.sum("x").over(order.rowsBetween(-9, 4)).alias("frame"), F.first("v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("next"),
+    ).withColumn("high", F.max("sum").over(upto)).collect()}
+    by, keys, day = ["symbol"], ["ts", "seq"], slices.day("ts")
+    got = {
+        "pos": slices.numbered(df, by, [F.col("ts"), F.col("seq")], day).select("symbol", "seq", F.col("_pos").alias("y")),
+        "lag": slices.previous(df, "y", F.col("v"), by, keys, day),
+        "top": slices.highest_before(df, "y", "x", by, keys, day),
+        "sum": slices.running(df, F.col("x"), by, keys, day, "y", "z"),
+        "high": slices.running(df, F.col("x"), by, keys, day, "z", "y"),
+        "last": slices.latest(df, "y", "v", by, [F.col("ts"), F.col("seq")], day),
+        "next": slices.latest(df, "y", "v", by, [F.col("ts").desc(), F.col("seq").desc()], day, forward=True),
+        "frame": slices.over(df, lambda t, w: t.withColumn("y", F.sum("x").over(w.rowsBetween(-9, 4))), 9, "ts", after=4, order=("seq",)),
+    }
+    for name, t in got.items():
+        assert {(r["symbol"], r["seq"]): r["y"] for r in t.collect()} == {k: r[name] for k, r in want.items()}, name
+
+
+def test_features_over_short_stretches_equal_long_ones(spark, monkeypatch):
+    from tickloom.operators import slices
+    from tickloom.plans import views
+
+    bars = views.bars(spark, "/root/testdata/sf0.001", "1h").cache()
+    candles = views.candles(spark, "/root/testdata/sf0.001", "1h").cache()
+    make = {"atr": lambda: features.returns_and_atr(bars, atr=5), "trend": lambda: features.trend_regime(bars, 20), "spread": lambda: features.spread_regime(bars, 20), "rsi": lambda: features.wilder_rsi(candles, 5), "quintile": lambda: features.vol_quintile(features.returns_and_atr(bars, atr=5).select("symbol", "available_at", F.round("atr", 3).alias("atr")), 1, 21)}
+    rows = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) and v == v else v for v in r]) for r in df.collect())
+    long = {k: rows(f()) for k, f in make.items()}
+    monkeypatch.setattr(slices, "ROWS", 16)
+    for k, f in make.items():
+        assert rows(f()) == long[k], k

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +65,27 @@ def size_positions(orders: DataFrame, per_trade: str = "0.005", open_limit: str
 def reserve_greedily(requests: DataFrame, limit: Column, by: str = "account", order: str = "seq", amount: str = "max_loss") -> DataFrame:
     """requests with accepted: in order, a request is taken while it fits into what
     the limit still leaves. A refusal frees nothing and takes nothing, so this is
-    no prefix sum; it folds each account's ordered requests in the JVM.
-
-    An account's requests are one array, bounded by the orders it has open at once.
+    no prefix sum. Requests are sorted by (by, order) within partitions and folded in
+    Arrow batches, one running amount at a time: an account of any length is read as
+    a stream and costs its own rows once.
     """
-    kind = requests.schema[amount].dataType.simpleString()
-    rest = [c for c in requests.columns if c != by]
-    hist = requests.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rest).alias("_row")))).alias("_h"), F.max(limit).alias("_limit"))
-    start = F.struct(F.lit(0).cast("decimal(38,10)" if "decimal" in kind else "double").alias("used"), F.array().cast("array<boolean>").alias("took"))
-
-    def step(a, x):
-        v = x["_row"][amount]
-        fits = a["used"] + v <= F.col("_limit")
-        return F.struct(F.when(fits, a["used"] + v).otherwise(a["used"]).cast("decimal(38,10)" if "decimal" in kind else "double").alias("used"), F.concat(a["took"], F.array(fits)).alias("took"))
-
-    took = hist.withColumn("_t", F.aggregate("_h", start, step)["took"])
-    rows = took.select(by, F.explode(F.arrays_zip(F.col("_h"), F.col("_t"))).alias("_z"))
-    return rows.select(by, "_z._h._row.*", F.col("_z._t").alias("accepted")).select(*requests.columns, "accepted")
+    names = [*requests.columns, "accepted"]
+
+    def fold(batches):
+        key, used = None, 0
+        for batch in batches:
+            who, want, most = (batch.column(c).to_pylist() for c in (by, amount, "_limit"))
+            took = []
+            for a, x, top in zip(who, want, most):
+                if a != key:
+                    key, used = a, 0
+                fits = x is not None and top is not None and used + x <= top
+                used = used + x if fits else used
+                took.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(took, pa.bool_())], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", accepted boolean"
+    return requests.withColumn("_limit", limit).repartition(by).sortWithinPartitions(by, order).mapInArrow(fold, schema)
 
 
 def live_reservations(events: DataFrame) -> DataFrame:
