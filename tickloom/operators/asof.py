@@ -76,6 +76,16 @@ def news_restricted(rows: DataFrame, events: DataFrame, at: str, before: timedel
     return met.unionByName(rows.join(e, inside, "left_anti").withColumn("restricted", F.lit(False)))
 
 
+def calendar_known(rows: DataFrame, events: DataFrame, at: str, tolerance: timedelta = timedelta(days=1), by: list[str] | None = None) -> DataFrame:
+    """rows with the scheduled time of the event published last, by its own
+    available_at and no longer ago than tolerance: the honest calendar join."""
+    known = events.select(*(by or []), F.col("available_at").alias("_known"), "scheduled_time")
+    by = by or ["_all"]
+    if by == ["_all"]:
+        rows, known = rows.withColumn("_all", F.lit(0)), known.withColumn("_all", F.lit(0))
+    return asof_backward(rows, known, at, "_known", tolerance, by, ["scheduled_time"]).drop("_all")
+
+
 def guard_available(rows: DataFrame, versions: DataFrame, at: str, by: list[str], columns: list[str]) -> DataFrame:
     """rows with the newest artefact version available by then, and `refused`
     where none is."""

@@ -29,6 +29,18 @@ def overlaps(start: Column, end: Column, outages: list[tuple[datetime, datetime]
     return reduce(lambda x, y: x | y, hits, F.lit(False))
 
 
+def outage_overlap(bars: DataFrame, register: DataFrame) -> DataFrame:
+    """bars with known_outage from a register table (symbol, start, end) of any length:
+    an outage that meets [ts_open, available_at), of the symbol or, where its symbol is
+    null, of all. Both sides are written out for the days they touch, an equi-join."""
+    days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))
+    o = register.select(F.col("symbol").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b")).withColumn("_day", days("_a", "_b"))
+    t = bars.drop("known_outage").withColumn("_d", days("ts_open", "available_at"))
+    on = (F.col("_d") == F.col("_day")) & (F.col("ts_open") < F.col("_b")) & (F.col("available_at") > F.col("_a")) & F.coalesce(F.col("_s") == F.col("symbol"), F.lit(True))
+    hit = t.join(o, on, "left_semi").select("symbol", "ts_open").distinct().withColumn("known_outage", F.lit(True))
+    return bars.drop("known_outage").join(hit, ["symbol", "ts_open"], "left").withColumn("known_outage", F.coalesce("known_outage", F.lit(False)))
+
+
 def resample(ticks: DataFrame, timeframe: str, threshold_ms: int, outages: list | None = None) -> DataFrame:
     """Two-sided bars with coverage flags; empty bars are not made.
 

@@ -68,15 +68,49 @@ def lookup(cells: DataFrame, episodes: DataFrame, q: float, bound: float, least:
     return out.select(*cells.columns, value.alias("value"), n.cast("long").alias("episodes"), level.alias("level"))
 
 
-def draw(cells: DataFrame, episodes: DataFrame, seed: int, draws: int = 1) -> DataFrame:
-    """Seeded draws from each cell's own episodes: the sample whose rank a hash of
-    (seed, key, draw) names."""
+def add_episodes(episodes: DataFrame, more: DataFrame) -> DataFrame:
+    """Episodes with further ones: rows of the cell's key, seq and pips. A spread that
+    is not positive, or a key with a null, is refused."""
     keys = list(LEVELS[0])
-    ranked = numbered(episodes, keys, [F.col("pips"), F.col("seq")], block("pips", LEVEL)).withColumnRenamed("_pos", "_r")
-    sizes = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    want = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(sizes, keys)
-    want = want.withColumn("_r", F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.col("_n")))
-    return want.join(ranked.select(*keys, "_r", "pips"), [*keys, "_r"]).drop("_r", "_n")
+    good = F.col("pips") > 0
+    for k in keys:
+        good = good & F.col(k).isNotNull()
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("pips")).otherwise(F.raise_error(F.lit("an episode needs a whole key and a positive spread")).cast("double"))
+    return episodes.select(*keys, "seq", "pips").unionByName(more.select(*keys, "seq", checked.alias("pips")))
+
+
+def draw(cells: DataFrame, episodes: DataFrame, seed: int, draws: int = 1, least: int = 8) -> DataFrame:
+    """Seeded draws for each cell, from the first fallback level that has enough
+    episodes: the sample whose rank a hash of (seed, key, draw) names, with level and
+    episodes as provenance. Cells that no level serves draw nothing."""
+    keys, names = list(LEVELS[0]), ["+".join(k) for k in LEVELS]
+    served = lookup(cells, episodes, 0.5, 0.0, least).where("level <> 'global_bound'").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"))
+    want = served.withColumn("_r", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("episodes"))
+    out = None
+    for name, by in zip(names, LEVELS):
+        ranked = numbered(episodes, list(by), [F.col("pips"), F.col("seq")], block("pips", LEVEL)).select(*by, F.col("_pos").alias("_r"), "pips")
+        one = want.where(F.col("level") == name).join(ranked, [*by, "_r"]).select(*keys, "draw", "pips", "level", "episodes")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pip_values(specs: DataFrame, ticks: DataFrame, account: str = "USD") -> DataFrame:
+    """specs (symbol, pip_size, contract_size, quote_currency) with pip_value in the
+    account's currency a lot. A quote in another currency is converted by the last bid
+    of the pair account + quote; without that pair it stays null, and what builds on
+    it fails closed."""
+    last = ticks.groupBy(F.col("symbol").alias("_pair")).agg(F.max_by("bid", F.struct("ts", "seq")).alias("_rate"))
+    t = specs.join(last, F.concat(F.lit(account), F.upper("quote_currency")) == F.col("_pair"), "left")
+    per_pip = F.col("pip_size") * F.col("contract_size")
+    return t.withColumn("pip_value", F.when(F.upper("quote_currency") == account, per_pip).otherwise(per_pip / F.col("_rate"))).drop("_pair", "_rate")
+
+
+def commission_in_pips(specs: DataFrame, ticks: DataFrame, account: str = "USD") -> DataFrame:
+    """specs with commission_pips: the round trip's commission a lot over the pip's
+    value. A symbol that has no conversion is an error."""
+    value = F.when(F.col("pip_value").isNotNull(), F.col("pip_value")).otherwise(F.raise_error(F.concat(F.lit("no conversion rate for "), F.col("symbol"))).cast("double"))
+    return pip_values(specs, ticks, account).withColumn("commission_pips", F.col("commission") / value)
 
 
 def median_true_range(ticks: DataFrame, timeframe: str, pip: float, window: int, threshold_ms: int = 60_000, least: int = 20, compat: bool = False) -> DataFrame:

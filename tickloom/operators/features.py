@@ -172,6 +172,18 @@ def full_rank(bars: DataFrame) -> DataFrame:
     return bars.withColumn("full_rank", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
 
 
+def composite(bars: DataFrame, atr: int = 14, spread: int = 60, trend: int = 200, mean: int = 20, lookback: int = 252) -> DataFrame:
+    """All features of the bar pipeline on one frame: returns, ATR, spread and trend
+    regime, volatility quintile."""
+    return vol_quintile(trend_regime(spread_regime(returns_and_atr(bars, 1, atr), spread), trend), mean, lookback)
+
+
+def join_on_open(bars: DataFrame, higher: DataFrame, column: str = "higher_close") -> DataFrame:
+    """A negative control: the longer bar's close joined on its opening time, when it
+    does not exist yet."""
+    return bars.join(higher.select("symbol", "ts_open", column), ["symbol", "ts_open"], "left")
+
+
 def truncation_difference(pipeline, inputs: DataFrame, cutoff, columns: list[str], warmup: int = 0) -> int:
     """Rows at or before the cutoff that change when later input is removed: 0 for
     an honest pipeline."""

@@ -65,6 +65,15 @@ def canonical(columns: tuple[str, ...] = FIELDS):
     return F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})
 
 
+def invalid(records: DataFrame) -> DataFrame:
+    """Records that break a rule, with the list of their faults: the checks of
+    faults() as columns."""
+    blank = [F.when(F.coalesce(F.trim(F.col(k)), F.lit("")) == "", F.lit(f"{k} is blank")) for k in ("candidate", "strategy", "symbol", "selection_criterion", "fill_mode")]
+    x, n = F.col("sr_periodic"), F.col("n_observations")
+    rest = [F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit("sr_periodic is not finite")), F.when(n.isNull() | (n < 2), F.lit("fewer than two observations"))]
+    return records.withColumn("faults", F.array_compact(F.array(*blank, *rest))).where(F.size("faults") > 0)
+
+
 def with_hash_before(records: DataFrame, name: str, span: int = 4096) -> DataFrame:
     """records with the record_hash before each, GENESIS for the first. One ledger
     is one chain: the lag is taken inside ranges of `span` positions, and only the

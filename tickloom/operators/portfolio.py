@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.asof import asof_backward
 from tickloom.operators.slices import day, running
 
 
@@ -95,6 +96,47 @@ def frontier(trades: DataFrame, books: DataFrame, scales: list[float], base: flo
     return last.withColumn("inside", inside).withColumn("chosen", inside & (F.col("scale") == F.max(F.when(inside, F.col("scale"))).over(top)))
 
 
+def window_growth(trades: DataFrame, by: list[str], risk: Column, start_ts, end_ts, days: int = 90, step: int = 15, start: float = 10_000.0) -> DataFrame:
+    """Growth in % of the compounded account over every whole window of `days` days:
+    its equity just before the window's end over that just before its start, the last
+    closed trade's either time, the opening balance where there is none yet."""
+    curve = compounded_curve(trades, by, risk, start).groupBy(*by, "exit_ts").agg(F.max_by("equity", "seq").alias("equity")).withColumnRenamed("exit_ts", "_x")
+    a, b = F.lit(start_ts).cast("timestamp_ntz"), F.lit(end_ts).cast("timestamp_ntz")
+    starts = F.sequence(a, b - F.expr(f"interval {days} days"), F.expr(f"interval {step} days"))
+    at = trades.select(*by).distinct().withColumn("window_start", F.explode(starts)).withColumn("window_end", F.col("window_start") + F.expr(f"interval {days} days"))
+    for side in ("start", "end"):
+        at = asof_backward(at, curve, f"window_{side}", "_x", None, by, ["equity"], strict=True, unlimited=True, span=31).withColumn(f"_{side}", F.coalesce("equity", F.lit(start))).drop("equity")
+    return at.select(*by, "window_start", (100 * (F.col("_end") / F.col("_start") - 1)).alias("growth"))
+
+
+def check_risks(trades: DataFrame, by: list[str], risks: list[float], train_end, valid_start, budget: float, pf: float) -> DataFrame:
+    """The portfolio at each risk on the training part, the later part and all of it,
+    each from a fresh balance; `chosen` marks the largest risk whose drawdown over all
+    stays inside the budget, `passed` whether it also reaches pf on the later part."""
+    cut = lambda x: F.lit(x).cast("timestamp_ntz")
+    parts = F.array_compact(F.array(F.when(F.col("exit_ts") < cut(train_end), "train"), F.when(F.col("exit_ts") >= cut(valid_start), "validate"), F.lit("full")))
+    t = trades.withColumn("part", F.explode(parts)).withColumn("risk", F.explode(F.array(*[F.lit(float(r)) for r in risks])))
+    t = t.withColumn("pnl", F.col("r") * F.col("risk") * 10_000.0)
+    c = equity_curve(t, [*by, "part", "risk"]).groupBy(*by, "part", "risk").agg(F.count(F.lit(1)).alias("trades"), F.round(profit_factor(F.col("pnl")), 2).alias("pf"), F.round(F.greatest(F.lit(0.0), F.max("dd_pct")), 2).alias("max_dd_pct"), F.round(F.sum("pnl"), 2).alias("net"))
+    whole = c.where("part = 'full'").select(*by, "risk", F.col("max_dd_pct").alias("_dd"))
+    later = c.where("part = 'validate'").select(*by, "risk", F.col("pf").alias("_pf"))
+    best = whole.where(F.col("_dd") < budget).groupBy(*by).agg(F.max("risk").alias("_risk"))
+    out = c.join(whole.join(later, [*by, "risk"], "left"), [*by, "risk"]).join(best, by, "left")
+    chosen = F.coalesce(F.col("risk") == F.col("_risk"), F.lit(False))
+    return out.withColumn("chosen", chosen).withColumn("passed", chosen & F.coalesce(F.col("_pf") >= pf, F.lit(False))).drop("_dd", "_pf", "_risk")
+
+
+def with_specs(trades: DataFrame, specs: DataFrame, worst: DataFrame) -> DataFrame:
+    """Trades beside their symbol's specification and their session's worst spreads."""
+    return trades.join(specs, "symbol").join(worst, ["symbol", "session"], "left")
+
+
+def realised_today(trades: DataFrame, by: list[str]) -> DataFrame:
+    """trades with realised: the day's profit up to and with the trade."""
+    w = Window.partitionBy(*by, F.to_date("exit_ts")).orderBy("exit_ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return trades.withColumn("realised", F.sum("pnl").over(w))
+
+
 def top_configs(results: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """The k best parameter sets by (pf, net), ties by the parameters."""
     w = Window.partitionBy(*by).orderBy(F.desc("pf"), F.desc("net"), "params")

@@ -62,6 +62,14 @@ def size_positions(orders: DataFrame, per_trade: str = "0.005", open_limit: str
     return t.select(*orders.columns, "reason", F.when(ok, F.col("_lots")).alias("volume"), F.when(ok, F.col("_risk")).alias("risk_amount"), stop.alias("effective_stop"))
 
 
+def lots_with_overshoot(budget: Column, stop_pips: Column, pip_value: Column, step: Column, least: Column, most: Column, overshoot: float = 1.3) -> Column:
+    """Lots down to the step and at most `most`; where they fall below the least lot,
+    that lot, if its risk stays within `overshoot` times the budget, else null."""
+    per_lot = stop_pips * pip_value
+    lots = F.least(F.floor(budget / per_lot / step) * step, most)
+    return F.when((per_lot <= 0) | per_lot.isNull() | (budget <= 0), None).when(lots >= least, lots).when(least * per_lot <= overshoot * budget, least)
+
+
 def reserve_greedily(requests: DataFrame, limit: Column, by: str = "account", order: str = "seq", amount: str = "max_loss") -> DataFrame:
     """requests with accepted: in order, a request is taken while it fits into what
     the limit still leaves. A refusal frees nothing and takes nothing, so this is

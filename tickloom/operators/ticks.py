@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.asof import asof_forward
+from tickloom.operators.asof import asof_backward, asof_forward
 
 
 def market_fills(orders: DataFrame, ticks: DataFrame, latency: timedelta, slip: float = 0.0) -> DataFrame:
@@ -177,6 +177,41 @@ def replay(quotes: list[tuple[datetime, Decimal, Decimal]], decide: Callable, ve
     return out
 
 
+COUNTERS = "symbol string, trades long, expired long, position_open long, near_close long, below_least long, ambiguous long, weekend_exits long"
+
+
+def _signalled(pdf: pd.DataFrame, venue: Venue) -> Outcome:
+    """The replay of one symbol's quotes with the orders that stand on them."""
+    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+    stamps = [t.to_pydatetime() for t in pdf["ts"]]
+    wanted = dict(zip(stamps, zip(pdf["side"], pdf["stop"], pdf["target"], pdf["volume"])))
+
+    def decide(now, bid, ask):
+        side, stop, target, volume = wanted[now]
+        return Order(side, stop, target, volume) if side in ("buy", "sell") else None
+
+    return replay(list(zip(stamps, pdf["bid"], pdf["ask"])), decide, venue)
+
+
+def replay_counters(ticks_with_signals: DataFrame, venue: Venue) -> DataFrame:
+    """Per symbol: trades, refusals by reason, exits on a quote that met both levels,
+    and exits across a weekend."""
+    cols = [x.split()[0] for x in COUNTERS.split(", ")]
+    reasons = ("expired", "position open", "near session close", "below least volume")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _signalled(pdf, venue)
+        return pd.DataFrame([(key[0], len(got.trades), *(got.refused.count(x) for x in reasons), got.ambiguous, got.weekend_exits)], columns=cols)
+
+    return ticks_with_signals.groupBy("symbol").applyInPandas(run, COUNTERS)
+
+
+def with_features(ticks: DataFrame, features: DataFrame, columns: list[str], tolerance: timedelta) -> DataFrame:
+    """ticks with the features visible at each quote: those of the last row whose
+    available_at is not after it, null beyond the tolerance."""
+    return asof_backward(ticks, features.select("symbol", "available_at", *columns), "ts", "available_at", tolerance, ["symbol"], columns)
+
+
 TICK_TRADES = "symbol string, n long, side string, volume decimal(18,8), entry_price decimal(18,8), entry_ts timestamp_ntz, exit_price decimal(18,8), exit_ts timestamp_ntz, exit_reason string, pnl decimal(38,10), r_multiple decimal(38,10)"
 
 
@@ -185,15 +220,7 @@ def replay_table(ticks_with_signals: DataFrame, venue: Venue) -> DataFrame:
     stands, side, stop, target and volume; prices as decimals."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        stamps = [t.to_pydatetime() for t in pdf["ts"]]
-        wanted = dict(zip(stamps, zip(pdf["side"], pdf["stop"], pdf["target"], pdf["volume"])))
-
-        def decide(now, bid, ask):
-            side, stop, target, volume = wanted[now]
-            return Order(side, stop, target, volume) if side in ("buy", "sell") else None
-
-        got = replay(list(zip(stamps, pdf["bid"], pdf["ask"])), decide, venue)
+        got = _signalled(pdf, venue)
         cols = [x.split()[0] for x in TICK_TRADES.split(", ")]
         q = lambda d: d if d is None else d.quantize(Decimal("1e-10"))
         rows = [{"symbol": key[0], "n": k, **t, "pnl": q(t["pnl"]), "r_multiple": q(t["r_multiple"])} for k, t in enumerate(got.trades)]

@@ -775,7 +775,8 @@ def tick_replay(spark, sf):
     on = F.col("seq") % 6 == 0
     buy = F.col("seq") % 12 == 0
     t = q.select("symbol", "ts", "seq", d(F.col("bid")).alias("bid"), d(F.col("ask")).alias("ask"), F.when(on, F.when(buy, "buy").otherwise("sell")).alias("side"), d(F.when(buy, F.col("bid") - 20).otherwise(F.col("ask") + 20)).alias("stop"), d(F.when(buy, F.col("ask") + 30).otherwise(F.col("bid") - 30)).alias("target"), F.lit("0.10").cast("decimal(18,8)").alias("volume"))
-    return ticks.replay_table(t, ticks.Venue(contract=Decimal(100), fee_per_lot=Decimal(7)))
+    got = ticks.replay_table(t, ticks.Venue(contract=Decimal(100), fee_per_lot=Decimal(7)))
+    return r6(got.withColumns({c: F.col(c).cast("double") for c in ("volume", "entry_price", "exit_price", "pnl", "r_multiple")}), "pnl", "r_multiple")
 
 
 # ------------------------------------------------------------ sources

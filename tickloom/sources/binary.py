@@ -70,6 +70,16 @@ def hour_path(symbol: str, hour: datetime) -> str:
     return f"{symbol}/{hour.year:04d}/{hour.month - 1:02d}/{hour.day:02d}/{hour.hour:02d}h_ticks.bi5"
 
 
+def hour_path_column(symbol: str = "symbol", hour: str = "hour"):
+    """hour_path as a Column."""
+    return F.format_string("%s/%04d/%02d/%02d/%02dh_ticks.bi5", symbol, F.year(hour), F.month(hour) - 1, F.dayofmonth(hour), F.hour(hour))
+
+
+def day_path_column(symbol: str = "symbol", day: str = "day", side: str = "BID"):
+    """day_path as a Column."""
+    return F.format_string(f"%s/%04d/%02d/%02d/{day_path('', date(2000, 1, 1), side).rsplit('/', 1)[1]}", symbol, F.year(day), F.month(day) - 1, F.dayofmonth(day))
+
+
 def day_path(symbol: str, day: date, side: str = "BID") -> str:
     if side not in ("BID", "ASK"):
         raise ValueError("side is BID or ASK")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.operators.slices import block, highest_before
+from tickloom.functions.sessions import capture_bucket
+from tickloom.operators.slices import block, day, highest_before, previous
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -68,6 +69,37 @@ def monitor_batch(quotes: DataFrame, span: int = 1 << 20) -> DataFrame:
     return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.count_if(late).alias("gaps"), F.coalesce(F.max(gap), F.lit(0)).alias("max_gap_ms"), F.max("ts").alias("last_ts"))
 
 
+def sequence_flags(quotes: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """quotes, in order of seq, with sequence_gap: an instant before one already seen.
+    Such rows are kept."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = highest_before(quotes.withColumn("_us", us), "_mark", "_us", ["symbol"], ["seq"], block("seq", span))
+    return t.withColumn("sequence_gap", F.coalesce(F.col("_us") < F.col("_mark"), F.lit(False))).drop("_us", "_mark")
+
+
+def downtime(quotes: DataFrame, starts: DataFrame) -> DataFrame:
+    """symbol and downtime_ms: each start (symbol, since) of the service opens a window
+    that the symbol's first quote at or after it closes. A quote stamped earlier than
+    the window closes nothing and books no negative time; a window that a later start
+    opens again before any quote counts from the later one."""
+    from tickloom.operators.asof import asof_forward
+
+    first = asof_forward(starts, quotes.select("symbol", F.col("ts").alias("_qts")), "since", "_qts", columns=["_qts"])
+    last = first.where("_qts IS NOT NULL").groupBy("symbol", "_qts").agg(F.max("since").alias("since"))
+    ms = F.floor((F.unix_micros(F.col("_qts").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) / 1000)
+    return last.groupBy("symbol").agg(F.sum(ms).cast("long").alias("downtime_ms"), F.count(F.lit(1)).alias("windows"))
+
+
+def gaps_over_threshold(quotes: DataFrame, thresholds: dict[str, int]) -> DataFrame:
+    """Per symbol and capture bucket: quotes whose gap to the one before exceeds the
+    bucket's own threshold in ms, and the widest gap; buckets without one are left out."""
+    t = previous(quotes, "_before", F.col("ts"), ["symbol"], ["ts", "seq"], day("ts")).withColumn("bucket", capture_bucket(F.col("ts")))
+    gap = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1000).cast("long")
+    limit = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
+    t = t.withColumn("_gap", gap).withColumn("_limit", F.try_element_at(limit, F.coalesce("bucket", F.lit("")))).where("_limit IS NOT NULL AND _gap IS NOT NULL")
+    return t.groupBy("symbol", "bucket").agg(F.count_if(F.col("_gap") > F.col("_limit")).alias("breaks"), F.max("_gap").alias("widest_ms"))
+
+
 def resume_points(stored: DataFrame) -> DataFrame:
     return stored.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
 
