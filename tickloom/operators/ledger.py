@@ -7,6 +7,7 @@ import json
 import math
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +89,24 @@ def with_hash_before(records: DataFrame, name: str, span: int = 4096) -> DataFra
     return t.withColumn(name, F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_lag"))).drop("_range", "_at", "_end", "_lag", "_first")
 
 
+def chained(records: DataFrame) -> DataFrame:
+    """records (pos, body) with prev_hash and record_hash, each hash over the body and
+    the hash before it. A chain has one writer: the rows pass one sorted stream, a
+    batch at a time; only its check is parallel."""
+
+    def write(batches):
+        last = GENESIS
+        for batch in batches:
+            before, own = [], []
+            for body in batch.column("body").to_pylist():
+                before.append(last)
+                last = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(own)], ["pos", "body", "prev_hash", "record_hash"])
+
+    return records.select(F.col("pos").cast("long").alias("pos"), "body").repartition(1).sortWithinPartitions("pos").mapInArrow(write, "pos long, body string, prev_hash string, record_hash string")
+
+
 def broken_links(records: DataFrame, text: Column | None = None) -> DataFrame:
     """Records whose prev_hash is not the hash before them, or whose own hash does
     not follow from their fields: from the canonical text, or from `text`."""

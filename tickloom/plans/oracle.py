@@ -83,7 +83,7 @@ SHARE = _bars("INTERVAL '1 hour'") + ", h AS (SELECT CASE WHEN hour(ts_open) < 7
 text("session_volume_peaks", QL + "," + SHARE, "SELECT session, volume, round(share, 6) AS share, share > 0.2 AS peak FROM g")
 text("missing_session_peaks", QL + "," + SHARE, "SELECT s AS session FROM (VALUES ('asia'), ('london'), ('new_york'), ('sydney')) v(s) WHERE s NOT IN (SELECT session FROM g WHERE share > 0.2)")
 text("price_precision", Q, "SELECT seq, symbol, round(ask, 6) AS ask FROM quotes WHERE ask <> round(ask, 1)")
-text("bar_validation_report", QB + "," + BENT + "," + SPIKE.format(b="bent", n=100), f"SELECT 'duplicates' AS rule, 'reject' AS action, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'ohlc', 'reject', count(*) FROM bent WHERE {BAD} UNION ALL SELECT 'weekend', 'quarantine', count(*) FROM bent WHERE isodow(ts_open) >= 6 UNION ALL SELECT 'spike', 'flag', count(*) FROM s WHERE abs(ret) > 15 * sigma")
+text("bar_validation_report", QB + "," + BENT + "," + SPIKE.format(b="bent", n=100), f"SELECT 'duplicates' AS rule, 'reject' AS action, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT count(*) AS n FROM bent GROUP BY symbol, ts_open HAVING count(*) > 1) UNION ALL SELECT 'ohlc', 'reject', count(*) FROM bent WHERE {BAD} UNION ALL SELECT 'weekend', 'quarantine', count(*) FROM bent WHERE isodow(ts_open) >= 6 UNION ALL SELECT 'spike', 'flag', count(*) FROM s WHERE abs(ret) > 15 * sigma")
 text("candle_faults", QL + "," + C4H + ", c AS (SELECT * REPLACE (CASE WHEN hour(ts) = 12 THEN low - 1 WHEN hour(ts) = 20 THEN 200000.0 ELSE high END AS high) FROM candles)", "SELECT symbol, ts, CASE WHEN high < greatest(open, close, low) OR low > least(open, close, high) THEN 'range' ELSE 'scale' END AS fault FROM c WHERE high < greatest(open, close, low) OR low > least(open, close, high) OR high <= 0.001 OR high >= 100000")
 text("capability_drift", "", "SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS documented, CAST(p_size + 1 AS DOUBLE) AS observed FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'price', round(p_retailprice, 6), round(p_retailprice + 0.5, 6) FROM part WHERE p_partkey % 11 = 0")
 
@@ -113,7 +113,7 @@ TR = PRELUDE["trades"]
 METRICS = f"count(*) AS trades, round(count(*) FILTER (WHERE pnl > 0) / count(*), 4) AS win_rate, round({PF}, 3) AS profit_factor, round(sum(pnl), 2) AS net, round(100 * sum(pnl) / 10000, 2) AS return_pct, round(greatest(0.0, max(dd_pct)), 2) AS max_dd_pct, round(sum(r), 2) AS total_r"
 PT = TR + ", t AS (SELECT *, supplier % 20 AS params FROM trades)," + curve("book, params", "t")
 text("book_best", PT + f", m AS (SELECT book, params, {METRICS} FROM curve GROUP BY 1, 2)", "SELECT book, params, profit_factor, net FROM m QUALIFY row_number() OVER (PARTITION BY book ORDER BY profit_factor DESC, net DESC, params) = 1")
-text("book_streams", "", "SELECT l_suppkey AS book, CAST(2 AS BIGINT) AS copies FROM lineitem GROUP BY 1")
+text("book_streams", "t AS (SELECT l_suppkey AS book, l_shipdate AS at_ts, round(l_extendedprice, 6) AS price FROM lineitem), b AS (SELECT * FROM t UNION ALL SELECT book + 1000000000000000, at_ts, price FROM t), s AS (SELECT book, list_sort(list({'a': at_ts, 'p': price})) AS stream FROM b GROUP BY 1)", "SELECT min(book) AS book, count(*) AS copies FROM s GROUP BY stream")
 ORD = "o AS (SELECT seq AS id, symbol, ts + INTERVAL '1 minute' AS ts, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM quotes)"
 text("asof_backward_tol", Q + "," + ORD + ", r AS (SELECT symbol, ts, bid FROM quotes)", "SELECT o.id, CASE WHEN o.ts - r.ts <= INTERVAL '2 hours' THEN round(r.bid, 6) END AS bid FROM o ASOF LEFT JOIN r ON o.symbol = r.symbol AND o.ts >= r.ts")
 text("asof_forward_first_quote", Q + "," + ORD, "SELECT o.id, round(r.ask, 6) AS ask FROM o ASOF LEFT JOIN quotes r ON o.symbol = r.symbol AND o.ts <= r.ts")
@@ -139,8 +139,8 @@ def atr(n: int) -> str:
 
 text("ret_atr", QB + "," + atr(14), "SELECT symbol, available_at, round(ret_1, 6) AS ret_1, round(atr, 6) AS atr FROM a")
 text("spread_regime", QB + f", s AS (SELECT *, ask_close - bid_close AS spread FROM bars), m AS (SELECT *, {roll('median', 'spread', 20, WA)} AS md FROM s), r AS (SELECT *, spread / nullif(md, 0) AS ratio FROM m)", "SELECT symbol, available_at, round(md, 6) AS spread_median, round(ratio, 6) AS spread_ratio, CASE WHEN ratio IS NULL THEN NULL WHEN ratio > 1.5 THEN 'elevated' ELSE 'normal' END AS spread_regime FROM r")
-QS = ", ".join(f"quantile_cont(m, {p / 10}) OVER ({WA} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS q{p}" for p in (2, 4, 6, 8))
-text("vol_quintile", QB + "," + atr(5) + f", v AS (SELECT *, {roll('avg', 'atr', 4, WA)} AS m FROM a), q AS (SELECT *, count(m) OVER ({WA} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS n, {QS} FROM v)", "SELECT symbol, available_at, CAST(CASE WHEN n < 21 OR m IS NULL THEN NULL WHEN m <= q2 THEN 1 WHEN m <= q4 THEN 2 WHEN m <= q6 THEN 3 WHEN m <= q8 THEN 4 ELSE 5 END AS BIGINT) AS vol_regime_quintile FROM q")
+QN = ", ".join(f"list_sort(list(m) OVER ({WA} ROWS BETWEEN 21 PRECEDING AND CURRENT ROW))[{k}] AS q{p}" for p, k in ((2, 5), (4, 9), (6, 14), (8, 18)))  # nearest of 22
+text("vol_quintile", QB + "," + atr(5) + f", v AS (SELECT *, {roll('avg', 'atr', 4, WA)} AS m FROM a), q AS (SELECT *, count(m) OVER ({WA} ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS n, {QN} FROM v)", "SELECT symbol, available_at, CAST(CASE WHEN n < 22 OR m IS NULL THEN NULL WHEN m <= q2 THEN 1 WHEN m <= q4 THEN 2 WHEN m <= q6 THEN 3 WHEN m <= q8 THEN 4 ELSE 5 END AS BIGINT) AS vol_regime_quintile FROM q")
 TREND = f"tr AS (SELECT *, (bid_close - {roll('avg', 'bid_close', 20, WA)}) / nullif({roll('stddev_samp', 'bid_close', 20, WA)}, 0) AS st FROM bars)"
 text("trend_regime", QB + "," + TREND, "SELECT symbol, available_at, round(st, 6) AS trend_strength, CASE WHEN st IS NULL THEN NULL WHEN st > 0.5 THEN 'up' WHEN st < -0.5 THEN 'down' ELSE 'none' END AS trend_state FROM tr")
 text("rolling_hh_ll", QL + "," + C4H, "SELECT symbol, ts, " + ", ".join(f"round({roll(f, x, n, WT)}, 6) AS {k}_{n}" for n in (6, 24) for f, x, k in (("max", "high", "hh"), ("min", "low", "ll"))) + " FROM candles")
@@ -153,7 +153,7 @@ text("prev_day_levels", QL + "," + C4H + ", d AS (SELECT symbol, CAST(ts AS DATE
 text("warm_returns", QL + "," + C4H, f"SELECT symbol, ts, round(coalesce(close / lag(close, 1) OVER ({WT}) - 1, 0.0), 6) AS ret1, round(coalesce(close / lag(close, 5) OVER ({WT}) - 1, 0.0), 6) AS ret5 FROM candles")
 text("centred_leak", QB, f"SELECT symbol, available_at, round(avg(bid_close) OVER ({WA} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS centred FROM bars")
 text("full_rank_leak", QB, "SELECT symbol, available_at, rank() OVER (PARTITION BY symbol ORDER BY bid_close) + (count(*) OVER (PARTITION BY symbol, bid_close) - 1) / 2 AS full_rank FROM bars")
-text("truncation_test", "", "SELECT p AS pipeline, c AS cutoff, p <> 'honest' AS leaks FROM (VALUES ('honest'), ('centred'), ('full_rank')) a(p), (VALUES ('2024-01-10 12:00:00'), ('2024-01-20 00:00:00')) b(c)")
+text("truncation_test", QB + ", cuts AS (SELECT * FROM (VALUES (TIMESTAMP '2024-01-10 12:00:00'), (TIMESTAMP '2024-01-20 00:00:00')) t(cutoff)), w0 AS (SELECT c.cutoff, b.* FROM bars b, cuts c), w1 AS (SELECT *, bid_close / lag(bid_close) OVER w - 1 AS ret, greatest(bid_high - bid_low, abs(bid_close - lag(bid_close) OVER w)) AS tr, avg(bid_close) OVER (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS centred, rank() OVER (PARTITION BY cutoff, symbol ORDER BY bid_close) + (count(*) OVER (PARTITION BY cutoff, symbol, bid_close) - 1) / 2.0 AS fr, CASE WHEN count(*) OVER w20 >= 20 THEN (bid_close - avg(bid_close) OVER w20) / nullif(stddev_samp(bid_close) OVER w20, 0) END AS st FROM w0 WINDOW w AS (PARTITION BY cutoff, symbol ORDER BY available_at), w20 AS (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), w AS (SELECT *, CASE WHEN count(tr) OVER v >= 14 THEN avg(tr) OVER v END AS atr FROM w1 WINDOW v AS (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), p0 AS (SELECT c.cutoff, b.* FROM bars b, cuts c WHERE b.available_at <= c.cutoff), p1 AS (SELECT *, bid_close / lag(bid_close) OVER w - 1 AS ret, greatest(bid_high - bid_low, abs(bid_close - lag(bid_close) OVER w)) AS tr, avg(bid_close) OVER (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS centred, rank() OVER (PARTITION BY cutoff, symbol ORDER BY bid_close) + (count(*) OVER (PARTITION BY cutoff, symbol, bid_close) - 1) / 2.0 AS fr, CASE WHEN count(*) OVER w20 >= 20 THEN (bid_close - avg(bid_close) OVER w20) / nullif(stddev_samp(bid_close) OVER w20, 0) END AS st FROM p0 WINDOW w AS (PARTITION BY cutoff, symbol ORDER BY available_at), w20 AS (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), p AS (SELECT *, CASE WHEN count(tr) OVER v >= 14 THEN avg(tr) OVER v END AS atr FROM p1 WINDOW v AS (PARTITION BY cutoff, symbol ORDER BY available_at ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), d AS (SELECT w.cutoff, bool_or(abs(w.ret - p.ret) > 1e-12 OR abs(w.atr - p.atr) > 1e-12 OR abs(w.st - p.st) > 1e-12 OR (w.ret IS NULL) <> (p.ret IS NULL) OR (w.atr IS NULL) <> (p.atr IS NULL) OR (w.st IS NULL) <> (p.st IS NULL) OR p.symbol IS NULL) AS h, bool_or(abs(w.centred - p.centred) > 1e-12) AS c, bool_or(abs(w.fr - p.fr) > 1e-12) AS f FROM w LEFT JOIN p ON p.cutoff = w.cutoff AND p.symbol = w.symbol AND p.available_at = w.available_at WHERE w.available_at <= w.cutoff GROUP BY 1)", "SELECT pipeline, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, coalesce(CASE pipeline WHEN 'honest' THEN h WHEN 'centred' THEN c ELSE f END, false) AS leaks FROM d, (VALUES ('honest'), ('centred'), ('full_rank')) x(pipeline)")
 
 FRESH = f"f AS (SELECT *, (ask - bid) / 0.01::DOUBLE AS pips FROM lagged WHERE epoch_us(ts) - epoch_us(prev) <= {GAP}000 AND (ask - bid) / 0.01::DOUBLE > 0)"
 EPI = FRESH + f", e AS (SELECT symbol, {bucket()} AS session, isodow(ts) - 1 AS weekday, seq, pips FROM f WHERE {bucket()} IS NOT NULL)"
@@ -241,7 +241,7 @@ text("reservation_greedy", """r AS (SELECT l_suppkey AS account, l_orderkey * 10
 g AS (SELECT account, seq, max_loss, i, max_loss <= 400 AS accepted, CASE WHEN max_loss <= 400 THEN max_loss ELSE 0 END AS used FROM r WHERE i = 1 UNION ALL SELECT r.account, r.seq, r.max_loss, r.i, g.used + r.max_loss <= 400, CASE WHEN g.used + r.max_loss <= 400 THEN g.used + r.max_loss ELSE g.used END FROM g JOIN r ON r.account = g.account AND r.i = g.i + 1)""", "SELECT account, seq, max_loss, accepted FROM g")
 ORACLES["reservation_greedy"] = ORACLES["reservation_greedy"].replace("WITH ", "WITH RECURSIVE ", 1)
 text("reservations_live", "e AS (SELECT o_custkey AS account, o_orderkey % 3 AS k, CASE WHEN o_orderstatus = 'F' THEN 'release' ELSE 'reserve' END AS kind, o_totalprice AS ml, o_totalprice / 4 AS mg FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) = 1)", "SELECT account, count(*) AS reservations, round(sum(ml), 6) AS max_loss, round(sum(mg), 6) AS margin FROM e WHERE kind = 'reserve' GROUP BY 1")
-text("phase_breaches", PRELUDE["path"] + ", a AS (SELECT *, equity - seq % 500 AS balance, date_trunc('day', timezone('Europe/Prague', timezone('UTC', ts))) AS anchor FROM path), d AS (SELECT *, greatest(max(equity) OVER w, first_value(balance) OVER w) - 900000 AS floor_ FROM a WINDOW w AS (PARTITION BY account, anchor ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))", "SELECT account, seq, 'maximum_daily_loss' AS rule, CAST(equity AS DOUBLE) AS equity, CAST(floor_ AS DOUBLE) AS level FROM d WHERE equity < floor_ UNION ALL SELECT account, seq, 'maximum_loss', CAST(equity AS DOUBLE), -1900000.0 FROM d WHERE equity < -1900000 UNION ALL SELECT account, seq, 'profit_target', CAST(equity AS DOUBLE), 1600000.0 FROM d WHERE equity >= 1600000")
+text("phase_breaches", PRELUDE["path"] + ", a AS (SELECT *, equity - seq % 500 AS balance, date_trunc('day', timezone('Europe/Prague', timezone('UTC', ts))) AS anchor FROM path), d AS (SELECT *, greatest(max(equity) OVER w, first_value(balance) OVER w) - 40 AS floor_ FROM a WINDOW w AS (PARTITION BY account, anchor ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))", "SELECT account, seq, 'maximum_daily_loss' AS rule, CAST(equity AS DOUBLE) AS equity, CAST(floor_ AS DOUBLE) AS level FROM d WHERE equity < floor_ UNION ALL SELECT account, seq, 'maximum_loss', CAST(equity AS DOUBLE), 40000.0 FROM d WHERE equity < 40000 UNION ALL SELECT account, seq, 'profit_target', CAST(equity AS DOUBLE), 190000.0 FROM d WHERE equity >= 190000")
 EDGES = "('queued','submitted'),('submitted','filled'),('submitted','partially_filled'),('submitted','rejected'),('submitted','requoted'),('submitted','unknown'),('partially_filled','open'),('partially_filled','unknown'),('partially_filled','rejected'),('filled','open'),('open','closed_sl'),('open','closed_tp'),('open','closed_manual'),('requoted','submitted')"
 text("illegal_transitions", f"s AS (SELECT l_orderkey AS order_id, l_linenumber * 1000000 + l_partkey AS seq, min(['queued', 'submitted', 'filled', 'open', 'closed_tp', 'rejected'][l_suppkey % 6 + 1]) AS status FROM lineitem GROUP BY 1, 2), p AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY seq) AS previous FROM s), e(a, b) AS (VALUES {EDGES})", "SELECT order_id, seq, previous, status FROM p WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE a = previous AND b = status)")
 
@@ -265,7 +265,11 @@ text("ledger_comparable", "", "SELECT count(*) AS trials FROM orders WHERE o_ord
 SH = TR + ", m AS (SELECT supplier, count(*) AS t, avg(r) AS mu, stddev_samp(r) AS sd, stddev_pop(r) AS sp FROM trades GROUP BY 1), k AS (SELECT m.supplier AS candidate, t, CASE WHEN sd <= 1e-9 THEN 0.0 ELSE mu / sd END AS sr, sum(power(r - mu, 3)) / t / power(max(sp), 3) AS skew, sum(power(r - mu, 4)) / t / power(max(sp), 4) AS kurt FROM trades JOIN m USING (supplier) GROUP BY m.supplier, t, mu, sd), z AS (SELECT *, sqrt((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (t - 1)) AS se FROM k WHERE t >= 2)"
 text("sharpe_se", SH, "SELECT candidate, t, round(sr, 6) AS sr, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(se, 6) AS se FROM z")
 text("hac_autocorr", TR + ", d AS (SELECT supplier, exit_ts, seq, r - avg(r) OVER (PARTITION BY supplier) AS d, count(*) OVER (PARTITION BY supplier) AS t, row_number() OVER (PARTITION BY supplier ORDER BY exit_ts, seq) AS i FROM trades), l AS (SELECT *, greatest(1, CAST(floor(4 * power(t / 100, 2.0 / 9)) AS INTEGER)) AS n FROM d WHERE t >= 8), c AS (SELECT a.supplier, sum(a.d * b.d) AS s FROM l a JOIN l b ON a.supplier = b.supplier AND b.i < a.i AND a.i - b.i <= a.n GROUP BY 1), v AS (SELECT supplier, max(t) AS t, max(n) AS n, sum(d * d) AS q FROM l GROUP BY 1)", "SELECT supplier AS candidate, t, n AS n_lags, round(s / q, 6) AS autocorr_sum, round(sqrt((1 + 2 * s / q) / t), 6) AS se FROM v JOIN c USING (supplier) WHERE 1 + 2 * s / q > 0")
-text("chain_verify", "o AS (SELECT o_orderkey AS pos, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders), l AS (SELECT pos, lag(h, 1, repeat('0', 64)) OVER (ORDER BY pos) AS prev_hash FROM o)", "SELECT pos, prev_hash FROM l WHERE pos IN (501, 1501)")
+ORACLES["chain_verify"] = """WITH RECURSIVE o AS (SELECT o_orderkey AS pos, o_orderkey || '|' || o_custkey || '|' || o_orderpriority AS body, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders),
+c AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, repeat('0', 64) AS prev_hash, repeat('0', 64) AS h UNION ALL SELECT o.i, o.pos, c.h, sha256(o.body || '|' || c.h) FROM c JOIN o ON o.i = c.i + 1),
+t AS (SELECT c.i, c.pos, c.prev_hash, CASE WHEN c.pos % 500 = 0 OR c.pos % 800 = 0 THEN 'x' ELSE body END AS body, CASE WHEN c.pos % 500 = 0 THEN sha256('x|' || c.prev_hash) ELSE h END AS record_hash FROM c JOIN o USING (i) WHERE c.i > 0),
+l AS (SELECT *, prev_hash = lag(record_hash, 1, repeat('0', 64)) OVER (ORDER BY i) AS link_ok, sha256(body || '|' || prev_hash) = record_hash AS hash_ok FROM t)
+SELECT pos, prev_hash, link_ok, hash_ok FROM l WHERE NOT link_ok OR NOT hash_ok"""
 text("stream_monitor", Q + ", m AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM quotes)", "SELECT symbol, count(*) AS ticks, count(*) FILTER (WHERE ts < mark) AS gaps, coalesce(max(CASE WHEN ts >= mark THEN (epoch_us(ts) - epoch_us(mark)) // 1000 END), 0) AS max_gap_ms, max(ts) AS last_ts FROM m GROUP BY 1")
 text("stale_quotes", "", "SELECT event_type AS symbol, TIMESTAMP '2024-01-31 00:00:00' - max(ts) > INTERVAL '5 hours' AS stale FROM events GROUP BY 1 UNION ALL SELECT 'never', true")
 text("capture_coverage", Q, "SELECT symbol, strftime(ts, '%Y-%m') AS month, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM quotes GROUP BY 1, 2")

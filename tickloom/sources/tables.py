@@ -24,9 +24,10 @@ CAPTURE = "ts string, bid double, ask double, bid_volume double, ask_volume doub
 
 
 def write_ticks(ticks: DataFrame, root: str) -> None:
-    """Every row under its own month; only the months written are replaced."""
+    """Every row under its own month; only the months written are replaced. A month's
+    days are tasks and files of their own, so a busy symbol is no single task."""
     t = ticks.withColumn("month", month_key(F.col("ts")))
-    t.repartition("symbol", "month").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "month").parquet(root)
+    t.repartition("symbol", "month", F.to_date("ts")).sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "month").parquet(root)
 
 
 def read_ticks(spark: SparkSession, root: str, symbol: str | None = None, month: str | None = None) -> DataFrame:
