@@ -1,16 +1,18 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Components become floor(64 x). A block of rows keeps a quantised cell a
-component (one byte, equal-width cells between the block's smallest and largest
-value of that component). A query's score over a row lies within the sum, over
-components, of the query's value times its cell's bounds. The scan takes those
-bounds for all rows of the block, sets aside rows whose upper bound is below the
-kth best lower bound, and reads exact vectors of the rest in falling order of
-upper bound until the kth exact score is at least every bound left. Every block
-gives its own k best of each query; a rank over those gives the answer.
-
-Query blocks meet row blocks by an equi-join on a block number that each query
-block is written out for: each pair is one row of bounded size.
+Components become floor(64 x). The file is a stored table of cells, one byte a
+component, on one grid for the whole corpus (equal-width cells between a
+component's smallest and largest value). A query's score over a row lies within
+the sum, over components, of the query's value times its cell's bounds. The scan
+reads cells alone: each block of the file keeps, of a query, the rows whose upper
+bound reaches the k-th best lower bound of the block, and a rank over all blocks
+keeps those that reach the k-th best lower bound of the corpus. Exact vectors are
+then read in falling order of upper bound: first k of them, whose worst exact
+score closes the list; then only rows whose upper bound reaches that score.
+
+Query blocks meet lots of file blocks by an equi-join on a lot number that each
+query block is written out for; a lot holds some LOT_ROWS rows of cells. Exact
+vectors meet only the candidates, by row number.
 
 Defined cases: a vector that is null or holds null or non-finite components
 takes no part; vectors of unequal lengths do not meet; ties go to the smaller
@@ -22,85 +24,173 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import arrow_map, stage
-from tickloom.llm.vectors import blocks, lists, usable
+from tickloom.llm.common import arrow_map, drop_table, free_shuffles, stage
+from tickloom.llm.vectors import Blocks, blob, by_length, usable
 
 CELLS = 255
+LOT_ROWS = 1 << 16
 _SAFE = float(1 << 52)
 
 
-def search_block(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query index, row index, exact score) of each query's k best rows of the
-    block, its own vec_id left out; ties to the smaller id."""
-    exact = rows.astype(np.float64)
-    low, high = exact.min(0), exact.max(0)
-    width = np.maximum((high - low) / CELLS, 1e-9)
-    cell = np.minimum((exact - low) / width, CELLS - 1).astype(np.uint8)
+def _numbered(base: DataFrame) -> DataFrame:
+    """rid, id, dim and the vector as bytes, a row number of its own each."""
+
+    def run(batches):
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            for d, at, x in by_length(batch.column("v")):
+                if d:
+                    rid = n + np.arange(len(at))
+                    n += len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids[at]), pa.array(np.full(len(at), d, np.int32)), pa.array([blob(r) for r in x.astype("<i8")], pa.binary())], ["rid", "id", "dim", "v"])
+
+    return arrow_map(base, run, "rid long, id long, dim int, v binary")
+
+
+def _matrix(batch: pa.RecordBatch):
+    """(length, row numbers, matrix) of a batch of _numbered rows."""
+    dim = np.asarray(batch.column("dim"))
+    for d in np.unique(dim).tolist():
+        at = np.flatnonzero(dim == d)
+        yield d, at, np.frombuffer(b"".join(batch.column("v").take(pa.array(at)).to_pylist()), "<i8").reshape(len(at), d)
+
+
+def grids(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length: the smallest value and the cell width of every component. A
+    task gives one row a length."""
+
+    def run(batches):
+        low, high = {}, {}
+        for batch in batches:
+            for d, _, x in _matrix(batch):
+                low[d] = np.minimum(low.get(d, x[0]), x.min(0))
+                high[d] = np.maximum(high.get(d, x[0]), x.max(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int32()), pa.array([blob(low[d]) for d in low], pa.binary()), pa.array([blob(high[d]) for d in low], pa.binary())], ["dim", "low", "high"])
+
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in arrow_map(vectors, run, "dim int, low binary, high binary").collect():
+        a, b = (np.frombuffer(r[c], "<i8") for c in ("low", "high"))
+        low, high = out.get(r["dim"], (a, b))
+        out[r["dim"]] = np.minimum(low, a), np.maximum(high, b)
+    return {d: (low.astype(np.float64), np.maximum((high.astype(np.float64) - low) / CELLS, 1e-9)) for d, (low, high) in out.items()}
+
+
+FILE = "dim int, n int, rids binary, ids binary, cells binary"
+
+
+def approximation_file(vectors: DataFrame, grid: dict, block_rows: int) -> DataFrame:
+    """Blocks of cells, packed where the rows lie."""
+
+    def run(batches):
+        held = Blocks(lambda d: block_rows)
+        row = lambda d, rid, ids, cells: pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([blob(x)], pa.binary()) for x in (rid, ids, cells))], ["dim", "n", "rids", "ids", "cells"])
+        for batch in batches:
+            rid, ids = np.asarray(batch.column("rid")), np.asarray(batch.column("id"))
+            for d, at, x in _matrix(batch):
+                low, width = grid[d]
+                cells = np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+                for full in held.add(d, rid[at], ids[at], cells):
+                    yield row(d, *full)
+        for d, rest in held.rest():
+            yield row(d, *rest)
+
+    return arrow_map(vectors, run, FILE)
+
+
+def scan(cells: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
+    """(query index, row index, middle, slack) of the rows of a block that may be
+    among a query's k best of it, its own id left out: the score lies within middle
+    +- slack."""
     q = queries.astype(np.float64)
-    middle = (cell + 0.5) * width + low
-    spread = np.abs(q) @ (0.5 * width) * (1 + 1e-9) + 1e-6
-    guess = q @ middle.T
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(exact).max(initial=0)) * max(1, rows.shape[1]) >= _SAFE
-    out_q, out_r, out_s = [], [], []
-    n = len(ids)
+    reach = np.abs(q)
+    middle = (q * width) @ cells.T.astype(np.float64) + (q @ (low + 0.5 * width))[:, None]
+    # Half a cell, and what rounding may take.
+    slack = reach @ (0.5 * width) * (1 + 1e-9) + 1e-6 + 1e-12 * (reach @ (np.abs(low) + CELLS * width))
+    n = cells.shape[0]
+    out_q, out_r = [], []
     for i in range(len(q)):
-        g = guess[i]
+        g = middle[i]
         g[ids == q_ids[i]] = -np.inf
-        if n > k:
-            kth_lower = np.partition(g, n - k)[n - k] - spread[i]
-            cand = np.flatnonzero(g + spread[i] >= kth_lower)
-        else:
-            cand = np.arange(n)
-        cand = cand[g[cand] > -np.inf]
-        cand = cand[np.argsort(-g[cand], kind="stable")]
-        upper = g[cand] + spread[i]
-        got = np.zeros(0, np.int64)
-        at = 0
-        while at < len(cand):
-            part = cand[at : at + max(4 * k, 64)]
-            if big:
-                score = np.array([sum(int(a) * int(b) for a, b in zip(queries[i].tolist(), rows[r].tolist())) for r in part], object)
-            else:
-                score = (exact[part] @ q[i]).astype(np.int64)
-            got = np.concatenate([got, score])
-            at += len(part)
-            if at < len(cand) and len(got) >= k and np.sort(got)[-k] > upper[at]:
-                break
-        read = cand[: len(got)]
-        best = sorted(range(len(got)), key=lambda j: (-got[j], ids[read[j]]))[:k]
-        out_q += [i] * len(best)
-        out_r += read[best].tolist()
-        out_s += got[best].tolist()
-    return out_q, out_r, out_s
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+        least = np.partition(g, n - k)[n - k] - 2 * slack[i] if n > k else -np.inf
+        at = np.flatnonzero((g >= least) & (g > -np.inf))
+        out_q.append(np.full(len(at), i))
+        out_r.append(at)
+    out_q, out_r = np.concatenate([np.zeros(0, np.int64), *out_q]), np.concatenate([np.zeros(0, np.int64), *out_r])
+    return out_q, out_r, middle[out_q, out_r], slack[out_q]
+
+
+def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs (query rid, query_id, rid) with vec_id and the exact score."""
+    side = vectors.select(F.col("rid").alias("_q"), F.col("v").alias("x"))
+    own = vectors.select(F.col("rid").alias("_r"), F.col("id").alias("vec_id"), F.col("v").alias("y"))
+    rows = pairs.join(own, F.col("rid") == F.col("_r")).join(side, F.col("query") == F.col("_q"))
+
+    def run(batches):
+        for batch in batches:
+            score = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                a, b = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                big = float(np.abs(a).max()) * float(np.abs(b).max()) * len(a) >= _SAFE
+                score.append(sum(int(i) * int(j) for i, j in zip(a.tolist(), b.tolist())) if big else int(a @ b))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("query_id"), batch.column("vec_id"), pa.array(score, pa.int64())], ["query", "query_id", "vec_id", "score"])
+
+    return arrow_map(rows.select("query", "query_id", "vec_id", "x", "y"), run, "query long, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query; queries
     are the rows whose id is divisible by `every`."""
+    spark = vectors.sparkSession
     ints = F.transform(vector_col, lambda x: F.floor(F.lit(64.0) * x.cast("double")))
     base = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
-    base = stage(base.withColumn("dim", F.size("v")).where("dim > 0"), "vectors")
-    counts = base.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
-    # Repeats of a row would fall into one block together: number them apart.
-    salted = base.withColumn("salt", F.monotonically_increasing_id())
-    data = stage(blocks(salted, block_rows, ["id", "v", "salt"], counts["n"]), "row_blocks")
-    asked = base.where(F.col("id") % every == 0).distinct()
-    lots = max(1, -(-counts["n"] // block_rows))
-    ask = blocks(asked, query_rows, ["id", "v"], counts["q"]).withColumn("target", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
-    pairs = ask.select("dim", F.col("target").alias("block"), F.col("block").alias("ask"), F.col("rows").alias("queries")).join(data, ["dim", "block"])
-    pairs = pairs.repartition(max(12, lots * max(1, -(-counts["q"] // query_rows))), "dim", "block", "ask")
+    exact = stage(_numbered(base), "vectors")
+    grid = grids(exact)
+    file = stage(approximation_file(exact, grid, block_rows), "cells")
+    total = file.agg(F.sum("n").alias("n")).first()["n"] or 0
+    lots = max(1, -(-total // LOT_ROWS))
+    # Rows that repeat an id and its vector ask once.
+    asked = exact.where(F.col("id") % every == 0).groupBy("id", "dim", "v").agg(F.min("rid").alias("rid"))
 
-    def run(batches):
+    def gather(batches):
+        held = Blocks(lambda d: query_rows)
+        row = lambda d, rid, ids, x: pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([blob(c)], pa.binary()) for c in (rid, ids, x))], ["qdim", "qrids", "qids", "queries"])
         for batch in batches:
-            for i in range(batch.num_rows):
-                d, q = batch.column("rows")[i].values, batch.column("queries")[i].values
-                ids, q_ids = np.asarray(d.field("id")), np.asarray(q.field("id"))
-                a, b, s = search_block(ids, lists(d.field("v")), q_ids, lists(q.field("v")), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[np.array(a, np.int64)], pa.int64()), pa.array(ids[np.array(b, np.int64)], pa.int64()), pa.array([int(x) for x in s], pa.int64())], ["query_id", "vec_id", "score"])
-
-    found = arrow_map(pairs.select("rows", "queries"), run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            rid, ids = np.asarray(batch.column("rid")), np.asarray(batch.column("id"))
+            for d, at, x in _matrix(batch):
+                for full in held.add(d, rid[at], ids[at], x):
+                    yield row(d, *full)
+        for d, rest in held.rest():
+            yield row(d, *rest)
+
+    ask = arrow_map(asked.select("rid", "id", "dim", "v"), gather, "qdim int, qrids binary, qids binary, queries binary").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    dealt = file.withColumn("lot", F.pmod(F.xxhash64("rids"), F.lit(lots)))
+    met = dealt.join(ask, (F.col("dim") == F.col("qdim")) & (dealt["lot"] == ask["lot"])).select("dim", "rids", "ids", "cells", "qrids", "qids", "queries")
+
+    def look(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                d = r["dim"]
+                rid, ids, q_rid, q_ids = (np.frombuffer(r[c], np.int64) for c in ("rids", "ids", "qrids", "qids"))
+                q, at, middle, slack = scan(np.frombuffer(r["cells"], np.uint8).reshape(-1, d), ids, q_ids, np.frombuffer(r["queries"], "<i8").reshape(-1, d), *grid[d], k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_rid[q]), pa.array(q_ids[q]), pa.array(rid[at]), pa.array(middle), pa.array(slack)], ["query", "query_id", "rid", "middle", "slack"])
+
+    found = arrow_map(met, look, "query long, query_id long, rid long, middle double, slack double")
+    # A query's slack is the same for all rows, so the order by middle is that of both bounds.
+    order = Window.partitionBy("query").orderBy(F.desc("middle"), "rid")
+    kth = F.max(F.when(F.col("n") == k, F.col("middle"))).over(Window.partitionBy("query"))
+    ranked = found.withColumn("n", F.row_number().over(order)).withColumn("kth", kth)
+    near = stage(ranked.where("kth IS NULL OR middle + slack >= kth - slack").drop("kth"), "candidates")
+    free_shuffles(spark)
+    first = stage(_exact(near.where(F.col("n") <= k), exact), "first_read")
+    worst = first.groupBy("query").agg(F.min("score").alias("worst"))
+    more = near.where(F.col("n") > k).join(worst, "query").where("middle + slack >= worst").select("query", "query_id", "rid")
+    scored = first.unionByName(_exact(more, exact))
+    drop_table(file)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    out = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
