@@ -505,3 +505,47 @@ def test_features_over_short_stretches_equal_long_ones(spark, monkeypatch):
     monkeypatch.setattr(slices, "ROWS", 16)
     for k, f in make.items():
         assert rows(f()) == long[k], k
+
+
+def test_range_reads_through_a_cache(spark, tmp_path):
+    """Slots once decoded are not read again, all bad files are named, nothing of a
+    failed call is kept, and repeats keep the last."""
+    import lzma
+
+    import numpy as np
+
+    root, cache = tmp_path / "files", str(tmp_path / "cache")
+
+    def put(hour, rows, raw=None):
+        path = root / binary.hour_path("EURUSD", hour)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(lzma.compress(np.array(rows, binary.TICK).tobytes()) if raw is None else raw)
+        return path
+
+    hours = [datetime(2024, 1, 2, h) for h in range(4)]
+    a = put(hours[0], [(0, 110_001, 110_000, 1, 1), (1000, 110_003, 110_002, 1, 1), (1000, 110_003, 110_002, 2, 9)])
+    put(hours[1], [], b"")
+    put(hours[2], [(5, 110_005, 110_004, 1, 1)])
+    read = lambda n: binary.read_range(spark, str(root), ["EURUSD"], hours[0], datetime(2024, 1, 2, n), cache)
+    assert [(r["ts"].hour, r["bid"], r["bid_volume"]) for r in read(2).collect()] == [(0, 1.1, 1.0), (0, 1.10002, 9.0)]
+    a.write_bytes(b"broken since")  # held by the cache
+    bad = [put(hours[2], [], b"junk"), put(hours[3], [], b"more junk")]
+    with pytest.raises(binary.FetchFailed) as e:
+        read(4)
+    assert str(e.value).count("EURUSD") == 2 and read(2).count() == 2
+    for p, h in zip(bad, hours[2:]):
+        put(h, [(5, 110_005, 110_004, 1, 1)])
+    assert read(4).count() == 4
+
+
+def test_day_files_through_the_cache(spark, tmp_path):
+    import lzma
+    from datetime import date
+
+    import numpy as np
+
+    path = tmp_path / "f" / binary.day_path("USDJPY", date(2024, 1, 3))
+    path.parent.mkdir(parents=True)
+    path.write_bytes(lzma.compress(np.array([(0, 150_000, 150_010, 149_990, 150_020, 1), (60, 150_010, 150_000, 149_995, 150_015, 1)], binary.CANDLE).tobytes()))
+    got = binary.read_range(spark, str(tmp_path / "f"), ["USDJPY"], datetime(2024, 1, 3, 0, 0, 30), datetime(2024, 1, 4), str(tmp_path / "c"), candles_=True).collect()
+    assert [(r["open"], r["high"], r["low"], r["close"]) for r in got] == [(150.01, 150.015, 149.995, 150.0)]

@@ -587,7 +587,7 @@ def portfolio_frontier(spark, sf):
     t = views.trades(spark, sf)
     dd = portfolio.equity_curve(t, ["book"]).groupBy("book").agg(F.max("dd_pct").alias("val_dd"))
     got = portfolio.frontier(t, dd, [0.1, 0.2, 0.4, 0.8], 0.005, 8.0)
-    return got.select("scale", F.round("max_dd_pct", 3).alias("max_dd_pct"), F.round("end_equity", 2).alias("end_equity"), "inside", "chosen")
+    return got.select("scale", F.round("max_dd_pct", 3).alias("max_dd_pct"), F.round(F.log10("end_equity"), 6).alias("log10_end"), "inside", "chosen")
 
 
 # ------------------------------------------------------------ statistics

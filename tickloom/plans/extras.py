@@ -78,6 +78,22 @@ def day_paths(spark, sf):
 text("day_paths", "", "SELECT symbol, CAST(d AS DATE) AS day, printf('%s/%04d/%02d/%02d/BID_candles_min_1.bi5', symbol, year(d), month(d) - 1, day(d)) AS path FROM (SELECT DISTINCT event_type AS symbol FROM events), range(DATE '2024-01-30', DATE '2024-03-02', INTERVAL '1 day') t(d)")
 
 
+SYMBOLS = {"click": "EURUSD", "view": "USDJPY", "purchase": "XAUUSD", "error": "GBPUSD", "signup": "AUDUSD"}
+
+
+@query
+def binary_ticks(spark, sf):
+    """Quotes packed into hour files and decoded again."""
+    names = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+    q = views.quotes(spark, sf).withColumn("symbol", names[F.col("symbol")])
+    got = binary.decode_ticks(binary.encode_ticks(q)).where("error IS NULL")
+    return r6(got.groupBy("symbol", "slot").agg(F.count(F.lit(1)).alias("ticks"), F.min("ts").alias("first_ts"), F.sum("bid").alias("bids"), F.sum("ask").alias("asks"), F.sum("bid_volume").alias("volume")), "bids", "asks", "volume")
+
+
+_SCALED = "CASE event_type WHEN 'view' THEN 1000 WHEN 'purchase' THEN 1000 ELSE 100000 END"
+text("binary_ticks", Q + f", s AS (SELECT event_type, event_id, {_SCALED} AS k FROM events)", "SELECT CASE symbol " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SYMBOLS.items()) + " END AS symbol, date_trunc('hour', ts) AS slot, count(*) AS ticks, min(date_trunc('millisecond', ts)) AS first_ts, round(sum(floor(bid * k + 0.5) / k), 6) AS bids, round(sum(floor(ask * k + 0.5) / k), 6) AS asks, sum(bid_volume) AS volume FROM quotes JOIN s ON event_id = seq GROUP BY 1, 2")
+
+
 @query
 def tick_partitions(spark, sf):
     """Quotes written by symbol and month and read back, one symbol whole and a month of
@@ -260,6 +276,13 @@ text("spread_draw_levels", QL + "," + EPI.replace("e AS (", "e0 AS (") + ", e AS
     "SELECT symbol, session, volatility, news, weekday, draw, round(l[CAST(('0x' || substr(md5(concat_ws('|', '7', symbol, session, volatility, 'false', weekday, draw)), 1, 12))::BIGINT % len(l) AS INTEGER) + 1], 6) AS pips, level, CAST(len(l) AS BIGINT) AS episodes FROM b")
 
 
+_own = ORACLES["spread_draw_levels"]
+_a, _b = _own.index(", c AS (SELECT s AS symbol"), _own.index(", m AS (")
+_c = ", c AS (SELECT d.*, 'normal' AS volatility, false AS news, CAST(n AS INTEGER) AS draw FROM (SELECT DISTINCT symbol, session, weekday FROM e) d, (VALUES (1), (2)) y(n))"
+_u = " UNION ALL SELECT 'click', 'asia', 0, 1000000000000 + k, 0.25 + k FROM range(9) t(k)"
+ORACLES["spread_draws"] = (_own[:_a] + _c + _own[_b:]).replace(_u, "").replace("SELECT symbol, session, volatility, news, weekday, draw,", "SELECT symbol, session, volatility, news, CAST(weekday AS INTEGER) AS weekday, draw,")
+
+
 # ------------------------------------------------------------ portfolio
 
 

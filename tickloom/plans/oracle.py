@@ -258,7 +258,7 @@ text("rolling_90d", ROLL, "SELECT book, window_start, round(ret, 6) AS ret FROM
 text("rolling_90d_best_median", ROLL, "SELECT book, count(*) AS windows, round(max(ret), 6) AS best, round(list_sort(list(ret))[count(*) // 2 + 1], 6) AS median FROM w GROUP BY 1")
 text("topk_configs", TR + f", c AS (SELECT book, supplier % 20 AS params, round({PF}, 6) AS pf, round(sum(pnl), 6) AS net FROM trades GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY pf DESC, net DESC, params) AS INTEGER) AS rank FROM c)", "SELECT * FROM k WHERE rank <= 3")
 text("acceptance_gate", PT + f", m AS (SELECT book, params, {METRICS} FROM curve GROUP BY 1, 2)", "SELECT book, params, profit_factor AS pf, max_dd_pct, trades FROM m WHERE profit_factor >= 1.2 AND max_dd_pct < 5 AND trades >= 15")
-text("portfolio_frontier", TR + ", t AS (SELECT * FROM trades)," + curve("book", "t") + ", d AS (SELECT book, greatest(max(dd_pct), 0.5) AS v FROM curve GROUP BY 1), md AS (SELECT list_sort(list(v))[count(*) // 2 + 1] AS m FROM d), w AS (SELECT book, least(m / v, 2.0) AS wt FROM d, md), x AS (SELECT scale, exit_ts, seq, ln(1 + r * 0.005 * scale * wt) AS g FROM t JOIN w USING (book), (VALUES (0.1::DOUBLE), (0.2), (0.4), (0.8)) s(scale)), e AS (SELECT *, 10000 * exp(sum(g) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM x), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM e), f AS (SELECT scale, max(100 * (pk - eq) / pk) AS dd, last(eq ORDER BY exit_ts, seq) AS fin FROM p GROUP BY 1)", "SELECT scale, round(dd, 3) AS max_dd_pct, round(fin, 2) AS end_equity, dd < 8 AS inside, coalesce(dd < 8 AND scale = max(CASE WHEN dd < 8 THEN scale END) OVER (), false) AS chosen FROM f")
+text("portfolio_frontier", TR + ", t AS (SELECT * FROM trades)," + curve("book", "t") + ", d AS (SELECT book, greatest(max(dd_pct), 0.5) AS v FROM curve GROUP BY 1), md AS (SELECT list_sort(list(v))[count(*) // 2 + 1] AS m FROM d), w AS (SELECT book, least(m / v, 2.0) AS wt FROM d, md), x AS (SELECT scale, exit_ts, seq, ln(1 + r * 0.005 * scale * wt) AS g FROM t JOIN w USING (book), (VALUES (0.1::DOUBLE), (0.2), (0.4), (0.8)) s(scale)), e AS (SELECT *, 10000 * exp(sum(g) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS eq FROM x), p AS (SELECT *, greatest(10000.0, max(eq) OVER (PARTITION BY scale ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING)) AS pk FROM e), f AS (SELECT scale, max(100 * (pk - eq) / pk) AS dd, last(eq ORDER BY exit_ts, seq) AS fin FROM p GROUP BY 1)", "SELECT scale, round(dd, 3) AS max_dd_pct, round(log10(fin), 6) AS log10_end, dd < 8 AS inside, coalesce(dd < 8 AND scale = max(CASE WHEN dd < 8 THEN scale END) OVER (), false) AS chosen FROM f")
 
 text("ledger_dispersion", "", "SELECT o_orderpriority AS selection_criterion, o_orderstatus AS fill_mode, count(*) AS trials, round(stddev_samp(o_totalprice / 100000), 6) AS s FROM orders GROUP BY 1, 2 HAVING count(*) >= 2")
 text("ledger_comparable", "", "SELECT count(*) AS trials FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F' AND o_orderkey % 2 = 0")

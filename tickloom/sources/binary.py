@@ -107,41 +107,115 @@ def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return f.where(F.col("path").rlike(pattern)).select("content", "length", part(1).alias("symbol"), part(2).cast("int").alias("y"), (part(3).cast("int") + 1).alias("m"), part(4).cast("int").alias("d"), *([part(5).cast("int").alias("h")] if "ticks" in pattern else []))
 
 
-def read_ticks(spark: SparkSession, root: str) -> DataFrame:
-    """All ticks below a folder, exact repeats of (ts, bid, ask) once (the last)."""
+DECODED = "symbol string, slot timestamp_ntz, error string, ts timestamp_ntz, seq long"
+
+
+def _decode(files: DataFrame, one, values: list[str]) -> DataFrame:
+    """Rows of every file, or one row with its error: a bad file hides no other."""
     scales = dict(SCALES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["symbol", "slot", "error", "ts", "seq", *values]
         for b in batches:
             for r in b.itertuples():
-                if r.symbol not in scales:
-                    raise KeyError(f"no point scale for {r.symbol}")
-                t = ticks(r.content, datetime(r.y, r.m, r.d, r.h), scales[r.symbol])
-                yield t.assign(symbol=r.symbol, seq=np.arange(len(t)))
+                at = datetime(r.y, r.m, r.d, getattr(r, "h", 0))
+                try:
+                    if r.symbol not in scales:
+                        raise KeyError(f"no point scale for {r.symbol}")
+                    t = one(r.content, at, scales[r.symbol]).assign(error=None)
+                    t["seq"] = np.arange(len(t))
+                except (KeyError, ValueError) as e:
+                    t = pd.DataFrame({"error": [str(e)], "ts": [pd.NaT], "seq": [0], **{c: [float("nan")] for c in values}})
+                yield t.assign(symbol=r.symbol, slot=at)[cols]
+
+    return files.mapInPandas(run, DECODED + "".join(f", {c} double" for c in values))
+
+
+def decode_ticks(files: DataFrame) -> DataFrame:
+    """Ticks of (content, symbol, y, m, d, h) rows, with the error of bad files."""
+    return _decode(files, ticks, ["bid", "ask", "bid_volume", "ask_volume"])
+
+
+def decode_candles(files: DataFrame) -> DataFrame:
+    """Candles of (content, symbol, y, m, d) rows, with the error of bad files."""
+    return _decode(files, lambda content, at, scale: candles(content, at.date(), scale), ["open", "high", "low", "close"])
+
+
+def encode_ticks(rows: DataFrame) -> DataFrame:
+    """(content, symbol, y, m, d, h) of ticks: a file an hour of a symbol, prices
+    rounded to the symbol's points, instants to the millisecond."""
+    scales = dict(SCALES)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+        raw = np.zeros(len(pdf), TICK)
+        raw["ms"] = (pdf["ts"] - key[1]) // pd.Timedelta(milliseconds=1)
+        for c in ("ask", "bid"):
+            raw[c] = np.floor(pdf[c] * scales[key[0]] + 0.5)
+            raw[f"{c}_volume"] = pdf[f"{c}_volume"]
+        at = key[1]
+        return pd.DataFrame({"content": [lzma.compress(raw.tobytes())], "symbol": [key[0]], "y": [at.year], "m": [at.month], "d": [at.day], "h": [at.hour]})
+
+    hour = F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour")
+    return rows.select("symbol", hour, "ts", "seq", "bid", "ask", "bid_volume", "ask_volume").groupBy("symbol", "hour").applyInPandas(run, "content binary, symbol string, y int, m int, d int, h int")
 
-    out = _files(spark, root, _TICK_NAME).mapInPandas(run, "ts timestamp_ntz, bid double, ask double, bid_volume double, ask_volume double, sequence_gap boolean, symbol string, seq long")
+
+def _sound(decoded: DataFrame) -> DataFrame:
+    """decoded without errors; the first one met fails the job."""
+    ok = F.when(F.col("error").isNull(), F.col("symbol")).otherwise(F.raise_error(F.concat_ws(" ", "symbol", F.col("slot").cast("string"), "error")).cast("string"))
+    return decoded.withColumn("symbol", ok)
+
+
+def read_ticks(spark: SparkSession, root: str) -> DataFrame:
+    """All ticks below a folder, exact repeats of (ts, bid, ask) once (the last)."""
     from tickloom.operators.dedupe import keep_last
 
-    return keep_last(out, ["symbol", "ts", "bid", "ask"])
+    t = _sound(decode_ticks(_files(spark, root, _TICK_NAME))).withColumn("sequence_gap", F.lit(False))
+    return keep_last(t.select("ts", "bid", "ask", "bid_volume", "ask_volume", "sequence_gap", "symbol", "seq"), ["symbol", "ts", "bid", "ask"])
 
 
 def read_candles(spark: SparkSession, root: str) -> DataFrame:
     """All candles below a folder; a file without bytes is a closed day and read as
     none. A repeated ts keeps the last."""
-    scales = dict(SCALES)
+    from tickloom.operators.dedupe import keep_last
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                if r.symbol not in scales:
-                    raise KeyError(f"no point scale for {r.symbol}")
-                t = candles(r.content, date(r.y, r.m, r.d), scales[r.symbol])
-                yield t.assign(symbol=r.symbol, seq=np.arange(len(t)))
+    t = _sound(decode_candles(_files(spark, root, _DAY_NAME).where("length > 0")))
+    return keep_last(t.select("ts", "open", "high", "low", "close", "symbol", "seq"), ["symbol", "ts"])
 
-    out = _files(spark, root, _DAY_NAME).where("length > 0").mapInPandas(run, "ts timestamp_ntz, open double, high double, low double, close double, symbol string, seq long")
+
+def read_range(spark: SparkSession, root: str, symbols: list[str], start: datetime, end: datetime, cache: str, candles_: bool = False) -> DataFrame:
+    """Ticks (or candles) of [start, end) from hour (or day) files below root, through
+    a cache of decoded slots.
+
+    Slots the cache holds are not decoded again; an empty file is a slot without
+    rows. Files that cannot be decoded are all named in one error, and nothing of
+    this call is cached then. Exact repeats keep the last, rows sort by (symbol, ts).
+    """
     from tickloom.operators.dedupe import keep_last
 
-    return keep_last(out, ["symbol", "ts"])
+    lit = lambda t: F.lit(t).cast("timestamp_ntz")
+    name = _DAY_NAME if candles_ else _TICK_NAME
+    first = start.replace(minute=0, second=0, microsecond=0)
+    first = first.replace(hour=0) if candles_ else first
+    slot = F.make_timestamp_ntz(F.col("y"), F.col("m"), F.col("d"), F.lit(0) if candles_ else F.col("h"), F.lit(0), F.lit(0))
+    wanted = _files(spark, root, name).withColumn("slot", slot).where(F.col("symbol").isin(symbols) & (F.col("slot") >= lit(first)) & (F.col("slot") < lit(end)))
+    done = f"{cache}/slots"
+    place = spark._jvm.org.apache.hadoop.fs.Path(done)
+    held = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    if held:
+        wanted = wanted.join(spark.read.parquet(done).select("symbol", "slot").distinct(), ["symbol", "slot"], "left_anti")
+    decoded = (decode_candles if candles_ else decode_ticks)(wanted.where("length > 0")).persist()
+    try:
+        bad = decoded.where("error IS NOT NULL").select(F.concat_ws(" ", "symbol", F.col("slot").cast("string"), "error").alias("e")).orderBy("e").collect()
+        if bad:
+            raise FetchFailed("; ".join(r["e"] for r in bad))
+        decoded.drop("error").repartition("symbol", "slot").write.mode("append").parquet(f"{cache}/rows")
+        wanted.select("symbol", "slot").write.mode("append").parquet(done)
+    finally:
+        decoded.unpersist()
+    t = spark.read.parquet(f"{cache}/rows").where(F.col("symbol").isin(symbols) & (F.col("ts") >= lit(start)) & (F.col("ts") < lit(end)))
+    keys = ["symbol", "ts"] if candles_ else ["symbol", "ts", "bid", "ask"]
+    return keep_last(t, keys).drop("slot").orderBy("symbol", "ts", "seq")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
