@@ -13,23 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import shared_folder
+
 MASK64 = (1 << 64) - 1
 
 # ---------------------------------------------------------------- tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one
-    where the session leaves it unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/tickloom-checkpoints"
-    return path.rstrip("/")
-
-
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
