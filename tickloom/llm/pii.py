@@ -206,33 +206,34 @@ class Tagger:
         return float((z.sum() - path) / n), g
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """scores() without a trace, [time, tags, rows]: input weights folded into a
-        column a character, gates as (1 + tanh(x / 2)) / 2, rows innermost."""
-        p, n = self.p, HIDDEN
+        """scores() without a trace, [time, tags, rows]: rows innermost, one product a
+        step over embedding, state and a 1 for the bias, gates as (1 + tanh(x / 2)) / 2."""
+        p, n, e = self.p, HIDDEN, EMBED
         half = np.full(4 * n, 0.5, np.float32)
         half[3 * n :] = 1
         ids = np.ascontiguousarray(ids.T)
         t, rows = ids.shape
         states = np.empty((t, 2 * n, rows), np.float32)
+        letters = np.ascontiguousarray(p["emb"].T)
+        feed = np.empty((e + n + 1, rows), np.float32)
+        z, u = np.empty((4 * n, rows), np.float32), np.empty((n, rows), np.float32)
         for part, (w, b, order) in enumerate((("wf", "bf", range(t)), ("wb", "bb", range(t - 1, -1, -1)))):
-            table = np.ascontiguousarray(((p["emb"] @ p[w][:EMBED] + p[b]) * half).T)
-            again = np.ascontiguousarray((p[w][EMBED:] * half).T)
-            h, c = np.zeros((n, rows), np.float32), np.zeros((n, rows), np.float32)
-            z, x, u = np.empty((4 * n, rows), np.float32), np.empty((4 * n, rows), np.float32), np.empty_like(c)
+            weights = np.ascontiguousarray((np.vstack([p[w], p[b]]) * half).T)
+            feed[e:-1], feed[-1] = 0, 1
+            h, c = feed[e:-1], np.zeros((n, rows), np.float32)
             for k in order:
-                np.take(table, ids[k], axis=1, out=x, mode="clip")
-                np.matmul(again, h, out=z)
-                z += x
+                np.take(letters, ids[k], axis=1, out=feed[:e], mode="clip")
+                np.matmul(weights, feed, out=z)
                 np.tanh(z, out=z)
                 z[: 3 * n] += 1  # twice the gates
                 np.multiply(z[:n], z[3 * n :], out=u)
                 c *= z[n : 2 * n]
                 c += u
                 c *= 0.5
-                h = states[k, part * n : part * n + n]
                 np.tanh(c, out=h)
                 h *= z[2 * n : 3 * n]
                 h *= 0.5
+                states[k, part * n : part * n + n] = h
         out = np.matmul(np.ascontiguousarray(p["wo"].T), states)
         out += p["bo"][:, None]
         return out
@@ -417,7 +418,7 @@ def sound(kind: int, text: str) -> bool:
     return len(text) >= 16 and many > 0 and not re.search(r"\s", text)
 
 
-def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Emission scores of pieces of character ids, one after another in blocks
     [tags, block, BLOCK], averaged where windows overlap; and each piece's first
     block."""
