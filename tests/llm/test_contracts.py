@@ -108,7 +108,7 @@ def test_top_k_is_exact(spark, source):
             hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:20]
             want.setdefault((q, tuple(v)), [(i, -s) for s, i in hits])
     got = defaultdict(list)
-    for r in topk.top_k(df, block_rows=32, query_rows=4).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, lot_rows=32, query_rows=4).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert got == {q: w for (q, _), w in want.items() if w}
 
@@ -563,3 +563,69 @@ def test_secrets_have_columns_of_their_own(spark):
     got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
     assert got[1]["n_secret"] == 1 and got[1]["secrets"] == "secret:12:52" and got[1]["spans"].startswith("email:") and got[1]["n_private"] == 2
     assert got[2]["n_private"] == 0 and got[3]["n_private"] == 0
+
+
+def test_chat_of_very_many_turns(spark):
+    """One conversation of 20000 turns, and its snapshot of one turn less."""
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    both = turns.unionByName(turns.where(F.col("turn") < n - 1).withColumn("conv_id", F.lit(2).cast("long")))
+    got = chat.format_chats(both).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, n)] and got[0]["text"].endswith(f"t{n - 1}<|im_end|>\n")
+
+
+# ---------------------------------------------------------------- the fit, by brute force
+
+
+def brute_models(rows, labels, rounds, give):
+    """Co-training on all rows in memory: what fit() does over tables."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            known[d] = min(y, known.get(d, y))
+    own = {d: min(r[1:] for r in rows if r[0] == d) for d in sorted(known) if any(r[0] == d for r in rows)}
+    feats = lambda xs: quality.text_features(pa.array([x[0] for x in xs], pa.string())).astype(np.float32).astype(float)
+    values = quality.known_values([x[1] for x in own.values()], [x[2] for x in own.values()])
+    meta = lambda xs: quality.meta_features(pa.array([x[1] for x in xs], pa.string()), pa.array([x[2] for x in xs], pa.string()), pa.array([x[3] for x in xs], pa.float64()), values)
+    y = np.array([known[d] for d in own], float)
+    held = np.array([quality.xxhash.xxh3_64_intdigest(int(d).to_bytes(8, "little", signed=True)) % 4 == 0 for d in own])
+    pool = [r[1:] for r in rows if r[0] is None or r[0] not in known]
+    t = feats(pool)
+    h = [int(np.uint64(quality.xxhash.xxh3_64_intdigest(x.astype(np.float32).tobytes())).view(np.int64)) for x in t]
+    m = meta(pool)
+
+    def ask(models, taken, many):
+        out = []
+        for view, (model, x) in enumerate(zip(models, (t, m))):
+            r = model.raw(x)
+            for good in (False, True):
+                best = {}
+                for i in np.flatnonzero((r > 1) if good else (r < -1)).tolist():
+                    if h[i] not in taken:
+                        best.setdefault((h[i], round(float(r[i]), 12)), i)
+                top = sorted(best.items(), key=lambda x: (-abs(x[0][1]), x[0][0]))[: many[0] if good else many[1]]
+                out += [(view, good, k[0], i) for k, i in top]
+        if not out:
+            return None
+        one = {}
+        for view, good, k, i in out:  # one row a feature hash, the smallest
+            same = [j for j in range(len(pool)) if h[j] == k]
+            one[view, good, k] = min(same, key=lambda j: (t[j].astype(np.float32).tobytes(), (pool[j][1] is not None, pool[j][1]), (pool[j][2] is not None, pool[j][2]), pool[j][3]))
+        keys = sorted(one)
+        at = [one[k] for k in keys]
+        return np.array([k[0] for k in keys]), (t[at], m[at]), np.array([k[1] for k in keys]), np.array([k[2] for k in keys])
+
+    return quality.co_train(feats(list(own.values())), meta(list(own.values())), y, held, ask, rounds, give)
+
+
+def test_quality_fit_equals_brute_force(spark):
+    """Over tables with a doc_id repeated often, rows without doc_id and copies."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    first = labels.join(docs, "doc_id").select(F.min("doc_id")).first()[0]
+    docs = docs.unionByName(docs.where(F.col("doc_id") == first).crossJoin(spark.range(50)).drop("id")).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    by_text, by_meta, _, _ = quality.fit(docs, labels, rounds=2, give=10)
+    want = brute_models([tuple(r) for r in docs.collect()], [tuple(r) for r in labels.collect()], 2, 10)
+    for got, model in zip((by_text, by_meta), want):
+        assert np.allclose(got.w, model.w, atol=1e-6) and abs(got.a - model.a) < 1e-6 and abs(got.b - model.b) < 1e-6

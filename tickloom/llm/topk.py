@@ -2,17 +2,17 @@
 
 Components become floor(64 x). The file is a stored table of cells, one byte a
 component, on one grid for the whole corpus (equal-width cells between a
-component's smallest and largest value). A query's score over a row lies within
-the sum, over components, of the query's value times its cell's bounds. The scan
-reads cells alone: each block of the file keeps, of a query, the rows whose upper
-bound reaches the k-th best lower bound of the block, and a rank over all blocks
-keeps those that reach the k-th best lower bound of the corpus. Exact vectors are
+component's smallest and largest value), in lots of some LOT_ROWS rows. A query's
+score over a row lies within the sum, over components, of the query's value times
+its cell's bounds. The scan reads cells alone: each lot keeps, of a query, the rows
+whose upper bound reaches the k-th best lower bound of the lot, and a rank over all
+lots keeps those that reach the k-th best lower bound of the corpus. Exact vectors are
 then read in falling order of upper bound: first k of them, whose worst exact
 score closes the list; then only rows whose upper bound reaches that score.
 
-Query blocks meet lots of file blocks by an equi-join on a lot number that each
-query block is written out for; a lot holds some LOT_ROWS rows of cells. Exact
-vectors meet only the candidates, by row number.
+Query blocks meet lots by an equi-join on a lot number that each query block is
+written out for. Where there are fewer lots than cores, a lot is written out for
+some groups of query blocks. Exact vectors meet only the candidates, by row number.
 
 Defined cases: a vector that is null or holds null or non-finite components
 takes no part; vectors of unequal lengths do not meet; ties go to the smaller
@@ -32,7 +32,8 @@ from tickloom.llm.common import arrow_map, drop_table, free_shuffles, stage
 from tickloom.llm.vectors import Blocks, blob, by_length, usable
 
 CELLS = 255
-LOT_ROWS = 1 << 16
+LOT_ROWS, LOT_BYTES = 1 << 16, 1 << 23  # of a lot, whichever is less
+SLICE = 4096  # rows of a lot looked at together
 _SAFE = float(1 << 52)
 
 
@@ -80,48 +81,48 @@ def grids(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (low.astype(np.float64), np.maximum((high.astype(np.float64) - low) / CELLS, 1e-9)) for d, (low, high) in out.items()}
 
 
-FILE = "dim int, n int, rids binary, ids binary, cells binary"
+FILE = "dim int, lot long, n long, rids binary, ids binary, cells binary"
 
 
-def approximation_file(vectors: DataFrame, grid: dict, block_rows: int) -> DataFrame:
-    """Blocks of cells, packed where the rows lie."""
+def _packer(grid: dict):
+    """A lot's rows as one row of cells."""
 
-    def run(batches):
-        held = Blocks(lambda d: block_rows)
-        row = lambda d, rid, ids, cells: pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([blob(x)], pa.binary()) for x in (rid, ids, cells))], ["dim", "n", "rids", "ids", "cells"])
-        for batch in batches:
-            rid, ids = np.asarray(batch.column("rid")), np.asarray(batch.column("id"))
-            for d, at, x in _matrix(batch):
-                low, width = grid[d]
-                cells = np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
-                for full in held.add(d, rid[at], ids[at], cells):
-                    yield row(d, *full)
-        for d, rest in held.rest():
-            yield row(d, *rest)
+    def pack(rows: pa.Table) -> pa.Table:
+        d = rows["dim"][0].as_py()
+        low, width = grid[d]
+        x = np.frombuffer(b"".join(rows["v"].to_pylist()), "<i8").reshape(-1, d)
+        cells = np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+        out = [[d], [rows["lot"][0].as_py()], [len(x)], [blob(np.asarray(rows["rid"]))], [blob(np.asarray(rows["id"]))], [blob(cells)]]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[c.split()[0] for c in FILE.split(", ")])
 
-    return arrow_map(vectors, run, FILE)
+    return pack
 
 
 def scan(cells: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
-    """(query index, row index, middle, slack) of the rows of a block that may be
-    among a query's k best of it, its own id left out: the score lies within middle
+    """(query index, row index, middle, slack) of the rows of a lot that may be among a
+    query's k best of it, its own id left out: the score lies within middle
     +- slack."""
     q = queries.astype(np.float64)
     reach = np.abs(q)
-    middle = (q * width) @ cells.T.astype(np.float64) + (q @ (low + 0.5 * width))[:, None]
     # Half a cell, and what rounding may take.
     slack = reach @ (0.5 * width) * (1 + 1e-9) + 1e-6 + 1e-12 * (reach @ (np.abs(low) + CELLS * width))
-    n = cells.shape[0]
-    out_q, out_r = [], []
-    for i in range(len(q)):
-        g = middle[i]
-        g[ids == q_ids[i]] = -np.inf
-        least = np.partition(g, n - k)[n - k] - 2 * slack[i] if n > k else -np.inf
-        at = np.flatnonzero((g >= least) & (g > -np.inf))
-        out_q.append(np.full(len(at), i))
-        out_r.append(at)
-    out_q, out_r = np.concatenate([np.zeros(0, np.int64), *out_q]), np.concatenate([np.zeros(0, np.int64), *out_r])
-    return out_q, out_r, middle[out_q, out_r], slack[out_q]
+    step, base = q * width, (q @ (low + 0.5 * width))[:, None]
+    own = {v: np.flatnonzero(q_ids == v) for v in np.intersect1d(ids, q_ids).tolist()}
+    best = np.full((len(q), k), -np.inf)  # the k largest middles so far
+    found = []
+    for s in range(0, len(ids), SLICE):
+        middle = step @ cells[s : s + SLICE].T.astype(np.float64) + base
+        for at in np.flatnonzero(np.isin(ids[s : s + SLICE], q_ids)).tolist():
+            middle[own[int(ids[s + at])], at] = -np.inf
+        n = middle.shape[1]
+        top = np.partition(middle, n - k, axis=1)[:, n - k :] if n > k else middle
+        best = np.partition(np.hstack([best, top]), -k, axis=1)[:, -k:]
+        i, j = np.nonzero((middle >= (best.min(1) - 2 * slack)[:, None]) & (middle > -np.inf))
+        found.append((i, j + s, middle[i, j]))
+    i, j, m = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    keep = m >= best.min(1)[i] - 2 * slack[i]
+    return i[keep], j[keep], m[keep], slack[i[keep]]
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return arrow_map(rows.select("query", "query_id", "vec_id", "x", "y"), run, "query long, query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lot_rows: int = LOT_ROWS, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query; queries
     are the rows whose id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -150,9 +151,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     base = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
     exact = stage(_numbered(base), "vectors")
     grid = grids(exact)
-    file = stage(approximation_file(exact, grid, block_rows), "cells")
-    total = file.agg(F.sum("n").alias("n")).first()["n"] or 0
-    lots = max(1, -(-total // LOT_ROWS))
+    total = exact.count()
+    lots = max(1, -(-total // max(1, min(lot_rows, LOT_BYTES // max(grid, default=1)))))
+    file = stage(exact.withColumn("lot", F.pmod(F.xxhash64("rid"), F.lit(lots))).groupBy("dim", "lot").applyInArrow(_packer(grid), FILE), "cells")
+    groups = max(1, -(-2 * spark.sparkContext.defaultParallelism // lots))
     # Rows that repeat an id and its vector ask once.
     asked = exact.where(F.col("id") % every == 0).groupBy("id", "dim", "v").agg(F.min("rid").alias("rid"))
 
@@ -168,8 +170,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
             yield row(d, *rest)
 
     ask = arrow_map(asked.select("rid", "id", "dim", "v"), gather, "qdim int, qrids binary, qids binary, queries binary").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
-    dealt = file.withColumn("lot", F.pmod(F.xxhash64("rids"), F.lit(lots)))
-    met = dealt.join(ask, (F.col("dim") == F.col("qdim")) & (dealt["lot"] == ask["lot"])).select("dim", "rids", "ids", "cells", "qrids", "qids", "queries")
+    ask = ask.withColumn("group", F.pmod(F.xxhash64("qrids"), F.lit(groups)))
+    dealt = file.select("dim", F.col("lot").alias("flot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("fgroup"), "rids", "ids", "cells")
+    met = dealt.join(ask, F.expr("dim = qdim AND flot = lot AND fgroup = group")).select("dim", "rids", "ids", "cells", "qrids", "qids", "queries")
 
     def look(batches):
         for batch in batches:
