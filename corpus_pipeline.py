@@ -18,7 +18,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject; a null text is an
+    empty one, and without usable labels every document stays."""
     return quality.score(docs, scan(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
@@ -43,18 +44,20 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Rows are known to it by two hashes
-    of their whole content; equal rows share what is taken of them."""
+    of their whole content; equal rows share what is taken of them. A null text has no
+    words; documents of a source without any are never taken."""
     every = [F.col(f"`{c}`") for c in docs.columns]
     numbers = [F.xxhash64(*every).alias("__a"), F.xxhash64(F.lit("again"), *every).alias("__b")]
     taken = mixing.mix(docs.select(*numbers, "text", "source"), ids=("__a", "__b")).where("copies > 0").groupBy("__a", "__b").agg(F.sum("copies").alias("__copies"))
     # One shuffle of the texts serves both the distinct rows and the join.
     alone = docs.select(F.struct(*every).alias("__row"), *numbers).groupBy("__a", "__b").agg(F.first("__row").alias("__row"))
     both = alone.hint("merge").join(taken, ["__a", "__b"])
-    return both.select("__row.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*docs.columns)
+    return both.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in sequences of 2048 tokens."""
+    """Pieces with their place in sequences of 2048 tokens; a null or empty text is the
+    end id alone, and no documents are no pieces."""
     return packing.pack(docs, VOCABULARY, 2048)
 
 
