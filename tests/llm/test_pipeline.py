@@ -101,3 +101,34 @@ def test_pieces_hold_every_document_once_for_each_copy(steps):
     for parts in by.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 2048
+
+
+CLASH = ["__th", "__runs", "__doc", "__mth", "__row", "__a", "__b", "__copies", "__h", "y", "size", "key", "n", "keep"]
+
+
+def odd_docs(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASH)
+    return spark.createDataFrame([(*r, *range(len(CLASH))) for r in rows], schema)
+
+
+def test_stages_on_clashing_columns_ties_and_long_texts(spark):
+    """Every stage keeps extra columns whatever their names; ties and repeated rows, a
+    null row and a text of some MB pass through all of them."""
+    long = "\n".join(f"line {i} of a very long text with words w{i} w{i + 1}" for i in range(40_000))
+    rows = [(1, "same text of seven words in here", "en", "a", 32), (2, "same text of seven words in here", "en", "a", 32), (2, "same text of seven words in here", "en", "a", 32), (3, long, "en", "b", len(long)), (4, None, None, None, None), (None, "no id", "en", "a", 5), (None, "no id", "en", "a", 5), (5, "", "en", "b", 0)]
+    docs = odd_docs(spark, rows)
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASH]
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = f(spark, docs, SF).cache()
+        assert docs.columns == [c for c in names if c in docs.columns] and set(names) - set(docs.columns) <= {"keep"}, name
+        assert 0 < docs.count() <= 3 * before
+        names = docs.columns
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in got} <= {1, 2, 3, 4, 5, None} and max(r["length"] for r in got) == 2048
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = odd_docs(spark, [])
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs, SF).count() == 0, name

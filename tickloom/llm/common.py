@@ -38,6 +38,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a staged table that no later plan reads."""
     spark = df.sparkSession

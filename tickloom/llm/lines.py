@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import arrow_map, drop_table, free_shuffles, slices, stage
+from tickloom.llm.common import arrow_map, drop_table, free_shuffles, slices, stage, unused
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLACE = "doc long, th long, fp long, spans array<struct<s:int,e:int,g1:long,g2:long>>"
@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     """The columns of docs, text without its repeated runs, and n_lines, n_removed."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("__th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    th, runs = unused(docs, "__th"), unused(docs, "__runs")
+    keyed = docs.withColumn(th, F.coalesce(F.xxhash64("text"), F.lit(0)))
 
     def places(batches):
         for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
@@ -106,7 +107,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
             spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), spans], ["doc", "th", "fp", "spans"])
 
-    placed = stage(arrow_map(keyed.select(F.col("doc_id").cast("long"), "__th", "text"), places, PLACE), "places")
+    placed = stage(arrow_map(keyed.select(F.col("doc_id").cast("long"), th, "text"), places, PLACE), "places")
     # Both are written, so that a hot fingerprint's places can be split among tasks.
     shared = stage(placed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "shared")
     near = stage(placed.hint("merge").join(shared, "fp", "left_semi").select("doc", "th", "fp", F.inline("spans")), "extended")
@@ -116,19 +117,19 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     same = ["fp", "g1", "g2"]
     first = stage(near.groupBy(*same).agg(F.min(F.struct("doc", "th", "s", "e")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first_places")
     later = near.join(first, same).where(F.struct("doc", "th", "s", "e") > F.col("first"))
-    marks = later.select("doc", "th", "s", "e").distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__runs"))
+    marks = later.select("doc", "th", "s", "e").distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias(runs))
     marks = stage(marks, "runs")
     free_shuffles(spark)
-    joined = _left(keyed, marks)
+    joined = _left(keyed, marks, th, runs)
     names = docs.columns
 
     def cut(batches):
         for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             texts, before, gone = [], [], []
-            for text, runs in zip(batch.column("text"), batch.column("__runs").to_pylist()):
+            for text, gaps in zip(batch.column("text"), batch.column(runs).to_pylist()):
                 text = text.as_py()
                 every, at = split_lines(text)
-                dead = {at[i] for r in runs or [] for i in range(r["s"], r["e"] + 1)}
+                dead = {at[i] for r in gaps or [] for i in range(r["s"], r["e"] + 1)}
                 texts.append("\n".join(x for i, x in enumerate(every) if i not in dead) if dead else text)
                 before.append(len(at))
                 gone.append(len(dead))
@@ -139,8 +140,9 @@ def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 50) -> DataFrame:
     return arrow_map(joined, cut, schema)
 
 
-def _left(keyed: DataFrame, marks: DataFrame) -> DataFrame:
-    m = marks.select(F.col("doc").alias("__doc"), F.col("th").alias("__mth"), "__runs")
+def _left(keyed: DataFrame, marks: DataFrame, th: str, runs: str) -> DataFrame:
+    doc, mth = unused(keyed, "__doc"), unused(keyed, "__mth")
+    m = marks.select(F.col("doc").alias(doc), F.col("th").alias(mth), runs)
     # One plan at every size: texts and runs meet by a merge join, never by copies
     # of the runs, whose number grows with the corpus.
-    return keyed.hint("merge").join(m, keyed["doc_id"].eqNullSafe(m["__doc"]) & (keyed["__th"] == m["__mth"]), "left").drop("__doc", "__mth", "__th")
+    return keyed.hint("merge").join(m, keyed["doc_id"].eqNullSafe(m[doc]) & (keyed[th] == m[mth]), "left").drop(doc, mth, th)

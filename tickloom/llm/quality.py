@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: i
     some = known_ids.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     # One row a doc_id, however often it is repeated; `labelled` rows at most.
     cols = ["text", "source", "lang", "n_chars"]
-    one = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*cols)).alias("x"))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cols).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*cols)).alias("x"))
     chosen = stage(one.select("doc_id", "y", "x.*"), "labelled")
     got = _raw(chosen).join(chosen.select("doc_id", "y"), "doc_id").orderBy("doc_id").toArrow()
     y = np.asarray(got.column("y"))
