@@ -147,8 +147,9 @@ def day_levels(bars: DataFrame, ts: str = "ts") -> DataFrame:
     return bars.withColumn("_day", day).join(daily, ["symbol", "_day"]).drop("_day")
 
 
-def lab_bundle(bars: DataFrame) -> DataFrame:
-    """All features the bar strategies read, on (symbol, ts, open, high, low, close)."""
+def lab_bundle(bars: DataFrame, rsi: bool = True) -> DataFrame:
+    """All features the bar strategies read, on (symbol, ts, open, high, low, close);
+    rsi, the only one that runs in Python, may be left out."""
     lines, means = (24, 48, 60, 96, 240, 336), (20, 50, 100, 200)
 
     def make(t, w):
@@ -157,7 +158,8 @@ def lab_bundle(bars: DataFrame) -> DataFrame:
         t = t.withColumn("ret1", F.coalesce(change(F.col("close"), 1, w), F.lit(0.0))).withColumn("ret5", F.coalesce(change(F.col("close"), 5, w), F.lit(0.0)))
         return t.withColumn("vol_z", z_score(F.col("ret1"), 120, w)).withColumn("range_z", z_score(F.col("high") - F.col("low"), 120, w))
 
-    return wilder_rsi(day_levels(over(bars, make, max(lines), "ts")))
+    t = day_levels(over(bars, make, max(lines), "ts"))
+    return wilder_rsi(t) if rsi else t
 
 
 def centred_mean(bars: DataFrame, n: int = 2, ts: str = "available_at") -> DataFrame:

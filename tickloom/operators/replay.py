@@ -186,10 +186,9 @@ def grid_replay(bundle: DataFrame, strategy: str, params: list[dict], acc: Accou
     stateless = strategy in signals.STATELESS
     if stateless:
         # One pass over the bundle for all sets: a struct a set, then a row each.
-        rows, base = bundle, bundle.columns
-        for i, p in enumerate(params):
-            rows = signals.STATELESS[strategy](rows, p, acc.pip).withColumn(f"_s{i}", F.struct(F.lit(sets[i]).alias("params"), "side", "stop", "target")).select(*base, *[f"_s{k}" for k in range(i + 1)])
-        rows = rows.select("symbol", "ts", "open", "high", "low", "close", F.explode(F.array(*[f"_s{i}" for i in range(len(sets))])).alias("_s")).select("symbol", "ts", "open", "high", "low", "close", "_s.*")
+        bar = ["symbol", "ts", "open", "high", "low", "close"]
+        rows = signals.grid_entries(strategy, bundle, params, acc.pip, "_sets").select(*bar, F.posexplode("_sets").alias("_at", "_s"))
+        rows = rows.select(*bar, F.element_at(F.array(*[F.lit(x) for x in sets]), F.col("_at") + 1).alias("params"), "_s.*")
         keys = ["symbol", "params"]
     else:
         chunks = F.array(*[F.lit(k) for k in sorted({i // chunk for i in range(len(sets))})])

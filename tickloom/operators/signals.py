@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.slices import over
+
 LEAST_STOP_PIPS = 5.0
 
 GRIDS: dict[str, dict[str, list]] = {
@@ -44,48 +46,67 @@ def _known(*names: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
 
 
-def trend_pullback(bundle: DataFrame, p: dict, pip: float) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts")
+def _trend_pullback(p: dict, pip: float, lag) -> list[Column]:
     slow = f"sma_{p['slow']}"
-    ready = _known("sma_20", slow, "atr", "rsi") & (F.col("atr") > 0) & (F.col("atr") / pip >= p["min_atr_pips"]) & F.lag("sma_20").over(w).isNotNull()
-    last, base = F.lag("close").over(w), F.lag(slow).over(w)
+    ready = _known("sma_20", slow, "atr", "rsi") & (F.col("atr") > 0) & (F.col("atr") / pip >= p["min_atr_pips"]) & lag("sma_20").isNotNull()
+    last, base = lag("close"), lag(slow)
     up = ready & (F.col(slow) < F.col("sma_20")) & (last < base) & (F.col("close") > F.col("sma_20")) & (F.col("rsi") > p["rsi_min"])
     down = ready & (F.col(slow) > F.col("sma_20")) & (last > base) & (F.col("close") < F.col("sma_20")) & (F.col("rsi") < p["rsi_max"])
     far = p["atr_x"] * F.col("atr")
-    return bundle.select("*", *_entry(up, down, F.least("ll_24", F.col("close") - far), F.greatest("hh_24", F.col("close") + far), pip, p["rr"]))
+    return _entry(up, down, F.least("ll_24", F.col("close") - far), F.greatest("hh_24", F.col("close") + far), pip, p["rr"])
 
 
-def mean_revert(bundle: DataFrame, p: dict, pip: float) -> DataFrame:
+def _mean_revert(p: dict, pip: float, lag) -> list[Column]:
     ready = _known("sma_20", "range_z", "atr", "prev_day_high", "prev_day_low") & (F.col("atr") > 0) & (F.col("range_z") >= p["range_z"]) & F.col("close").between(F.col("prev_day_low"), F.col("prev_day_high"))
     reach = p["dist_atr"] * F.col("atr")
     buy = ready & (F.col("close") < F.col("sma_20")) & (F.col("low") <= F.col("sma_20") - reach)
     sell = ready & (F.col("close") > F.col("sma_20")) & (F.col("high") >= F.col("sma_20") + reach)
     pad = p["stop_atr"] * F.col("atr")
-    return bundle.select("*", *_entry(buy, sell, F.col("low") - pad, F.col("high") + pad, pip, None, F.col("sma_20")))
+    return _entry(buy, sell, F.col("low") - pad, F.col("high") + pad, pip, None, F.col("sma_20"))
 
 
-def donchian_breakout(bundle: DataFrame, p: dict, pip: float) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts")
-    top, floor_ = F.lag(f"hh_{p['channel']}").over(w), F.lag(f"ll_{p['channel']}").over(w)
+def _donchian_breakout(p: dict, pip: float, lag) -> list[Column]:
+    top, floor_ = lag(f"hh_{p['channel']}"), lag(f"ll_{p['channel']}")
     ready = F.col("atr").isNotNull() & (F.col("atr") > 0) & top.isNotNull() & floor_.isNotNull()
     far = p["atr_x"] * F.col("atr")
-    return bundle.select("*", *_entry(ready & (F.col("close") > top), ready & (F.col("close") < floor_), F.col("close") - far, F.col("close") + far, pip, p["rr"]))
+    return _entry(ready & (F.col("close") > top), ready & (F.col("close") < floor_), F.col("close") - far, F.col("close") + far, pip, p["rr"])
+
+
+# side, stop and target of a set as columns; lag(name) is that column a bar before.
+STATELESS = {"trend_pullback": _trend_pullback, "mean_revert": _mean_revert, "donchian_breakout": _donchian_breakout}
+
 
+def entries(family: str, bundle: DataFrame, p: dict, pip: float) -> DataFrame:
+    """bundle with side, stop and target of one parameter set of a family without
+    memory; the lag of one bar is taken by stretches."""
+    return over(bundle, lambda t, w: t.select("*", *STATELESS[family](p, pip, lambda c: F.lag(c).over(w))), 1, "ts")
 
-STATELESS = {"trend_pullback": trend_pullback, "mean_revert": mean_revert, "donchian_breakout": donchian_breakout}
+
+def grid_entries(family: str, bundle: DataFrame, sets: list[dict], pip: float, name: str) -> DataFrame:
+    """bundle with `name`, an array of (side, stop, target) of every set: one window
+    for all lags, one projection for all sets."""
+    seen: dict[str, None] = {}
+    for p in sets:
+        STATELESS[family](p, pip, lambda c: (seen.setdefault(c), F.col(c))[1])
+    if seen:
+        bundle = over(bundle, lambda t, w: t.withColumns({f"_lag_{c}": F.lag(c).over(w) for c in seen}), 1, "ts")
+    one = [F.struct(*STATELESS[family](p, pip, lambda c: F.col(f"_lag_{c}"))) for p in sets]
+    return bundle.withColumn(name, F.array(*one)).drop(*[f"_lag_{c}" for c in seen])
 
 
 def channel_volume(bars: DataFrame, k: float = 0.5, channel: int = 60, volume_rows: int = 20, factor: float = 1.2, hours: tuple[int, int] = (7, 11)) -> DataFrame:
     """The live variant: a close beyond the channel before it by k ATR on a volume
     above its average, within the session hours, the first of each day only."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    back = w.rowsBetween(-channel, -1)
-    full = F.count(F.lit(1)).over(back) >= channel
-    mean_volume = F.avg("volume").over(w.rowsBetween(-volume_rows, -1))
-    pad = k * F.col("atr")
-    t = bars.withColumn("side", F.when(full & (F.col("close") > F.max("high").over(back) + pad), "long").when(full & (F.col("close") < F.min("low").over(back) - pad), "short"))
-    busy = F.col("volume") >= factor * mean_volume
-    t = t.withColumn("_ok", F.col("side").isNotNull() & busy & (F.hour("ts") >= hours[0]) & (F.hour("ts") < hours[1])).where("_ok")
+
+    def make(t, w):
+        back = w.rowsBetween(-channel, -1)
+        full = F.count(F.lit(1)).over(back) >= channel
+        busy = F.col("volume") >= factor * F.avg("volume").over(w.rowsBetween(-volume_rows, -1))
+        pad = k * F.col("atr")
+        t = t.withColumn("side", F.when(full & (F.col("close") > F.max("high").over(back) + pad), "long").when(full & (F.col("close") < F.min("low").over(back) - pad), "short"))
+        return t.withColumn("_ok", F.col("side").isNotNull() & busy & (F.hour("ts") >= hours[0]) & (F.hour("ts") < hours[1]))
+
+    t = over(bars, make, max(channel, volume_rows), "ts").where("_ok")
     first = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
     return t.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_ok")
 

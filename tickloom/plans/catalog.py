@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import sessions, stats, units
 from tickloom.operators import asof, bars, costs, dedupe, features, ledger, portfolio, replay, research, rules, signals, slices, ticks, validate
 from tickloom.plans import views
-from tickloom.session import shared_folder
+from tickloom.session import shared_folder, staged
 from tickloom.sources import binary
 from tickloom.streaming import capture
 
@@ -433,8 +433,8 @@ def sensitivity_surface(spark, sf):
 # ------------------------------------------------------------ signals, fills
 
 
-def _bundle(spark, sf):
-    return features.lab_bundle(views.candles(spark, sf, "1h"))
+def _bundle(spark, sf, rsi=True):
+    return features.lab_bundle(views.candles(spark, sf, "1h"), rsi)
 
 
 def _signal(df):
@@ -443,17 +443,17 @@ def _signal(df):
 
 @query
 def signal_donchian(spark, sf):
-    return _signal(signals.donchian_breakout(_bundle(spark, sf), {"channel": 48, "atr_x": 1.5, "rr": 2.0}, views.PIP))
+    return _signal(signals.entries("donchian_breakout", _bundle(spark, sf, False), {"channel": 48, "atr_x": 1.5, "rr": 2.0}, views.PIP))
 
 
 @query
 def signal_mean_revert(spark, sf):
-    return _signal(signals.mean_revert(_bundle(spark, sf), {"range_z": 1.0, "dist_atr": 0.5, "stop_atr": 1.0}, views.PIP))
+    return _signal(signals.entries("mean_revert", _bundle(spark, sf, False), {"range_z": 1.0, "dist_atr": 0.5, "stop_atr": 1.0}, views.PIP))
 
 
 @query
 def signal_trend_pullback(spark, sf):
-    return _signal(signals.trend_pullback(_bundle(spark, sf), {"slow": 50, "rr": 2.0, "atr_x": 1.5, "rsi_min": 48.0, "rsi_max": 52.0, "min_atr_pips": 1.0}, views.PIP))
+    return _signal(signals.entries("trend_pullback", _bundle(spark, sf), {"slow": 50, "rr": 2.0, "atr_x": 1.5, "rsi_min": 48.0, "rsi_max": 52.0, "min_atr_pips": 1.0}, views.PIP))
 
 
 @query
@@ -713,18 +713,18 @@ def _account():
 @query
 def lab_replay_donchian(spark, sf):
     params = [{"channel": 48, "atr_x": a, "rr": r} for a in (1.5, 2.5) for r in (2.0, 3.0)]
-    return r6(replay.grid_replay(_bundle(spark, sf), "donchian_breakout", params, _account()).drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
+    return r6(replay.grid_replay(_bundle(spark, sf, False), "donchian_breakout", params, _account()).drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
 @query
 def lab_replay_momentum(spark, sf):
-    got = replay.grid_replay(_bundle(spark, sf), "london_momentum", signals.grid("london_momentum"), _account())
+    got = replay.grid_replay(_bundle(spark, sf, False), "london_momentum", signals.grid("london_momentum"), _account())
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
 @query
 def lab_replay_opening_range(spark, sf):
-    got = replay.grid_replay(_bundle(spark, sf), "opening_range_break", signals.grid("opening_range_break"), _account())
+    got = replay.grid_replay(_bundle(spark, sf, False), "opening_range_break", signals.grid("opening_range_break"), _account())
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
@@ -732,7 +732,7 @@ def lab_replay_opening_range(spark, sf):
 def lab_replay_trailing(spark, sf):
     acc = _account()
     acc.trail = {"act_r": 0.5, "sl_r": 0.5, "tp_r": 1.0}
-    got = replay.grid_replay(_bundle(spark, sf), "trailing_momentum", signals.grid("trailing_momentum"), acc)
+    got = replay.grid_replay(_bundle(spark, sf, False), "trailing_momentum", signals.grid("trailing_momentum"), acc)
     return r6(got.drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
@@ -760,7 +760,7 @@ def _best_validated(bundle, sets, trades, later, k, pf, dd):
 def grid_optimiser(spark, sf):
     """Every family's whole grid: train on the first two thirds, keep the three best
     of each symbol and family, replay those on the rest, and gate."""
-    bundle = _bundle(spark, sf)
+    bundle = staged(_bundle(spark, sf), "bundle")
     sets = [(name, json.dumps(p, sort_keys=True)) for name in signals.GRIDS for p in signals.grid(name)]
 
     def part(name, wanted):
@@ -869,7 +869,7 @@ def null_false_positives(spark, sf):
 def trailing_sweep(spark, sf):
     """All entries with all trailing brackets: the six best by symbol on the first
     two thirds, replayed on the rest, and gated."""
-    bundle = _bundle(spark, sf)
+    bundle = staged(_bundle(spark, sf, False), "bundle")
 
     def part(name, grid, trails):
         return replay.grid_replay(bundle, "trailing_momentum", grid, _account(), chunk=1, split=SPLIT, part=name, trails=trails)

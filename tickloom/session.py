@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def staged(df, name: str):
+    """df written to the shared folder and read back: what several later plans read is
+    made once and outlives any executor. Removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def session(name: str = "tickloom", master: str | None = None, extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(name).config(map={**DEFAULTS, **(extra or {})})
     if master:
