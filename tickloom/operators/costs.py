@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.sessions import SESSIONS, session_bucket
 from tickloom.operators.bars import micros, resample
 from tickloom.operators.slices import block, day, numbered, previous
+from tickloom.session import staged
 
 LEVELS = (("symbol", "session", "volatility", "news", "weekday"), ("symbol", "session", "volatility"), ("symbol", "session"), ("symbol",))
 MULTIPLES = (0.5, 1.0, 2.0, 3.0)
@@ -133,7 +134,7 @@ def median_true_range(ticks: DataFrame, timeframe: str, pip: float, window: int,
 def cost_cube(ticks: DataFrame, timeframes: list[str], pip: float, commission_pips: float, bound: float, window: int = 200, q: float = 0.95, max_gap_ms: int = 120_000, threshold_ms: int = 60_000, weekday: int = 0) -> DataFrame:
     """One cell a symbol, session, timeframe and stop multiple: spreads of entry and
     stop exit at the quantile, plus commission, over the stop."""
-    entry = entry_episodes(ticks, pip, max_gap_ms)
+    entry = staged(entry_episodes(ticks, pip, max_gap_ms), "episodes")  # five reads follow
     stress = stressed_quarter(entry)
     stops = None
     for tf in timeframes:

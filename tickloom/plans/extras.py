@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tickloom import jobs
 from tickloom.functions import sessions, stats, units
 from tickloom.operators import asof, bars, costs, features, ledger, portfolio, rules, ticks
 from tickloom.plans import views
@@ -360,6 +361,39 @@ def ambiguity_share(spark, sf):
 text("ambiguity_share", Q + ", t AS (SELECT p.seq AS id, q.ts, q.seq, q.bid <= p.bid + 5 AS s, q.bid >= p.bid + 4 AS g FROM quotes p JOIN quotes q ON q.symbol = p.symbol AND q.ts > p.ts AND q.ts <= p.ts + INTERVAL '12 hours'), o AS (SELECT * FROM t WHERE s OR g QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, seq) = 1)", "SELECT count(*) AS trades, round(100 * count(*) FILTER (WHERE s AND g) / greatest(count(*), 1), 6) AS share_pct FROM o")
 
 
+@query
+def books_selected(spark, sf):
+    """Books by parameter set, every tenth entered a second time under another name."""
+    t = views.trades(spark, sf).withColumn("params", F.col("supplier") % 40).select("book", "params", "exit_ts", "seq", "pnl", "r")
+    twice = t.unionByName(t.where("params % 10 = 0").withColumn("params", F.col("params") + 1000))
+    return portfolio.select_books(twice, ["book", "params"], 0.9, 50.0).select("book", "params", "trades", "profit_factor", "val_dd")
+
+
+text("books_selected", TR + ", t0 AS (SELECT book, supplier % 40 AS params, exit_ts, seq, pnl, r FROM trades), t AS (SELECT * FROM t0 UNION ALL SELECT book, params + 1000, exit_ts, seq, pnl, r FROM t0 WHERE params % 10 = 0)," + curve("book, params", "t") + f", m AS (SELECT book, params, count(*) AS trades, round({PF}, 3) AS profit_factor, round(sum(pnl), 2) AS net, round(greatest(0.0, max(dd_pct)), 2) AS dd, list_sort(list({{'a': exit_ts, 'p': round(r, 6)}})) AS stream FROM curve GROUP BY 1, 2)", "SELECT book, params, trades, profit_factor, greatest(dd, 0.5) AS val_dd FROM m WHERE profit_factor >= 0.9 AND dd < 50 AND trades >= 15 QUALIFY row_number() OVER (PARTITION BY stream ORDER BY profit_factor DESC, net DESC, book || '|' || params) = 1")
+
+
+@query
+def vertical_slice(spark, sf):
+    """Quotes to trades of the toy strategy, summed by symbol."""
+    t = jobs.vertical_slice(views.quotes(spark, sf), "4h", views.THRESHOLD_MS, views.PIP, 1000, 1500, 20, timedelta(minutes=1), timedelta(hours=30))
+    return r6(t.groupBy("symbol").agg(F.count(F.lit(1)).alias("signals"), F.count("exit_ts").alias("exits"), F.count_if(F.col("exit_reason") == "closed_tp").alias("targets"), F.sum("pnl_pips").alias("pips")), "pips")
+
+
+text("vertical_slice", QB + "," + TREND + f", x AS (SELECT *, bid_close / lag(bid_close) OVER ({WA}) - 1 AS ret FROM tr), s AS (SELECT symbol, available_at AS ts, ask_close - 10.0 AS stop, ask_close + 15.0 AS target FROM x WHERE st > 0.5 AND ret < 0), f AS (SELECT s.*, s.ts + INTERVAL '1 minute' AS arrival, q.ask AS fill FROM (SELECT *, ts + INTERVAL '1 minute' AS arr FROM s) s ASOF JOIN quotes q ON q.symbol = s.symbol AND s.arr <= q.ts), h AS (SELECT f.*, q.ts AS xts, q.seq, q.bid, q.bid <= f.stop AS sl FROM f JOIN quotes q ON q.symbol = f.symbol AND q.ts > f.arrival AND q.ts <= f.arrival + INTERVAL '30 hours' AND (q.bid <= f.stop OR q.bid >= f.target)), e AS (SELECT symbol, ts, xts, CASE WHEN sl THEN bid ELSE target END AS px, sl FROM h QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY xts, seq) = 1)", "SELECT f.symbol, count(*) AS signals, count(xts) AS exits, count(*) FILTER (WHERE NOT sl) AS targets, round(sum((px - fill) / 0.01::DOUBLE), 6) AS pips FROM f LEFT JOIN e ON e.symbol = f.symbol AND e.ts = f.ts GROUP BY 1")
+
+
+@query
+def cost_gate_job(spark, sf):
+    """The gate as a job: a record on disk, read again, and the verdict."""
+    out = f"{_place(spark, 'gate')}/gate_1.json"
+    verdict = jobs.cost_gate(views.quotes(spark, sf), out, ["4h", "1d"], views.PIP, 0.6, 50.0, 0.004, window=100, q=0.95, max_gap_ms=GAP, threshold_ms=24 * 3_600_000)
+    cells = tables.gate_cells(spark, out).groupBy("symbol").agg(F.count(F.lit(1)).alias("stored"))
+    return r6(verdict.join(cells, "symbol"), "best_c")
+
+
+text("cost_gate_job", CUBE + ", g AS (SELECT symbol, count(*) AS cells, count(*) FILTER (WHERE cost_level <> 'global_bound' AND c < 0.004) AS passing, count(*) FILTER (WHERE cost_level = 'global_bound') AS bound_cells FROM cube GROUP BY 1), b AS (SELECT symbol, c, session, timeframe FROM cube QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY c, session, timeframe) = 1)", "SELECT g.symbol, cells, passing, bound_cells, round(c, 6) AS best_c, session AS best_session, timeframe AS best_timeframe, passing > 0 AND bound_cells = 0 AS accepted, cells AS stored FROM g JOIN b USING (symbol)")
+
+
 # ------------------------------------------------------------ statistics
 
 
