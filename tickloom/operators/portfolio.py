@@ -134,13 +134,13 @@ def with_specs(trades: DataFrame, specs: DataFrame, worst: DataFrame) -> DataFra
 
 def select_books(trades: DataFrame, by: list[str], pf: float, dd: float, least: int = 15, floor: float = 0.5) -> DataFrame:
     """Books (by) that pass the gate, their drawdown taken as `floor` at least, one of
-    those that share a trade stream: the best by profit factor, then net, then key."""
+    those that share a trade stream: the best by profit factor, then by key."""
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
     kept = trade_metrics(trades, by).where((F.col("profit_factor") >= pf) & (F.col("max_dd_pct") < dd) & (F.col("trades") >= least))
     kept = kept.withColumn("val_dd", F.greatest(F.col("max_dd_pct"), F.lit(floor))).withColumn("book_key", name)
     same = fingerprint(trades.select(name.alias("book_key"), F.col("exit_ts").alias("entry_ts"), F.col("r").alias("exit_price")), "book_key")
     t = kept.join(same, "book_key")
-    return keep_best(t, ["stream"], [F.desc("profit_factor"), F.desc("net"), F.col("book_key").asc()]).drop("stream")
+    return keep_best(t, ["stream"], [F.desc("profit_factor"), F.col("book_key").asc()]).drop("stream")
 
 
 def realised_today(trades: DataFrame, by: list[str]) -> DataFrame:

@@ -369,7 +369,7 @@ def books_selected(spark, sf):
     return portfolio.select_books(twice, ["book", "params"], 0.9, 50.0).select("book", "params", "trades", "profit_factor", "val_dd")
 
 
-text("books_selected", TR + ", t0 AS (SELECT book, supplier % 40 AS params, exit_ts, seq, pnl, r FROM trades), t AS (SELECT * FROM t0 UNION ALL SELECT book, params + 1000, exit_ts, seq, pnl, r FROM t0 WHERE params % 10 = 0)," + curve("book, params", "t") + f", m AS (SELECT book, params, count(*) AS trades, round({PF}, 3) AS profit_factor, round(sum(pnl), 2) AS net, round(greatest(0.0, max(dd_pct)), 2) AS dd, list_sort(list({{'a': exit_ts, 'p': round(r, 6)}})) AS stream FROM curve GROUP BY 1, 2)", "SELECT book, params, trades, profit_factor, greatest(dd, 0.5) AS val_dd FROM m WHERE profit_factor >= 0.9 AND dd < 50 AND trades >= 15 QUALIFY row_number() OVER (PARTITION BY stream ORDER BY profit_factor DESC, net DESC, book || '|' || params) = 1")
+text("books_selected", TR + ", t0 AS (SELECT book, supplier % 40 AS params, exit_ts, seq, pnl, r FROM trades), t AS (SELECT * FROM t0 UNION ALL SELECT book, params + 1000, exit_ts, seq, pnl, r FROM t0 WHERE params % 10 = 0)," + curve("book, params", "t") + f", m AS (SELECT book, params, count(*) AS trades, round({PF}, 3) AS profit_factor, round(sum(pnl), 2) AS net, round(greatest(0.0, max(dd_pct)), 2) AS dd, list_sort(list({{'a': exit_ts, 'p': round(r, 6)}})) AS stream FROM curve GROUP BY 1, 2)", "SELECT book, params, trades, profit_factor, greatest(dd, 0.5) AS val_dd FROM m WHERE profit_factor >= 0.9 AND dd < 50 AND trades >= 15 QUALIFY row_number() OVER (PARTITION BY stream ORDER BY profit_factor DESC, book || '|' || params) = 1")
 
 
 @query
