@@ -470,7 +470,7 @@ def test_sliced_windows_equal_whole_ones(spark, monkeypatch):
 
     monkeypatch.setattr(slices, "ROWS", 7)
     r = np.random.default_rng(3)
-    rows = [(s, i, datetime(2024, 1, 1) + timedelta(hours=int(h)), float(r.integers(-5, 6)), None if r.random() < 0.4 else int(r.integers(100))) for s, n in (("a", 200), ("b", 13), ("c", 1)) for i, h in enumerate(np.sort(r.integers(0, 24 * 40, n)))]
+    rows = [(s, i, datetime(2024, 1, 1) + timedelta(hours=int(h)), float(r.integers(-5, 6)), None if r.random() < 0.4 else int(r.integers(100))) for s, n in (("a", 200), ("b", 13), ("c", 1), (None, 30)) for i, h in enumerate(np.sort(r.integers(0, 24 * 40, n)))]
     df = spark.createDataFrame(rows, "symbol string, seq long, ts timestamp_ntz, x double, v int")
     order = Window.partitionBy("symbol").orderBy("ts", "seq")
     upto, past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)

@@ -26,34 +26,28 @@ def block(x: str, size: float) -> Column:
     return F.floor(F.col(x) / size).cast("long")
 
 
-def _first(at: Column) -> Column:
-    return F.coalesce(at, F.lit(-(1 << 62)))
+def _keyed(df: DataFrame, by: list[str], at: Column) -> tuple[DataFrame, list[str]]:
+    """df with its keys and slice as columns without nulls (_k0 .., _at), so that what is
+    summed up meets its rows by plain equality and without another shuffle."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    text = {k: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for k, c in zip(keys, by)}
+    return df.withColumns({**text, "_at": F.coalesce(at, F.lit(-(1 << 62)))}), keys
 
 
-def _before(df: DataFrame, by: list[str], sums: dict[str, Column], at: Column) -> DataFrame:
-    """One row a slice: by, _at and aggregates of its rows."""
-    return df.groupBy(*by, _first(at).alias("_at")).agg(*[x.alias(n) for n, x in sums.items()])
-
-
-def _meet(df: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
-    """df (with _at) beside its slice's row of ends; null keys meet."""
-    renamed = ends.withColumnsRenamed({c: f"_e_{c}" for c in [*by, "_at"]})
-    on = None
-    for c in [*by, "_at"]:
-        x = df[c].eqNullSafe(renamed[f"_e_{c}"])
-        on = x if on is None else on & x
-    return df.join(renamed, on).drop(*[f"_e_{c}" for c in [*by, "_at"]])
+def _meet(t: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside their slice's row of ends."""
+    return t.join(ends, [*keys, "_at"])
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], at: Column) -> DataFrame:
     """df with _pos, its place from 0 in `order` within `by`, and _n, the rows of
     `by`. The order must begin with what `at` slices."""
-    key = Window.partitionBy(*by)
-    ends = _before(df, by, {"_c": F.count(F.lit(1))}, at)
+    t, keys = _keyed(df, by, at)
+    key = Window.partitionBy(*keys)
+    ends = t.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_c"))
     ends = ends.withColumn("_base", F.sum("_c").over(key.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).withColumn("_n", F.sum("_c").over(key)).drop("_c")
-    w = Window.partitionBy(*by, "_at").orderBy(*order)
-    t = df.withColumn("_at", _first(at)).withColumn("_r", F.row_number().over(w))
-    return _meet(t, ends, by).withColumn("_pos", F.col("_base") + F.col("_r") - 1).drop("_at", "_r", "_base")
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_at").orderBy(*order)))
+    return _meet(t, ends, keys).withColumn("_pos", F.col("_base") + F.col("_r") - 1).drop("_at", "_r", "_base", *keys)
 
 
 def over(df: DataFrame, make, before: int, ts: str, after: int = 0, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
@@ -75,43 +69,44 @@ def over(df: DataFrame, make, before: int, ts: str, after: int = 0, by: tuple[st
 
 def previous(df: DataFrame, name: str, value: Column, by: list[str], order: list[str], at: Column) -> DataFrame:
     """df with `name`: value in the row before, in `order` within `by`."""
-    last = F.max_by(F.struct(value.alias("v")), F.struct(*order))
-    ends = _before(df, by, {"_v": last}, at)
-    ends = ends.withColumn("_v", F.lag("_v").over(Window.partitionBy(*by).orderBy("_at")))
-    w = Window.partitionBy(*by, "_at").orderBy(*order)
-    t = df.withColumn("_at", _first(at)).withColumn("_l", F.lag(F.struct(value.alias("v"))).over(w))
-    return _meet(t, ends, by).withColumn(name, F.coalesce("_l", "_v")["v"]).drop("_l", "_v", "_at")
+    t, keys = _keyed(df, by, at)
+    ends = t.groupBy(*keys, "_at").agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("_v"))
+    ends = ends.withColumn("_v", F.lag("_v").over(Window.partitionBy(*keys).orderBy("_at")))
+    t = t.withColumn("_l", F.lag(F.struct(value.alias("v"))).over(Window.partitionBy(*keys, "_at").orderBy(*order)))
+    return _meet(t, ends, keys).withColumn(name, F.coalesce("_l", "_v")["v"]).drop("_l", "_v", "_at", *keys)
 
 
 def highest_before(df: DataFrame, name: str, value: str, by: list[str], order: list[str], at: Column) -> DataFrame:
     """df with `name`: the largest value of all rows before."""
-    ends = _before(df, by, {"_v": F.max(value)}, at)
-    ends = ends.withColumn("_v", F.max("_v").over(Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
-    w = Window.partitionBy(*by, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    t = df.withColumn("_at", _first(at)).withColumn("_m", F.max(value).over(w))
-    return _meet(t, ends, by).withColumn(name, F.greatest("_m", "_v")).drop("_m", "_v", "_at")
+    t, keys = _keyed(df, by, at)
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = t.groupBy(*keys, "_at").agg(F.max(value).alias("_v"))
+    ends = ends.withColumn("_v", F.max("_v").over(past(Window.partitionBy(*keys).orderBy("_at"))))
+    t = t.withColumn("_m", F.max(value).over(past(Window.partitionBy(*keys, "_at").orderBy(*order))))
+    return _meet(t, ends, keys).withColumn(name, F.greatest("_m", "_v")).drop("_m", "_v", "_at", *keys)
 
 
 def running(df: DataFrame, value: Column, by: list[str], order: list[str], at: Column, total: str, peak: str) -> DataFrame:
     """df with the running sum of value and its highest so far."""
-    w = Window.partitionBy(*by, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = df.withColumn("_at", _first(at)).withColumn("_x", value).withColumn("_s", F.sum("_x").over(w)).withColumn("_p", F.max("_s").over(w))
-    key = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ends = t.groupBy(*by, "_at").agg(F.sum("_x").alias("_all"), F.max("_s").alias("_hi"))
-    ends = ends.withColumn("_base", F.coalesce(F.sum("_all").over(key), F.lit(0.0)))
-    ends = ends.withColumn("_top", F.max(F.col("_base") + F.col("_hi")).over(key)).drop("_all", "_hi")
-    out = _meet(t, ends, by).withColumn(total, F.col("_base") + F.col("_s")).withColumn(peak, F.greatest(F.col("_top"), F.col("_base") + F.col("_p")))
-    return out.drop("_at", "_x", "_s", "_p", "_base", "_top")
+    t, keys = _keyed(df, by, at)
+    w = Window.partitionBy(*keys, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("_x", value).withColumn("_s", F.sum("_x").over(w)).withColumn("_p", F.max("_s").over(w))
+    past = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = t.groupBy(*keys, "_at").agg(F.sum("_x").alias("_all"), F.max("_s").alias("_hi"))
+    ends = ends.withColumn("_base", F.coalesce(F.sum("_all").over(past), F.lit(0.0)))
+    ends = ends.withColumn("_top", F.max(F.col("_base") + F.col("_hi")).over(past)).drop("_all", "_hi")
+    out = _meet(t, ends, keys).withColumn(total, F.col("_base") + F.col("_s")).withColumn(peak, F.greatest(F.col("_top"), F.col("_base") + F.col("_p")))
+    return out.drop("_at", "_x", "_s", "_p", "_base", "_top", *keys)
 
 
 def latest(df: DataFrame, name: str, value: str, by: list[str], order: list[Column], at: Column, forward: bool = False) -> DataFrame:
     """df with `name`: the last value that is not null in `order`, the row's own
     included; forward, in an order that runs back in time, the next one."""
-    at = _first(at)
-    w = Window.partitionBy(*by, "_at").orderBy(*order)
-    t = df.withColumn("_at", at).withColumn("_l", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_r", F.row_number().over(w))
+    t, keys = _keyed(df, by, at)
+    w = Window.partitionBy(*keys, "_at").orderBy(*order)
+    t = t.withColumn("_l", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_r", F.row_number().over(w))
     # A slice's last row has seen all of it.
-    ends = t.groupBy(*by, "_at").agg(F.max_by("_l", "_r").alias("_v"))
-    key = Window.partitionBy(*by).orderBy(F.col("_at").desc() if forward else F.col("_at").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_v", F.last("_v", ignorenulls=True).over(key))
-    return _meet(t, ends, by).withColumn(name, F.coalesce("_l", "_v")).drop("_l", "_r", "_v", "_at")
+    ends = t.groupBy(*keys, "_at").agg(F.max_by("_l", "_r").alias("_v"))
+    past = Window.partitionBy(*keys).orderBy(F.col("_at").desc() if forward else F.col("_at").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_v", F.last("_v", ignorenulls=True).over(past))
+    return _meet(t, ends, keys).withColumn(name, F.coalesce("_l", "_v")).drop("_l", "_r", "_v", "_at", *keys)
