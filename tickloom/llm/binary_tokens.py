@@ -61,7 +61,7 @@ def token_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(vocabulary) as enc:
             for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
+                for part in slices(batch, "text", 1 << 20):
                     ids, upto = enc.encode(*text_buffers(part.column("text")))
                     n = part.num_rows
                     full = np.zeros(len(ids) + n, ids.dtype)

@@ -73,11 +73,11 @@ def trim() -> None:
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with batches of some 8 MB (unless the session states its own
+    """mapInArrow with batches of some 4 MB (unless the session states its own
     size) whose workers keep nothing once a task ends."""
     conf = df.sparkSession.conf
     if conf.get(ARROW_BYTES, None) is None:
-        conf.set(ARROW_BYTES, "8MB")
+        conf.set(ARROW_BYTES, "4MB")
 
     def whole(batches):
         try:

@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
         seen = np.zeros(capacity + 1, np.int64)
         with encoder(vocabulary) as enc:
             for batch in batches:
-                for rows in slices(batch, "text", 2 << 20):
+                for rows in slices(batch, "text", 1 << 20):
                     ids, upto = enc.encode(*text_buffers(rows.column("text")))
                     ids = ids.astype("<u4")
                     total = np.diff(upto) + 1
