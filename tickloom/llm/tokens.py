@@ -20,9 +20,9 @@ import numpy as np
 
 from tickloom.llm.common import trim
 
-KEEP = 300_000  # pieces a worker keeps before it starts again, some 35 MB
+KEEP = 500_000  # pieces a worker keeps before it starts again, some 55 MB
 _WIDE = 23  # longest piece, in bytes, that the vector path handles
-_TABLE = 1 << 20
+_TABLE = 1 << 21
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -146,7 +146,7 @@ class Encoder:
             h = (h ^ (h >> np.uint64(31))) + k2 * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
-            cell = (h >> np.uint64(44)).astype(np.int64)
+            cell = (h >> np.uint64(43)).astype(np.int64)
         of = self.table[cell].astype(np.int64)
         key = self.keys[of]
         hit = (key[:, 0] == k0) & (key[:, 1] == k1) & (key[:, 2] == k2) & (size <= _WIDE)
