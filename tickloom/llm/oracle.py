@@ -91,10 +91,83 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
 
+# Windows as hex digits, two a byte, cut out of blocks of 1000 bytes and the 49 after them.
+BYTES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (
+  SELECT r, doc_id, CAST(t.o AS BIGINT) AS o, substr(x, 2 * t.o + 1, 2 * 1049) AS x
+  FROM d, unnest(range(0, length(x) // 2, 1000)) AS t(o)),
+w AS (
+  SELECT r, doc_id, o + t.i AS pos, substr(x, 2 * t.i + 1, 100) AS w
+  FROM b, unnest(range(0, least(1000, length(x) // 2 - 49))) AS t(i)),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT r, pos AS s, pos + 50 AS e FROM w JOIN f USING (w) WHERE f.first < w.doc_id),
+h AS (SELECT r, s, e, coalesce(s > max(e) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM g),
+i AS (SELECT r, s, e, count(*) FILTER (WHERE fresh) OVER (PARTITION BY r ORDER BY s) AS k FROM h),
+p AS (SELECT r, min(s) AS s, max(e) AS e FROM i GROUP BY r, k),
+l AS (SELECT r, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e FROM p GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(list_sum(e) - list_sum(s), 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(len(s), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN s IS NULL THEN x ELSE
+         array_to_string(list_transform(list_zip(list_prepend(0, e), list_append(s, length(x) // 2)), lambda z: substr(x, CAST(2 * z[1] + 1 AS BIGINT), CAST(2 * (z[2] - z[1]) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
+
+FIM = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[^\\n]*\\n|[^\\n]+') AS l,
+         list_transform(range(4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h
+  FROM t),
+c AS (
+  SELECT doc_id, x, CAST(len(l) AS BIGINT) AS n,
+         CASE WHEN x = '' OR x LIKE '%<P>%' OR x LIKE '%<S>%' OR x LIKE '%<M>%' OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         list_transform([least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)), greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1))], lambda k: CAST(coalesce(list_sum(list_transform(l[1:k], lambda z: length(z))), 0) AS BIGINT)) AS e
+  FROM u)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN e[1] END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN e[2] - e[1] END AS middle_chars,
+       sha256(CASE form
+         WHEN 'plain' THEN x
+         WHEN 'psm' THEN '<P>' || substr(x, 1, e[1]) || '<S>' || substr(x, e[2] + 1) || '<M>' || substr(x, e[1] + 1, e[2] - e[1])
+         ELSE '<S>' || substr(x, e[2] + 1) || '<P>' || substr(x, 1, e[1]) || '<M>' || substr(x, e[1] + 1, e[2] - e[1]) END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM c
+"""
+
+# crc32 bit by bit; runs as islands of equal words p apart.
+RUNS = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS h
+  FROM documents),
+a AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+o AS (
+  SELECT r, n, CAST(t.i AS BIGINT) AS i, CASE WHEN t.i >= a THEN w[CAST(a + (t.i - a) % p + 1 AS BIGINT)] ELSE w[t.i + 1] END AS w
+  FROM p, unnest(range(n)) AS t(i)),
+e AS (SELECT x.r, y.i - x.i AS q, x.i FROM o x JOIN o y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM e),
+m AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM s GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT r, s AS start, CAST(n AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS period FROM m GROUP BY r, s, n),
+c AS (SELECT r, count(*) AS n_runs, first({'s': start, 'n': length, 'q': period} ORDER BY length DESC, start, period) AS top,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM u GROUP BY r),
+x AS (SELECT DISTINCT r, CAST(t.i AS BIGINT) AS i FROM u, unnest(range(start + period, start + length)) AS t(i)),
+k AS (SELECT o.r, string_agg(o.w, ' ' ORDER BY o.i) AS kept FROM o LEFT JOIN x ON x.r = o.r AND x.i = o.i WHERE x.i IS NULL GROUP BY o.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, top.s AS start, top.n AS length, top.q AS period, 1000 * top.n // top.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+"""
+
 ORACLES = {
     "op1_vector_file_topk": TOPK,
     "op3_winnow_lines": LINES,
     "op4_pca_near_duplicates": COSINE,
     "op7_grouped_prefix_join": JACCARD,
     "op9_collapse_snapshots": CHAT_SQL,
+    "op11_induced_suffix_dedup": BYTES,
+    "op12_fill_in_middle": FIM,
+    "op13_harmonic_runs": RUNS,
 }

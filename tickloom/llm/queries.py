@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tickloom.llm import binary_tokens, chat, embed_dedup, jaccard, lines, mixing, packing, pii, quality, topk
+from tickloom.llm import binary_tokens, chat, embed_dedup, fim, jaccard, lines, mixing, packing, pii, quality, runs, suffixes, topk
 from tickloom.llm.common import scan, table_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,4 +53,22 @@ def op10_bilstm_crf_pii(spark, sf_dir):
     return pii.digest(scan(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_file_topk, op2_ranked_token_files, op3_winnow_lines, op4_pca_near_duplicates, op5_cotrained_quality, op6_minimum_slack_packing, op7_grouped_prefix_join, op8_cube_mixing, op9_collapse_snapshots, op10_bilstm_crf_pii)}
+def op11_induced_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(scan(spark, sf_dir, "documents"), length=50)
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digest(scan(spark, sf_dir, "documents"))
+
+
+def op13_harmonic_runs(spark, sf_dir):
+    return runs.digest(scan(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_vector_file_topk, op2_ranked_token_files, op3_winnow_lines, op4_pca_near_duplicates, op5_cotrained_quality, op6_minimum_slack_packing, op7_grouped_prefix_join,
+        op8_cube_mixing, op9_collapse_snapshots, op10_bilstm_crf_pii, op11_induced_suffix_dedup, op12_fill_in_middle, op13_harmonic_runs,
+    )
+}
