@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from tickloom.plans import catalog, extras, oracle, replay_oracle  # noqa: F401  both add to the texts
+from tickloom.plans import catalog, extras, oracle, replay_oracle, stored  # noqa: F401  all add to the texts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -6,9 +6,11 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.slices import over
+
 
 def normal_pdf(x):
     return np.exp(-0.5 * np.square(x)) / math.sqrt(2 * math.pi)
@@ -18,6 +20,27 @@ def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
 
+def erf(x: Column, nodes: int = 40) -> Column:
+    """The error function within 1e-13: 2 / sqrt(pi) times the integral of exp(-t^2) from
+    0 to x, by Gauss's rule over [0, x]. From 6 on it is one at that precision."""
+    at, weight = np.polynomial.legendre.leggauss(nodes)
+    y = F.least(F.abs(x), F.lit(6.0))
+    total = None
+    for t, w in zip((at + 1) / 2, weight / 2):
+        one = F.lit(float(w)) * F.exp(y * y * F.lit(-float(t * t)))
+        total = one if total is None else total + one
+    return F.signum(x) * F.least(F.lit(1.0), F.lit(2 / math.sqrt(math.pi)) * y * total)
+
+
+def cdf(x: Column) -> Column:
+    """The standard normal distribution function, within 1e-13."""
+    return (1 + erf(x / math.sqrt(2))) / 2
+
+
+def pdf(x: Column) -> Column:
+    return F.exp(x * x / -2) / math.sqrt(2 * math.pi)
+
+
 @functools.lru_cache(maxsize=4096)
 def expected_maximum(n: int) -> float:
     """Mean of the largest of n independent standard normals, by Simpson's rule
@@ -63,6 +86,15 @@ def deflated_decision(sr: float, hurdle: float, error: float, method: str, thres
     return p, p >= threshold
 
 
+def decision(sr: Column, hurdle: Column, error: Column, method: str, threshold: float = 0.95) -> tuple[Column, Column]:
+    """(probability that the true ratio beats the hurdle, whether it suffices) as Columns,
+    null where there is no standard error."""
+    if not method:
+        raise ValueError("name the method of the standard error")
+    p = cdf((sr - hurdle) / error)
+    return p, p >= threshold
+
+
 def default_lags(t: int) -> int:
     return max(1, int(4 * (t / 100) ** (2 / 9)))
 
@@ -85,19 +117,24 @@ def autocorrelation_error(returns: DataFrame, by: list[str], order: list[str], v
     """Per candidate with 8 values or more: t, n_lags (the rule of thumb), the sum
     of autocorrelations and sqrt((1 + 2 sum) / t), null where that is not positive.
 
-    Every lag is one lag() over the same window, so one sort serves all. There are
-    as many as the longest candidate's rule asks for: its length, one number, comes
-    to the driver first."""
-    longest = returns.groupBy(*by).agg(F.count(value).alias("t")).agg(F.max("t").alias("t")).first()["t"] or 0
+    Every lag is one lag() over the same window, so one sort serves all; a candidate's
+    history is cut into stretches that begin with the rows the lags look back on, and
+    the products are summed up where they lie. There are as many lags as the longest
+    candidate's rule asks for: its length, one number, comes to the driver first. The
+    order begins with an instant."""
+    count = returns.groupBy(*by).agg(F.count(value).alias("_t"), F.avg(value).alias("_mean")).where("_t >= 8")
+    longest = count.agg(F.max("_t").alias("t")).first()["t"] or 0
     most = default_lags(longest) + 1 if longest else 0  # one more, should roundings differ
-    w = Window.partitionBy(*by)
-    o = w.orderBy(*order)
-    base = returns.withColumn("_d", F.col(value) - F.avg(value).over(w)).withColumn("_t", F.count(value).over(w)).where("_t >= 8")
+    base = returns.select(*by, *order, F.col(value).alias("_r")).join(count, by).withColumn("_d", F.col("_r") - F.col("_mean"))
     base = base.withColumn("_l", F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("_t") / 100.0, F.lit(2 / 9)))).cast("int"))
-    lagged = F.lit(0.0)
-    for k in range(1, most + 1):
-        lagged = lagged + F.when(F.col("_l") >= k, F.coalesce(F.lag("_d", k).over(o), F.lit(0.0))).otherwise(0.0)
-    rows = base.withColumn("_p", F.col("_d") * lagged)
+
+    def lags(t, w):
+        lagged = F.lit(0.0)
+        for k in range(1, most + 1):
+            lagged = lagged + F.when(F.col("_l") >= k, F.coalesce(F.lag("_d", k).over(w), F.lit(0.0))).otherwise(0.0)
+        return t.withColumn("_p", F.col("_d") * lagged)
+
+    rows = over(base, lags, most, order[0], by=tuple(by), order=tuple(order[1:]))
     out = rows.groupBy(*by).agg(F.max("_t").alias("t"), F.max("_l").alias("n_lags"), (F.sum("_p") / F.sum(F.col("_d") * F.col("_d"))).alias("autocorr_sum"))
     factor = 1 + 2 * F.col("autocorr_sum")
     return out.withColumn("se", F.when(factor > 0, F.sqrt(factor / F.col("t"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.sessions import SESSIONS, session_bucket
 from tickloom.operators.bars import micros, resample
-from tickloom.operators.slices import block, day, numbered, previous
+from tickloom.operators.slices import day, numbered, previous, ranked
 from tickloom.session import staged
 
 LEVELS = (("symbol", "session", "volatility", "news", "weekday"), ("symbol", "session", "volatility"), ("symbol", "session"), ("symbol",))
@@ -31,7 +31,7 @@ def entry_episodes(ticks: DataFrame, pip: float, max_gap_ms: int = 120_000) -> D
 
 def stressed_quarter(episodes: DataFrame) -> DataFrame:
     """The widest quarter (at least one) of each symbol's session, ties to the later."""
-    t = numbered(episodes, ["symbol", "session"], [F.desc("pips"), F.desc("seq")], -block("pips", LEVEL))
+    t = ranked(episodes, ["symbol", "session"], "pips", "seq", LEVEL, down=True)
     return t.where(F.col("_pos") < F.greatest(F.lit(1), F.floor(F.col("_n") / 4))).drop("_n", "_pos")
 
 
@@ -90,12 +90,27 @@ def draw(cells: DataFrame, episodes: DataFrame, seed: int, draws: int = 1, least
     want = served.withColumn("_r", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("episodes"))
     out = None
     for name, by in zip(names, LEVELS):
-        ranked = numbered(episodes, list(by), [F.col("pips"), F.col("seq")], block("pips", LEVEL)).select(*by, F.col("_pos").alias("_r"), "pips")
-        one = want.where(F.col("level") == name).join(ranked, [*by, "_r"]).select(*keys, "draw", "pips", "level", "episodes")
+        placed = ranked(episodes, list(by), "pips", "seq", LEVEL).select(*by, F.col("_pos").alias("_r"), "pips")
+        one = want.where(F.col("level") == name).join(placed, [*by, "_r"]).select(*keys, "draw", "pips", "level", "episodes")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def draw_with_provenance(cells: DataFrame, episodes: DataFrame, seed: int, bound: float, kind: str = "entry", draws: int = 1, least: int = 8) -> DataFrame:
+    """draw with its whole provenance: kind, level, episodes and the 95 % quantile of the
+    level that served. A cell that no level serves draws the bound, the widest figure
+    that is defensible, with no episodes and no quantile. For stop exits give the
+    stressed quarter as episodes and kind stop_exit."""
+    keys = list(LEVELS[0])
+    episodes = staged(episodes.select(*keys, "seq", "pips"), "episodes")  # eight reads follow
+    each = staged(cells.select(*keys).distinct(), "cells")
+    top = staged(lookup(each, episodes, 0.95, bound, least), "levels")
+    got = draw(each, episodes, seed, draws, least).join(top.where("level <> 'global_bound'").select(*keys, F.col("value").alias("q95")), keys)
+    none = top.where("level = 'global_bound'").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    none = none.select(*keys, "draw", F.lit(float(bound)).alias("pips"), "level", "episodes", F.lit(None).cast("double").alias("q95"))
+    return got.unionByName(none).withColumn("kind", F.lit(kind))
+
+
 def pip_values(specs: DataFrame, ticks: DataFrame, account: str = "USD") -> DataFrame:
     """specs (symbol, pip_size, contract_size, quote_currency) with pip_value in the
     account's currency a lot. A quote in another currency is converted by the last bid

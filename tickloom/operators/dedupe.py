@@ -48,10 +48,58 @@ def episode_report(visits: DataFrame, minimums: DataFrame) -> DataFrame:
     return got.withColumn("status", F.when(F.col("visits") >= F.col("minimum"), "ok").otherwise("below minimum"))
 
 
+# An order-aware hash as a monoid: (n, v1 .. v4), where v is the sum of h(row i) B^i
+# modulo the prime 2^31 - 1, one base B a lane. (n, v) and (m, u) of what follows make
+# (n + m, v + u B^n), so parts are hashed where they lie and put together in any grouping.
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 1_566_083_941, 1_812_433_253, 1_000_003)
+_LANES = [f"v{i}" for i in range(len(_BASES))]
+
+
+def _power(base: int, n: Column) -> Column:
+    """base^n modulo the prime, by the four bytes of n."""
+    out = None
+    for i in range(4):
+        step = pow(base, 1 << (8 * i), _PRIME)
+        table = F.array(*[F.lit(pow(step, j, _PRIME)).cast("long") for j in range(256)])
+        one = table[F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)).cast("int")]
+        out = one if out is None else out * one % _PRIME
+    return out
+
+
+def stream_digest(rows: DataFrame, by: list[str], order: list[str], values: list[Column], at: Column) -> DataFrame:
+    """by, at and the digest (n, v0 .. v3) of the slice's rows in `order`, their place and
+    values hashed. The order must begin with what `at` slices; streams below 2^32 rows a
+    slice. Rows are summed up where they lie."""
+    t = rows.select(*by, at.alias("at"), *order, F.xxhash64(*values).alias("_h"))
+    place = (F.row_number().over(Window.partitionBy(*by, "at").orderBy(*order)) - 1).cast("long")
+    t = t.withColumn("_i", place)
+    sums = []
+    for i, base in enumerate(_BASES):
+        lane = F.pmod(F.xxhash64(F.lit(i), F.col("_h")), F.lit(_PRIME))
+        sums.append((F.sum(lane * _power(base, F.col("_i")) % _PRIME) % _PRIME).alias(f"v{i}"))
+    return t.groupBy(*by, "at").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def merge_digests(parts: DataFrame, by: list[str], order: str = "at") -> DataFrame:
+    """by with the digest of all parts in `order`: slices of a day, stored digests of
+    months, or both."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    t = parts.withColumn("_b", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = [(F.sum(F.col(v) * _power(base, F.col("_b")) % _PRIME) % _PRIME).alias(v) for v, base in zip(_LANES, _BASES)]
+    return t.groupBy(*by).agg(F.sum("n").alias("n"), *sums)
+
+
+def digest_text(n: str = "n", lanes: list[str] | None = None) -> Column:
+    return F.concat_ws("-", F.col(n).cast("string"), *[F.lpad(F.hex(F.col(v)), 8, "0") for v in lanes or _LANES])
+
+
 def fingerprint(trades: DataFrame, book: str = "book") -> DataFrame:
-    """book and a hash of its trade stream (entry, exit price rounded to 6)."""
-    s = F.array_sort(F.collect_list(F.struct("entry_ts", F.round("exit_price", 6).alias("p"))))
-    return trades.groupBy(book).agg(F.sha2(F.to_json(s), 256).alias("stream"))
+    """book and a hash of its trade stream (entry, exit price rounded to 6, in that
+    order): the digests of its days, put together."""
+    t = trades.select(book, "entry_ts", F.round("exit_price", 6).alias("_p"))
+    days = stream_digest(t, [book], ["entry_ts", "_p"], [F.col("entry_ts"), F.col("_p")], day("entry_ts"))
+    return merge_digests(days, [book]).select(book, digest_text().alias("stream"))
 
 
 def fresh_after(rows: DataFrame, stored: DataFrame) -> DataFrame:

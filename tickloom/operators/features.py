@@ -6,11 +6,12 @@ the rows their frames look back on (see slices.over), so a symbol is many tasks.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.slices import day, numbered, over
+from tickloom.operators.slices import day, numbered, over, smoothed
 
 
 def full(fn, x: Column, n: int, w) -> Column:
@@ -54,27 +55,38 @@ def trend_regime(bars: DataFrame, n: int = 200, bound: float = 0.5) -> DataFrame
 
 
 def vol_quintile(with_atr: DataFrame, mean: int = 20, lookback: int = 252, interpolation: str = "nearest") -> DataFrame:
-    """vol_regime_quintile: mean ATR against its own trailing 20/40/60/80 %
-    quantiles, thresholds inclusive.
+    """vol_regime_quintile: mean ATR against its own trailing 20/40/60/80 % quantiles,
+    thresholds inclusive.
 
-    Trailing quantiles over long frames are quadratic in Spark's frame evaluator;
-    pandas keeps a sorted window, over one stretch of a symbol's history at a time.
+    No quantile is formed. The value stands in its own window, so whether it exceeds a
+    quantile follows from how many values of the window are smaller: more than the
+    quantile's place among them, whose fraction, if there is one, never matters (between
+    two neighbours in order the value is either the lower one or not below the upper).
     """
+    places = [_place(p, lookback, interpolation) for p in (0.2, 0.4, 0.6, 0.8)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        a = pdf["atr"].rolling(mean).mean()
-        roll = a.rolling(lookback)
-        q = [roll.quantile(p, interpolation=interpolation) for p in (0.2, 0.4, 0.6, 0.8)]
-        out = 1 + sum((a > x).astype("int64") for x in q)
-        pdf["vol_regime_quintile"] = out.astype("Int64").where(a.notna() & q[3].notna())
-        return pdf
+    def make(t, w):
+        frame = w.rowsBetween(-(lookback - 1), 0)
+        t = t.withColumn("_mean", full(F.avg, F.col("atr"), mean, w)).withColumn("_window", F.collect_list("_mean").over(frame))
+        smaller = F.size(F.filter("_window", lambda x: x < F.col("_mean")))
+        quintile = F.lit(1)
+        for place in places:
+            quintile = quintile + F.when(smaller > place, 1).otherwise(0)
+        return t.withColumn("vol_regime_quintile", F.when(F.col("_mean").isNotNull() & (F.size("_window") >= lookback), quintile).cast("long")).drop("_mean", "_window")
 
-    return over(with_atr, lambda t, w: t.groupBy("symbol", "_stretch").applyInPandas(run, _kinds(t) + ", vol_regime_quintile long"), mean + lookback, "available_at")
+    return over(with_atr, make, mean + lookback, "available_at")
 
 
-def _kinds(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def _place(q: float, n: int, interpolation: str) -> int:
+    """The place, from 0, of a quantile among n sorted values; the lower one of two."""
+    exact = q * (n - 1)
+    if interpolation == "higher":
+        return math.ceil(exact)
+    if interpolation == "nearest":
+        return round(exact)  # halves to even
+    if interpolation in ("linear", "lower", "midpoint"):
+        return math.floor(exact)
+    raise ValueError(f"no interpolation {interpolation}")
 
 
 def channels(bars: DataFrame, windows: tuple[int, ...] = (24, 48, 60, 96, 240, 336), ts: str = "ts") -> DataFrame:
@@ -111,31 +123,13 @@ def z_score(x: Column, n: int, w) -> Column:
 
 
 def wilder_rsi(bars: DataFrame, n: int = 14, ts: str = "ts") -> DataFrame:
-    """rsi with Wilder's recursive mean, seeded by the mean of the first n changes.
-
-    A recursion over the whole history is no frame, so it runs in pandas, over one
-    stretch of a symbol's history at a time. A stretch but the first starts 64 n rows
-    early with a seed of its own: what is left of a seed after that many rows is
-    less than 1e-27 of it, far below a double's rounding.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        d = pdf["close"].diff()
-        out = pd.Series(float("nan"), pdf.index)
-        if len(pdf) > n:
-            ends = []
-            for x in (d.clip(lower=0), (-d).clip(lower=0)):
-                # Seed at row n, then an exponential mean with weight 1/n.
-                y = x.iloc[n:].copy()
-                y.iloc[0] = x.iloc[1 : n + 1].mean()
-                ends.append(y.ewm(alpha=1 / n, adjust=False).mean())
-            gain, loss = ends
-            out.iloc[n:] = (100 - 100 / (1 + gain / loss.where(loss > 0))).fillna(100.0)
-        pdf["rsi"] = out.where(out.notna(), None)
-        return pdf
-
-    return over(bars, lambda t, w: t.groupBy("symbol", "_stretch").applyInPandas(run, _kinds(t) + ", rsi double"), 64 * n, ts)
+    """rsi with Wilder's recursive mean, seeded by the mean of the first n changes; 100
+    where nothing was lost, null before row n."""
+    move = lambda w: F.col("close") - F.lag("close").over(w)
+    means = {"_gain": lambda w: F.greatest(move(w), F.lit(0.0)), "_loss": lambda w: F.greatest(-move(w), F.lit(0.0))}
+    t = smoothed(bars, means, n, ts)
+    gain, loss = F.col("_gain"), F.col("_loss")
+    return t.withColumn("rsi", F.when(gain.isNull(), None).when(loss <= 0, 100.0).otherwise(100 - 100 / (1 + gain / loss))).drop("_gain", "_loss")
 
 
 def day_levels(bars: DataFrame, ts: str = "ts") -> DataFrame:
@@ -149,7 +143,7 @@ def day_levels(bars: DataFrame, ts: str = "ts") -> DataFrame:
 
 def lab_bundle(bars: DataFrame, rsi: bool = True) -> DataFrame:
     """All features the bar strategies read, on (symbol, ts, open, high, low, close);
-    rsi, the only one that runs in Python, may be left out."""
+    rsi, the only recursive one, may be left out."""
     lines, means = (24, 48, 60, 96, 240, 336), (20, 50, 100, 200)
 
     def make(t, w):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.asof import asof_backward
 from tickloom.operators.dedupe import fingerprint, keep_best
 from tickloom.operators.slices import day, running
+from tickloom.session import staged
 
 
 def profit_factor(x: Column) -> Column:
@@ -59,25 +60,26 @@ def month_summary(months: DataFrame, by: list[str]) -> DataFrame:
     return months.groupBy(*by).agg(F.min("pnl").alias("worst"), F.count_if(F.col("pnl") > 0).alias("positive"), F.count(F.lit(1)).alias("months"))
 
 
-def rolling_returns(trades: DataFrame, by: str, start_ts, end_ts, risk: float, days: int = 90, step: int = 15) -> DataFrame:
+def rolling_returns(trades: DataFrame, by: str | list[str], start_ts, end_ts, risk: float | Column, days: int = 90, step: int = 15) -> DataFrame:
     """window_start and return % of every whole window of `days` days: a trade
     belongs to at most ceil(days / step) windows, which it is written out for, so
     no range join is needed. Windows without trades return 0."""
     a, b = F.lit(start_ts).cast("timestamp_ntz"), F.lit(end_ts).cast("timestamp_ntz")
     starts = F.sequence(a, b - F.expr(f"interval {days} days"), F.expr(f"interval {step} days"))
-    books = trades.select(by).distinct().withColumn("window_start", F.explode(starts))
+    by = [by] if isinstance(by, str) else by
+    books = trades.select(*by).distinct().withColumn("window_start", F.explode(starts))
     k = F.floor((F.unix_micros(F.col("exit_ts").cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / F.lit(step * 86_400_000_000)).cast("int")
     seg = trades.where(F.col("exit_ts") >= a).withColumn("_k", F.explode(F.sequence(k - (-(-days // step) - 1), k))).where("_k >= 0")
     seg = seg.withColumn("window_start", F.expr(f"timestampadd(DAY, _k * {step}, timestamp_ntz'{start_ts}')")).where(F.col("exit_ts") < F.col("window_start") + F.expr(f"interval {days} days"))
-    got = seg.groupBy(by, "window_start").agg((100 * (F.product(1 + F.col("r") * risk) - 1)).alias("ret"))
-    return books.join(got, [by, "window_start"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    got = seg.groupBy(*by, "window_start").agg((100 * (F.product(1 + F.col("r") * risk) - 1)).alias("ret"))
+    return books.join(got, [*by, "window_start"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
 
 
-def best_and_median(returns: DataFrame, by: str) -> DataFrame:
+def best_and_median(returns: DataFrame, by: str | list[str]) -> DataFrame:
     """Best and upper-median return."""
     w = Window.partitionBy(by)
     t = returns.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy("ret")))
-    return t.groupBy(by).agg(F.max("_n").alias("windows"), F.max("ret").alias("best"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("ret"))).alias("median"))
+    return t.groupBy(*([by] if isinstance(by, str) else by)).agg(F.max("_n").alias("windows"), F.max("ret").alias("best"), F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("ret"))).alias("median"))
 
 
 def frontier(trades: DataFrame, books: DataFrame, scales: list[float], base: float = 0.005, budget: float = 8.0, weighted: bool = True) -> DataFrame:
@@ -143,6 +145,43 @@ def select_books(trades: DataFrame, by: list[str], pf: float, dd: float, least:
     return keep_best(t, ["stream"], [F.desc("profit_factor"), F.col("book_key").asc()]).drop("stream")
 
 
+def static_books(results: DataFrame) -> DataFrame:
+    """Of each symbol and timeframe the accepted set with the best profit factor, then
+    net, then by its parameters, whatever its strategy."""
+    return keep_best(results, ["symbol", "timeframe"], [F.desc("profit_factor"), F.desc("net"), F.col("params").asc()])
+
+
+def configurations(trades: DataFrame, books: DataFrame, configs: list[tuple[str, Column, bool]], scales: list[float], start_ts, base: float = 0.005, budget: float = 8.0, days: int = 90, step: int = 15, start: float = 10_000.0) -> DataFrame:
+    """Selections of books on one balance each: a row a configuration with the largest
+    scale whose drawdown stays inside the budget, that drawdown, the balance at the end,
+    and best and upper-median growth over rolling windows from start_ts to its last trade;
+    `chosen` marks the best median, ties to the name. Configurations that no scale fits
+    are left out.
+
+    trades (book, exit_ts, seq, r); books (book, val_dd, ..); configs are (name, condition
+    on books, whether risks follow the median drawdown over the book's own, 2 at most).
+    All configurations and scales are one pass over the trades."""
+    own = F.array(*[F.when(cond, F.struct(F.lit(name).alias("config"), F.lit(weighted).alias("weighted"))) for name, cond, weighted in configs])
+    each = books.withColumn("_c", F.explode(F.array_compact(own))).select("book", "_c.*", F.greatest("val_dd", F.lit(0.5)).alias("val_dd"))
+    w = Window.partitionBy("config")
+    med = each.withColumn("_r", F.row_number().over(w.orderBy("val_dd"))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    weights = each.join(med.select("config", F.col("val_dd").alias("_med")), "config").select("config", "book", F.when(F.col("weighted"), F.least(F.col("_med") / F.col("val_dd"), F.lit(2.0))).otherwise(1.0).alias("_w"))
+    by = ["config", "scale"]
+    t = trades.select("book", "exit_ts", "seq", "r").join(weights, "book").withColumn("scale", F.explode(F.array(*[F.lit(float(x)) for x in scales])))
+    t = staged(t.select(*by, "exit_ts", "seq", "r", (F.lit(base) * F.col("scale") * F.col("_w")).alias("risk")), "configurations")
+    last = compounded_curve(t, by, F.col("risk"), start).groupBy(*by).agg(F.max("dd_pct").alias("max_dd_pct"), F.max_by("equity", F.struct("exit_ts", "seq")).alias("end_equity"), F.max("exit_ts").alias("_end"))
+    inside = last.where(F.col("max_dd_pct") < budget)
+    top = inside.groupBy("config").agg(F.max_by(F.struct("scale", "max_dd_pct", "end_equity", "_end"), "scale").alias("_t")).select("config", "_t.*")
+    # Windows are laid out for the scales that count alone.
+    kept = t.join(top.select(*by), by)
+    end = t.agg(F.max("exit_ts")).first()[0] or start_ts
+    growth = window_growth(kept, by, F.col("risk"), start_ts, max(end, start_ts), days, step, start).join(top.select("config", "_end"), "config")
+    growth = growth.where(F.col("window_start") + F.expr(f"interval {days} days") <= F.col("_end")).withColumnRenamed("growth", "ret")
+    out = top.drop("_end").join(best_and_median(growth, by).drop("windows"), by, "left")
+    first = Window.orderBy(F.desc_nulls_last("median"), "config")  # one row a configuration
+    return out.withColumn("chosen", F.row_number().over(first) == 1)
+
+
 def realised_today(trades: DataFrame, by: list[str]) -> DataFrame:
     """trades with realised: the day's profit up to and with the trade."""
     w = Window.partitionBy(*by, F.to_date("exit_ts")).orderBy("exit_ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

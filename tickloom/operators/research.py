@@ -9,11 +9,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import stats
 from tickloom.operators import features
+from tickloom.operators.slices import expanding_sums
 
 # Event kinds in order of execution, lower first. Reset and swap may
 # change places by venue, nothing else moves.
@@ -46,9 +47,9 @@ def best_fitting(results: DataFrame, by: str, dd_budget: float) -> DataFrame:
 def expanding_fit(rows: DataFrame, at: str, value: str, fitted_to, by: str = "symbol") -> DataFrame:
     """rows with the mean and count of the values up to each, none after fitted_to:
     an artefact that is fitted anew as time goes on, until its calibration ends."""
-    w = Window.partitionBy(by).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     x = F.when(F.col(at) <= F.lit(fitted_to).cast("timestamp_ntz"), F.col(value))
-    return rows.withColumn("fitted", F.avg(x).over(w)).withColumn("observations", F.count(x).over(w))
+    t = expanding_sums(rows, at, x, "_sum", "observations", [by])
+    return t.withColumn("fitted", F.try_divide("_sum", "observations")).select(*rows.columns, "fitted", "observations")
 
 
 @dataclass

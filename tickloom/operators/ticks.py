@@ -7,6 +7,7 @@ instant: an as-of join for market orders, a first touch for levels. The replay
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -124,9 +125,7 @@ def replay(quotes: list[tuple[datetime, Decimal, Decimal]], decide: Callable, ve
         return bid >= order.level if order.kind == "limit" else bid <= order.level
 
     def arrival(i: int, now: datetime) -> int | None:
-        j = i
-        while j < len(stamps) and stamps[j] < now + venue.latency:
-            j += 1
+        j = bisect.bisect_left(stamps, now + venue.latency, i)
         return j if j < len(stamps) else None
 
     for i, (now, bid, ask) in enumerate(quotes):
@@ -181,13 +180,14 @@ COUNTERS = "symbol string, trades long, expired long, position_open long, near_c
 
 
 def _signalled(pdf: pd.DataFrame, venue: Venue) -> Outcome:
-    """The replay of one symbol's quotes with the orders that stand on them."""
+    """The replay of one symbol's quotes with the orders that stand on them: decisions are
+    asked for once a quote, in order, so quotes of one instant keep their own."""
     pdf = pdf.sort_values(["ts", "seq"], kind="stable")
     stamps = [t.to_pydatetime() for t in pdf["ts"]]
-    wanted = dict(zip(stamps, zip(pdf["side"], pdf["stop"], pdf["target"], pdf["volume"])))
+    wanted = zip(pdf["side"], pdf["stop"], pdf["target"], pdf["volume"])
 
     def decide(now, bid, ask):
-        side, stop, target, volume = wanted[now]
+        side, stop, target, volume = next(wanted)
         return Order(side, stop, target, volume) if side in ("buy", "sell") else None
 
     return replay(list(zip(stamps, pdf["bid"], pdf["ask"])), decide, venue)

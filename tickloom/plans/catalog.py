@@ -78,7 +78,7 @@ def bar_ohlc_violations(spark, sf):
 @query
 def bar_duplicates(spark, sf):
     b = views.bars(spark, sf).select("symbol", F.date_trunc("DAY", "ts_open").cast("timestamp_ntz").alias("ts_open"), "tick_count")
-    return validate.duplicated(b.where("tick_count > 2"), ["symbol", "ts_open"]).select("symbol", "ts_open", "tick_count", "copies")
+    return validate.duplicated(b, ["symbol", "ts_open"]).select("symbol", "ts_open", "tick_count", "copies")
 
 
 @query
@@ -631,9 +631,9 @@ def deflated_sharpe(spark, sf):
     t = stats.sharpe_table(_returns(spark, sf), ["candidate"])
     n = t.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("sr").alias("s")).first()
     hurdle = stats.hurdle_empirical(n["s"], n["n"]) if n["n"] > 1 and n["s"] else 0.0
-    z = (F.col("sr") - F.lit(hurdle)) / F.col("se")
-    # The 95 % decision needs no cdf: it is a bound on z.
-    return r6(t.select("candidate", z.alias("z"), (z >= 1.6448536269514722).alias("passes")), "z")
+    sr, h, se = F.col("sr"), F.lit(hurdle), F.col("se")
+    p, passes = stats.decision(sr, h, se, "iid, skew and kurtosis")
+    return r6(t.select("candidate", ((sr - h) / se).alias("z"), p.alias("probability"), passes.alias("passes")), "z", "probability")
 
 
 @query
@@ -712,8 +712,7 @@ def _account():
 
 @query
 def lab_replay_donchian(spark, sf):
-    params = [{"channel": 48, "atr_x": a, "rr": r} for a in (1.5, 2.5) for r in (2.0, 3.0)]
-    return r6(replay.grid_replay(_bundle(spark, sf, False), "donchian_breakout", params, _account()).drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
+    return r6(replay.grid_replay(_bundle(spark, sf, False), "donchian_breakout", signals.grid("donchian_breakout"), _account()).drop("n"), "entry_price", "exit_price", "stop_price", "volume", "pnl", "commission", "r")
 
 
 @query
@@ -791,7 +790,9 @@ def tick_replay(spark, sf):
 
 @query
 def hour_sequence(spark, sf):
-    return binary.hours(spark, datetime(2024, 1, 1, 5, 30), datetime(2024, 1, 3))
+    """Whole hours from the first to the last quote."""
+    r = views.quotes(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return binary.hours(spark, r["a"], r["b"])
 
 
 @query
@@ -838,15 +839,12 @@ def artefact_expanding(spark, sf):
 @query
 def best_risk(spark, sf):
     """Each book at five risks: drawdown and median window, the best that fits."""
-    risks = (0.0005, 0.001, 0.002, 0.004, 0.008)
-    t = views.trades(spark, sf)
-    out = None
-    for k in risks:
-        dd = portfolio.compounded_curve(t, ["book"], F.lit(k)).groupBy("book").agg(F.max("dd_pct").alias("max_dd_pct"))
-        med = portfolio.best_and_median(portfolio.rolling_returns(t, "book", datetime(1996, 1, 1), datetime(2000, 1, 1), k), "book")
-        one = dd.join(med.select("book", "median"), "book").withColumn("risk", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return r6(research.best_fitting(out, "book", 8.0), "max_dd_pct", "median")
+    risks = F.explode(F.array(*[F.lit(k) for k in (0.0005, 0.001, 0.002, 0.004, 0.008)]))
+    t = views.trades(spark, sf).select("book", "exit_ts", "seq", "r", risks.alias("risk"))
+    by = ["book", "risk"]
+    dd = portfolio.compounded_curve(t, by, F.col("risk")).groupBy(*by).agg(F.max("dd_pct").alias("max_dd_pct"))
+    med = portfolio.best_and_median(portfolio.rolling_returns(t, by, datetime(1996, 1, 1), datetime(2000, 1, 1), F.col("risk")), by)
+    return r6(research.best_fitting(dd.join(med.select(*by, "median"), by), "book", 8.0), "max_dd_pct", "median")
 
 
 @query

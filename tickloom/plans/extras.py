@@ -116,11 +116,11 @@ def capture_files(spark, sf):
     raw = capture.read_quotes(spark, f"{sf}/events.parquet" if _is_dir(spark, f"{sf}/events.parquet") else _folder_of(spark, f"{sf}/events.parquet"))
     q = views.as_quotes(raw).select("symbol", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "bid", "ask", "bid_volume", "ask_volume")
     q.writeStream.format("json").partitionBy("symbol").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
-    got = tables.read_capture(spark, f"{path}/symbol=click", "click").unionByName(tables.read_capture(spark, f"{path}/symbol=view", "view"))
+    got = tables.read_capture(spark, path)
     return r6(got.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("ask").alias("asks"), F.count_if("sequence_gap").alias("gaps")), "asks")
 
 
-text("capture_files", Q, "SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(ask), 6) AS asks, CAST(0 AS BIGINT) AS gaps FROM quotes WHERE symbol IN ('click', 'view') GROUP BY 1")
+text("capture_files", Q, "SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(ask), 6) AS asks, CAST(0 AS BIGINT) AS gaps FROM quotes GROUP BY 1")
 
 
 @query
@@ -411,7 +411,13 @@ MAXIMA = "g AS (SELECT i, -9 + i * 0.001::DOUBLE AS x, exp(-0.5 * power(-9 + i *
 text("hurdles", MAXIMA.format(n="(VALUES (1), (2), (10), (100), (500)) v(n)") + ", k AS (SELECT count(*) AS n, stddev_samp(o_totalprice / 100000) AS s FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F'), " + MAXIMA.format(n="(SELECT n FROM k) v").replace("g AS (", "g2 AS (").replace("FROM g)", "FROM g2)").replace(", c AS (", ", c2 AS (").replace("FROM c, ", "FROM c2, ").replace(", e AS (", ", e2 AS ("),
     "SELECT CAST(e.n AS BIGINT) AS trials, round(CASE WHEN e.n = 1 THEN 0 ELSE e.m END, 6) + 0 AS expected_max, round(CASE WHEN e.n = 1 THEN 0 ELSE 0.6 * sqrt(0.2::DOUBLE) * e.m END, 6) + 0 AS modelled, CASE WHEN e.n = 1 THEN round(k.s * e2.m, 6) END AS empirical FROM e, k, e2")
 
-text("deflated_sharpe", SH + ", k2 AS (SELECT count(*) AS n, stddev_samp(sr) AS s FROM z), " + MAXIMA.format(n="(SELECT n FROM k2) v"), "SELECT candidate, round((sr - k2.s * e.m) / CASE WHEN isnan(se) THEN NULL ELSE se END, 6) AS z, (sr - k2.s * e.m) / CASE WHEN isnan(se) THEN NULL ELSE se END >= 1.6448536269514722 AS passes FROM z, k2, e")
+# The distribution function by the series of the incomplete gamma function.
+PHI = "(1 + sign({z}) * exp(-power(least(abs({z}), 8.4), 2) / 2) * list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln(greatest(least(abs({z}), 8.4), 1e-300) / sqrt(2)) - lgamma(n + 1.5::DOUBLE))))) / 2"
+text(
+    "deflated_sharpe",
+    SH + ", k2 AS (SELECT count(*) AS n, stddev_samp(sr) AS s FROM z), " + MAXIMA.format(n="(SELECT n FROM k2) v") + ", y AS (SELECT candidate, (sr - k2.s * e.m) / CASE WHEN isnan(se) THEN NULL ELSE se END AS z FROM z, k2, e)",
+    f"SELECT candidate, round(z, 6) AS z, round({PHI.format(z='z')}, 6) AS probability, z >= 1.6448536269514722 AS passes FROM y",
+)
 
 
 # ------------------------------------------------------------ replays

@@ -75,7 +75,7 @@ text("tick_validation", Q + ", s AS (SELECT CASE WHEN seq % 101 = 0 THEN -bid EL
 BENT = "bent AS (SELECT * REPLACE (CASE WHEN hour(ts_open) = 8 THEN bid_high - 5 ELSE bid_high END AS bid_high) FROM bars)"
 BAD = "bid_low > least(bid_open, bid_close) OR bid_high < greatest(bid_open, bid_close) OR ask_low > least(ask_open, ask_close) OR ask_high < greatest(ask_open, ask_close)"
 text("bar_ohlc_violations", QB + "," + BENT, f"SELECT symbol, ts_open, round(bid_high, 6) AS bid_high FROM bent WHERE {BAD}")
-text("bar_duplicates", QB + ", d AS (SELECT symbol, date_trunc('day', ts_open) AS ts_open, tick_count FROM bars WHERE tick_count > 2), k AS (SELECT *, count(*) OVER (PARTITION BY symbol, ts_open) AS copies FROM d)", "SELECT * FROM k WHERE copies > 1")
+text("bar_duplicates", QB + ", d AS (SELECT symbol, date_trunc('day', ts_open) AS ts_open, tick_count FROM bars), k AS (SELECT *, count(*) OVER (PARTITION BY symbol, ts_open) AS copies FROM d)", "SELECT * FROM k WHERE copies > 1")
 text("weekend_quarantine", QB, "SELECT symbol, ts_open, tick_count FROM bars WHERE isodow(ts_open) >= 6")
 SPIKE = "r AS (SELECT *, bid_close / bid_open - 1 AS ret FROM {b}), s AS (SELECT *, CASE WHEN count(ret) OVER w >= 2 THEN stddev_samp(ret) OVER w END AS sigma FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts_open ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))"
 text("spike_flags", QB + "," + SPIKE.format(b="bars", n=30), "SELECT symbol, ts_open, round(ret, 6) AS ret, round(sigma, 6) AS sigma FROM s WHERE abs(ret) > 2 * sigma")
@@ -273,7 +273,7 @@ SELECT pos, prev_hash, link_ok, hash_ok FROM l WHERE NOT link_ok OR NOT hash_ok"
 text("stream_monitor", Q + ", m AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM quotes)", "SELECT symbol, count(*) AS ticks, count(*) FILTER (WHERE ts < mark) AS gaps, coalesce(max(CASE WHEN ts >= mark THEN (epoch_us(ts) - epoch_us(mark)) // 1000 END), 0) AS max_gap_ms, max(ts) AS last_ts FROM m GROUP BY 1")
 text("stale_quotes", "", "SELECT event_type AS symbol, TIMESTAMP '2024-01-31 00:00:00' - max(ts) > INTERVAL '5 hours' AS stale FROM events GROUP BY 1 UNION ALL SELECT 'never', true")
 text("capture_coverage", Q, "SELECT symbol, strftime(ts, '%Y-%m') AS month, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM quotes GROUP BY 1, 2")
-text("hour_sequence", "", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-01-02 23:00:00', INTERVAL '1 hour')) AS hour")
+text("hour_sequence", "", "SELECT hour FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), max(ts), INTERVAL '1 hour')) AS hour, max(ts) AS last FROM events) WHERE hour < last")
 text("file_paths", Q, "SELECT DISTINCT symbol, date_trunc('hour', ts) AS hour, printf('%s/%04d/%02d/%02d/%02dh_ticks.bi5', symbol, year(ts), month(ts) - 1, day(ts), hour(ts)) AS path FROM quotes")
 text("money_rounding", "l AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_quantity AS DECIMAL(18,2)) AS q FROM lineitem)", "SELECT l_orderkey, l_linenumber, sum(CAST((CAST(q * 100 AS BIGINT) // 30) * 30 AS DOUBLE) / 100) AS down, sum(CAST(((CAST(p * 100 AS BIGINT) + 29) // 30) * 30 AS DOUBLE) / 100) AS up, sum(CAST(CASE WHEN CAST(p * 100 AS BIGINT) % 100 = 50 THEN (CAST(p * 100 AS BIGINT) // 100) + (CAST(p * 100 AS BIGINT) // 100) % 2 ELSE (CAST(p * 100 AS BIGINT) + 50) // 100 END AS DOUBLE) / 10) AS even FROM l GROUP BY 1, 2")
 text("month_partitions", TR, "SELECT strftime(exit_ts, '%Y-%m') AS month, count(*) AS rows FROM trades GROUP BY 1")

@@ -142,9 +142,8 @@ def whole(name: str, ctes: list[str], body: str) -> None:
 
 
 TRAIL = {"act_r": 0.5, "sl_r": 0.5, "tp_r": 1.0}
-DONCHIAN = [{"channel": 48, "atr_x": a, "rr": r} for a in (1.5, 2.5) for r in (2.0, 3.0)]
-for query, family, sets in (("lab_replay_donchian", "donchian_breakout", DONCHIAN), ("lab_replay_momentum", "london_momentum", None), ("lab_replay_opening_range", "opening_range_break", None)):
-    whole(query, [replay("t", family, sets or signals.grid(family))], f"SELECT {ROUNDED} FROM t")
+for query, family in (("lab_replay_donchian", "donchian_breakout"), ("lab_replay_momentum", "london_momentum"), ("lab_replay_opening_range", "opening_range_break")):
+    whole(query, [replay("t", family, signals.grid(family))], f"SELECT {ROUNDED} FROM t")
 whole("lab_replay_trailing", [replay("t", "trailing_momentum", signals.grid("trailing_momentum"), trails=[TRAIL])], f"SELECT {ROUNDED.replace(' params,', chr(32) + 'split_part(params, chr(124), 1) AS params,')} FROM t")
 
 

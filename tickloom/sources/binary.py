@@ -200,18 +200,18 @@ def read_range(spark: SparkSession, root: str, symbols: list[str], start: dateti
     first = first.replace(hour=0) if candles_ else first
     slot = F.make_timestamp_ntz(F.col("y"), F.col("m"), F.col("d"), F.lit(0) if candles_ else F.col("h"), F.lit(0), F.lit(0))
     wanted = _files(spark, root, name).withColumn("slot", slot).where(F.col("symbol").isin(symbols) & (F.col("slot") >= lit(first)) & (F.col("slot") < lit(end)))
-    done = f"{cache}/slots"
-    place = spark._jvm.org.apache.hadoop.fs.Path(done)
-    held = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    if held:
-        wanted = wanted.join(spark.read.parquet(done).select("symbol", "slot").distinct(), ["symbol", "slot"], "left_anti")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/rows")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        held = spark.read.parquet(f"{cache}/rows").where("ts IS NULL").select("symbol", "slot").distinct()
+        wanted = wanted.join(held, ["symbol", "slot"], "left_anti")
     decoded = (decode_candles if candles_ else decode_ticks)(wanted.where("length > 0")).persist()
     try:
         bad = decoded.where("error IS NOT NULL").select(F.concat_ws(" ", "symbol", F.col("slot").cast("string"), "error").alias("e")).orderBy("e").collect()
         if bad:
             raise FetchFailed("; ".join(r["e"] for r in bad))
-        decoded.drop("error").repartition("symbol", "slot").write.mode("append").parquet(f"{cache}/rows")
-        wanted.select("symbol", "slot").write.mode("append").parquet(done)
+        # A slot's rows and the row without ts that says it is held are one append.
+        marks = wanted.select("symbol", "slot")
+        decoded.drop("error").unionByName(marks, allowMissingColumns=True).repartition("symbol", "slot").write.mode("append").parquet(f"{cache}/rows")
     finally:
         decoded.unpersist()
     t = spark.read.parquet(f"{cache}/rows").where(F.col("symbol").isin(symbols) & (F.col("ts") >= lit(start)) & (F.col("ts") < lit(end)))

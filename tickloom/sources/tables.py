@@ -37,11 +37,12 @@ def read_ticks(spark: SparkSession, root: str, symbol: str | None = None, month:
     return t if month is None else t.where(F.col("month") == month)
 
 
-def read_capture(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Captured JSON lines; missing volumes are 0, a missing gap flag false."""
-    t = spark.read.schema(CAPTURE).json(path)
+def read_capture(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Captured JSON lines of one symbol, or of a folder with a folder a symbol; missing
+    volumes are 0, a missing gap flag false."""
+    t = spark.read.schema(CAPTURE + (", symbol string" if symbol is None else "")).json(path)
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return t.select(F.to_timestamp("ts").cast("timestamp_ntz").alias("ts"), "bid", "ask", zero("bid_volume"), zero("ask_volume"), F.coalesce("sequence_gap", F.lit(False)).alias("sequence_gap"), F.lit(symbol).alias("symbol"))
+    return t.select(F.to_timestamp("ts").cast("timestamp_ntz").alias("ts"), "bid", "ask", zero("bid_volume"), zero("ask_volume"), F.coalesce("sequence_gap", F.lit(False)).alias("sequence_gap"), (F.col("symbol") if symbol is None else F.lit(symbol)).alias("symbol"))
 
 
 def read_candles(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
