@@ -61,7 +61,8 @@ def _power(base: int, n: Column) -> Column:
     out = None
     for i in range(4):
         step = pow(base, 1 << (8 * i), _PRIME)
-        table = F.array(*[F.lit(pow(step, j, _PRIME)).cast("long") for j in range(256)])
+        # One literal, folded when the plan is made.
+        table = F.from_json(F.lit(str([pow(step, j, _PRIME) for j in range(256)])), "array<bigint>")
         one = table[F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)).cast("int")]
         out = one if out is None else out * one % _PRIME
     return out
@@ -74,11 +75,14 @@ def stream_digest(rows: DataFrame, by: list[str], order: list[str], values: list
     t = rows.select(*by, at.alias("at"), *order, F.xxhash64(*values).alias("_h"))
     place = (F.row_number().over(Window.partitionBy(*by, "at").orderBy(*order)) - 1).cast("long")
     t = t.withColumn("_i", place)
-    sums = []
-    for i, base in enumerate(_BASES):
-        lane = F.pmod(F.xxhash64(F.lit(i), F.col("_h")), F.lit(_PRIME))
-        sums.append((F.sum(lane * _power(base, F.col("_i")) % _PRIME) % _PRIME).alias(f"v{i}"))
-    return t.groupBy(*by, "at").agg(F.count(F.lit(1)).alias("n"), *sums)
+    # One array of the lanes: sums of four long expressions would be one method too large
+    # for the JVM to compile.
+    lanes = [F.pmod(F.xxhash64(F.lit(i), F.col("_h")), F.lit(_PRIME)) * _power(base, F.col("_i")) % _PRIME for i, base in enumerate(_BASES)]
+    return _summed(t.select(*by, "at", F.lit(1).cast("long").alias("n"), F.array(*lanes).alias("_v")), [*by, "at"])
+
+
+def _summed(t: DataFrame, by: list[str]) -> DataFrame:
+    return t.groupBy(*by).agg(F.sum("n").alias("n"), *[(F.sum(F.col("_v")[i]) % _PRIME).alias(v) for i, v in enumerate(_LANES)])
 
 
 def merge_digests(parts: DataFrame, by: list[str], order: str = "at") -> DataFrame:
@@ -86,20 +90,21 @@ def merge_digests(parts: DataFrame, by: list[str], order: str = "at") -> DataFra
     months, or both."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     t = parts.withColumn("_b", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sums = [(F.sum(F.col(v) * _power(base, F.col("_b")) % _PRIME) % _PRIME).alias(v) for v, base in zip(_LANES, _BASES)]
-    return t.groupBy(*by).agg(F.sum("n").alias("n"), *sums)
+    lanes = [F.col(v) * _power(base, F.col("_b")) % _PRIME for v, base in zip(_LANES, _BASES)]
+    return _summed(t.select(*by, "n", F.array(*lanes).alias("_v")), by)
 
 
 def digest_text(n: str = "n", lanes: list[str] | None = None) -> Column:
     return F.concat_ws("-", F.col(n).cast("string"), *[F.lpad(F.hex(F.col(v)), 8, "0") for v in lanes or _LANES])
 
 
-def fingerprint(trades: DataFrame, book: str = "book") -> DataFrame:
+def fingerprint(trades: DataFrame, book: str = "book", span: int = 64) -> DataFrame:
     """book and a hash of its trade stream (entry, exit price rounded to 6, in that
-    order): the digests of its days, put together."""
+    order): the digests of slices of `span` days, put together. Fewer days where a book
+    has very many trades a day, more where there are many books with few."""
     t = trades.select(book, "entry_ts", F.round("exit_price", 6).alias("_p"))
-    days = stream_digest(t, [book], ["entry_ts", "_p"], [F.col("entry_ts"), F.col("_p")], day("entry_ts"))
-    return merge_digests(days, [book]).select(book, digest_text().alias("stream"))
+    parts = stream_digest(t, [book], ["entry_ts", "_p"], [F.col("entry_ts"), F.col("_p")], F.floor(day("entry_ts") / span))
+    return merge_digests(parts, [book]).select(book, digest_text().alias("stream"))
 
 
 def fresh_after(rows: DataFrame, stored: DataFrame) -> DataFrame:
