@@ -549,3 +549,16 @@ def test_day_files_through_the_cache(spark, tmp_path):
     path.write_bytes(lzma.compress(np.array([(0, 150_000, 150_010, 149_990, 150_020, 1), (60, 150_010, 150_000, 149_995, 150_015, 1)], binary.CANDLE).tobytes()))
     got = binary.read_range(spark, str(tmp_path / "f"), ["USDJPY"], datetime(2024, 1, 3, 0, 0, 30), datetime(2024, 1, 4), str(tmp_path / "c"), candles_=True).collect()
     assert [(r["open"], r["high"], r["low"], r["close"]) for r in got] == [(150.01, 150.015, 149.995, 150.0)]
+
+
+def test_replay_of_two_quotes_in_one_instant(spark):
+    """Orders stand on quotes, not on instants: one on the second of two quotes at one
+    time fills there, one on the first there."""
+    t0 = datetime(2024, 1, 2, 9)
+    for on, entry in ((0, 101.0), (1, 106.0)):
+        rows = [("A", t0, 0, 100.0, 101.0), ("A", t0, 1, 105.0, 106.0), ("A", t0 + timedelta(minutes=1), 2, 90.0, 91.0)]
+        d = lambda x: Decimal(str(x))
+        q = [(s, ts, n, d(b), d(a), "buy" if n == on else None, d(95), d(500), d("0.10")) for s, ts, n, b, a in rows]
+        df = spark.createDataFrame(q, "symbol string, ts timestamp_ntz, seq long, bid decimal(18,8), ask decimal(18,8), side string, stop decimal(18,8), target decimal(18,8), volume decimal(18,8)")
+        got = ticks.replay_table(df, ticks.Venue(contract=Decimal(100))).collect()
+        assert [float(r["entry_price"]) for r in got] == [entry] and got[0]["exit_reason"] == "closed_sl"

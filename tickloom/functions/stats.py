@@ -8,8 +8,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tickloom.operators.slices import day, over
+from tickloom.operators.slices import block, day, over
 
 
 def normal_pdf(x):
@@ -121,7 +122,8 @@ def autocorrelation_error(returns: DataFrame, by: list[str], order: list[str], v
     history is cut into stretches that begin with the rows the lags look back on, and
     the products are summed up where they lie. There are as many lags as the longest
     candidate's rule asks for: its length, one number, comes to the driver first. The
-    order begins with an instant, whose days, `span` at a time, are its slices."""
+    order begins with an instant, whose days, `span` at a time, are its slices, or with a
+    number, cut every 65536."""
     count = returns.groupBy(*by).agg(F.count(value).alias("_t"), F.avg(value).alias("_mean")).where("_t >= 8")
     longest = count.agg(F.max("_t").alias("t")).first()["t"] or 0
     most = default_lags(longest) + 1 if longest else 0  # one more, should roundings differ
@@ -134,7 +136,9 @@ def autocorrelation_error(returns: DataFrame, by: list[str], order: list[str], v
             lagged = lagged + F.when(F.col("_l") >= k, F.coalesce(F.lag("_d", k).over(w), F.lit(0.0))).otherwise(0.0)
         return t.withColumn("_p", F.col("_d") * lagged)
 
-    rows = over(base, lags, most, order[0], by=tuple(by), order=tuple(order[1:]), at=F.floor(day(order[0]) / span))
+    kind = base.schema[order[0]].dataType
+    at = block(order[0], 1 << 16) if isinstance(kind, NumericType) else F.floor(day(order[0]) / span)
+    rows = over(base, lags, most, order[0], by=tuple(by), order=tuple(order[1:]), at=at)
     out = rows.groupBy(*by).agg(F.max("_t").alias("t"), F.max("_l").alias("n_lags"), (F.sum("_p") / F.sum(F.col("_d") * F.col("_d"))).alias("autocorr_sum"))
     factor = 1 + 2 * F.col("autocorr_sum")
     return out.withColumn("se", F.when(factor > 0, F.sqrt(factor / F.col("t"))))
