@@ -449,11 +449,11 @@ def static_books(spark, sf):
     s = F.col("supplier")
     t = views.trades(spark, sf).select(F.col("book").alias("symbol"), F.when(s % 2 == 0, "15m").otherwise("1h").alias("timeframe"), (s % 30).alias("params"), "exit_ts", "seq", "pnl", "r")
     m = portfolio.trade_metrics(t, ["symbol", "timeframe", "params"]).where("trades >= 15")
-    return portfolio.static_books(m).select("symbol", "timeframe", "params", "profit_factor", "net")
+    return portfolio.static_books(m).select("symbol", "timeframe", "params", "profit_factor", "trades")
 
 
 text(
     "static_books",
     TR + ", t AS (SELECT book AS symbol, CASE WHEN supplier % 2 = 0 THEN '15m' ELSE '1h' END AS timeframe, supplier % 30 AS params, pnl FROM trades), m AS (SELECT symbol, timeframe, params, count(*) AS n, round(" + PF + ", 3) AS profit_factor, round(sum(pnl), 2) AS net FROM t GROUP BY 1, 2, 3)",
-    "SELECT symbol, timeframe, params, profit_factor, net FROM m WHERE n >= 15 QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY profit_factor DESC, net DESC, params) = 1",
+    "SELECT symbol, timeframe, params, profit_factor, n AS trades FROM m WHERE n >= 15 QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY profit_factor DESC, net DESC, params) = 1",
 )
