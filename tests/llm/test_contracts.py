@@ -565,6 +565,20 @@ def test_secrets_have_columns_of_their_own(spark):
     assert got[2]["n_private"] == 0 and got[3]["n_private"] == 0
 
 
+def test_counts_are_of_base_spans(spark):
+    """What the tagger adds stands in spans and n_private, not in the contract's counts."""
+    texts = [pii.labelled_text(pii.Forms(seed), 400, 0.3)[0] for seed in range(40)]
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        base = plain_spans(text)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == n for x in base) for n in range(4)]
+        spans = [x for x in got[i]["spans"].split(",") if x]
+        added += len(spans) - len(base)
+        assert got[i]["n_private"] == len(spans) + got[i]["n_secret"]
+    assert added > 0
+
+
 def test_chat_of_very_many_turns(spark):
     """One conversation of 20000 turns, and its snapshot of one turn less."""
     n = 20_000

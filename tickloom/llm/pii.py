@@ -563,15 +563,16 @@ def _joined(spans) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256 and spans of
-    those four kinds; n_secret and secrets likewise, and n_private, all of them."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans of those
+    four kinds, added ones included; n_secret and secrets likewise, and n_private, the
+    number of all spans."""
     model = trained()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = find([t or "" for t in part.column("text").to_pylist()], model)
-                counts = [pa.array([sum(x[1] == k for x in spans) for _, spans in found], pa.int64()) for k in range(SECRET + 1)]
+                counts = [pa.array([sum(x[1] == k for x in (spans if k == SECRET else base)) for base, spans in found], pa.int64()) for k in range(SECRET + 1)]
                 sha = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found])
                 listed = [pa.array([_joined([x for x in s if (x[1] == SECRET) == own]) for _, s in found], pa.string()) for own in (False, True)]
                 every = pa.array([len(s) for _, s in found], pa.int64())
