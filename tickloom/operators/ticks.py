@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import levels
 from tickloom.operators.asof import asof_backward, asof_forward
 
 
@@ -31,33 +32,13 @@ def market_fills(orders: DataFrame, ticks: DataFrame, latency: timedelta, slip:
     return b.select(*orders.columns, "arrival", (got + F.when(buy, slip).otherwise(-slip)).alias("fill_price"), (got - ref).alias("latency_move"))
 
 
-def first_touch(positions: DataFrame, ticks: DataFrame, horizon: timedelta, step: int = 3600) -> DataFrame:
+def first_touch(positions: DataFrame, ticks: DataFrame, horizon: timedelta) -> DataFrame:
     """positions (id, symbol, side, ts, stop, target) with exit_ts, exit_price and
     exit_reason: the first quote within the horizon at which the closing side (bid
     for buys, ask for sells) reaches a level. A stop fills at that quote, a target
-    at its level, and a quote that meets both stops.
-
-    Bars of `step` seconds hold the extremes of their quotes. Positions are written
-    out for the bars their horizon touches and keep the first whole bar that reaches
-    a level, as some quote in it must, beside the two at the ends, of which only a
-    part counts; quotes of those three bars at most are looked at.
-    """
-    bar = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (step * 1_000_000)).cast("long")
-    q = ticks.select("symbol", bar(F.col("ts")).alias("_b"), F.col("ts").alias("qts"), F.col("seq").alias("qseq"), "bid", "ask")
-    ends = q.groupBy("symbol", "_b").agg(*[f(c).alias(f"_{n}_{c}") for c in ("bid", "ask") for n, f in (("low", F.min), ("high", F.max))])
-    buy = F.col("side") == "buy"
-    p = positions.withColumn("_end", F.col("ts") + F.lit(horizon)).withColumn("_from", bar(F.col("ts"))).withColumn("_to", bar(F.col("_end")))
-    inner = p.where("_to - _from > 1").select("id", "symbol", "side", "stop", "target", F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)).alias("_b"))
-    reach = F.when(buy, (F.col("_low_bid") <= F.col("stop")) | F.coalesce(F.col("_high_bid") >= F.col("target"), F.lit(False))).otherwise((F.col("_high_ask") >= F.col("stop")) | F.coalesce(F.col("_low_ask") <= F.col("target"), F.lit(False)))
-    first = inner.join(ends, ["symbol", "_b"]).where(reach).groupBy("id").agg(F.min("_b").alias("_hit"))
-    p = p.join(first, "id", "left").withColumn("_b", F.explode(F.array_distinct(F.array_compact(F.array("_from", "_hit", "_to")))))
-    t = p.join(q, ["symbol", "_b"]).where((F.col("qts") > F.col("ts")) & (F.col("qts") <= F.col("_end")))
-    x = F.when(buy, F.col("bid")).otherwise(F.col("ask"))
-    stop = F.when(buy, x <= F.col("stop")).otherwise(x >= F.col("stop"))
-    goal = F.coalesce(F.when(buy, x >= F.col("target")).otherwise(x <= F.col("target")), F.lit(False))
-    hit = t.where(stop | goal).withColumn("_e", F.struct(F.col("qts").alias("exit_ts"), F.when(stop, x).otherwise(F.col("target")).alias("exit_price"), F.when(stop, "closed_sl").otherwise("closed_tp").alias("exit_reason"), (stop & goal).alias("ambiguous")))
-    one = hit.groupBy("id").agg(F.min_by("_e", F.struct("qts", "qseq")).alias("_e"))
-    return positions.join(one, "id", "left").select(*positions.columns, "_e.exit_ts", "_e.exit_price", "_e.exit_reason", "_e.ambiguous")
+    at its level, and a quote that meets both stops. Found by levels.long_touch, whose
+    rows do not multiply with the horizon or with the quotes of an hour."""
+    return levels.long_touch(positions, ticks, F.lit(horizon))
 
 
 # ---------------------------------------------------------------- replay
