@@ -318,3 +318,33 @@ def test_configurations_by_hand(spark):
         x = got[name]
         assert (x["scale"], x["max_dd_pct"], x["end_equity"], x["median"], x["best"]) == (s, pytest.approx(dd), pytest.approx(eq), pytest.approx(med), pytest.approx(top))
     assert [n for n, x in got.items() if x["chosen"]] == [max(got, key=lambda n: got[n]["median"])]
+
+
+def test_accounts_are_columns_not_copies_of_trades(spark):
+    """Ends of many accounts equal compounded_curve's, also after a total loss and for trades
+    an account does not take; no trade is written out for a risk."""
+    r = np.random.default_rng(12)
+    rows = [(("x", "y")[i % 2], T0 + timedelta(hours=int(h)), i, float(v)) for i, (h, v) in enumerate(zip(r.integers(0, 24 * 40, 300), r.normal(0.05, 1, 300)))]
+    t = spark.createDataFrame(rows, "book string, exit_ts timestamp_ntz, seq long, r double")
+    risks = {"low": F.lit(0.01), "all": F.lit(0.9), "some": F.when(F.col("seq") % 3 == 0, 0.05), "none": F.lit(None).cast("double")}
+    ends = portfolio.compounded_ends(t, ["book"], risks)
+    got = {(x["book"], x["name"]): x for x in ends.collect()}
+    assert len(got) == 6
+    for n in ("low", "all", "some"):
+        c = portfolio.compounded_curve(t.where(risks[n].isNotNull()), ["book"], risks[n])
+        for x in c.groupBy("book").agg(F.max("dd_pct").alias("dd"), F.max_by("equity", F.struct("exit_ts", "seq")).alias("end"), F.max("exit_ts").alias("last")).collect():
+            y = got[x["book"], n]
+            assert y["max_dd_pct"] == pytest.approx(x["dd"]) and y["end_equity"] == pytest.approx(x["end"]) and y["last"] == x["last"]
+    assert got["x", "all"]["max_dd_pct"] == 100.0
+    plan = portfolio.running_many(t.withColumn("k", F.lit(0.1)), {"a": F.col("r") * F.col("k")}, ["book"], ["exit_ts", "seq"], slices.day("exit_ts"))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    at = {(x["name"], x["exit_ts"]): x["equity"] for x in portfolio.compounded_at(t, {"low": F.lit(0.01)}).collect()}
+    c = portfolio.compounded_curve(t.withColumn("one", F.lit(1)), ["one"], F.lit(0.01)).groupBy("exit_ts").agg(F.max_by("equity", "seq").alias("e")).collect()
+    assert len(at) == len(c) and all(at["low", x["exit_ts"]] == pytest.approx(x["e"]) for x in c)
+
+
+def test_configurations_that_fit_no_scale(spark):
+    t = spark.createDataFrame([("a", T0, 1, -1.0), ("a", T0 + timedelta(days=2), 2, -1.0)], "book string, exit_ts timestamp_ntz, seq long, r double")
+    d = spark.createDataFrame([("a", 2.0)], "book string, val_dd double")
+    got = portfolio.configurations(t, d, [("all", F.lit(True), True)], [50.0], T0, 0.01, 5.0)
+    assert got.collect() == [] and got.columns == ["config", "scale", "max_dd_pct", "end_equity", "best", "median", "chosen"]

@@ -118,6 +118,17 @@ def running(df: DataFrame, value: Column, by: list[str], order: list[str], at: C
     return out.drop("_at", "_x", "_s", "_p", "_base", "_top", *keys)
 
 
+def running_many(df: DataFrame, values: dict[str, Column], by: list[str], order: list[str], at: Column) -> tuple[DataFrame, list[str]]:
+    """df with _at, and for each name the running sum s_name of its value within the slice
+    and the highest p_name so far; and the columns that, with _at, name a slice. Many
+    curves over the same rows are columns here, so rows are sorted once and never copied."""
+    t, keys = _keyed(df, by, at)
+    w = Window.partitionBy(*keys, "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumns({f"x_{n}": v for n, v in values.items()})
+    t = t.withColumns({f"s_{n}": F.sum(f"x_{n}").over(w) for n in values}).withColumns({f"p_{n}": F.max(f"s_{n}").over(w) for n in values})
+    return t.drop(*[f"x_{n}" for n in values]), keys
+
+
 def latest(df: DataFrame, name: str, value: str, by: list[str], order: list[Column], at: Column, forward: bool = False) -> DataFrame:
     """df with `name`: the last value that is not null in `order`, the row's own
     included; forward, in an order that runs back in time, the next one."""

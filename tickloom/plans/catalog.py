@@ -839,10 +839,12 @@ def artefact_expanding(spark, sf):
 @query
 def best_risk(spark, sf):
     """Each book at five risks: drawdown and median window, the best that fits."""
-    risks = F.explode(F.array(*[F.lit(k) for k in (0.0005, 0.001, 0.002, 0.004, 0.008)]))
-    t = views.trades(spark, sf).select("book", "exit_ts", "seq", "r", risks.alias("risk"))
+    levels = (0.0005, 0.001, 0.002, 0.004, 0.008)
+    t = views.trades(spark, sf).select("book", "exit_ts", "seq", "r")
     by = ["book", "risk"]
-    dd = portfolio.compounded_curve(t, by, F.col("risk")).groupBy(*by).agg(F.max("dd_pct").alias("max_dd_pct"))
+    risk = F.create_map(*[x for i, k in enumerate(levels) for x in (F.lit(f"a{i}"), F.lit(k))])
+    dd = portfolio.compounded_ends(t, ["book"], {f"a{i}": F.lit(k) for i, k in enumerate(levels)}).select("book", risk[F.col("name")].alias("risk"), "max_dd_pct")
+    t = t.withColumn("risk", F.explode(F.array(*[F.lit(k) for k in levels])))
     med = portfolio.best_and_median(portfolio.rolling_returns(t, by, datetime(1996, 1, 1), datetime(2000, 1, 1), F.col("risk")), by)
     return r6(research.best_fitting(dd.join(med.select(*by, "median"), by), "book", 8.0), "max_dd_pct", "median")
 
