@@ -276,3 +276,14 @@ def test_runs_of_long_texts_and_nothing(spark, odd):
     assert by[16]["runs"] == [] and by[18]["runs"] == [] and [tuple(x) for x in by[17]["runs"]] == [(0, 6, 1)] and by[17]["kept"] == "w"
     assert [f.name for f in runs.periodic_runs(odd).schema][-2:] == ["runs", "kept"]
     assert runs.digest(odd.where("doc_id < -99")).collect() == []
+
+
+def test_rows_of_segments_carry_no_text_hash_unless_needed(spark):
+    """The hash of the text is there only to tell rows of one doc_id apart."""
+    text = "a passage of more than fifty bytes that stands in both of the documents"
+    one = spark.createDataFrame([(1, text), (2, "so " + text), (None, text), (None, text)], "doc_id long, text string")
+    two = one.unionByName(spark.createDataFrame([(2, text + "!")], "doc_id long, text string"))
+    assert {r["th"] for r in suffixes.repeated_spans(one).collect()} == {0}
+    assert len({r["th"] for r in suffixes.repeated_spans(two).collect()} - {0}) == 2
+    done = suffixes.remove_repeats(two).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in done if r["doc_id"]) == [(1, text.encode()), (2, b"!"), (2, b"so ")]
