@@ -562,3 +562,37 @@ def test_replay_of_two_quotes_in_one_instant(spark):
         df = spark.createDataFrame(q, "symbol string, ts timestamp_ntz, seq long, bid decimal(18,8), ask decimal(18,8), side string, stop decimal(18,8), target decimal(18,8), volume decimal(18,8)")
         got = ticks.replay_table(df, ticks.Venue(contract=Decimal(100))).collect()
         assert [float(r["entry_price"]) for r in got] == [entry] and got[0]["exit_reason"] == "closed_sl"
+
+
+def test_replay_reads_no_further_than_an_arrival():
+    """A replay is a stream: when a trade comes about, only the quotes within the latency
+    have been read, and those passed are gone."""
+    read = []
+
+    def quotes():
+        for k in range(60_000):
+            read.append(k)
+            yield datetime(2024, 1, 1) + timedelta(seconds=k), Decimal(100 + k % 4), Decimal(101 + k % 4)
+
+    venue = ticks.Venue(contract=Decimal(100), latency=timedelta(seconds=5))
+    got = ticks.events(quotes(), lambda now, b, a: ticks.Order("buy", Decimal(50), Decimal(103), Decimal(1)), venue)
+    assert next(got)[0]["exit_reason"] == "closed_tp" and len(read) < 30
+    ahead = ticks._Ahead(quotes())
+    held = max(len(ahead.held) for q in iter(ahead.step, None) if ahead.arrival(q[0] + venue.latency) or True)
+    assert len(read) > 60_000 and held < 5000
+
+
+def test_replay_by_symbol_is_a_sorted_stream(spark):
+    """Symbols in one task, rows in no order, empty ones among them, as one symbol at a time."""
+    rows = [(s, datetime(2024, 1, 1) + timedelta(minutes=k), k, Decimal(100 + (k * 7) % 13), Decimal(101 + (k * 7) % 13), "buy" if k % 3 == 0 else None, Decimal(99) if k % 3 == 0 else None, Decimal(108) if k % 3 == 0 else None, Decimal("0.1") if k % 6 else Decimal("0.001")) for s, n in (("a", 200), ("b", 1), ("c", 77)) for k in range(n)]
+    df = spark.createDataFrame(rows[::-1], "symbol string, ts timestamp_ntz, seq long, bid decimal(18,8), ask decimal(18,8), side string, stop decimal(18,8), target decimal(18,8), volume decimal(18,8)").coalesce(1)
+    venue = ticks.Venue(contract=Decimal(100))
+    got = ticks.replay_table(df, venue)
+    assert "FlatMapGroupsInPandas" not in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    want = {}
+    for s in "abc":
+        mine = iter([r for r in rows if r[0] == s])
+        want[s] = ticks.replay([(r[1], r[3], r[4]) for r in rows if r[0] == s], lambda now, b, a: ticks.Order(*r[5:]) if (r := next(mine))[5] else None, venue)
+    assert sorted((r["symbol"], r["n"], r["entry_ts"], r["exit_ts"], r["exit_price"]) for r in got.collect()) == sorted((s, k, t["entry_ts"], t["exit_ts"], t["exit_price"]) for s, o in want.items() for k, t in enumerate(o.trades))
+    counts = {r["symbol"]: (r["trades"], r["below_least"]) for r in ticks.replay_counters(df, venue).collect()}
+    assert counts == {s: (len(o.trades), o.refused.count("below least volume")) for s, o in want.items()} and counts["a"][0] > 3 and counts["a"][1] > 3
