@@ -596,3 +596,19 @@ def test_replay_by_symbol_is_a_sorted_stream(spark):
     assert sorted((r["symbol"], r["n"], r["entry_ts"], r["exit_ts"], r["exit_price"]) for r in got.collect()) == sorted((s, k, t["entry_ts"], t["exit_ts"], t["exit_price"]) for s, o in want.items() for k, t in enumerate(o.trades))
     counts = {r["symbol"]: (r["trades"], r["below_least"]) for r in ticks.replay_counters(df, venue).collect()}
     assert counts == {s: (len(o.trades), o.refused.count("below least volume")) for s, o in want.items()} and counts["a"][0] > 3 and counts["a"][1] > 3
+
+
+def test_chain_over_ranges(spark):
+    """A chain of many ranges, each a task of its own, is the chain of one writer."""
+    import hashlib
+
+    rows = [(k * 3 - 500, f"body {k}") for k in range(700)]
+    df = spark.createDataFrame(rows[::-1], "pos long, body string").repartition(5)
+    want, last = [], ledger.GENESIS
+    for pos, body in rows:
+        want.append((pos, body, last, last := hashlib.sha256(f"{body}|{last}".encode()).hexdigest()))
+    for span in (50, 10_000):
+        got = ledger.chained(df, span)
+        assert len({f.split("_range=")[1].split("/")[0] for f in got.inputFiles()}) == (14 if span == 50 else 1)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert ledger.chained(df.where("pos > 9999")).collect() == []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import stats
+from tickloom.session import scratch
 
 GENESIS = "0" * 64
 FIELDS = ("candidate", "params", "strategy", "symbol", "timeframe", "selection_criterion", "fill_mode", "feature_version", "sr_periodic", "n_observations", "recorded_at")
@@ -89,22 +90,40 @@ def with_hash_before(records: DataFrame, name: str, span: int = 4096) -> DataFra
     return t.withColumn(name, F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_lag"))).drop("_range", "_at", "_end", "_lag", "_first")
 
 
-def chained(records: DataFrame) -> DataFrame:
+def chained(records: DataFrame, span: int = 1 << 19) -> DataFrame:
     """records (pos, body) with prev_hash and record_hash, each hash over the body and
-    the hash before it. A chain has one writer: the rows pass one sorted stream, a
-    batch at a time; only its check is parallel."""
-
+    the hash before it. A chain has one writer, so records are dealt into ranges of pos of
+    some `span` rows, and a range is hashed once the one before it is: a task holds one
+    range, and one hash passes from each to the next. Written to the shared folder."""
+    spark = records.sparkSession
+    t = records.select(F.col("pos").cast("long").alias("pos"), "body")
+    ranges = max(1, -(-t.count() // span))
+    dealt, done, last = scratch(spark, "chain_ranges"), scratch(spark, "chain"), GENESIS
+    t.repartitionByRange(ranges, "pos").withColumn("_range", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("_range").parquet(dealt)
+    t = spark.read.schema("pos long, body string, _range int").parquet(dealt)
+    for k in range(ranges):
+        own = t.where(F.col("_range") == k).select("pos", "body").repartition(1).sortWithinPartitions("pos").mapInArrow(_hashed(last), CHAINED)
+        own.write.option("compression", "zstd").parquet(f"{done}/_range={k}")
+        last = spark.read.schema(CHAINED).parquet(f"{done}/_range={k}").agg(F.max_by("record_hash", "nth")).first()[0] or last
+    return spark.read.schema(CHAINED).parquet(done).select("pos", "body", "prev_hash", "record_hash")
+
+
+CHAINED = "pos long, body string, prev_hash string, record_hash string, nth long"
+
+
+def _hashed(last: str):
     def write(batches):
-        last = GENESIS
+        prev, n = last, 0
         for batch in batches:
             before, own = [], []
             for body in batch.column("body").to_pylist():
-                before.append(last)
-                last = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
-                own.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(own)], ["pos", "body", "prev_hash", "record_hash"])
+                before.append(prev)
+                prev = hashlib.sha256(f"{body}|{prev}".encode()).hexdigest()
+                own.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string()), pa.array(range(n, n + len(own)), pa.int64())], [c.split()[0] for c in CHAINED.split(", ")])
+            n += len(own)
 
-    return records.select(F.col("pos").cast("long").alias("pos"), "body").repartition(1).sortWithinPartitions("pos").mapInArrow(write, "pos long, body string, prev_hash string, record_hash string")
+    return write
 
 
 def broken_links(records: DataFrame, text: Column | None = None) -> DataFrame:
