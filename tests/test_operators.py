@@ -612,3 +612,35 @@ def test_chain_over_ranges(spark):
         assert len({f.split("_range=")[1].split("/")[0] for f in got.inputFiles()}) == (14 if span == 50 else 1)
         assert sorted(tuple(r) for r in got.collect()) == want
     assert ledger.chained(df.where("pos > 9999")).collect() == []
+
+
+def test_quantiles_and_draws_are_places_in_counts(spark, monkeypatch):
+    """Every level's quantiles and draws equal those of sorted lists, without the episodes
+    being ranked row by row."""
+    import hashlib
+    import math
+
+    monkeypatch.setattr(costs, "ranked", None)
+    r = np.random.default_rng(6)
+    rows = [("a" if k % 3 else "b", ("x", "y", "z")[k % 7 % 3], "normal", False, int(r.integers(0, 7)), k, float(r.choice([r.random() * 3, 1.0, 1.0 + 1e-12, 2.5]))) for k in range(900)]
+    keys = "symbol string, session string, volatility string, news boolean, weekday int"
+    e = spark.createDataFrame(rows, keys + ", seq long, pips double")
+    cells = spark.createDataFrame([(s, x, v, n, d) for s in "abc" for x in "xw" for v in ("normal", "high") for n in (False, True) for d in (0, 6, 9)], keys)
+
+    def pool(c):
+        for i, (of, name) in enumerate(zip((5, 3, 2, 1), ["+".join(k) for k in costs.LEVELS])):
+            got = sorted(x[6] for x in rows if x[:of] == c[:of])
+            if len(got) >= 8:
+                return got, name
+        return None, "global_bound"
+
+    for q in (0.95, 0.5, 0.001, 1.0):
+        for x in costs.lookup(cells, e, q, 77.0).collect():
+            got, name = pool(tuple(x)[:5])
+            assert (x["value"], x["episodes"], x["level"]) == ((got[max(math.ceil(q * len(got)), 1) - 1], len(got), name) if got else (77.0, 0, name))
+    drawn = costs.draw(cells, e, 3, 4).collect()
+    assert len(drawn) == 4 * sum(pool(tuple(c))[0] is not None for c in cells.collect())
+    for x in drawn:
+        got, name = pool(tuple(x)[:5])
+        text = "|".join(["3", x["symbol"], x["session"], x["volatility"], str(x["news"]).lower(), str(x["weekday"]), str(x["draw"])])
+        assert (x["pips"], x["level"], x["episodes"]) == (got[int(hashlib.md5(text.encode()).hexdigest()[:12], 16) % len(got)], name, len(got))

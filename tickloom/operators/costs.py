@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.sessions import SESSIONS, session_bucket
@@ -40,14 +40,34 @@ def nearest_rank(x: str, q: float):
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})")
 
 
-def level_quantiles(episodes: DataFrame, q: float, least: int = 8) -> DataFrame:
-    """Quantile and count of every fallback level with enough episodes, from one
-    pass over grouping sets: level 0 is exact, 3 the symbol."""
-    sets = ", ".join(f"({', '.join(s)})" for s in LEVELS)
-    keys = ", ".join(LEVELS[0])
-    depth = "CASE grouping_id(symbol, session, volatility, news, weekday) WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 3 END"
-    sql = f"SELECT {keys}, {depth} AS level, percentile_disc({q}) WITHIN GROUP (ORDER BY pips) AS value, count(*) AS episodes FROM {{e}} GROUP BY GROUPING SETS ({sets}) HAVING count(*) >= {least}"
-    return episodes.sparkSession.sql(sql, e=episodes)
+def levelled(episodes: DataFrame) -> DataFrame:
+    """Episodes of equal spread of every fallback level as one row: level, the exact key's
+    columns (those that the level leaves out hold a constant), pips and their number _c.
+    Staged, as quantiles and draws read it several times; a quantile or draw is a place in
+    these counts, so episodes are read once and never sorted."""
+    exact = episodes.groupBy(*LEVELS[0], "pips").agg(F.count(F.lit(1)).alias("_c"))
+    each = F.explode(F.array(*[F.struct(*_at_level(i)) for i in range(len(LEVELS))])).alias("_l")
+    return staged(exact.select(each, "pips", "_c").select("_l.*", "pips", "_c").groupBy(*BY, "pips").agg(F.sum("_c").alias("_c")), "levelled")
+
+
+BY = ["level", *LEVELS[0]]
+
+
+def _at_level(i: int) -> list[Column]:
+    none = {"symbol": "", "session": "", "volatility": "", "news": False, "weekday": -1}
+    return [F.lit(i).alias("level"), *[(F.col(k) if k in LEVELS[i] else F.lit(none[k])).alias(k) for k in LEVELS[0]]]
+
+
+def at_ranks(wanted: DataFrame, values: DataFrame) -> DataFrame:
+    """wanted (.., level and key, _r) with pips: the spread in place _r, from 0, of the key's
+    episodes in order of spread. Only the slices of spreads that a place falls into are
+    looked through."""
+    v = values.withColumn("_at", F.floor(F.least("pips", F.lit(1e12)) / LEVEL).cast("long"))
+    so_far = lambda by, order: F.sum("_c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    slices = v.groupBy(*BY, "_at").agg(F.sum("_c").alias("_c")).withColumn("_to", so_far(BY, "_at")).withColumn("_from", F.col("_to") - F.col("_c")).drop("_c")
+    t = wanted.join(slices, BY).where("_r >= _from AND _r < _to").withColumn("_r", F.col("_r") - F.col("_from")).drop("_from", "_to")
+    inside = v.join(t.select(*BY, "_at").distinct(), [*BY, "_at"]).withColumn("_to", so_far([*BY, "_at"], "pips")).withColumn("_from", F.col("_to") - F.col("_c")).drop("_c")
+    return t.join(inside, [*BY, "_at"]).where("_r >= _from AND _r < _to").drop("_r", "_at", "_from", "_to")
 
 
 def lookup(cells: DataFrame, episodes: DataFrame, q: float, bound: float, least: int = 8) -> DataFrame:
@@ -57,10 +77,17 @@ def lookup(cells: DataFrame, episodes: DataFrame, q: float, bound: float, least:
     Level tables hold one row a key combination, so each join's right side is
     small against the episodes it sums up; Spark checks its size itself.
     """
-    levels = level_quantiles(episodes, q, least)
+    return _looked_up(cells, levelled(episodes), q, bound, least)
+
+
+def _looked_up(cells: DataFrame, values: DataFrame, q: float, bound: float, least: int) -> DataFrame:
+    counts = values.groupBy(*BY).agg(F.sum("_c").alias("_n")).where(F.col("_n") >= least)
+    # The smallest value whose rank reaches q of the count.
+    place = F.greatest(F.ceil(F.lit(float(q)) * F.col("_n")), F.lit(1)) - 1
+    levels = staged(at_ranks(counts.withColumn("_r", place), values), "quantiles")
     out = cells
     for i, keys in enumerate(LEVELS):
-        side = levels.where(F.col("level") == i).select(*keys, F.col("value").alias(f"_v{i}"), F.col("episodes").alias(f"_n{i}"))
+        side = levels.where(F.col("level") == i).select(*keys, F.col("pips").alias(f"_v{i}"), F.col("_n").alias(f"_n{i}"))
         out = out.join(side, list(keys), "left")
     names = ["+".join(k) for k in LEVELS]
     value = F.coalesce(*[f"_v{i}" for i in range(4)], F.lit(bound))
@@ -84,16 +111,17 @@ def draw(cells: DataFrame, episodes: DataFrame, seed: int, draws: int = 1, least
     """Seeded draws for each cell, from the first fallback level that has enough
     episodes: the sample whose rank a hash of (seed, key, draw) names, with level and
     episodes as provenance. Cells that no level serves draw nothing."""
+    return _drawn(cells, levelled(episodes), seed, draws, least)
+
+
+def _drawn(cells: DataFrame, values: DataFrame, seed: int, draws: int, least: int) -> DataFrame:
     keys, names = list(LEVELS[0]), ["+".join(k) for k in LEVELS]
-    served = lookup(cells, episodes, 0.5, 0.0, least).where("level <> 'global_bound'").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    served = _looked_up(cells, values, 0.5, 0.0, least).where("level <> 'global_bound'").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"))
     want = served.withColumn("_r", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("episodes"))
-    out = None
-    for name, by in zip(names, LEVELS):
-        placed = ranked(episodes, list(by), "pips", "seq", LEVEL).select(*by, F.col("_pos").alias("_r"), "pips")
-        one = want.where(F.col("level") == name).join(placed, [*by, "_r"]).select(*keys, "draw", "pips", "level", "episodes")
-        out = one if out is None else out.unionByName(one)
-    return out
+    own = F.struct(*[F.col(k) for k in keys], "draw", "level", "episodes").alias("_own")
+    at = F.coalesce(*[F.when(F.col("level") == name, F.struct(*_at_level(i))) for i, name in enumerate(names)]).alias("_l")
+    return at_ranks(want.select(own, at, "_r").select("_own", "_l.*", "_r"), values).select(*[f"_own.{k}" for k in keys], "_own.draw", "pips", "_own.level", "_own.episodes")
 
 
 def draw_with_provenance(cells: DataFrame, episodes: DataFrame, seed: int, bound: float, kind: str = "entry", draws: int = 1, least: int = 8) -> DataFrame:
@@ -102,10 +130,10 @@ def draw_with_provenance(cells: DataFrame, episodes: DataFrame, seed: int, bound
     that is defensible, with no episodes and no quantile. For stop exits give the
     stressed quarter as episodes and kind stop_exit."""
     keys = list(LEVELS[0])
-    episodes = staged(episodes.select(*keys, "seq", "pips"), "episodes")  # eight reads follow
+    values = levelled(episodes)
     each = staged(cells.select(*keys).distinct(), "cells")
-    top = staged(lookup(each, episodes, 0.95, bound, least), "levels")
-    got = draw(each, episodes, seed, draws, least).join(top.where("level <> 'global_bound'").select(*keys, F.col("value").alias("q95")), keys)
+    top = staged(_looked_up(each, values, 0.95, bound, least), "levels")
+    got = _drawn(each, values, seed, draws, least).join(top.where("level <> 'global_bound'").select(*keys, F.col("value").alias("q95")), keys)
     none = top.where("level = 'global_bound'").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     none = none.select(*keys, "draw", F.lit(float(bound)).alias("pips"), "level", "episodes", F.lit(None).cast("double").alias("q95"))
     return got.unionByName(none).withColumn("kind", F.lit(kind))

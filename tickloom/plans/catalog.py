@@ -396,7 +396,7 @@ def spread_fallback(spark, sf):
 
 @query
 def spread_draws(spark, sf):
-    e = costs.entry_episodes(views.quotes(spark, sf), views.PIP, GAP)
+    e = staged(costs.entry_episodes(views.quotes(spark, sf), views.PIP, GAP), "episodes")
     return r6(costs.draw(e.select(*costs.LEVELS[0]).distinct(), e, 7, 2), "pips")
 
 
