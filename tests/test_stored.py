@@ -219,3 +219,20 @@ def test_promotion_of_quotes_at_zero(spark, tmp_path):
     got = catalog.QUERIES["promoted_tables"](spark, str(tmp_path)).collect()
     assert sum(r["ticks"] for r in got) == e.count() and len(got) == 5
     assert all(r["refused"] and r["crossed"] == e.where("event_id % 97 = 0").count() for r in got)
+
+
+def test_digests_are_made_where_files_are_listed(spark, tmp_path):
+    """Files at any depth, empty ones too, without hidden ones; the driver lists no folder
+    but the topmost."""
+    import hashlib
+
+    from tickloom.sources import tables
+
+    root = tmp_path / "files"
+    some = {"top.txt": b"top", "000/1.txt": b"one", "000/deep/2.txt": b"two" * 700_000, "001/3.txt": b"", "001/.3.txt.crc": b"?", "_gone/4.txt": b"?", "002/_5.txt": b"?"}
+    for name, content in some.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    df = tables.file_digests(spark, str(root))
+    assert "FileScan" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple") and "BatchScan" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert sorted(tuple(r) for r in df.collect()) == sorted((n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in some.items() if n in ("top.txt", "000/1.txt", "000/deep/2.txt", "001/3.txt"))

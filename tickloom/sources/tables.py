@@ -8,9 +8,14 @@ beside the files' own digests.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +62,39 @@ def content_hash(df: DataFrame) -> str:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """Name, length and SHA-256 of every file below path, but hidden ones (names that begin
+    with a dot or an underscore). The driver names what lies in path itself; tasks list
+    the folders and read the files."""
+    store, root = fs.FileSystem.from_uri(path)
+    top = [(f.path, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(root)) if f.base_name[:1] not in "._"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = fs.FileSystem.from_uri(path)
+
+        def files(folder: str) -> Iterator[str]:
+            for f in own.get_file_info(fs.FileSelector(folder)):
+                if f.base_name[:1] not in "._":
+                    if f.type == fs.FileType.Directory:
+                        yield from files(f.path)
+                    else:
+                        yield f.path
+
+        def digest(name: str) -> tuple[str, int, str]:
+            sha, n = hashlib.sha256(), 0
+            with own.open_input_stream(name) as f:
+                while piece := f.read(1 << 20):
+                    sha.update(piece)
+                    n += len(piece)
+            return name.rsplit("/", 1)[1], n, sha.hexdigest()
+
+        for b in batches:
+            for name, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist()):
+                every = map(digest, files(name) if folder else [name])
+                while rows := list(itertools.islice(every, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], ["file", "length", "sha256"])
+
+    dealt = spark.createDataFrame(top, "path string, folder boolean").repartition(max(1, min(len(top), 1000)))
+    return dealt.mapInArrow(run, "file string, length long, sha256 string")
 
 
 def manifest(cleaned: DataFrame, source: str, timeframe: str, report: list[dict], commit: str | None = None) -> dict:
