@@ -236,3 +236,56 @@ def test_digests_are_made_where_files_are_listed(spark, tmp_path):
     df = tables.file_digests(spark, str(root))
     assert "FileScan" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple") and "BatchScan" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert sorted(tuple(r) for r in df.collect()) == sorted((n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in some.items() if n in ("top.txt", "000/1.txt", "000/deep/2.txt", "001/3.txt"))
+
+
+class _State:
+    """A value or a list of a processor's state, kept here."""
+
+    def __init__(self):
+        self.x, self.put, self.clear = None, lambda v: setattr(self, "x", v), lambda: setattr(self, "x", None)
+        self.update, self.get, self.exists = self.put, lambda: self.x, lambda: self.x is not None
+
+
+class _Handle:
+    def __init__(self):
+        self.getValueState = self.getListState = lambda name, schema: _State()
+
+
+def test_gap_flags_go_out_in_lots(monkeypatch):
+    """Rows of one symbol in any order of arrival, put in order and given in lots."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(polling, "LOT", 7)
+    r = np.random.default_rng(2)
+    p = polling._HighWater()
+    p.init(_Handle())
+    top = None
+    for batch in range(3):
+        rows = [(f"{batch}/{k // 10:03d}", k % 10, "A", pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(int(r.integers(0, 500)) + 200 * batch, "s"), float(k), 2.0, 3.0, 4.0) for k in range(60)]
+        t = pd.DataFrame([rows[i] for i in r.permutation(60)], columns=[c.split()[0] for c in polling.POLL.split(", ")])
+        out = list(p.handleInputRows(("A",), iter([t[:25], t[25:]]), None))
+        assert max(map(len, out)) == 7 and list(out[0].columns) == [c.split()[0] for c in polling.FLAGGED.split(", ")]
+        want = []
+        for row in rows:
+            want.append((*row, top is not None and row[3] < top))
+            top = row[3] if top is None else max(top, row[3])
+        assert [tuple(x) for x in pd.concat(out).itertuples(index=False)] == want
+
+
+def test_waiting_events_are_packed(monkeypatch):
+    """Events that wait for the watermark are kept as numbers in lots, and counted as before."""
+    import numpy as np
+
+    monkeypatch.setattr(outages, "LOT", 5)
+    r = np.random.default_rng(4)
+    w = outages._Watch(1000)
+    w.init(_Handle())
+    seen = []
+    for mark in (-1, 3_000, 3_500, 9_000):
+        fresh = [(int(us) * 1000, int(kind)) for us, kind in zip(r.integers(0, 9_000, 30), r.random(30) < 0.8)]
+        fresh = [e for e in fresh if mark < 0 or e[0] > mark * 1000]
+        seen += fresh
+        got = w._settle([np.array([us * 2 + kind for us, kind in fresh], np.int64)], mark)
+        assert got == outages._pass((0, outages._NONE, outages._NONE, 0, 0, 0, 0), sorted(seen), 1000)
+        assert all(len(x[0]) <= 5 * 8 for x in w.waiting.get() or [])

@@ -13,8 +13,9 @@ counts what still waits as well: the last one of a symbol is its whole result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,17 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 OUTAGES = "symbol string, events long, windows long, downtime_ms long, silences long, silent_ms long, down_since timestamp"
 _NONE = -(1 << 62)
+LOT = 1 << 16  # events of a record of the state
 
 
-def _pass(state: tuple, events: list[tuple[int, int]], silence: int | None) -> tuple:
+def _events(packed: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(us, kind) of events kept as 2 us + kind, a lot at a time."""
+    for i in range(0, len(packed), LOT):
+        x = packed[i : i + LOT]
+        yield from zip((x >> 1).tolist(), (x & 1).tolist())
+
+
+def _pass(state: tuple, events: Iterable[tuple[int, int]], silence: int | None) -> tuple:
     """The state after events (us, kind) in order, starts (0) before quotes (1)."""
     seen, opened, last, windows, down, silences, silent = state
     for us, kind in events:
@@ -47,20 +56,20 @@ class _Watch(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.done = handle.getValueState("done", "seen long, opened long, last long, windows long, down long, silences long, silent long")
-        self.waiting = handle.getListState("waiting", "us long, kind long")
+        self.waiting = handle.getListState("packed", "events binary")
 
-    def _settle(self, fresh: list[tuple[int, int]], watermark_ms: int) -> tuple:
+    def _settle(self, fresh: list[np.ndarray], watermark_ms: int) -> tuple:
         """Take what the watermark has passed; the state with the rest counted too."""
         state = tuple(self.done.get()) if self.done.exists() else (0, _NONE, _NONE, 0, 0, 0, 0)
-        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        every = sorted([*held, *fresh])
-        past = [e for e in every if e[0] <= watermark_ms * 1000]
-        rest = every[len(past) :]
-        if past:
-            state = _pass(state, past, self.silence)
+        held = [np.frombuffer(x[0], np.int64) for x in self.waiting.get()] if self.waiting.exists() else []
+        every = np.sort(np.concatenate([np.zeros(0, np.int64), *held, *fresh]))
+        n = int(np.searchsorted(every >> 1, watermark_ms * 1000, "right"))
+        past, rest = every[:n], every[n:]
+        if n:
+            state = _pass(state, _events(past), self.silence)
             self.done.update(state)
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        return _pass(state, rest, self.silence)
+        self.waiting.put([(rest[i : i + LOT].tobytes(),) for i in range(0, len(rest), LOT)]) if len(rest) else self.waiting.clear()
+        return _pass(state, _events(rest), self.silence)
 
     def _row(self, key, state: tuple, since: int | None) -> pd.DataFrame:
         seen, opened, _, windows, down, silences, silent = state
@@ -72,7 +81,7 @@ class _Watch(StatefulProcessor):
         got = []
         for t in rows:
             ts = t["ts"].dt.tz_localize(None) if t["ts"].dt.tz is not None else t["ts"]
-            got += list(zip(ts.astype("datetime64[us]").astype("int64").tolist(), (~t["start"].astype(bool)).astype(int).tolist()))
+            got.append(ts.astype("datetime64[us]").astype("int64").to_numpy() * 2 + ~t["start"].to_numpy(bool))
         mark = timerValues.getCurrentWatermarkInMs()
         state = self._settle(got, mark)
         for old in list(self.handle.listTimers()):

@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.json as pj
@@ -124,6 +125,8 @@ def stateful(spark: SparkSession, partitions: int = 8):
 # ---------------------------------------------------------------- gap flags
 
 FLAGGED = POLL + ", sequence_gap boolean"
+LOT = 1 << 16  # rows of an output batch
+_NUMBERS = ("bid", "ask", "bid_volume", "ask_volume")
 
 
 class _HighWater(StatefulProcessor):
@@ -133,14 +136,30 @@ class _HighWater(StatefulProcessor):
         self.mark = handle.getValueState("mark", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        t = pd.concat(list(rows)).sort_values(["poll", "place"], kind="stable")
-        us = t["ts"].astype("datetime64[us, UTC]" if t["ts"].dt.tz is not None else "datetime64[us]").astype("int64")
-        mark = self.mark.get()[0] if self.mark.exists() else None
-        seen = us.cummax().shift(1)
-        if mark is not None:
-            seen = seen.fillna(mark).clip(lower=mark)
-        self.mark.update((int(us.max() if mark is None else max(us.max(), mark)),))
-        yield t.assign(sequence_gap=(us < seen).to_numpy())[[c.split()[0] for c in FLAGGED.split(", ")]]
+        # Numbers alone wait for each other, and go out in lots.
+        names, parts, kind = {}, [], None
+        for t in rows:
+            kind = t["ts"].dtype
+            us = t["ts"].astype("datetime64[us, UTC]" if t["ts"].dt.tz is not None else "datetime64[us]").astype("int64").to_numpy()
+            code = np.fromiter((names.setdefault(x, len(names)) for x in t["poll"]), np.int32, len(t))
+            parts.append((code, t["place"].to_numpy(np.int64), us, *(t[c].to_numpy(np.float64) for c in _NUMBERS)))
+        if not parts:
+            return
+        code, place, us, *numbers = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        polls = np.array(list(names), object)
+        rank = np.empty(len(polls), np.int32)
+        rank[sorted(range(len(polls)), key=lambda i: polls[i])] = np.arange(len(polls), dtype=np.int32)
+        order = np.lexsort((place, rank[code]))
+        mark = self.mark.get()[0] if self.mark.exists() else np.iinfo(np.int64).min
+        high = np.maximum(np.maximum.accumulate(us[order]), mark)
+        gap = us[order] < np.append(mark, high[:-1])
+        self.mark.update((int(high[-1]),))
+        for i in range(0, len(order), LOT):
+            at = order[i : i + LOT]
+            ts = pd.Series(us[at].view("datetime64[us]"))
+            ts = ts if getattr(kind, "tz", None) is None else ts.dt.tz_localize("UTC").dt.tz_convert(kind.tz)
+            yield pd.DataFrame({"poll": polls[code[at]], "place": place[at], "symbol": key[0], "ts": ts, **{c: x[at] for c, x in zip(_NUMBERS, numbers)}, "sequence_gap": gap[i : i + LOT]})
 
     def close(self) -> None:
         pass
