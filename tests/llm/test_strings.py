@@ -62,6 +62,16 @@ def test_suffix_arrays_and_prefixes():
     assert suffixes.suffix_array(np.zeros(0, np.uint8)).tolist() == []
 
 
+def test_substrings_that_end_where_a_key_of_symbols_ends():
+    r = np.random.default_rng(3)
+    for stem in (b"acdefgh", b"acdefghijklmnop"):  # with the b, one key and two keys of eight
+        ends = [stem + x for x in (b"bc", b"ba", b"bba", b"bbba")]
+        for _ in range(40):
+            b = b"".join(ends[i] for i in r.integers(0, 4, 12)) + b"\0"
+            order = suffixes.suffix_array(np.frombuffer(b, np.uint8))
+            assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
 def test_smallest_owner_of_windows():
     r = np.random.default_rng(2)
     for _ in range(200):
