@@ -37,6 +37,8 @@ SECRET = len(KINDS)  # the model's own kind
 BLOCK = 32
 WINDOW = 8 * BLOCK
 PIECE, SEAM = 1 << 16, 512
+LOT = 2 * PIECE  # characters tagged at once
+STRETCHES = 1 << 18  # characters of stretches that wait to be decoded together
 MARGIN, REACH = 0.5, 1
 HIDDEN, EMBED, CHARS = 12, 12, 100
 TAGS = 1 + 2 * (len(KINDS) + 1)  # outside, then begin and inside of each kind
@@ -44,6 +46,7 @@ TAGS = 1 + 2 * (len(KINDS) + 1)  # outside, then begin and inside of each kind
 # The base patterns; the look-behind and possessive quantifiers only spare
 # retries that could not succeed.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9][0-9.\x20-]{6,}")  # all that an ip or card may stand in
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -74,14 +77,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             at = text.find("@", last)
         else:
             at = text.find("@", at + 1)
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 and (len(p) < 5 or not p[:-4].strip("0")) for p in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() < 60:
-            digits = re.sub("[^0-9]", "", m[0])
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+    for run in _NUMBERS.finditer(text):
+        for m in _IP.finditer(text, *run.span()):
+            if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 and (len(p) < 5 or not p[:-4].strip("0")) for p in m[0].split(".")):
+                out.append((m.start(), 1, m.end()))
+        for m in _CARD.finditer(text, *run.span()):
+            if m.end() - m.start() < 60:
+                digits = re.sub("[^0-9]", "", m[0])
+                if 12 <= len(digits) <= 19 and luhn(digits):
+                    out.append((m.start(), 2, m.end()))
     for m in _PHONE.finditer(text):
         if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append((m.start(), 3, m.end()))
@@ -94,11 +98,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def char_ids(codes: np.ndarray) -> np.ndarray:
     """0 pads; ASCII from space on 1-95, line feed 96, other control 97, other
     Latin 98, all else 99."""
-    x = np.where((codes >= 32) & (codes < 127), codes.astype(np.int64) - 31, 99)
-    x[codes == 10] = 96
-    x[(codes < 32) & (codes != 10)] = 97
-    x[(codes >= 0xC0) & (codes < 0x250)] = 98
-    return x
+    return _IDS[np.minimum(codes, len(_IDS) - 1)]
+
+
+_IDS = np.full(0x251, 99, np.int16)
+_IDS[:32], _IDS[32:127], _IDS[0xC0:0x250] = 97, np.arange(1, 96), 98
+_IDS[10] = 96
 
 
 def _sig(x):
@@ -153,6 +158,14 @@ def _lse(x, axis):
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
+def _space(room: dict, name: str, *shape: int) -> np.ndarray:
+    """An array of any content, in memory that the room keeps from call to call."""
+    size = int(np.prod(shape))
+    if name not in room or len(room[name]) < size:
+        room[name] = np.empty(size, np.float32)
+    return room[name][:size].reshape(shape)
+
+
 class Tagger:
     """Embedding, two LSTMs, a linear layer and CRF transitions."""
 
@@ -205,51 +218,66 @@ class Tagger:
         np.add.at(g["emb"], ids.T, dxf + dxb[::-1])
         return float((z.sum() - path) / n), g
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
+    def emissions(self, ids: np.ndarray, room: dict | None = None) -> np.ndarray:
         """scores() without a trace, [time, tags, rows]: rows innermost, one product a
-        step over embedding, state and a 1 for the bias, gates as (1 + tanh(x / 2)) / 2."""
+        step over embedding, state and a 1 for the bias, gates as (1 + tanh(x / 2)) / 2.
+        States are kept doubled, and the weights that meet them halved. The result lies in
+        the room, if one is given."""
+        room = {} if room is None else room
         p, n, e = self.p, HIDDEN, EMBED
         half = np.full(4 * n, 0.5, np.float32)
         half[3 * n :] = 1
-        ids = np.ascontiguousarray(ids.T)
+        ids = np.ascontiguousarray(ids.T, np.intp)
         t, rows = ids.shape
-        states = np.empty((t, 2 * n, rows), np.float32)
+        states = _space(room, "states", t, 2 * n, rows)
         letters = np.ascontiguousarray(p["emb"].T)
+        given = _space(room, "given", t, e, rows)
         feed = np.empty((e + n + 1, rows), np.float32)
         z, u = np.empty((4 * n, rows), np.float32), np.empty((n, rows), np.float32)
+        inputs, h, two, z_in, z_old, z_out, z_new = feed[:e], feed[e:-1], z[: 3 * n], z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[3 * n :]
+        for k in range(t):
+            np.take(letters, ids[k], axis=1, out=given[k], mode="clip")
         for part, (w, b, order) in enumerate((("wf", "bf", range(t)), ("wb", "bb", range(t - 1, -1, -1)))):
-            weights = np.ascontiguousarray((np.vstack([p[w], p[b]]) * half).T)
+            stacked = np.vstack([p[w], p[b]]) * half
+            stacked[e:-1] *= np.float32(0.5)
+            weights = np.ascontiguousarray(stacked.T)
             feed[e:-1], feed[-1] = 0, 1
-            h, c = feed[e:-1], np.zeros((n, rows), np.float32)
+            c = np.zeros((n, rows), np.float32)
             for k in order:
-                np.take(letters, ids[k], axis=1, out=feed[:e], mode="clip")
+                inputs[...] = given[k]
                 np.matmul(weights, feed, out=z)
                 np.tanh(z, out=z)
-                z[: 3 * n] += 1  # twice the gates
-                np.multiply(z[:n], z[3 * n :], out=u)
-                c *= z[n : 2 * n]
-                c += u
-                c *= 0.5
-                np.tanh(c, out=h)
-                h *= z[2 * n : 3 * n]
-                h *= 0.5
+                np.add(two, 1, out=two)  # twice the gates
+                np.multiply(z_in, z_new, out=u)
+                np.multiply(c, z_old, out=c)
+                np.add(c, u, out=c)
+                np.multiply(c, 0.5, out=c)
+                np.tanh(c, out=u)
+                np.multiply(u, z_out, out=h)
                 states[k, part * n : part * n + n] = h
-        out = np.matmul(np.ascontiguousarray(p["wo"].T), states)
+        out = np.matmul(np.ascontiguousarray(p["wo"].T) * np.float32(0.5), states, out=_space(room, "out", t, TAGS, rows))
         out += p["bo"][:, None]
         return out
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
-        """Best tags [rows, time] of emission scores [time, rows, tags]."""
-        t, n, _ = em.shape
-        best, back = em[0], np.zeros((t, n, TAGS), np.int8)
+        """Best tags [rows, time] of emission scores [time, rows, tags]. Only scores are
+        kept on the way; where they came from is asked along the best path alone."""
+        em = np.ascontiguousarray(em.transpose(0, 2, 1))
+        t, _, n = em.shape
+        tr = self.p["tr"]
+        best = np.empty_like(em)
+        best[0] = em[0]
+        step = np.empty((TAGS, TAGS, n), em.dtype)
         for k in range(1, t):
-            step = best[:, :, None] + self.p["tr"]
-            back[k] = step.argmax(1)
-            best = step.max(1) + em[k]
+            np.add(best[k - 1][:, None], tr[:, :, None], out=step)
+            np.max(step, axis=0, out=best[k])
+            best[k] += em[k]
         out = np.empty((n, t), np.int8)
-        out[:, -1] = best.argmax(1)
+        tag = best[-1].argmax(0)
+        out[:, -1] = tag
         for k in range(t - 1, 0, -1):
-            out[:, k - 1] = back[k][np.arange(n), out[:, k]]
+            tag = (best[k - 1] + tr[:, tag]).argmax(0)
+            out[:, k - 1] = tag
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -418,10 +446,11 @@ def sound(kind: int, text: str) -> bool:
     return len(text) >= 16 and many > 0 and not re.search(r"\s", text)
 
 
-def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 800, room: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Emission scores of pieces of character ids, one after another in blocks
     [tags, block, BLOCK], averaged where windows overlap; and each piece's first
-    block."""
+    block. The scores lie in the room, if one is given."""
+    room = {} if room is None else room
     many = WINDOW // BLOCK
     count = np.array([max(1, -(-(len(x) - BLOCK) // (WINDOW - BLOCK))) for x in pieces], np.int64)
     first = np.concatenate(([0], np.cumsum((many - 1) * count + 1)))
@@ -429,10 +458,11 @@ def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 1024) ->
     for x, b in zip(pieces, first.tolist()):
         flat[b * BLOCK : b * BLOCK + len(x)] = x
     start = np.repeat(first[:-1], count) + (many - 1) * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    total = np.zeros((TAGS, int(first[-1]), BLOCK), np.float32)
-    for k in range(0, len(start), rows):
-        at = start[k : k + rows]
-        em = model.emissions(flat[at[:, None] * BLOCK + np.arange(WINDOW)]).transpose(1, 2, 0).reshape(TAGS, len(at), many, BLOCK)
+    windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::BLOCK]
+    total = _space(room, "total", TAGS, int(first[-1]), BLOCK)
+    total[...] = 0
+    for at in np.array_split(start, -(-len(start) // rows)):
+        em = model.emissions(windows[at], room).transpose(1, 2, 0).reshape(TAGS, len(at), many, BLOCK)
         for j in range(many):  # at most one window has a block as its j-th
             if j in (0, many - 1):
                 total[:, at + j] += em[:, :, j]
@@ -447,12 +477,21 @@ def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, in
     """(start, kind number, end) that the tagger finds in each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     pieces, owner = [], []
+    room: dict = {}
+    found: list[tuple] = []  # owner, place in its piece, and scores of each stretch
+
+    def decode():
+        for (i, off, low, high, size), at, spans in zip(*zip(*((o, at) for o, at, _ in found)), _decoded([em for _, _, em in found], model)):
+            out[i] += [(off + at + s, k, off + min(at + e, size)) for s, k, e in spans if low <= at + s < high]
+        found.clear()
 
     def flush():
-        for (i, off, low, high), spans in zip(owner, _piece_spans(pieces, model)):
-            out[i] += [(off + s, k, off + e) for s, k, e in spans if low <= s < high]
+        for piece, at, em in _stretches(pieces, model, room):
+            found.append((owner[piece], at, em))
         pieces.clear()
         owner.clear()
+        if sum(em.shape[1] for _, _, em in found) > STRETCHES:
+            decode()
 
     held = 0
     for i, text in enumerate(texts):
@@ -462,15 +501,17 @@ def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, in
             x = codes[off : off + PIECE]
             last = off + PIECE >= len(codes)
             pieces.append(x)
-            owner.append((i, off, SEAM // 2 if off else 0, len(x) if last else PIECE - SEAM // 2))
+            owner.append((i, off, SEAM // 2 if off else 0, len(x) if last else PIECE - SEAM // 2, len(x)))
             held += len(x)
-            if held >= 4 * PIECE:
+            if held >= LOT:
                 flush()
                 held = 0
             off += PIECE - SEAM
     if pieces:
         flush()
-    return out
+    if found:
+        decode()
+    return [sorted(x) for x in out]
 
 
 def could_hold(em: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
@@ -498,34 +539,39 @@ def could_hold(em: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
     return (np.cumsum(marks[:-1]) > 0).reshape(-1, BLOCK).any(1)
 
 
-def _piece_spans(pieces: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    em, first = text_emissions(pieces, model)
-    out: list[list[tuple[int, int, int]]] = [[] for _ in pieces]
+def _stretches(pieces: list[np.ndarray], model: Tagger, room: dict):
+    """(piece, place in it, emission scores [tags, places]) of the stretches of blocks
+    around those that could hold a span, none across two pieces."""
+    em, first = text_emissions(pieces, model, room=room)
     hot = np.flatnonzero(could_hold(em, first[:-1], model.p["tr"]))
     if not len(hot):
-        return out
-    # Stretches of blocks around hot ones, none across two pieces.
+        return
     piece = np.searchsorted(first, hot, "right") - 1
     low, high = np.maximum(hot - REACH, first[piece]), np.minimum(hot + REACH + 1, first[piece + 1])
     new = np.concatenate(([True], (low[1:] > high[:-1]) | (piece[1:] != piece[:-1])))
     begin, end, of = low[new], high[np.append(np.flatnonzero(new)[1:], len(hot)) - 1], piece[new]
-    size = end - begin
-    # Stretches of like size (to a factor of 2) go together, some 2^14 blocks at a time.
+    for a, b, i in zip(begin.tolist(), end.tolist(), of.tolist()):
+        yield i, (a - int(first[i])) * BLOCK, em[:, a:b].reshape(TAGS, -1).copy()
+
+
+def _decoded(scores: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """The spans of each stretch; they go through Viterbi with stretches of like size
+    (to a factor of 2), some 2^13 blocks at a time."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in scores]
+    size = np.array([x.shape[1] // BLOCK for x in scores])
     order = np.argsort(size, kind="stable")
     level = np.log2(size[order]).astype(np.int64)
-    part = np.arange(len(order)) // np.maximum((1 << 13) >> level, 1)
+    part = np.arange(len(order)) // np.clip((1 << 13) >> level, 1, 1 << 9)
     cuts = np.flatnonzero((np.diff(level) != 0) | (np.diff(part) != 0)) + 1
     for group in np.split(order, cuts):
-        blocks = int(size[group].max())
-        x = np.full((len(group), blocks * BLOCK, TAGS), -1e4, np.float32)
-        x[:, :, 0] = 0
+        x = np.full((len(group), TAGS, int(size[group].max()) * BLOCK), -1e4, np.float32)
+        x[:, 0] = 0
         for k, g in enumerate(group.tolist()):
-            x[k, : size[g] * BLOCK] = em[:, begin[g] : end[g]].reshape(TAGS, -1).T
-        tags = model.viterbi(x.transpose(1, 0, 2)).astype(np.int64)
+            x[k, :, : scores[g].shape[1]] = scores[g]
+        tags = model.viterbi(x.transpose(2, 0, 1)).astype(np.int64)
         for k, g in enumerate(group.tolist()):
-            off, i = int(begin[g] - first[of[g]]) * BLOCK, int(of[g])
-            out[i] += [(off + s, kind, min(off + e, len(pieces[i]))) for s, kind, e in runs(tags[k]) if off + s < len(pieces[i])]
-    return [sorted(x) for x in out]
+            out[g] = runs(tags[k])
+    return out
 
 
 def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
