@@ -584,6 +584,53 @@ def test_stretches_of_all_lots_are_decoded_together(monkeypatch):
     assert few < 12 and len(calls) < 12
 
 
+def test_one_product_a_step_serves_both_directions(monkeypatch):
+    calls, plain = [], np.matmul
+    monkeypatch.setattr(pii.np, "matmul", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    r = np.random.default_rng(12)
+    model = pii.Tagger(3)
+    for rows_, t in ((1, 1), (3, 2), (5, 7), (40, 64)):
+        ids = r.integers(0, pii.CHARS, (rows_, t))
+        calls.clear()
+        got = model.emissions(ids).transpose(0, 2, 1)
+        assert len(calls) <= t + 1 and np.allclose(got, model.scores(ids)[0], atol=1e-4)
+    model.p = {k: v * 200 for k, v in model.p.items()}  # gates shut or open, exp overflows
+    with np.errstate(over="ignore"):
+        want = model.scores(ids)[0]
+    assert np.allclose(model.emissions(ids).transpose(0, 2, 1), want, rtol=1e-3, atol=1)
+
+
+def test_blocks_that_a_span_could_gain_in_are_hot():
+    """Against all runs of places, one by one; scores of blocks are means where windows meet."""
+    r = np.random.default_rng(13)
+    model = pii.Tagger(5)
+    model.p["tr"] = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    model.p["bo"][0], model.p["tr"][0, 0] = 8, 0
+    model.p["wo"] *= 24
+    tr = model.p["tr"]
+    pieces = [r.integers(1, pii.CHARS, n).astype(np.int16) for n in (0, 1, 32, 255, 256, 257, 300, 700, 481)]
+    windows = pii.Windows(pieces, model, {})
+    hot = pii.could_hold(windows.sums(tr), windows.first[:-1], tr)
+    assert 0 < hot.sum() < len(hot)
+    step = pii.WINDOW - pii.BLOCK
+    for x, a, z in zip(pieces, windows.first, windows.first[1:]):
+        size = (z - a) * pii.BLOCK
+        row = np.zeros(size, np.int64)
+        row[: len(x)] = x
+        total, met = np.zeros((size, pii.TAGS)), np.zeros((size, 1))
+        for at in range(0, size - pii.BLOCK, step):
+            total[at : at + pii.WINDOW] += model.scores(row[None, at : at + pii.WINDOW])[0][:, 0]
+            met[at : at + pii.WINDOW] += 1
+        em = total / met
+        assert np.allclose(windows.scores(np.arange(a, z)).reshape(size, -1), em, atol=1e-4)
+        for b in range(1, pii.TAGS, 2):
+            within = max(tr[b, b + 1], tr[b + 1, b + 1])
+            gain = np.concatenate([[0], np.cumsum(np.maximum(em[:, b], em[:, b + 1]) - em[:, 0] + within - tr[0, 0])])
+            runs_ = gain[None, :] - gain[:, None] + tr[0, b] + max(tr[b, 0], tr[b + 1, 0]) - within - tr[0, 0]
+            for s, e in np.argwhere(np.triu(runs_ > -pii.MARGIN + 1e-3, 1)):
+                assert hot[a + s // pii.BLOCK : a + (e - 1) // pii.BLOCK + 1].all()
+
+
 def test_secrets_have_columns_of_their_own(spark):
     rows_ = [(1, 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ernd a@b.co'), (2, "the token of the secret is lost at the end"), (3, None)]
     got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}

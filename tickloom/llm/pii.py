@@ -37,7 +37,7 @@ SECRET = len(KINDS)  # the model's own kind
 BLOCK = 32
 WINDOW = 8 * BLOCK
 PIECE, SEAM = 1 << 16, 512
-LOT = 2 * PIECE  # characters tagged at once
+LOT = 8 * PIECE  # characters tagged at once
 STRETCHES = 1 << 18  # characters of stretches that wait to be decoded together
 MARGIN, REACH = 0.5, 1
 HIDDEN, EMBED, CHARS = 12, 12, 100
@@ -219,44 +219,61 @@ class Tagger:
         return float((z.sum() - path) / n), g
 
     def emissions(self, ids: np.ndarray, room: dict | None = None) -> np.ndarray:
-        """scores() without a trace, [time, tags, rows]: rows innermost, one product a
-        step over embedding, state and a 1 for the bias, gates as (1 + tanh(x / 2)) / 2.
-        States are kept doubled, and the weights that meet them halved. The result lies in
-        the room, if one is given."""
+        """scores() without a trace, [time, tags, rows]: rows innermost, both directions in
+        one step, the backward one from the last place. One product a step over embedding,
+        state and a 1 for the bias gives the gates, and the scores of the step before. With
+        s(x) = 1 / (1 + exp(-x)) a tanh is 2 s(2x) - 1, so that one exp and one quotient
+        serve all gates. Cells are kept times -2, states halved. The result lies in the
+        room, if one is given."""
         room = {} if room is None else room
         p, n, e = self.p, HIDDEN, EMBED
-        half = np.full(4 * n, 0.5, np.float32)
-        half[3 * n :] = 1
         ids = np.ascontiguousarray(ids.T, np.intp)
         t, rows = ids.shape
-        states = _space(room, "states", t, 2 * n, rows)
+        weights = np.zeros((2, 4 * n + TAGS, e + n + 1), np.float32)
+        for part, (w, b) in enumerate((("wf", "bf"), ("wb", "bb"))):
+            weights[part, : 4 * n] = np.vstack([p[w], p[b]]).T
+            weights[part, 4 * n :, e:-1] = p["wo"][part * n : part * n + n].T
+        weights[:, : 3 * n] *= -1
+        weights[:, 3 * n : 4 * n] *= -2
+        weights[:, :, e:-1] *= 2
+        weights[0, 4 * n :, -1] = p["bo"]
         letters = np.ascontiguousarray(p["emb"].T)
         given = _space(room, "given", t, e, rows)
-        feed = np.empty((e + n + 1, rows), np.float32)
-        z, u = np.empty((4 * n, rows), np.float32), np.empty((n, rows), np.float32)
-        inputs, h, two, z_in, z_old, z_out, z_new = feed[:e], feed[e:-1], z[: 3 * n], z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[3 * n :]
         for k in range(t):
             np.take(letters, ids[k], axis=1, out=given[k], mode="clip")
-        for part, (w, b, order) in enumerate((("wf", "bf", range(t)), ("wb", "bb", range(t - 1, -1, -1)))):
-            stacked = np.vstack([p[w], p[b]]) * half
-            stacked[e:-1] *= np.float32(0.5)
-            weights = np.ascontiguousarray(stacked.T)
-            feed[e:-1], feed[-1] = 0, 1
-            c = np.zeros((n, rows), np.float32)
-            for k in order:
-                inputs[...] = given[k]
+        feed = np.zeros((2, e + n + 1, rows), np.float32)
+        feed[:, -1] = 1
+        z, u, c = np.empty((2, 4 * n + TAGS, rows), np.float32), np.empty((2, n, rows), np.float32), np.zeros((2, n, rows), np.float32)
+        ahead, back, h, gates = feed[0, :e], feed[1, :e], feed[:, e:-1], z[:, : 4 * n]
+        rest = gates[:, n:]
+        z_in, z_old, z_out, z_new = (z[:, k * n : k * n + n] for k in range(4))
+        out = _space(room, "out", t, TAGS, rows)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+            for k in range(t + 1):
+                if k < t:
+                    ahead[...] = given[k]
+                    back[...] = given[t - 1 - k]
                 np.matmul(weights, feed, out=z)
-                np.tanh(z, out=z)
-                np.add(two, 1, out=two)  # twice the gates
-                np.multiply(z_in, z_new, out=u)
+                for at, scores, new in ((k - 1, z[0, 4 * n :], 2 * k < t + 2), (t - k, z[1, 4 * n :], 2 * k < t + 1)) if k else ():
+                    if new:
+                        out[at] = scores
+                    else:
+                        out[at] += scores
+                if k == t:
+                    break
+                np.exp(gates, out=gates)
+                np.add(gates, 1, out=gates)
+                np.divide(-4, z_in, out=z_in)
+                np.divide(1, rest, out=rest)
+                np.subtract(z_new, 0.5, out=u)
+                np.multiply(u, z_in, out=u)
                 np.multiply(c, z_old, out=c)
                 np.add(c, u, out=c)
-                np.multiply(c, 0.5, out=c)
-                np.tanh(c, out=u)
+                np.exp(c, out=u)
+                np.add(u, 1, out=u)
+                np.divide(1, u, out=u)
+                np.subtract(u, 0.5, out=u)
                 np.multiply(u, z_out, out=h)
-                states[k, part * n : part * n + n] = h
-        out = np.matmul(np.ascontiguousarray(p["wo"].T) * np.float32(0.5), states, out=_space(room, "out", t, TAGS, rows))
-        out += p["bo"][:, None]
         return out
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
@@ -446,31 +463,57 @@ def sound(kind: int, text: str) -> bool:
     return len(text) >= 16 and many > 0 and not re.search(r"\s", text)
 
 
-def text_emissions(pieces: list[np.ndarray], model: Tagger, rows: int = 800, room: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Emission scores of pieces of character ids, one after another in blocks
-    [tags, block, BLOCK], averaged where windows overlap; and each piece's first
-    block. The scores lie in the room, if one is given."""
-    room = {} if room is None else room
-    many = WINDOW // BLOCK
-    count = np.array([max(1, -(-(len(x) - BLOCK) // (WINDOW - BLOCK))) for x in pieces], np.int64)
-    first = np.concatenate(([0], np.cumsum((many - 1) * count + 1)))
-    flat = np.zeros(int(first[-1]) * BLOCK, np.int16)
-    for x, b in zip(pieces, first.tolist()):
-        flat[b * BLOCK : b * BLOCK + len(x)] = x
-    start = np.repeat(first[:-1], count) + (many - 1) * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::BLOCK]
-    total = _space(room, "total", TAGS, int(first[-1]), BLOCK)
-    total[...] = 0
-    for at in np.array_split(start, -(-len(start) // rows)):
-        em = model.emissions(windows[at], room).transpose(1, 2, 0).reshape(TAGS, len(at), many, BLOCK)
-        for j in range(many):  # at most one window has a block as its j-th
-            if j in (0, many - 1):
-                total[:, at + j] += em[:, :, j]
-            else:
-                total[:, at + j] = em[:, :, j]
-    met = np.bincount(np.concatenate([start, start + many - 1]), minlength=total.shape[1])
-    total[:, met > 1] *= 0.5
-    return total, first
+class Windows:
+    """Emission scores of pieces of character ids, piece after piece in blocks. Window w
+    has the blocks from start[w] on; first tells each piece's first block, and the end.
+    A block where two windows meet has the mean of both. The scores lie in the room."""
+
+    def __init__(self, pieces: list[np.ndarray], model: Tagger, room: dict):
+        many = WINDOW // BLOCK
+        count = np.array([max(1, -(-(len(x) - BLOCK) // (WINDOW - BLOCK))) for x in pieces], np.int64)
+        self.first = np.concatenate(([0], np.cumsum((many - 1) * count + 1)))
+        flat = np.zeros(int(self.first[-1]) * BLOCK, np.int16)
+        for x, b in zip(pieces, self.first.tolist()):
+            flat[b * BLOCK : b * BLOCK + len(x)] = x
+        self.start = np.repeat(self.first[:-1], count) + (many - 1) * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::BLOCK]
+        self.em = model.emissions(windows[self.start], room).reshape(many, BLOCK, TAGS, len(self.start))
+        self.met = np.bincount(np.concatenate([self.start, self.start + many - 1]), minlength=int(self.first[-1])) > 1
+
+    def sums(self, tr: np.ndarray) -> np.ndarray:
+        """Of each block and kind of span (see could_hold), [4, blocks, kinds]: the sum of
+        the gains of its places, and the best sum from its first place on, up to its last,
+        and anywhere in it. Where two windows meet it is the mean of both, which is no less
+        than that of the mean scores."""
+        many, _, _, n = self.em.shape
+        moves = _moves(tr).astype(np.float32)[:, None]
+        gain = np.empty((TAGS // 2, n), np.float32)
+        out = np.zeros((4, int(self.first[-1]), TAGS // 2), np.float32)
+        for j in range(many):
+            stats = np.full((4, TAGS // 2, n), -1e9, np.float32)
+            whole, begun, ended, inside = stats
+            whole[...] = 0
+            for x in self.em[j]:
+                np.maximum(x[1::2], x[2::2], out=gain)
+                np.subtract(gain, x[0], out=gain)
+                np.add(gain, moves, out=gain)
+                np.maximum(ended, 0, out=ended)
+                np.add(ended, gain, out=ended)
+                np.maximum(inside, ended, out=inside)
+                np.add(whole, gain, out=whole)
+                np.maximum(begun, whole, out=begun)
+            out[:, self.start + j] += stats.transpose(0, 2, 1)  # at most one window has a block as its j-th
+        out[:, self.met] *= 0.5
+        return out
+
+    def scores(self, blocks: np.ndarray) -> np.ndarray:
+        """[blocks, BLOCK, tags]"""
+        window = np.searchsorted(self.start, blocks, "right") - 1
+        out = self.em[blocks - self.start[window], :, :, window]
+        met = self.met[blocks]
+        out[met] += self.em[-1][:, :, window[met] - 1].transpose(2, 0, 1)
+        out[met] *= 0.5
+        return out
 
 
 def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -502,7 +545,7 @@ def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, in
             last = off + PIECE >= len(codes)
             pieces.append(x)
             owner.append((i, off, SEAM // 2 if off else 0, len(x) if last else PIECE - SEAM // 2, len(x)))
-            held += len(x)
+            held += max(len(x), WINDOW)
             if held >= LOT:
                 flush()
                 held = 0
@@ -514,44 +557,48 @@ def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, in
     return [sorted(x) for x in out]
 
 
-def could_hold(em: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
-    """Blocks that a span of some kind may touch. A span of one kind gains, over no
-    span, at most the sum of its places' best scores less the outside ones, and its
-    best transitions; the best sum that ends at a place is its cumulative sum less
-    the smallest before. Where that stays MARGIN below 0 no span ends."""
-    flat = em.reshape(TAGS, -1)
-    marks = np.zeros(flat.shape[1] + 1, np.int64)
-    total = np.zeros(flat.shape[1] + 1)
-    for k in range(TAGS // 2):
-        b, i = 1 + 2 * k, 2 + 2 * k
-        gain = np.maximum(flat[b], flat[i])
-        gain -= flat[0]
-        gain += max(tr[b, i], tr[i, i]) - tr[0, 0]
-        gain[first * BLOCK] -= 1e6  # nothing spans two pieces
-        np.cumsum(gain, dtype=np.float64, out=total[1:])
-        low = np.minimum.accumulate(total[:-1])
-        ends = tr[0, b] + max(tr[b, 0], tr[i, 0]) - max(tr[b, i], tr[i, i]) - tr[0, 0]
-        on = np.flatnonzero(total[1:] - low > -MARGIN - ends)
-        if len(on):
-            lows = np.flatnonzero(total[:-1] == low)
-            np.add.at(marks, lows[np.searchsorted(lows, on, "right") - 1], 1)
-            np.add.at(marks, on + 1, -1)
-    return (np.cumsum(marks[:-1]) > 0).reshape(-1, BLOCK).any(1)
+def _moves(tr: np.ndarray) -> np.ndarray:
+    """What a move within a span of each kind gains, at most, over one outside."""
+    b = np.arange(1, TAGS, 2)
+    return np.maximum(tr[b, b + 1], tr[b + 1, b + 1]) - tr[0, 0]
+
+
+def could_hold(sums: np.ndarray, first: np.ndarray, tr: np.ndarray) -> np.ndarray:
+    """Blocks that a span of some kind may touch, from Windows.sums and each piece's first
+    block. A span of one kind gains, over no span, at most the sum of its places' best
+    scores less the outside ones, and its best transitions. Where the best sum of a run of
+    places that touches the block stays MARGIN below 0 no span does."""
+    whole, begun, ended, inside = sums.astype(np.float64)
+    apart = np.zeros((len(whole) + 1, 1), bool)
+    apart[first] = apart[-1] = True
+    upto = np.cumsum(whole - 1e6 * apart[:-1], axis=0)  # nothing spans two pieces
+    before, after = np.zeros_like(whole), np.zeros_like(whole)
+    before[1:] = np.maximum.accumulate(ended - upto)[:-1] + upto[:-1]
+    after[:-1] = np.maximum.accumulate((begun[1:] + upto[:-1] - 1e6 * apart[1:-1])[::-1])[::-1] - upto[:-1]
+    before, after = np.maximum(np.where(apart[:-1], 0, before), 0), np.maximum(np.where(apart[1:], 0, after), 0)
+    best = np.maximum(np.maximum(inside, before + begun), np.maximum(ended + after, before + whole + after))
+    b = np.arange(1, TAGS, 2)
+    ends = tr[0, b] + np.maximum(tr[b, 0], tr[b + 1, 0]) - tr[0, 0] - _moves(tr) - tr[0, 0]
+    return (best > -MARGIN - ends).any(1)
 
 
 def _stretches(pieces: list[np.ndarray], model: Tagger, room: dict):
     """(piece, place in it, emission scores [tags, places]) of the stretches of blocks
     around those that could hold a span, none across two pieces."""
-    em, first = text_emissions(pieces, model, room=room)
-    hot = np.flatnonzero(could_hold(em, first[:-1], model.p["tr"]))
+    windows = Windows(pieces, model, room)
+    first, tr = windows.first, model.p["tr"]
+    hot = np.flatnonzero(could_hold(windows.sums(tr), first[:-1], tr))
     if not len(hot):
         return
     piece = np.searchsorted(first, hot, "right") - 1
     low, high = np.maximum(hot - REACH, first[piece]), np.minimum(hot + REACH + 1, first[piece + 1])
     new = np.concatenate(([True], (low[1:] > high[:-1]) | (piece[1:] != piece[:-1])))
     begin, end, of = low[new], high[np.append(np.flatnonzero(new)[1:], len(hot)) - 1], piece[new]
-    for a, b, i in zip(begin.tolist(), end.tolist(), of.tolist()):
-        yield i, (a - int(first[i])) * BLOCK, em[:, a:b].reshape(TAGS, -1).copy()
+    size = end - begin
+    ends = np.cumsum(size)
+    em = windows.scores(np.repeat(begin - ends + size, size) + np.arange(ends[-1]))
+    for a, b, e, i in zip(begin.tolist(), size.tolist(), ends.tolist(), of.tolist()):
+        yield i, (a - int(first[i])) * BLOCK, em[e - b : e].reshape(-1, TAGS).T
 
 
 def _decoded(scores: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -569,8 +616,8 @@ def _decoded(scores: list[np.ndarray], model: Tagger) -> list[list[tuple[int, in
         for k, g in enumerate(group.tolist()):
             x[k, :, : scores[g].shape[1]] = scores[g]
         tags = model.viterbi(x.transpose(2, 0, 1)).astype(np.int64)
-        for k, g in enumerate(group.tolist()):
-            out[g] = runs(tags[k])
+        for k in np.flatnonzero(tags.any(1)).tolist():
+            out[group[k]] = runs(tags[k])
     return out
 
 
