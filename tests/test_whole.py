@@ -42,7 +42,7 @@ def test_books_hold_every_trade(spark, name):
     same(catalog.QUERIES[name](spark, sf), whole(name, sf, " WHERE supplier % 10 = 0"))
 
 
-@pytest.mark.parametrize("name", ["portfolio_frontier"])
+@pytest.mark.parametrize("name", ["portfolio_frontier", "best_risk"])
 def test_accounts_past_the_range_of_a_double(spark, tmp_path, name):
     """Trades so good that some accounts overflow: those have no drawdown in SQL."""
     c = duckdb.connect()
