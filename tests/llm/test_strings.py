@@ -127,6 +127,55 @@ def test_shared_names_across_batches(monkeypatch, held):
     assert list(suffixes._shared_names([])) == []
 
 
+@pytest.mark.parametrize("held, room", [(4, 20), (1 << 18, 1 << 21)])
+@pytest.mark.parametrize("buckets", [1, 7, 70_000])
+def test_packed_rows_of_names(monkeypatch, held, room, buckets):
+    monkeypatch.setattr(suffixes, "HELD", held)
+    monkeypatch.setattr(suffixes, "ROOM", room)
+    r = np.random.default_rng(6)
+    pool = r.integers(-(1 << 63), 1 << 63, 150)
+    own = np.where(r.integers(0, 4, 3000) > 0, pool[r.integers(0, 150, 3000) ** 2 // 150], pool[3])
+    x = [own, r.integers(-9, 9, 3000), np.sort(r.integers(-(1 << 63), 1 << 63, 3000)), r.integers(0, 2, 3000), np.arange(3000)]
+    x[2][:1000] = 5
+    data = {y[4]: y for y in zip(*(c.tolist() for c in x))}
+    packs = [y for i in range(0, 3000, 400) for y in suffixes._pack([c[i : i + 400] for c in x], buckets).to_pylist()]
+    assert sum(y["n"] for y in packs) == 3000 and all(0 <= y["bucket"] < buckets for y in packs)
+    packs.sort(key=lambda y: y["bucket"])
+    batches = [pa.RecordBatch.from_pylist(packs[i : i + 3], pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])) for i in range(0, len(packs), 3)]
+    got = [tuple(y.values()) for b in suffixes._shared_rows(batches) for y in b.to_pylist()]
+    assert len(got) == len({y[4] for y in got}) and all(data[y[4]] == y[:5] for y in got)
+    docs, kinds, size = {}, {}, {}
+    for n, sh, d, *_ in data.values():
+        docs.setdefault(n, set()).add(d)
+        kinds.setdefault(n, set()).add(sh)
+        size[n] = size.get(n, 0) + 1
+    want = {i: (min(docs[y[0]]) if len(kinds[y[0]]) == 1 else None) for i, y in data.items() if len(docs[y[0]]) > 1}
+    low = {y[4]: y[5] for y in got}
+    assert set(low) >= set(want)
+    for i, at in low.items():
+        assert (i in want and at == want[i]) or (at is None and size[data[i][0]] > held)
+
+
+def test_packed_rows_are_small():
+    texts = pa.array([f"document {i} of " + " ".join(map(str, range(i, i + 400))) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), texts], ["doc", "th", "text"])
+    got = list(suffixes._name_segments(50, 4)([batch]))
+    rows = sum(sum(b.column("n").to_pylist()) for b in got)
+    assert rows > 20_000 and sum(len(y) for b in got for y in b.column("data").to_pylist()) < 20 * rows  # five longs are 40
+
+
+@pytest.mark.parametrize("heavy", [1 << 21, 100])
+def test_repeats_part_by_part(spark, odd, monkeypatch, heavy):
+    seen = []
+    free = suffixes._release
+    monkeypatch.setattr(suffixes, "LARGE", 1)
+    monkeypatch.setattr(suffixes, "_release", lambda s: seen.append(free(s)))
+    data = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    got = [(r["doc_id"], r["n_bytes"], [(s["s"], s["e"]) for s in r["spans"]], bytes(r["kept"])) for r in suffixes.remove_repeats(odd, 50, heavy=heavy).collect()]
+    assert sorted(got, key=repr) == removed(data, 50)
+    assert len(seen) >= 11  # shared names, wanted, four parts of texts, four of segments, gaps
+
+
 def test_segment_hashes_tell_segments_apart():
     r = np.random.default_rng(8)
     buf = r.integers(97, 99, 300_000).astype(np.uint8)
